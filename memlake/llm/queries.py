@@ -4,9 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, orc_tokens, parity_join, pii
-from .common import table
+from . import bpe, exact_dedup, language_gru, orc_tokens, parity_join, pii, pu_quality
+from .common import held_out, table
+
+#: Rows that models may learn from.
+LEARN = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pu_quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=LEARN)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_gru.score_language(docs, language_gru.fit_language(docs, learn=LEARN))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +44,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe)}
 
 ORACLE = {
     "op5_pii": pii.oracle(),
