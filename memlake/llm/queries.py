@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_gru, orc_tokens, parity_join, pii, pu_quality
+from . import bpe, exact_dedup, language_gru, mixing, orc_tokens, parity_join, pii, pu_quality, site_tree, vector_graph
 from .common import held_out, table
 
 #: Rows that models may learn from.
@@ -18,6 +18,32 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+#: The mixture's tree: domains by source, languages in each domain; sources of a language share evenly.
+DOMAINS = {"web": 0.5, "reference": 0.3, "forum": 0.2}
+LANGS = {
+    "web": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1},
+    "reference": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1},
+    "forum": {"en": 0.7, "de": 0.1, "fr": 0.1, "es": 0.1},
+}
+
+
+def domain_of(source: Column) -> Column:
+    """src0 to src9 are web, src10 to src14 reference, all others forum."""
+    n = F.regexp_extract(F.coalesce(source, F.lit("")), "^src([0-9]{1,9})$", 1)
+    number = F.when(n != "", n).cast("int")
+    return F.when(number < 10, "web").when(number < 15, "reference").otherwise("forum")
+
+
+def op3_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, domain_of(F.col("source")), DOMAINS, LANGS, share=0.75, epochs=2, seed=3)
+    return mixed.select("doc_id", F.col("mix_.epoch").alias("epoch"), F.col("mix_.domain").alias("domain"), "lang", "source", F.col("mix_.tokens").alias("n_tokens"), F.col("mix_.take").alias("take_tokens"))
+
+
 def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_gru.score_language(docs, language_gru.fit_language(docs, learn=LEARN))
@@ -44,7 +70,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe)}
+def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_vector_graph, op3_hierarchical_mix, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe, op10_site_style_tree)}
 
 ORACLE = {
     "op5_pii": pii.oracle(),
