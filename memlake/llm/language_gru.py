@@ -168,7 +168,7 @@ def predict(m: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         p = positions(m, x)
         sums[:, i : i + BLOCK] = np.einsum("tlb,tb->lb", p, (x != PAD).astype(np.float32), optimize=True)
     owner = np.repeat(np.arange(len(raw)), counts)
-    pooled = np.stack([np.bincount(owner, weights=s, minlength=len(raw)) for s in sums], axis=1)
+    pooled = np.stack([np.bincount(owner, weights=s, minlength=len(raw)).astype(float) for s in sums], axis=1)
     pooled /= np.maximum(1e-9, pooled.sum(axis=1, keepdims=True))
     best = pooled.argmax(axis=1)
     return [(m.langs[j], float(min(1.0, p[j]))) if r else ("und", 0.0) for r, j, p in zip(raw, best, pooled, strict=True)]
@@ -225,3 +225,16 @@ def score_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+
+
+def keep_recognised(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a language of at least that probability."""
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            got = predict(model, texts) if model else [("und", 0.0)] * len(texts)
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
