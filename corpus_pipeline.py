@@ -1,7 +1,62 @@
-"""The corpus pipeline: language, copies, near copies, mixture, tokens."""
-STAGES = []
+"""The corpus pipeline: language, exact copies, near copies, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet
+in the shared folder and reads it again as the next stage's docs. All stages but the last
+return the columns of documents. A language model cannot be written as SQL, so the
+pipeline has no ORACLE_SQL; the tests hold it against a version without Spark.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlake.llm import bpe, exact_dedup, language_gru, mixing, parity_join
+from memlake.llm.common import scratch_path, table
+from memlake.llm.queries import DOMAINS, LANGS, LEARN, domain_of
+
+#: A document goes if it has no letter, or if no language reaches this probability.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the language model recognises."""
+    model = language_gru.fit_language(docs, learn=LEARN)
+    return language_gru.keep_recognised(docs, model, least=LEAST_LANGUAGE_SCORE)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is identical without white space."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    joined = parity_join.parity_join(docs, width=5, num=80, den=100)
+    return parity_join.keep_one(docs, joined).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's rows; a document of a second epoch comes twice."""
+    return mixing.mix(docs, domain_of(F.col("source")), DOMAINS, LANGS, share=0.75, epochs=2, seed=3).drop("mix_")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row."""
+    return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", by_language), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("mixture", mixed), ("bpe", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
