@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 #: Code points of a chunk, and by how many it reaches into the next one.
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 32_768, 256
 
 
 @functools.lru_cache(2)
