@@ -1,0 +1,40 @@
+"""Health panels of a collection."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from memlake.functions import scalars as S
+
+
+def room_histogram(points: DataFrame, rooms: Sequence[str]) -> DataFrame:
+    """(room, n) for every configured room, empty ones too, and for points without a room (null)."""
+    spark = points.sparkSession
+    known = spark.createDataFrame([(r,) for r in rooms] + [(None,)], "room string")
+    n = points.groupBy("room").count()
+    return known.join(F.broadcast(n), known["room"].eqNullSafe(n["room"]), "left").select(known["room"], F.coalesce("count", F.lit(0)).alias("n"))
+
+
+def temporal_panel(points: DataFrame, now: Column, retention_days: float, stale_days: float = 7.0) -> DataFrame:
+    """One row: live, superseded, future and expired counts, the range of starts, and whether the newest is stale."""
+    ended = F.col("valid_to").isNotNull() & (F.col("valid_to") <= now)
+    newest = F.max("valid_from")
+    return points.agg(
+        F.count_if(~ended).alias("live"), F.count_if(ended).alias("superseded"), F.count_if(F.col("valid_from") > now).alias("future"),
+        F.count_if(ended & (S.age_days(F.col("valid_to"), now) > retention_days)).alias("awaiting_gc"),
+        F.min("valid_from").alias("oldest"), newest.alias("newest"), F.round(S.age_days(newest, now), 6).alias("age_days"), (S.age_days(newest, now) > stale_days).alias("stale"),
+    )
+
+
+def snapshot_rank(points: DataFrame, now: Column, bonuses: Sequence[tuple[str, float]], scan: int = 512, top: int = 80) -> DataFrame:
+    """The top points of the first `scan` live ones by id: recency plus the first matching path's bonus."""
+    live = points.where(F.col("valid_to").isNull() | (F.col("valid_to") > now)).orderBy("id").limit(scan)
+    bonus = F.lit(0.0)
+    for part, value in reversed(bonuses):
+        bonus = F.when(F.col("file_path").contains(part), value).otherwise(bonus)
+    age = F.greatest(S.age_days(F.coalesce("updated_at", "valid_from"), now), F.lit(0.0))
+    score = F.round(F.exp(-age / 30.0) + F.coalesce(bonus, F.lit(0.0)), 9)
+    return live.withColumn("score", score).orderBy(F.desc("score"), "id").limit(top)
