@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do
+    would put off while executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/memlake-{name}-{uuid.uuid4().hex}"
@@ -68,6 +79,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing will read again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component), component the smallest id.
 

@@ -1,14 +1,17 @@
 """N-gram Jaccard join by parity sketches.
 
-A set's parity sketch has as many bits as fit its size; each shingle flips one. Two
-sketches differ in at most as many bits as the sets differ in shingles, so sets that
-are similar enough differ in so few bits that one of (that many + 1) words must be
-equal: documents meet on such words, and what meets is verified on the sets.
+A set's parity sketch has as many words of bits as fit its size; each shingle flips one
+bit. Two sketches differ in at most as many bits as the sets differ in shingles, so
+sets that are similar enough differ in so few bits that one of (that many + 1) words
+must be equal: documents meet on such words, and what meets is verified on the sets.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, cut, mix64
+from .common import arrow_batches, components, cut, discard, mix64, release, scratch_path
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -25,7 +28,7 @@ _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 #: Size bands grow by this factor.
-BAND = 1.3
+BAND = 1.5
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +74,7 @@ def band_of(n: np.ndarray | int):
     return np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
 
 
+@functools.cache
 def band_sizes(band: int) -> tuple[int, int]:
     """Least and most shingles of a band."""
     sizes = np.arange(max(1, int(BAND**band) - 2), int(BAND ** (band + 1)) + 3)
@@ -78,58 +82,143 @@ def band_sizes(band: int) -> tuple[int, int]:
     return (int(own[0]), int(own[-1])) if len(own) else (0, 0)
 
 
-def sketch_words(h: np.ndarray, band: int, num: int, den: int) -> np.ndarray:
-    """The parity sketch of a set for the pairs whose smaller side lies in a band, as 64-bit words.
+@functools.cache
+def sketch_shape(band: int, num: int, den: int) -> tuple[int, int]:
+    """(words, spare) of the sketches for pairs whose smaller side lies in a band.
 
     With similarity num/den or more, the larger set has at most hi * den / num shingles and
-    the sets differ in at most (a + b) * (den - num) / (den + num): one word more than that.
+    the sets differ in at most (a + b) * (den - num) / (den + num). So many words may
+    differ; one more and `spare` are equal, spare being more than the words that are
+    expected to be empty.
     """
-    hi = band_sizes(band)[1]
+    lo, hi = band_sizes(band)
     differ = (hi + hi * den // num) * (den - num) // (den + num)
-    bits = 64 * (differ + 1)
-    ones = np.bincount(((h >> np.uint64(16)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(ones.astype(np.uint8)).view(np.uint64)
+    spare = 1
+    while True:  # empty words of a set of lo shingles: their mean and four deviations
+        empty = (differ + 1 + spare) * math.exp(-lo / (differ + 1 + spare))
+        if spare >= min(differ + 1, empty + 4 * math.sqrt(empty)):
+            return differ + 1 + spare, spare
+        spare += 1
 
 
-def _sketch(width: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())])
+def sketch_words(h: np.ndarray, band: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a set's parity sketch that have odd bits: (places, words).
 
+    The sketch has 2^31 bits a word. A shingle flips the bit that its hash names, so equal
+    shingles of two sets leave no difference. A word is written as the exclusive or of its
+    odd bits' hashes: bits flipped twice cancel out in it as they do in the sketch.
+    """
+    words = sketch_shape(band, num, den)[0]
+    place = ((h >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)  # rises with h, which is sorted
+    flip = mix64((place << np.uint64(31)) | (h & np.uint64(0x7FFFFFFF)))
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    word = np.bitwise_xor.reduceat(flip, start)
+    odd = word != 0
+    return place[start][odd], word[odd]
+
+
+#: Bits of the one-size sketch that a leftover group's pairs are held against before their texts are.
+FOLD = 1024
+
+
+def pair_words(h: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set: its sketch words, each mixed with its place and band.
+
+    A set meets others as the smaller or equal side in its own band, and as the larger side
+    in each band that reaches up to it. Two similar sets have more equal words than spare.
+    Empty words would make strangers meet, so they are no keys, but for a set with more
+    empty words than spare: such sets meet each other on those too. All others have an
+    equal word that is not empty.
+    """
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64)
+    own, out = int(band_of(n)), []
+    for band in {own, *range(int(band_of(max(1, -(-n * num // den)))), own)}:
+        if band_sizes(band)[1]:
+            words, spare = sketch_shape(band, num, den)
+            place, word = sketch_words(h, band, num, den)
+            if words - len(word) > spare:
+                full = np.zeros(words, np.uint64)
+                full[place] = word
+                place, word = np.arange(words, dtype=np.uint64), full
+            with np.errstate(over="ignore"):
+                out.append(mix64(mix64(word) + place * np.uint64(0x9FB21C651E98DF25) + np.uint64(band + 1) * np.uint64(0xA24BAED4963EE407)))
+    return np.concatenate(out).view(np.int64)
+
+
+def _sets(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests = [], []
+            sizes, digests, keys = [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, width)
                 sizes.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], schema=schema)
+                keys.append(pair_words(h, num, den))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
 
     return run
 
 
-def _keys(width: int, num: int, den: int):
+def _folds(width: int):
+    """Set size and the sketch of FOLD bits of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            sizes, folds = [], []
+            for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, width)
-                n = len(h)
-                if not n:
-                    continue
-                own = int(band_of(n))
-                # as the smaller or equal side in its own band; as the larger side in each band that reaches up to it
-                for band in {own, *range(int(band_of(max(1, -(-n * num // den)))), own)}:
-                    if band_sizes(band)[1]:
-                        w = sketch_words(h, band, num, den)
-                        keys.append(mix64(mix64(w) + np.arange(len(w), dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(band + 1) * np.uint64(0xA24BAED4963EE407)).view(np.int64))
-                        ids.append(np.full(len(w), d, np.int64))
-            if keys:
-                keys, ids = np.concatenate(keys), np.concatenate(ids)
-                for i in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(ids[i : i + 100_000])], ["key", "doc_id"])
+                sizes.append(len(h))
+                folds.append(np.packbits((np.bincount(((h >> np.uint64(16)) % np.uint64(FOLD)).astype(np.int64), minlength=FOLD) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary())], ["doc_id", "n", "fold"])
 
     return run
 
 
+def _near(num: int, den: int):
+    """From rows sorted by key: the pairs of a key's documents that lie in different components and whose sketches allow a link."""
+
+    def group(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [], []
+        for i in range(0, len(ids), 256):
+            part = slice(i, i + 256)
+            differ = np.bitwise_count(fold[part, None, :] ^ fold[None, i:, :]).sum(axis=2, dtype=np.int64)
+            both = n[part, None] + n[None, i:]
+            ok = (differ * (den + num) <= both * (den - num)) & (comp[part, None] != comp[None, i:]) & (ids[part, None] != ids[None, i:])
+            ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(i, len(ids))[None, :]
+            x, y = np.nonzero(ok)
+            left.append(ids[i + x])
+            right.append(ids[i + y])
+        return np.concatenate(left), np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in _with_end(batches):
+            if b is not None:
+                cols = [b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)]
+                rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            if rest is None or not len(rest[0]):
+                continue
+            key = rest[0]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            stop = np.append(edge[1:], len(key))
+            whole = len(edge) if b is None else len(edge) - 1  # the last group may go on in the next batch
+            out = [group(*(c[i:j] for c in rest[1:])) for i, j in zip(edge[:whole], stop[:whole], strict=True) if j - i > 1]
+            rest = None if b is None else [c[edge[-1] :] for c in rest]
+            if out:
+                x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _verify(width: int, num: int, den: int):
     """Keep the pairs whose sets are similar enough. A centre's set is made once for a run of its pairs."""
 
@@ -150,75 +239,85 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
-def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
+def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose shingle sets have den * |A and B| >= num * |A or B|.
 
     Returns (id_col, n_shingles, component_id): the size of the set, and the smallest id
     reachable by links, the document itself included.
 
     Documents with equal sets meet first, by digest, so copies go on as one. Sketch words
-    that several sets share then propose pairs. Pairs inside one word's group are never
-    expanded while they can only repeat what is known: in each star round every document
-    is held against the smallest id of its groups; after that, all pairs of a group whose
-    sides are still in different components are. So no link between different components
-    is lost, whatever the group sizes, and a group of near copies costs about one
-    verification per member.
+    that several sets share then propose pairs, in three steps that lose no link between
+    different components, whatever the group sizes:
+
+    1. Stars: each document is held against the centre of its groups that shares most with
+       others. A group of near copies costs about one verification a member.
+    2. Stars once more, among the documents that no link has reached.
+    3. All pairs of a group whose sides are still in different components. They are first
+       held against each other by sketches, inside the group's task, and only those pairs
+       leave it whose Hamming distance allows a link.
+
+    Every pair is verified on the sets of the whole texts.
 
     Null or empty texts, and texts of white space, have an empty set and link with
-    nothing. Null ids are no nodes: such rows come back with a null component. Rows that
-    repeat an id must repeat its text. An empty table gives no rows; other columns are
-    ignored.
+    nothing. Rows with a null id come back with a null component. Rows that repeat an id
+    must repeat its text. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(rows.mapInArrow(_sketch(width, num, den), "doc_id long, n int, digest binary"))
-    some = sets.where("n > 0 and doc_id is not null")
-    heads = cut(some.groupBy("digest").agg(F.min("doc_id").alias("head")))
-    text_of = rows.where("doc_id is not null").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = text_of.mapInArrow(_keys(width, num, den), "key long, doc_id long")
-    groups = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("least")).where("c > 1")
-    # only words that several documents share go on
-    met = cut(keys.join(groups, "key").select("key", "doc_id", "least"))
-
-    comp = met.select("doc_id").distinct().withColumn("component", F.col("doc_id"))
-    links = None
-    for step in range(star_rounds + 1):
-        if step:
-            comp = _components_of(met, links)
-        if step < star_rounds:
-            # stars: in each group, everyone outside the centre's component against the centre; the smallest centre of each document first
-            placed = met if not step else met.select("key", "doc_id")
-            if step:
-                placed = placed.join(comp, "doc_id")
-                most = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-                placed = placed.join(most, "key")
-                centre = placed.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"))
-                pairs = placed.join(centre, "key").where("component <> c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-            else:
-                pairs = placed.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a")).select("a", F.col("doc_id").alias("b"))
-        else:
-            placed = met.select("key", "doc_id").join(comp, "doc_id")
-            most = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            placed = cut(placed.join(most, "key"))
-            other = placed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = placed.select("key", F.col("doc_id").alias("a"), "component").join(other, "key").where("a < b and component <> cb").select("a", "b").distinct()
-        found = _verified(pairs, text_of, width, num, den)
-        links = found if links is None else cut(links.unionByName(found))
+    path = scratch_path(spark, "sets")
+    rows.mapInArrow(_sets(width, num, den), "doc_id long, n int, digest binary, keys array<long>").write.parquet(path)
+    made = spark.read.parquet(path)
+    sets = cut(made.select("doc_id", "n", "digest"))
+    heads = cut(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head")))
+    words = made.select("doc_id", "keys").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    shared = cut(words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    release(spark)
+    met = cut(words.join(shared, "key").select("key", "doc_id", "c"))
+    del words, shared, made
+    discard(spark, path)
+    release(spark)
+    ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
+    texts = cut(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")))
+    met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
+    release(spark)
+
+    links = _verified(_stars(met), texts, width, num, den)
+    comp = _components_of(ids, links)
+    alone = comp.where("doc_id = component").join(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_anti")
+    single = met.join(alone.select("doc_id"), "doc_id", "left_semi")
+    links = cut(links.unionByName(_verified(_stars(single), texts, width, num, den)))
+    release(spark)
+    comp = _components_of(ids, links)
+    placed = met.select("key", "doc_id").join(comp, "doc_id")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = cut(placed.join(mixed, "key"))
+    folds = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_folds(width), "doc_id long, n int, fold binary")
+    pairs = left.join(folds, "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(_near(num, den), "a long, b long").distinct()
+    links = cut(links.unionByName(_verified(pairs, texts, width, num, den)))
+
+    del pairs, folds, left, mixed, placed, comp, single, alone
+    release(spark)
     whole = components(links)
     head_of = heads.join(whole.select(F.col("id").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     out = sets.join(head_of, "digest", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """One pair a document, at most: the document and the weightiest centre of its groups."""
+    centres = met.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("c"))
+    best = met.join(centres, "key").where("doc_id <> -c.minus").groupBy("doc_id").agg(F.max("c").alias("c"))
+    return best.select((-F.col("c.minus")).alias("a"), F.col("doc_id").alias("b"))
 
 
-def _components_of(met: DataFrame, links: DataFrame) -> DataFrame:
-    ids = met.select("doc_id").distinct()
-    return cut(ids.join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
+def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
+    return cut(ids.select("doc_id").join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
 
 
-def _verified(pairs: DataFrame, text_of: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    left = text_of.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = text_of.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
     return cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
 
@@ -234,7 +333,7 @@ def brute_force(texts: dict[int, str | None], width: int, num: int, den: int) ->
     sets = {}
     for d, t in texts.items():
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
         sets[d] = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
     root = {d: d for d in texts}
 
