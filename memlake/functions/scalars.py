@@ -54,7 +54,7 @@ def glob_pattern(glob: str) -> str:
         elif c == "?":
             out += "."
         elif end > 0:
-            body = glob[i + 1 : end].replace("\\", "\\\\")
+            body = re.sub(r"([\[\\&])", r"\\\1", glob[i + 1 : end])
             out += f"[{'^' + body[1:] if body[0] == '!' else body}]"
             i = end
         else:
@@ -153,12 +153,12 @@ def parse_time(text: Column) -> Column:
 
 def recency(ts: Column, now: Column, boost: float = 0.1, days: float = 30.0) -> Column:
     """1 + boost * exp(-age / days); 1 without a time."""
-    return F.coalesce(1 + boost * F.exp(-F.greatest(age_days(ts, now), F.lit(0.0)) / days), F.lit(1.0))
+    return F.when(ts.isNotNull(), 1 + boost * F.exp(-F.greatest(age_days(ts, now), F.lit(0.0)) / days)).otherwise(F.lit(1.0))
 
 
 def decay(ts: Column, now: Column, alpha: float = 0.7, half_life: float = 14.0) -> Column:
     """alpha + (1 - alpha) * 0.5 ^ (age / half life); 1 without a time."""
-    return F.coalesce(alpha + (1 - alpha) * F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / half_life), F.lit(1.0))
+    return F.when(ts.isNotNull(), alpha + (1 - alpha) * F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / half_life)).otherwise(F.lit(1.0))
 
 
 # Path words that say nothing, and stems that need their directory.

@@ -91,7 +91,7 @@ def stratified(df: DataFrame, by: Sequence[str], target: int, id_col: str = "id"
     h = F.xxhash64(F.lit(seed), id_col)
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(h, id_col))
     placed = df.withColumn("rn_", rn).join(F.broadcast(stratified_quota(df, by, target).drop("n")), list(by))
-    return placed.orderBy((F.col("rn_") > F.col("quota")).cast("int"), h, id_col).limit(target).drop("rn_", "quota")
+    return placed.orderBy((F.col("rn_") > F.col("quota")).cast("int"), "rn_", h, id_col).limit(target).drop("rn_", "quota")
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
