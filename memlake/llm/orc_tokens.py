@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,39 +18,77 @@ from .common import arrow_batches, scratch_path
 #: A space before a letter, digit or printable ASCII character always starts a new pre-token,
 #: so texts may be cut there and the units between encoded one by one.
 UNIT = re.compile(r" (?=[!-~\w])")
+OTHER = re.compile(r" (?![!-~\w])")
+#: Latin letters at the start of a unit are a pre-token of their own, unless more letters follow; the rest starts a new one.
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w].*)?\Z", re.S)
 #: Units whose ids a worker remembers.
-CACHE_UNITS = 400_000
-_state: dict = {}
+CACHE_UNITS = 1_200_000
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str):
-    """Encoder of this worker: text -> ids as little-endian unsigned 32-bit bytes."""
-    if path not in _state:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _state[path] = (tok, {}, {})
-    tok, first, later = _state[path]
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    def learn(cache: dict, units: list[str], lead: str) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in cache]
-        if new:
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
-                new = list(dict.fromkeys(units))
-            for u, e in zip(new, tok.encode_batch_fast([lead + u for u in new], add_special_tokens=False), strict=True):
-                cache[u] = np.array(e.ids, "<u4").tobytes()
+    Frequent units are encoded once a worker. New ones go to the library: Latin words
+    straight to its model, in the byte-level alphabet, all else through its whole pipeline.
+    """
 
-    def encode(texts: list[str]) -> list[bytes]:
-        units = [UNIT.split(t) for t in texts]
-        learn(first, [u[0] for u in units], "")
-        learn(later, [x for u in units for x in u[1:]], " ")
-        get = later.__getitem__
-        return [first[u[0]] + b"".join(map(get, u[1:])) for u in units]
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return encode
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        self.first: dict[str, bytes] = {}  # units that start a text or follow a word
+        self.later: dict[str, bytes] = {}  # units after a space, without it
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow each other from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [x for x in range(256) if x not in shown]
+        self.alphabet = {x: 256 + i for i, x in enumerate(hidden)}
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        found = self.later.get(word)
+        if found is None:
+            shown = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(self.alphabet)
+            found = array("I", [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
+            if len(self.later) < CACHE_UNITS:
+                self.later[word] = found
+        return found
+
+    def _start(self, unit: str) -> bytes:
+        found = self.first.get(unit)
+        if found is None:
+            found = self._whole([unit])[0]
+            if len(self.first) < CACHE_UNITS // 4:
+                self.first[unit] = found
+        return found
+
+    def _later(self, unit: str) -> bytes:
+        if m := WORD.match(unit):
+            word, rest = m.groups()
+            found = self._word(word) + (self._start(rest) if rest else b"")
+        else:
+            found = self._whole([" " + unit])[0]
+        if len(self.later) < CACHE_UNITS and len(unit) < 40:
+            self.later[unit] = found
+        return found
+
+    def __call__(self, text: str) -> bytes:
+        units = UNIT.split(text) if OTHER.search(text) else text.split(" ")
+        out = list(map(self.later.get, units))
+        out[0] = self._start(units[0]) if len(units[0]) < 40 else self._whole([units[0]])[0]
+        if None in out:
+            out = [x if x is not None else self._later(u) for x, u in zip(out, units, strict=True)]
+        return b"".join(out)
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode_batches(path: str, end_id: int):
@@ -58,7 +97,7 @@ def _encode_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, start = _encoder(path), 0
         for b in batches:
-            ids = [x + end for x in encode([t or "" for t in b.column("text").to_pylist()])]
+            ids = [encode(t or "") + end for t in b.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             flat = np.frombuffer(b"".join(ids), "<i4")
             stop = np.concatenate([[0], np.cumsum(sizes)])
