@@ -75,7 +75,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     small = wanted.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
     docs = corpus.select("id", S.words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
     stats = docs.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
-    tf = docs.select("id", "dl", F.explode("w").alias("term")).join(F.broadcast(wanted) if small else wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("id", "dl", F.explode_outer("w").alias("term")).join(F.broadcast(wanted) if small else wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     hit = tf.join(F.broadcast(df) if small else df, "term").join(F.broadcast(terms) if small else terms, "term").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
