@@ -104,7 +104,7 @@ def message_point_id(session: Column, message: Column, idx: Column) -> Column:
 def slug(text: Column) -> Column:
     """Lower-case ASCII letters and digits joined by hyphens, at most 64, or untitled."""
     s = F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "-")
-    s = F.regexp_replace(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 64), "-+$", "")
+    s = F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 64)
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("untitled")).otherwise(s)
 
 
@@ -127,7 +127,7 @@ def occurrences(text: Column, part: str) -> Column:
 def complexity(text: Column, has_filter: Column) -> Column:
     """How demanding a query is, from 0 to 1: its length, clauses, filters and code identifiers."""
     low = F.lower(text)
-    clauses = occurrences(text, "?") + occurrences(low, " and ") + occurrences(low, ", ") + occurrences(text, ";") + occurrences(text, ":")
+    clauses = occurrences(text, "?") + occurrences(low, " and ") + occurrences(low, " or ") + occurrences(text, ";") + occurrences(text, ":")
     ids = F.regexp_count(text, F.lit(r"[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+")) + occurrences(text, "::") + occurrences(text, ".py") + F.floor(occurrences(text, "`") / 2)
     one = F.lit(1.0)
     part = lambda n, of: F.least(one, n / F.lit(float(of)))
@@ -162,18 +162,18 @@ def decay(ts: Column, now: Column, alpha: float = 0.7, half_life: float = 14.0)
 
 
 # Path words that say nothing, and stems that need their directory.
-PATH_NOISE = ("src", "lib", "py", "ts", "js", "test", "tests", "index", "main", "init")
-GENERIC_STEMS = ("__init__", "index", "main", "utils", "helpers", "types", "mod", "conftest")
+PATH_NOISE = ("src", "tests", "test", "app", "api", "v1", "fastapi_service", "nuxt_app", "infrastructure", "application", "domain", "shared", "entities", "features", "widgets", "pages", "__init__")
+GENERIC_STEMS = ("models", "model", "service", "services", "handler", "handlers", "repository", "repositories", "endpoint", "endpoints", "route", "routes", "schema", "schemas", "utils", "helpers", "main", "index")
 
 
 def derive_query(path: Column, most: int = 3) -> Column:
-    """Words of a file's stem, with its directory's where the stem is generic; distinct, without noise, at most three."""
-    name = F.element_at(path_parts(path), -1)
-    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    parent = F.try_element_at(path_parts(path), F.lit(-2))
-    full = F.when(stem.isin(*GENERIC_STEMS), F.concat_ws(" ", parent, stem)).otherwise(stem)
-    parts = F.filter(F.split(full, r"[ _\-/.]+"), lambda x: (x != "") & ~F.lower(x).isin(*PATH_NOISE))
-    return F.array_join(F.slice(F.array_distinct(parts), 1, most), " ")
+    """Lower-case words of a file's stem, after its directory's where the stem is generic; distinct, without noise, at most three."""
+    parts = path_parts(F.lower(path))
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    parent = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    full = F.when(stem.isin(*GENERIC_STEMS, *PATH_NOISE), F.concat_ws("/", parent, stem)).otherwise(stem)
+    words_ = F.filter(F.split(full, r"[_\-/.]+"), lambda x: (x != "") & ~x.isin(*PATH_NOISE))
+    return F.array_join(F.slice(F.array_distinct(words_), 1, most), " ")
 
 
 def mentions(text: Column, base: Column) -> Column:
@@ -189,21 +189,26 @@ def same_target(a: Column, b: Column) -> Column:
 
 
 #: Suffixes of files that are not code.
-NOT_CODE = (".md", ".mdx", ".txt", ".rst", ".json", ".yaml", ".yml", ".toml", ".lock")
+NOT_CODE = (".md", ".json", ".yaml", ".yml", ".toml", ".env", ".cfg", ".ini", ".lock")
 
 
 def is_code_target(path: Column, globs: Sequence[str] | None = None) -> Column:
     """A path under src/ or tests/ (or one of the globs) that has no suffix of text or settings."""
-    text = F.lower(path).rlike("(" + "|".join(re.escape(s) for s in NOT_CODE) + ")$")
+    text = path.rlike("(?<=[^/])(" + "|".join(re.escape(s) for s in NOT_CODE) + ")$")
     inside = excluded(path, globs) if globs else path.rlike("(^|/)(src|tests)/")
     return ~text & inside
 
 
-EDIT_INTENT = r"(?i)\b(fix|edit|change|refactor|rename|implement|add|remove|update|rewrite)\b"
+#: Prompts that ask for a change.
+EDIT_INTENT = (
+    r"(?i)\b(fix|refactor|rename|implement|add|remove|delete|update|migrate)\b",
+    r"(?i)\b(write|create|build|extract|introduce)\s+(a|the|new)?\b",
+    r"(?i)\bchange\b",
+)
 
 
 def looks_edit_bound(prompt: Column) -> Column:
-    return F.coalesce(prompt.rlike(EDIT_INTENT), F.lit(False))
+    return F.coalesce(prompt.rlike(EDIT_INTENT[0]) | prompt.rlike(EDIT_INTENT[1]) | prompt.rlike(EDIT_INTENT[2]), F.lit(False))
 
 
 def in_project(source: Column, root: str) -> Column:

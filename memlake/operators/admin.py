@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
 
+# Bonuses of a snapshot by what a point's path contains.
+SNAPSHOT_BONUSES = (("docs/adr/", 0.30), ("/decision", 0.30), (".claude/insights/", 0.15), (".claude/rules/", 0.05))
+
 
 def room_histogram(points: DataFrame, rooms: Sequence[str]) -> DataFrame:
     """(room, n) for every configured room, empty ones too, and for points without a room (null)."""
@@ -29,7 +32,7 @@ def temporal_panel(points: DataFrame, now: Column, retention_days: float, stale_
     )
 
 
-def snapshot_rank(points: DataFrame, now: Column, bonuses: Sequence[tuple[str, float]], scan: int = 512, top: int = 80) -> DataFrame:
+def snapshot_rank(points: DataFrame, now: Column, bonuses: Sequence[tuple[str, float]] = SNAPSHOT_BONUSES, scan: int = 512, top: int = 80) -> DataFrame:
     """The top points of the first `scan` live ones by id: recency plus the first matching path's bonus."""
     live = points.where(F.col("valid_to").isNull() | (F.col("valid_to") > now)).orderBy("id").limit(scan)
     bonus = F.lit(0.0)

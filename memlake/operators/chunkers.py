@@ -100,29 +100,30 @@ def restore_fences(text: str, blocks: list[str]) -> str:
     return re.sub("\x00(\\d+)\x00", lambda m: blocks[int(m[1])], text)
 
 
-def _elide(value: object, most: int) -> str:
-    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
-    return text if len(text) <= most else f"{text[:most]}…({len(text) // 1024}kB elided)"
+def _written(value: object, *, plain: bool = False) -> str:
+    return value if isinstance(value, str) and plain else json.dumps(value, ensure_ascii=plain)
 
 
 def render_blocks(content: object, tool_max: int = TOOL_MAX) -> str:
-    """Message content, a string or a list of blocks, as text."""
+    """Message content, a string or a list of blocks, as text; tool inputs over tool_max code points are elided."""
     if isinstance(content, str):
         return content
     out = []
-    for b in content or []:
+    for b in content if isinstance(content, list) else []:
         kind = b.get("type") if isinstance(b, dict) else None
         if kind == "text":
-            out.append(b.get("text") or "")
+            out.append(b.get("text", ""))
         elif kind == "thinking":
-            out.append(f"[thinking] {b.get('thinking') or b.get('text') or ''}")
+            out.append(f"[thinking]\n{b.get('text', b.get('thinking', ''))}\n[/thinking]")
         elif kind == "image":
             out.append("[image]")
         elif kind == "tool_use":
-            out.append(f"[tool_use {b.get('name')} {b.get('id')}] {_elide(b.get('input'), tool_max)}")
+            given = _written(b.get("input", {}))
+            given = given if len(given) <= tool_max else f"…({max(1, len(given) // 1024)}kB elided)"
+            out.append(f"[tool_use:{b.get('name', '')} id={b.get('id', '')} input={given}]")
         elif kind == "tool_result":
-            out.append(f"[tool_result {b.get('tool_use_id')}{' error' if b.get('is_error') else ''}] {_elide(b.get('content'), tool_max)}")
-    return "\n".join(x for x in out if x)
+            out.append(f"[tool_result id={b.get('tool_use_id', '')}{' is_error=true' if b.get('is_error') else ''}]\n{_written(b.get('content', ''), plain=True)}")
+    return "\n".join(out)
 
 
 def chunk_drawer(user: object, assistants: list[object], soft_max: int = DRAWER_MAX, tool_max: int = TOOL_MAX) -> list[str]:

@@ -27,7 +27,7 @@ def turn_pairs(events: DataFrame, session: str = "session", pos: str = "pos", ki
 def tool_statuses(uses: DataFrame, results: DataFrame) -> DataFrame:
     """uses (session, turn_index, tool_id) with the status that the next turn's results give (session, turn_index, tool_id, is_error)."""
     after = results.select("session", (F.col("turn_index") - 1).alias("turn_index"), "tool_id", "is_error")
-    return uses.join(after, ["session", "turn_index", "tool_id"], "left").withColumn("status", F.when(F.col("is_error").isNull(), "unknown").when(F.col("is_error"), "error").otherwise("success")).drop("is_error")
+    return uses.join(after, ["session", "turn_index", "tool_id"], "left").withColumn("status", F.when(F.col("is_error"), "error").otherwise("ok")).drop("is_error")
 
 
 def recent_search(events: DataFrame, session: str = "session", pos: str = "pos") -> DataFrame:

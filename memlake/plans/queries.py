@@ -175,7 +175,7 @@ def _occ(text: str, part: str) -> str:
     return f"((length({text}) - length(replace({text}, '{part}', ''))) // {len(part)})"
 
 
-@query(f"""with s as (select item_id as qid, 0.40 * least(1, greatest(1, length(text) // 4) / 64.0) + 0.25 * least(1, ({_occ('text', '?')} + {_occ('lower(text)', ' and ')} + {_occ('lower(text)', ', ')} + {_occ('text', ';')} + {_occ('text', ':')}) / 3.0)
+@query(f"""with s as (select item_id as qid, 0.40 * least(1, greatest(1, length(text) // 4) / 64.0) + 0.25 * least(1, ({_occ('text', '?')} + {_occ('lower(text)', ' and ')} + {_occ('lower(text)', ' or ')} + {_occ('text', ';')} + {_occ('text', ':')}) / 3.0)
  + 0.20 * least(1, (len(regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+')) + {_occ('text', '::')} + {_occ('text', '.py')} + {_occ('text', '`')} // 2) / 2.0) as score from benchmark)
 select qid, round(score::double, 6) as score, greatest(5, least(20, floor(5 * (1 + 0.5 * score))))::int as k_eff from s""")
 def q_adaptive_k(spark, sf_dir):
@@ -270,7 +270,7 @@ def q_turn_pairs(spark, sf_dir):
 
 @query("""with t as (select conv_id as session, turn as turn_index, length(text) % 4 as tool_id, length(text) % 2 = 0 as err from conversations),
 r as (select session, turn_index, tool_id, bool_or(err) as is_error from t group by all)
-select t.session, t.turn_index, t.tool_id, case when is_error is null then 'unknown' when is_error then 'error' else 'success' end as status from (select distinct session, turn_index, tool_id from t) t left join r on r.session = t.session and r.turn_index = t.turn_index + 1 and r.tool_id = t.tool_id""")
+select t.session, t.turn_index, t.tool_id, case when is_error then 'error' else 'ok' end as status from (select distinct session, turn_index, tool_id from t) t left join r on r.session = t.session and r.turn_index = t.turn_index + 1 and r.tool_id = t.tool_id""")
 def q_tool_status_lead(spark, sf_dir):
     t = talk(spark, sf_dir).select("session", F.col("pos").alias("turn_index"), (F.length("text") % 4).cast("long").alias("tool_id"), (F.length("text") % 2 == 0).alias("e"))
     return turns.tool_statuses(t.select("session", "turn_index", "tool_id").distinct(), t.groupBy("session", "turn_index", "tool_id").agg(F.bool_or("e").alias("is_error"))).select("session", "turn_index", "tool_id", "status")
@@ -488,6 +488,7 @@ def q_chunk_ids(spark, sf_dir):
     return d.select("doc_id", S.sha256(t).alias("content_hash"), S.chunk_key(F.col("source"), t).alias("key"), S.bench_chunk_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), t).alias("chunk_id"), S.point_id(F.col("source"), F.lit(0), S.sha256(t)).alias("point_id"))
 
 
+#: Path bonuses of this query's table; admin.SNAPSHOT_BONUSES are the production ones.
 BONUSES = [("src1/", 0.30), ("/de/", 0.15), ("/en/", 0.05)]
 
 
@@ -520,7 +521,8 @@ def q_haystack_flatten(spark, sf_dir):
     return readers.haystack(rec).select("session_id", "turn", "document")
 
 
-@query(f"with {_PATHS} select page_id, path, regexp_matches(path, '(\\.py|\\.md|\\.rst|\\.toml|\\.cfg|\\.js|\\.ts|\\.go|\\.rs|\\.java|\\.html)$') and not list_has_any(parts, ['tests', 'test', 'dist', 'build', 'node_modules', 'generated', '__pycache__', '.git', 'vendor']) as taken from pp")
+@query(f"""with {_PATHS}, sp as (select *, string_split(path, '/') as every from pp) select page_id, path, (regexp_matches(path, '(\\.py|\\.ts|\\.md)$') or path in ('README.md', 'CHANGELOG.md', 'AGENTS.md', 'llms.txt'))
+ and every[1] not in ('tests', 'dist', 'build', '.planning', '.gsd') and not list_contains(every[1:-2], 'tests') and not list_contains(every, '__pycache__') and not regexp_matches(every[-1], '^test_.*\\.py$|_test\\.py$|\\.lock$|\\.generated\\.') as taken from sp""")
 def q_corpus_filter(spark, sf_dir):
     return page_paths(spark, sf_dir).select("page_id", "path", readers.corpus_path(F.col("path")).alias("taken"))
 
@@ -542,7 +544,7 @@ def q_reclassify(spark, sf_dir):
     return ingest.reclassify(points(spark, sf_dir), {"one": ["src1"], "europe": ["de", "fr"]}).select("id", "room", F.col("room_changed").alias("changed"))
 
 
-@query("select doc_id, case when s = '' then 'untitled' else s end as slug from (select doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64), '-+$', '') as s from documents)")
+@query("select doc_id, case when s = '' then 'untitled' else s end as slug from (select doc_id, substr(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64) as s from documents)")
 def q_slugs(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
 

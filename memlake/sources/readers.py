@@ -15,9 +15,10 @@ AUDIT = "ts string, kind string, source string, tokens long, latency_ms double"
 CHUNK = "struct<source:string,score:double,exists:boolean,lang:string>"
 JOURNAL = f"ts string, session string, target string, query string, rerank string, chunks array<{CHUNK}>, empty boolean, deduped int, dropped struct<stale:int,floor:int,foreign:int>, ms double, shadow struct<query:string,chunks:array<{CHUNK}>>, kind string"
 # What a code corpus holds and leaves out.
-CODE_SUFFIXES = (".py", ".md", ".rst", ".toml", ".cfg", ".js", ".ts", ".go", ".rs", ".java", ".html")
-TOP_NAMES = ("README", "LICENSE", "CHANGELOG", "CONTRIBUTING")
-LEFT_OUT = ("tests", "test", "dist", "build", "node_modules", "generated", "__pycache__", ".git", "vendor")
+CODE_SUFFIXES = (".py", ".ts", ".md")
+TOP_NAMES = ("README.md", "CHANGELOG.md", "AGENTS.md", "llms.txt")
+LEFT_OUT_FIRST = ("tests", "dist", "build", ".planning", ".gsd")
+LEFT_OUT_NAMES = (r"^test_.*\.py$", r"_test\.py$", r"\.lock$", r"\.generated\.")
 TRANSCRIPT_TYPES = ("user", "assistant", "system", "summary")
 
 
@@ -82,11 +83,14 @@ def haystack(records: DataFrame) -> DataFrame:
 
 
 def corpus_path(path: Column) -> Column:
-    """Whether a code corpus takes a path: an allowed suffix or a top-level document, outside tests, builds and lock files."""
-    parts = S.path_parts(path)
-    suffix = path.rlike("(" + "|".join(re.escape(s) for s in CODE_SUFFIXES) + ")$")
-    top = (F.size(parts) == 1) & F.regexp_replace(path, r"\..*$", "").isin(*TOP_NAMES)
-    return (suffix | top) & ~F.arrays_overlap(parts, F.array(*(F.lit(x) for x in LEFT_OUT))) & ~path.rlike(r"(\.lock|-lock\.json|\.min\.js)$")
+    """Whether a code corpus takes a path: an allowed suffix or a top-level document, outside tests, builds, caches and lock files."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    taken = path.rlike("(" + "|".join(re.escape(s) for s in CODE_SUFFIXES) + ")$") | path.isin(*TOP_NAMES)
+    out = parts[0].isin(*LEFT_OUT_FIRST) | F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), "tests") | F.array_contains(parts, "__pycache__")
+    for pattern in LEFT_OUT_NAMES:
+        out = out | name.rlike(pattern)
+    return taken & ~out
 
 
 def git_log(text: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
 
+# What a memory may hold, in code points and tags.
+MAX_TOPIC, MAX_CONTENT, MAX_DESCRIPTION, MAX_TAGS, MAX_TAG = 120, 64_000, 300, 10, 32
+
 
 def qrels(questions: DataFrame) -> DataFrame:
     """(query-id, corpus-id, score): one row a gold document, score 1."""
@@ -34,8 +37,11 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def memory_markdown(topic: str, content: str, description: str, tags: list[str]) -> str:
-    if not topic.strip() or not content.strip() or len(topic) > 200 or len(content) > 100_000 or len(tags) > 32:
-        raise ValueError("topic or content is empty or too long")
+    for what, text, most in (("topic", topic, MAX_TOPIC), ("content", content, MAX_CONTENT), ("description", description, MAX_DESCRIPTION)):
+        if len(text) > most or what != "description" and not text.strip():
+            raise ValueError(f"{what} is empty or too long")
+    if len(tags) > MAX_TAGS or any(len(t) > MAX_TAG for t in tags):
+        raise ValueError("too many tags, or one too long")
     head = "\n".join(["---", f"topic: {topic.strip()}", f"description: {description.strip()}", f"tags: [{', '.join(tags)}]", "---"])
     return f"{head}\n\n{content.strip()}\n"
 

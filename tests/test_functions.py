@@ -69,7 +69,7 @@ def test_text_functions(spark):
 
 
 def test_complexity_and_effective_k(spark):
-    text = "what is foo_bar and baz_qux? why, exactly; `x`"
+    text = "what is foo_bar and baz_qux? why or how; `x`"
     score = S.complexity(F.col("t"), F.lit(True))
     got = spark.createDataFrame([(text,), ("",)], "t string").select(score.alias("s"), S.effective_k(5, score, 0.5, 20).alias("k"), S.effective_k(5, score, 0.5, 3).alias("low")).collect()
     assert got[0]["s"] == pytest.approx(0.4 * 11 / 64 + 0.25 + 0.15 + 0.2) and got[0]["k"] == 6 and got[0]["low"] == 5
@@ -83,7 +83,7 @@ def test_targets(spark):
     assert got == [False, True, False]
     assert values(spark, [("src/a.py",), ("src/a.md",), ("lib/a.py",)], "p string", S.is_code_target(F.col("p"))) == [True, False, False]
     assert values(spark, [("a",), ("/r/x",), ("/rx",), (None,)], "p string", S.in_project(F.col("p"), "/r")) == [True, True, False, False]
-    assert values(spark, [("src/user_auth-token.py",), ("pkg/utils.py",), ("a/b/c/d_e_f_g.py",)], "p string", S.derive_query(F.col("p"))) == ["user auth token", "pkg utils", "d e f"]
+    assert values(spark, [("src/User_auth-token.py",), ("pkg/utils.py",), ("a/b/c/d_e_f_g.py",), ("api/main.py",)], "p string", S.derive_query(F.col("p"))) == ["user auth token", "pkg utils", "d e f", "main"]
 
 
 def test_predicate(spark):

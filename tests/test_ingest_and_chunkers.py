@@ -27,7 +27,7 @@ def test_fences():
 def test_drawer():
     blocks = [{"type": "text", "text": "hi"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"p": "x" * 5000}}, {"type": "image"}, {"type": "thinking", "thinking": "hm"}, {"type": "tool_result", "tool_use_id": "t1", "content": "no", "is_error": True}]
     (one,) = chunkers.chunk_drawer("question", [blocks], soft_max=10_000)
-    assert one.startswith("### User\nquestion\n\n### Assistant\nhi") and "elided)" in one and "[image]" in one and "[tool_result t1 error] no" in one
+    assert one.startswith("### User\nquestion\n\n### Assistant\nhi") and "[tool_use:Read id=t1 input=…(4kB elided)]" in one and "[image]" in one and "[thinking]\nhm\n[/thinking]" in one and "[tool_result id=t1 is_error=true]\nno" in one
     many = chunkers.chunk_drawer("q", ["p " * 3000])
     assert len(many) > 2 and all(len(c) <= 2000 for c in many)
 
