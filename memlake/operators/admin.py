@@ -41,3 +41,21 @@ def snapshot_rank(points: DataFrame, now: Column, bonuses: Sequence[tuple[str, f
     age = F.greatest(S.age_days(F.coalesce("updated_at", "valid_from"), now), F.lit(0.0))
     score = F.round(F.exp(-age / 30.0) + F.coalesce(bonus, F.lit(0.0)), 9)
     return live.withColumn("score", score).orderBy(F.desc("score"), "id").limit(top)
+
+
+def snapshot_budget(ranked: list[tuple[str, str]], tokens: int = 3000, lines: int = 500) -> list[tuple[str, str]]:
+    """The ranked (path, document) rows that fit both budgets, blank ones skipped; the first that does not fit ends it.
+
+    A fold on the driver over a snapshot's few dozen rows: unlike a search's budget, not even the first row is exempt.
+    """
+    out, used, written = [], 0, 0
+    for path, document in ranked:
+        text = document.strip()
+        if not text:
+            continue
+        cost, height = max(1, len(text) // 4), text.count("\n") + 2
+        if used + cost > tokens or written + height > lines:
+            break
+        out.append((path, text))
+        used, written = used + cost, written + height
+    return out

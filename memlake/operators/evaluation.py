@@ -123,3 +123,27 @@ def diagnose(cells: DataFrame) -> DataFrame:
     rule = lambda cond, name, change: F.when(cond, F.struct(F.lit(name).alias("rule"), F.lit(change).alias("change")))
     rules = F.array(rule(F.col("recall_low"), "recall", "arm_n=50"), rule(F.col("ndcg_low") & ~F.col("slow"), "ranking", "reranker=on"), rule(F.col("slow"), "latency", "reranker=off"), rule(F.col("fine") & F.col("room"), "headroom", "k_max+5"))
     return f.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")
+
+
+def response_variance(runs: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """(max - min) / mean of each metric over runs; 0 where the mean is 0."""
+    spread = lambda m: F.round(F.when(F.avg(m) != 0, (F.max(m) - F.min(m)) / F.avg(m)).otherwise(0.0), 6)
+    return runs.groupBy(*by).agg(*(spread(m).alias(m) for m in metrics))
+
+
+def regression_breaches(row: DataFrame, recall: float = 0.60, tokens: float = 4000, p95: float = 500) -> DataFrame:
+    """row (recall, tokens, p95) with the list of limits that it breaks."""
+    checks = F.array(F.when(F.col("recall") < recall, "recall"), F.when(F.col("tokens") > tokens, "tokens"), F.when(F.col("p95") > p95, "p95"))
+    return row.withColumn("breaches", F.array_compact(checks))
+
+
+def record_metrics(records: DataFrame) -> DataFrame:
+    """in_tokens, tokens_per_correct and compression of records (qid, context, answer, recall)."""
+    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
+    t = tokens("context")
+    return records.select("qid", t.alias("in_tokens"), F.round(tokens_per_correct(t, F.col("recall")), 6).alias("tokens_per_correct"), F.round(t / tokens("answer"), 6).alias("compression"))
+
+
+def collapse_envelope(cells: DataFrame) -> DataFrame:
+    """(axis, metric, own, other, combined): an axis that only one corpus has takes its own column as the combined one."""
+    return cells.withColumn("combined", F.when(F.col("other").isNull(), F.col("own")).otherwise(F.col("combined")))

@@ -115,3 +115,36 @@ def session_dedup(rows: DataFrame, gap_hours: int = 24) -> DataFrame:
     run = rows.withColumn("new_", new).withColumn("run", F.sum(F.col("new_").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.row_number().over(Window.partitionBy("session", "run", "key").orderBy("ts", "id"))
     return run.withColumn("first_", first).where("first_ = 1").drop("first_", "new_")
+
+
+def migrate_aggregates(raw: DataFrame) -> DataFrame:
+    """(key, sum, sumsq, n, least, most) of aggregates in JSON (key, value): a plain number of the old form counts for itself."""
+    v = F.try_parse_json("value")
+    old = F.try_variant_get(v, "$", "long")
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "long")
+    return raw.select("key", F.coalesce(part("sum"), old).alias("sum"), F.coalesce(part("sumsq"), old * old).alias("sumsq"), F.coalesce(part("count"), old).alias("n"), F.coalesce(part("min"), old).alias("least"), F.coalesce(part("max"), old).alias("most"))
+
+
+def golden_queries(used: DataFrame) -> DataFrame:
+    """(query, repo, positives, channels, lang) mined from used events (query, repo, source, channel, lang, ts): one row a query and repository."""
+    return used.groupBy("query", "repo").agg(F.array_sort(F.collect_set("source")).alias("positives"), F.array_sort(F.collect_set("channel")).alias("channels"), F.min_by("lang", F.struct("ts", "source")).alias("lang"))
+
+
+def channel_summary(rows: DataFrame) -> DataFrame:
+    """searches, those with chunks, all chunks and the Russian share of the search channel (chunks array<struct<lang,...>>)."""
+    n = F.coalesce(F.size("chunks"), F.lit(0))
+    ru = F.coalesce(F.size(F.filter("chunks", lambda c: c["lang"] == "ru")), F.lit(0))
+    total = F.sum(n)
+    return rows.agg(F.count("*").alias("searches"), F.count_if(n > 0).alias("with_chunks"), F.coalesce(total, F.lit(0)).alias("chunks_total"), F.round(F.when(total > 0, F.sum(ru) / total).otherwise(0.0), 4).alias("ru_share"))
+
+
+def pointer_lines(chunks: DataFrame, root: str, most: int = 2000, sentence: int = 160) -> DataFrame:
+    """(session, block): a line a chunk (session, pos, source, header, score, text), the last ones left out until the block fits."""
+    rel = F.when(F.col("source").startswith(root.rstrip("/") + "/"), F.substring("source", F.lit(len(root.rstrip("/")) + 2), F.length("source"))).otherwise(F.col("source"))
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    first = F.substring(F.regexp_extract(flat, r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0), 1, sentence)
+    head = F.when(F.coalesce(F.col("header"), F.lit("")) != "", F.concat(F.lit(" § "), F.col("header"))).otherwise(F.lit(""))
+    line = F.concat(F.lit("- "), rel, head, F.lit(" ("), F.format_string("%.2f", F.col("score")), F.lit(") "), F.trim(first))
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    kept = chunks.withColumn("line", line).withColumn("upto", upto).where(F.col("upto") <= most)
+    return kept.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x")).select("session", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("block"))

@@ -89,3 +89,37 @@ def test_panels(spark):
     assert (row["live"], row["superseded"], row["future"], row["awaiting_gc"], row["stale"]) == (2, 1, 1, 1, False)
     ranked = admin.snapshot_rank(p.withColumns({"file_path": F.lit("src/x"), "updated_at": F.lit(None).cast("timestamp")}), now, [("src", 0.3)])
     assert [r["id"] for r in ranked.collect()] == [3, 1]  # superseded versions are left out
+
+
+def test_migrated_aggregates(spark):
+    raw = spark.createDataFrame([("a", "7"), ("b", '{"sum": 3, "sumsq": 5, "count": 2, "min": 1, "max": 2}')], "key string, value string")
+    got = {r["key"]: (r["sum"], r["sumsq"], r["n"]) for r in telemetry.migrate_aggregates(raw).collect()}
+    assert got == {"a": (7, 49, 7), "b": (3, 5, 2)}
+
+
+def test_mining_channels_and_pointers(spark):
+    used = spark.createDataFrame([("q", "r", "b", "hook", "ru", 2), ("q", "r", "a", "mcp", "en", 1)], "query string, repo string, source string, channel string, lang string, ts int")
+    row = telemetry.golden_queries(used).first()
+    assert (row["positives"], row["channels"], row["lang"]) == (["a", "b"], ["hook", "mcp"], "en")
+    c = spark.createDataFrame([([("ru",), ("en",)],), ([],), (None,)], "chunks array<struct<lang:string>>")
+    assert tuple(telemetry.channel_summary(c).first()) == (3, 1, 2, 0.5)
+    p = spark.createDataFrame([("s", i, "/r/a.md", "H", 0.5, "One  two. Three.") for i in range(100)], "session string, pos int, source string, header string, score double, text string")
+    block = telemetry.pointer_lines(p, "/r").first()["block"]
+    assert len(block) <= 2000 and block.split("\n")[0] == "- a.md § H (0.50) One two." and len(block.split("\n")) > 50
+
+
+def test_records_variance_breaches_envelope(spark):
+    runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 0.0)], "k string, x double")
+    assert {r["k"]: r["x"] for r in evaluation.response_variance(runs, ["k"], ["x"]).collect()} == {"a": 1.0, "b": 0.0}
+    row = spark.createDataFrame([(0.5, 100.0, 900.0)], "recall double, tokens double, p95 double")
+    assert evaluation.regression_breaches(row).first()["breaches"] == ["recall", "p95"]
+    rec = evaluation.record_metrics(spark.createDataFrame([(1, "x" * 40, "y" * 8, 0.5), (2, "", "", 0.0)], "qid int, context string, answer string, recall double")).orderBy("qid").collect()
+    assert [tuple(r) for r in rec] == [(1, 10, 20.0, 5.0), (2, 1, 1.0, 1.0)]
+    env = spark.createDataFrame([("a", "m", 0.5, None, None), ("b", "m", 0.5, 0.7, 0.6)], "axis string, metric string, own double, other double, combined double")
+    assert {r["axis"]: r["combined"] for r in evaluation.collapse_envelope(env).collect()} == {"a": 0.5, "b": 0.6}
+
+
+def test_snapshot_budget():
+    rows = [("a", "x" * 40), ("b", " "), ("c", "y" * 400), ("d", "z")]
+    assert [p for p, _ in admin.snapshot_budget(rows, tokens=50)] == ["a"] and len(admin.snapshot_budget(rows)) == 3
+    assert admin.snapshot_budget([("a", "x" * 400)], tokens=50) == []
