@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from memlake.config import Config
 from memlake.functions import scalars as S
 
-#: Queries of one block of the dense arm; their vectors are sent to every task, so this bounds them.
-QUERY_BLOCK = 2_048
+#: Queries of one block of the dense arm, and of one call: their vectors are sent to every task, so this bounds them.
+QUERY_BLOCK, QUERY_LIMIT = 2_048, 65_536
 #: Query terms that may be broadcast; more go through a shuffle join.
 TERM_LIMIT = 200_000
 # Fixed values of the ranking function.
@@ -31,10 +31,13 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     """(qid, id, score, rk): the n nearest by cosine, in double precision; corpus (id, vec), queries (qid, vec).
 
     Blocks of queries meet every row in a matrix product. A task keeps n rows a query, so
-    what is shuffled follows queries and tasks, not their product with the corpus.
+    what is shuffled follows queries and tasks, not their product with the corpus. More
+    than QUERY_LIMIT queries raise an error: split them over calls.
     """
     out = None
-    rows = queries.select("qid", "vec").orderBy("qid").collect()
+    rows = queries.select("qid", "vec").orderBy("qid").limit(QUERY_LIMIT + 1).collect()
+    if len(rows) > QUERY_LIMIT:
+        raise ValueError(f"more than {QUERY_LIMIT} queries")
     for i in range(0, len(rows), QUERY_BLOCK) or [0]:
         block = rows[i : i + QUERY_BLOCK]
         ids = [r["qid"] for r in block]
