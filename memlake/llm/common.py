@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -52,10 +53,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle and checkpoint files that nothing refers to any more.
 
     It does so when the driver collects its garbage, which a driver with little to do
-    would put off while executors' disks fill.
+    would put off while executors' disks fill. What Python held is let go by its own
+    collection first, so the driver's takes more than one turn.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -79,6 +83,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def seeded_share(key: Column, n: int, total: Column | int, seed: int) -> Column:
+    """Keeps about 4 * n (and 200) of total rows by a seeded hash of the key, all of them if there are fewer.
+
+    A sample of n is then taken from what is kept: however many tasks read the table, they
+    hand on a bounded number of rows together.
+    """
+    share = F.lit(4.0 * n + 200) / F.greatest(F.lit(1), total if isinstance(total, Column) else F.lit(total))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53)) < share
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that nothing will read again."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
