@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut
+from .common import arrow_batches, cut, seeded_share
 
 _PUNCT = [ord(c) for c in ".,;:!?#$%&*|-'\"()@/\\=_<>{}[]+~^`"]
 _STOP = (".", "!", "?", ",", ";", ":")
@@ -128,11 +128,12 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _sample(rows: DataFrame, n: int, seed: int) -> np.ndarray:
-    got = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).select("x").collect()
+    near = rows.where(seeded_share(F.col("doc_id"), n, rows.count(), seed))
+    got = near.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n).select("x").collect()
     return np.array([r["x"] for r in got], np.float32).reshape(-1, WIDTH)
 
 
-def fit_quality(x: DataFrame, positives: DataFrame, learn: str | None = None, max_positives: int = 4_000, max_unlabelled: int = 8_000, rounds: int = 1_500, seed: int = 11) -> Model | None:
+def fit_quality(x: DataFrame, positives: DataFrame, learn: str | None = None, max_positives: int = 4_000, max_unlabelled: int = 8_000, rounds: int = 3_000, seed: int = 11) -> Model | None:
     """Train on trusted positives (doc_id) and unlabelled rows of x; None if either is missing.
 
     Both samples are bounded, by the parameters, and are the first rows by a seeded hash.
