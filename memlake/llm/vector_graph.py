@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, components, cut
+from .common import arrow_batches, components, cut, seeded_share
 
 #: Rows that a shard should hold; how many shards a vector belongs to; shards in all (bounds the broadcast centroids).
 SHARD_ROWS, OVERLAP, MAX_SHARDS = 2_000, 4, 65_536
 #: Vectors that the shard centroids are fitted on.
 FIT_ROWS = 16_384
-#: Candidates and kept neighbours of a node, long edges beside them, and how eagerly close neighbours displace others.
-CANDIDATES, DEGREE, LONG, ALPHA = 48, 24, 6, 1.2
+#: Candidates and kept neighbours of a node, long edges beside them, least near ones, and how eagerly close neighbours displace others.
+CANDIDATES, DEGREE, LONG, FILL, ALPHA = 48, 24, 6, 8, 1.2
 #: Nodes that the greedy search keeps open; how far below the threshold a node may lie and still be expanded.
 BEAM, SLACK = 24, 0.04
 #: Queries of the recall audit.
@@ -47,7 +47,8 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sims: np.ndar
     """Kept candidates (n, degree) of each own row, -1 where there are fewer; cand is sorted by falling similarity.
 
     The closest candidate stays and displaces those it is alpha times closer to than the
-    node is, and so on.
+    node is, and so on. A node left with fewer than FILL gets its closest ones back, so
+    that the members of a tight group do not all hang on its middle alone.
     """
     n, c = cand.shape
     between = 1 - np.matmul(x[cand], x[cand].transpose(0, 2, 1))
@@ -55,11 +56,17 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, sims: np.ndar
     alive = (cand >= 0) & (cand != own[:, None])
     kept, count = np.full((n, degree), -1, np.int64), np.zeros(n, np.int64)
     rows = np.arange(n)
+    some = alive.copy()
     for j in range(c):
         take = alive[:, j] & (count < degree)
+        some[:, j] &= ~take
         kept[rows[take], count[take]] = cand[take, j]
         count += take
         alive[:, j + 1 :] &= ~(take[:, None] & (alpha * between[:, j, j + 1 :] <= dist[:, j + 1 :]))
+    for j in range(c):
+        take = some[:, j] & (count < FILL)
+        kept[rows[take], count[take]] = cand[take, j]
+        count += take
     return kept
 
 
@@ -87,12 +94,13 @@ def build_graph(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     if not heads:
         return [np.zeros(0, np.int64)] * s
     h, t = np.concatenate(heads), np.concatenate(tails)
-    h, t = np.concatenate([h, t]), np.concatenate([t, h])
-    pairs = np.unique(h * s + t)
+    out = np.unique(h * s + t)
+    pairs = np.unique(np.concatenate([out, t * s + h]))
     h, t = pairs // s, pairs % s
+    # a list that grew too long keeps its own edges and those to the nodes that fewest lists name
+    rare = np.bincount(t, minlength=s)[t] - np.where(np.isin(pairs, out), 4 * s, 0)
     start = np.searchsorted(h, np.arange(s + 1))
-    lists = [t[start[i] : start[i + 1]] for i in range(s)]
-    return [a if len(a) <= 3 * DEGREE else np.sort(rng.choice(a, 3 * DEGREE, replace=False)) for a in lists]
+    return [t[a:b] if b - a <= 3 * DEGREE else np.sort(t[a:b][np.argsort(rare[a:b], kind="stable")[: 3 * DEGREE]]) for a, b in zip(start[:-1], start[1:], strict=True)]
 
 
 def medoids(x: np.ndarray, n: int = 12) -> np.ndarray:
@@ -185,7 +193,7 @@ def _search(threshold: float, beam: int):
 
 def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
     """Links found as a share of the exact ones, over a bounded seeded sample of vectors against all rows, in blocks."""
-    sample = reps.orderBy(F.xxhash64(F.lit(5), "rep"), "rep").limit(AUDIT).collect()
+    sample = reps.where(seeded_share(F.col("rep"), AUDIT, reps.count(), 5)).orderBy(F.xxhash64(F.lit(5), "rep"), "rep").limit(AUDIT).collect()
     if not sample:
         return 1.0
     groups: dict[tuple, tuple[list[int], np.ndarray]] = {}
@@ -256,7 +264,7 @@ def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFr
     # only groups larger than a shard need centroids, so at most MAX_SHARDS of them are counted here
     size = max(SHARD_ROWS, math.ceil(total * overlap / MAX_SHARDS))
     large = {(r["label"], r["dim"]): r["count"] for r in reps.groupBy("label", "dim").count().where(F.col("count") > size).collect()}
-    sample = reps.orderBy(F.xxhash64(F.lit(9), "rep"), "rep").limit(FIT_ROWS).select("label", "dim", "embedding").collect() if large else []
+    sample = reps.where(seeded_share(F.col("rep"), FIT_ROWS, total, 9)).orderBy(F.xxhash64(F.lit(9), "rep"), "rep").limit(FIT_ROWS).select("label", "dim", "embedding").collect() if large else []
     centres: dict[tuple, np.ndarray] = {}
     for key, n in large.items():
         own = [r["embedding"] for r in sample if (r["label"], r["dim"]) == key]
