@@ -27,6 +27,8 @@ _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Ids of different sets that may be broadcast (8 bytes each) to pick those sets' keys; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Size bands grow by this factor.
 BAND = 1.5
 
@@ -185,7 +187,8 @@ def _near(num: int, den: int):
             part = slice(i, i + 256)
             differ = np.bitwise_count(fold[part, None, :] ^ fold[None, i:, :]).sum(axis=2, dtype=np.int64)
             both = n[part, None] + n[None, i:]
-            ok = (differ * (den + num) <= both * (den - num)) & (comp[part, None] != comp[None, i:]) & (ids[part, None] != ids[None, i:])
+            least = np.minimum(n[part, None], n[None, i:])  # sizes alone rule out pairs that are too unequal
+            ok = (num * (both - least) <= den * least) & (differ * (den + num) <= both * (den - num)) & (comp[part, None] != comp[None, i:]) & (ids[part, None] != ids[None, i:])
             ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(i, len(ids))[None, :]
             x, y = np.nonzero(ok)
             left.append(ids[i + x])
@@ -264,17 +267,20 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    release(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "sets")
     rows.mapInArrow(_sets(width, num, den), "doc_id long, n int, digest binary, keys array<long>").write.parquet(path)
     made = spark.read.parquet(path)
     sets = cut(made.select("doc_id", "n", "digest"))
     heads = cut(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head")))
-    words = made.select("doc_id", "keys").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    ids = heads.select(F.col("head").alias("doc_id"))
+    ids = F.broadcast(ids) if heads.count() <= BROADCAST_IDS else ids
+    words = made.select("doc_id", "keys").join(ids, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = cut(words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     release(spark)
     met = cut(words.join(shared, "key").select("key", "doc_id", "c"))
-    del words, shared, made
+    del words, shared, made, ids
     discard(spark, path)
     release(spark)
     ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
@@ -319,13 +325,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
-    return cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
+    found = cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
+    del both, left, right, pairs
+    release(found.sparkSession)
+    return found
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The documents that stand for their component."""
+    """The documents that stand for their component, and those without an id."""
     heads = joined.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def brute_force(texts: dict[int, str | None], width: int, num: int, den: int) -> dict[int, tuple[int, int]]:

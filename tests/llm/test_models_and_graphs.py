@@ -172,7 +172,9 @@ def test_main_text():
     assert site_tree.main_text('<p a="unclosed>x</p><p>y') in ("x\ny", "y")
 
 
-def test_style_tree_drops_repeated_branches(spark):
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_style_tree_drops_repeated_branches(spark, monkeypatch, limit):
+    monkeypatch.setattr(site_tree, "BROADCAST_PATHS", limit)
     rows = [(i, f"http://h.example/{i}", f"<body><div class='top'>Same words</div><div class='main'><p>own text {i} {i * 7}</p><p>more {i * 31}</p></div><div class='end'><p>Contact</p></div></body>") for i in range(30)]
     rows += [(100, None, None), (101, "x", ""), (102, "http://other.example", "<div class='top'>Only</div>"), (102, "http://other.example", "<div class='top'>Only</div>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "paths": F.lit(2)})
@@ -207,3 +209,17 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in out} <= kept and len(out) > 0
     enc = bpe._encoding(corpus_pipeline.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
     assert all(r["n_tokens"] == len(enc.encode_ordinary(docs[r["doc_id"]]["text"])) for r in out)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "the of and that", "en", "src0", 1), (1, "the of and that", "en", "src0", 1), (2, "the of  and that", None, None, None), (None, "no id here at all", "en", "src1", 2), (3, None, "en", "src1", None), (4, "", "en", "src1", 0), (5, "der die und das ist", "de", "src2", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in c.STAGES[:-1]:
+            frame = stage(spark, frame, "")
+            assert frame.columns == docs.columns
+        assert "ids_sha256" in c.STAGES[-1][1](spark, frame, "").columns
+    assert sorted(str(r["doc_id"]) for r in c.without_copies(spark, docs, "").collect()) == ["2", "3", "5", "None"]
+    assert sorted(str(r["doc_id"]) for r in c.without_near_copies(spark, c.without_copies(spark, docs, ""), "").collect()) == ["2", "3", "5", "None"]

@@ -107,7 +107,9 @@ def test_stitch_cuts_are_pretoken_boundaries():
         assert set(bpe.stitch(text, ends, c, o, PATTERN)) <= {0, *bpe.boundaries(text, PATTERN)}, text
 
 
-def test_parity_join(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_parity_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(parity_join, "BROADCAST_IDS", limit)
     texts = dict(TEXTS)
     rng = random.Random(2)
     for g in range(6):  # groups of near copies, some of which only their base links
