@@ -20,6 +20,8 @@ FIT_ROWS = 16_384
 CANDIDATES, DEGREE, LONG, FILL, ALPHA = 48, 24, 6, 8, 1.2
 #: Nodes that the greedy search keeps open; how far below the threshold a node may lie and still be expanded.
 BEAM, SLACK = 24, 0.04
+#: Vectors of a block of the exact passes; most partitions of either side of their product.
+BLOCK, SIDE = 2_000, 64
 #: Queries of the recall audit.
 AUDIT = 256
 
@@ -179,7 +181,7 @@ def _search(threshold: float, beam: int):
             got = range_search(x, lists, starts, x[i], threshold, beam)
             got = got[got != i]
             got = got[exact[got] @ exact[i] >= threshold]
-            links[i] = count[got].sum() + count[i] - 1
+            links[i] = count[got].sum()
             if len(got):
                 touched[got] = touched[i] = True
                 for j in got[root[got] != root[i]]:
@@ -223,13 +225,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     audited share of all links that were found.
 
     Equal vectors go on as one with a count. Centroids fitted on a bounded sample make
-    shards; each vector joins its OVERLAP nearest. Every shard builds a robust-pruned
-    graph; the adjacency lists of a vector's shards are united. Each vector is then
-    searched once, in its nearest shard, over the united lists: greedily from the shard's
-    medoids, then through everything in range; what is found is verified. Links are
-    counted and united inside the task, so pairs of a dense group are never emitted.
-    The audit holds a seeded sample against all rows; below least_recall the graph is
-    built anew with twice the overlap.
+    shards. Vectors as near to their centroid as the threshold are the shard's core: all
+    links with a core vector are counted exactly, over all shards whose bound on the angle
+    lets them hold partners, in matrix products of blocks whose counts are added up. So a
+    tight group may be split over many shards. All other vectors join their OVERLAP
+    nearest shards. Every shard builds a robust-pruned graph of them; the adjacency lists
+    of a vector's shards are united. Each is then searched once, in its nearest shard,
+    over the united lists: greedily from the shard's medoids, then through everything in
+    range; what is found is verified. Links are counted and united inside the task, so
+    pairs of a dense group are never emitted. The audit holds a seeded sample against all
+    rows; below least_recall the graph is built anew with twice the overlap, and where
+    that does not help, all blocks that can hold partners are multiplied exactly.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those
     with a null label, link with nothing: n_links 0, their own component, kept. So do
@@ -246,11 +252,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     overlap, beam = OVERLAP, BEAM
     while True:
         found = cut(_links(reps, threshold, overlap, beam))
-        own = found.where("links >= 0").select("rep", "links")
+        own = _totals(reps, found)
         recall = _audit(reps, own, threshold)
         if recall >= least_recall or overlap >= 4 * OVERLAP:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    if recall < least_recall:
+        found = cut(_every_link(reps, threshold, overlap))
+        own = _totals(reps, found)
+        recall = _audit(reps, own, threshold)
     whole = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_rep = reps.join(own, "rep").join(whole, F.col("rep") == F.col("id"), "left").select("label", "dim", "embedding", "rep", "links", F.coalesce("component", "rep").alias("component"))
     linked = good.join(per_rep, ["label", "dim", "embedding"]).select("vec_id", "links", "component")
@@ -258,8 +268,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     return linked.unionByName(alone).select(F.col("vec_id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
 
 
-def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFrame:
-    """(rep, links, root): links of each searched vector (-1 for others), and the smallest id of its part of the shard."""
+def _totals(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, links): what the passes found of a vector, added up, and its own copies."""
+    base = reps.select("rep", (F.col("copies") - 1).alias("links"))
+    return base.unionByName(found.where("links >= 0").select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def _centres(reps: DataFrame, overlap: int) -> tuple[set, dict[tuple, np.ndarray]]:
+    """The groups larger than a shard, and their centroids."""
     total = reps.count()
     # only groups larger than a shard need centroids, so at most MAX_SHARDS of them are counted here
     size = max(SHARD_ROWS, math.ceil(total * overlap / MAX_SHARDS))
@@ -270,6 +286,25 @@ def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFr
         own = [r["embedding"] for r in sample if (r["label"], r["dim"]) == key]
         if own:
             centres[key] = kmeans(_unit(own), math.ceil(n * overlap / size), seed=1)
+    return set(large), centres
+
+
+def _kinds(sim: np.ndarray, threshold: float) -> np.ndarray:
+    """2 for the core (similarity to the nearest centroid of threshold or more), 1 for what may link with a core, else 0.
+
+    With an angle a of the threshold, a partner of a core vector is within 2a of that
+    core's centroid, so the nearest centroid of the partner is within 2a as well.
+    """
+    reach = 2 * threshold * threshold - 1 if threshold > 0 else -1.0
+    return np.where(sim >= threshold, 2, np.where(sim >= reach - 1e-5, 1, 0))
+
+
+def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFrame:
+    """(rep, links, root): links found of a vector (-1 for none searched), to be added up, and the smallest id of a part it belongs to.
+
+    Links with a vector of a core are counted exactly by blocks, all others by the graph.
+    """
+    large, centres = _centres(reps, overlap)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -280,11 +315,133 @@ def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFr
                     continue
                 m = min(overlap, len(c))
                 sim = _unit(part["embedding"]).astype(np.float32) @ c.T
-                near = np.argsort(-sim, axis=1, kind="stable")[:, :m]
+                rest = _kinds(sim.max(axis=1), threshold) < 2
+                part, near = part[rest], np.argsort(-sim[rest], axis=1, kind="stable")[:, :m]
                 for j in range(m):
                     yield part.assign(shard=near[:, j], own=j == 0)
 
     schema = f"label {reps.schema['label'].dataType.simpleString()}, dim int, embedding array<double>, rep long, copies long, shard int, own boolean"
     placed = reps.select("label", "dim", "embedding", "rep", "copies").mapInPandas(place, schema)
     lists = placed.groupBy("label", "dim", "shard").applyInPandas(_build, "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    return placed.join(lists, "rep").groupBy("label", "dim", "shard").applyInPandas(_search(threshold, beam), "rep long, links long, root long")
+    graph = placed.join(lists, "rep").groupBy("label", "dim", "shard").applyInPandas(_search(threshold, beam), "rep long, links long, root long")
+    return graph.unionByName(_products(_blocks(reps, centres, large, threshold, False), threshold, False)) if centres else graph
+
+
+def _every_link(reps: DataFrame, threshold: float, overlap: int) -> DataFrame:
+    """(rep, links, root) by exact products of all blocks that can hold partners."""
+    large, centres = _centres(reps, overlap)
+    return _products(_blocks(reps, centres, large, threshold, True), threshold, True)
+
+
+def _blocks(reps: DataFrame, centres: dict[tuple, np.ndarray], large: set, threshold: float, every: bool) -> DataFrame:
+    """Blocks of about BLOCK vectors of a shard and kind, packed, with the middle and the angle that holds all; lone ones make up a whole group."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, part in b.groupby(["label", "dim"], sort=False):
+                c = centres.get(key)
+                if c is None:
+                    if every:
+                        yield part.assign(shard=0, kind=0, lone=key not in large)
+                    continue
+                sim = _unit(part["embedding"]).astype(np.float32) @ c.T
+                part = part.assign(shard=sim.argmax(axis=1), kind=_kinds(sim.max(axis=1), threshold), lone=False)
+                yield part if every else part[part["kind"] > 0]
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        x = _unit(pdf["embedding"])
+        mid = x.mean(axis=0)
+        norm = np.linalg.norm(mid)
+        mid = mid / norm if norm > 1e-9 else x[0]
+        wide = float(np.arccos(np.clip((x @ mid).min(), -1, 1)))
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [int(pdf["rep"].iloc[0])], "kind": [key[3]], "lone": [key[5]], "mid": [mid], "wide": [wide], "x": [x.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+
+    label = reps.schema["label"].dataType.simpleString()
+    dealt = reps.select("label", "dim", "embedding", "rep", "copies").mapInPandas(deal, f"label {label}, dim int, embedding array<double>, rep long, copies long, shard int, kind int, lone boolean")
+    key = ["label", "dim", "shard", "kind"]
+    sizes = dealt.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = dealt.join(F.broadcast(sizes.where("parts > 1")), key, "left").withColumn("part", F.pmod(F.xxhash64(F.lit(11), "rep"), F.coalesce("parts", F.lit(1))))
+    return cut(dealt.select(*key, "part", "lone", "embedding", "rep", "copies").groupBy(*key, "part", "lone").applyInPandas(pack, f"label {label}, dim int, block long, kind int, lone boolean, mid array<double>, wide double, x binary, reps binary, copies binary"))
+
+
+def _parts(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of every connected part of a table of links; a row is expanded once."""
+    left = hit.any(axis=1)
+    while left.any():
+        rows = new = np.array([left.argmax()])
+        left[rows] = False
+        cols = np.zeros(hit.shape[1], bool)
+        while len(new):
+            fresh = hit[new].any(axis=0) & ~cols
+            cols |= fresh
+            new = np.flatnonzero(left & hit[:, fresh].any(axis=1))
+            left[new] = False
+            rows = np.concatenate([rows, new])
+        yield rows, np.flatnonzero(cols)
+
+
+def _products(blocks: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """(rep, links, root) of every pair of blocks that can hold partners; unless every is set, one of the two is a core.
+
+    Two blocks can if the angle of their middles is at most both their widths and that of
+    the threshold. Each pair is met once and credits both sides. A task adds up what it
+    finds of a vector, so rows follow vectors and tasks, never links.
+    """
+    angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # block -> ids, links, roots
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while root.get(i, i) != i:
+                root[i] = i = root.get(root[i], root[i])
+            return i
+
+        for b in batches:
+            for r in b.itertuples():
+                side = []
+                for at, x, reps, copies in ((r.block, r.x, r.reps, r.copies), (r.block_b, r.x_b, r.reps_b, r.copies_b)):
+                    ids = np.frombuffer(reps, np.int64)
+                    known.setdefault(at, (ids.copy(), np.zeros(len(ids), np.int64), ids.copy()))
+                    side.append((np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(copies, np.int64), known[at]))
+                (xa, na, (_, la, ra)), (xb, nb, (_, lb, rb)) = side
+                same = r.block == r.block_b
+                # only vectors that can reach the other block are multiplied
+                ia = np.flatnonzero(np.arccos(np.clip(xa @ np.asarray(r.mid_b), -1, 1)) <= r.wide_b + angle)
+                ib = ia if same else np.flatnonzero(np.arccos(np.clip(xb @ np.asarray(r.mid), -1, 1)) <= r.wide + angle)
+                hit = xa[ia] @ xb[ib].T >= threshold
+                if same:
+                    np.fill_diagonal(hit, False)
+                if not hit.any():
+                    continue
+                la[ia] += hit @ nb[ib]
+                if not same:
+                    lb[ib] += hit.T @ na[ia]
+                for rows, cols in _parts(hit):
+                    rows, cols = ia[rows], ib[cols]
+                    names = np.unique(np.concatenate([ra[rows], rb[cols]]))
+                    tops = {find(int(i)) for i in names}
+                    least = min(tops)
+                    for i in tops:
+                        root[i] = least
+                    ra[rows] = least
+                    rb[cols] = least
+        for ids, links, roots in known.values():
+            some = links > 0
+            if some.any():
+                yield pd.DataFrame({"rep": ids[some], "links": links[some], "root": [find(int(i)) for i in roots[some]]})
+
+    cols = ["block", "mid", "wide", "x", "reps", "copies"]
+    other = lambda df: df.select("label", "dim", "kind", *cols).withColumnsRenamed({c: f"{c}_b" for c in ("label", "dim", "kind", *cols)})
+    many = blocks.where("not lone")
+    many = many.coalesce(max(1, min(SIDE, math.isqrt(many.count()))))
+    dot = F.aggregate(F.zip_with("mid", "mid_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("wide") + F.col("wide_b") + F.lit(angle)
+    meet = (F.col("label") == F.col("label_b")) & (F.col("dim") == F.col("dim_b")) & (F.col("block") <= F.col("block_b"))
+    meet = meet if every else meet & (F.greatest("kind", "kind_b") == 2)
+    pairs = many.hint("shuffle_replicate_nl").join(other(many), meet & near).select(*cols, *(f"{c}_b" for c in cols))
+    if every:
+        pairs = pairs.unionByName(blocks.where("lone").select(*cols, *(F.col(c).alias(f"{c}_b") for c in cols)))
+    return pairs.mapInPandas(run, "rep long, links long, root long")

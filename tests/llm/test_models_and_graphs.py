@@ -223,3 +223,38 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert "ids_sha256" in c.STAGES[-1][1](spark, frame, "").columns
     assert sorted(str(r["doc_id"]) for r in c.without_copies(spark, docs, "").collect()) == ["2", "3", "5", "None"]
     assert sorted(str(r["doc_id"]) for r in c.without_near_copies(spark, c.without_copies(spark, docs, ""), "").collect()) == ["2", "3", "5", "None"]
+
+
+def _tight(rng, n_tight, n_other, dim=16, noise=0.045):
+    """A tight group of different vectors among random ones, and their exact links at 0.93."""
+    mid = rng.normal(size=dim)
+    x = np.concatenate([mid / np.linalg.norm(mid) + noise * rng.normal(size=(n_tight, dim)), rng.normal(size=(n_other, dim))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x, (unit @ unit.T >= 0.93).sum(1) - 1
+
+
+def test_vector_graph_counts_a_split_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vector_graph, "BLOCK", 60)
+    x, exact = _tight(np.random.default_rng(4), 500, 1000)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vector_graph.near_duplicates(df).collect()}
+    assert exact[:500].min() > 300
+    assert [got[i]["n_links"] for i in range(500)] == exact[:500].tolist()
+    assert {got[i]["component_id"] for i in range(500)} == {0}
+
+
+def test_vector_graph_goes_exact_where_the_graph_falls_short(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vector_graph, "_search", lambda threshold, beam: lambda key, pdf: pdf.assign(links=0, root=pdf["rep"])[["rep", "links", "root"]][pdf["own"]])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16))
+    x = np.concatenate([x, x + 0.05 * rng.normal(size=x.shape)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    labels = np.arange(600) % 300 % 20 == 0
+    links = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None])
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vector_graph.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(600)] == (links.sum(1) - 1).tolist()
+    assert [got[i]["component_id"] for i in range(300, 600)] == [min(np.flatnonzero(links[i])) for i in range(300, 600)]
+    assert got[0]["audit_recall"] == 1.0
