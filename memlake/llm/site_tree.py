@@ -35,16 +35,18 @@ _MAIN_TAGS, _MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "ar
 BROADCAST_PATHS, SALTS = 1_000_000, 64
 #: Deeper style nodes count as their ancestor at this depth.
 DEPTH = 12
+#: The importance of nodes inside article or main counts so many times.
+RAISE = 2.0
 
 
 class Page:
-    """The branches of one page: text blocks with the style path of their node, and the style nodes outside the article."""
+    """The branches of one page: text blocks with the style path of their node, and the style nodes."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, int, bool, bool]] = []  # text, style path, inside the article, inside a branch without importance
-        self.styles: dict[int, tuple[int, list[int]]] = {}  # path -> parent, children in order
+        self.styles: dict[int, tuple[int, list[int], bool]] = {}  # path -> parent (which comes first), children in order, inside the article
         self.texts: list[tuple[int, int]] = []  # path, text hash
-        self.ancestors: dict[int, tuple[int, ...]] = {}
+        self.depth: dict[int, int] = {}
         self._stack: list[tuple[str, int, bool, bool]] = []
         self._buffer: list[str] = []
         self._read(source)
@@ -65,8 +67,7 @@ class Page:
                 i -= 1
             _, path, main, noise = self._stack[i - 1] if i else ("", 0, False, False)
             self.blocks.append((text, path, main, noise))
-            if not main:
-                self.texts.append((path, xxhash.xxh3_64_intdigest(text) >> 1))
+            self.texts.append((path, xxhash.xxh3_64_intdigest(text) >> 1))
 
     def _push(self, tag: str, attrs: str) -> None:
         _, parent, main, noise = self._top()
@@ -81,15 +82,13 @@ class Page:
                 style += f".{_DIGITS.sub('0', v)}"
         path = parent
         if tag not in _INLINE:
-            depth = len(self.ancestors.get(parent, ())) if parent else 0
-            if depth < DEPTH:
+            if self.depth.get(parent, 0) < DEPTH:
                 path = xxhash.xxh3_64_intdigest(f"{parent}/{style}") >> 1
-                self.ancestors[path] = (*self.ancestors.get(parent, ()), path)
+                self.depth[path] = self.depth.get(parent, 0) + 1
             inside = main or tag in _MAIN_TAGS or role in _MAIN_ROLES
-            if not main:
-                self.styles.setdefault(path, (parent, []))
-                if parent in self.styles and path != parent:
-                    self.styles[parent][1].append(path)
+            self.styles.setdefault(path, (parent, [], inside))
+            if parent in self.styles and path != parent:
+                self.styles[parent][1].append(path)
         else:
             inside = main or role in _MAIN_ROLES
         bad = noise or tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not main) or (tag not in ("html", "body", "article", "main") and bool(parts & _NOISE_PARTS))
@@ -145,93 +144,98 @@ class Page:
 def main_text(source: str | None, unimportant: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of importance, one a line.
 
-    Where a page marks its article (article, main, or such a role), blocks inside it count,
-    else all blocks. Branches of the fixed kinds without importance go, and outside an
-    article those whose style path the site's tree found unimportant.
+    Branches of the fixed kinds without importance go, and those whose style path the
+    site's tree found unimportant, inside an article (article, main, or such a role) as
+    outside of it.
     """
     if not source:
         return ""
     page = Page(source)
-    marked = any(main and not noise for _, _, main, noise in page.blocks)
-    out = []
-    for text, path, main, noise in page.blocks:
-        if noise or marked and not main:
-            continue
-        if not main and unimportant and not unimportant.isdisjoint(page.ancestors.get(path, ())):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    gone: set[int] = set()
+    if unimportant:
+        for path, (parent, _, _) in page.styles.items():
+            if path in unimportant or parent in gone:
+                gone.add(path)
+    return "\n".join(text for text, path, _, noise in page.blocks if not noise and path not in gone)
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes and texts outside the articles, once a page: (host, path, parent, kind, value, page)."""
+    """Style nodes and texts, once a page: (host, path, parent, marked, kind, value, page)."""
     for b in batches:
         rows: list[tuple] = []
         for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             if not source:
                 continue
             page, digest = Page(source), xxhash.xxh3_64_intdigest(source) >> 1
-            found = {(path, parent, 0, xxhash.xxh3_64_intdigest(repr(children)) >> 1) for path, (parent, children) in page.styles.items()}
-            found |= {(path, page.styles.get(path, (0, []))[0], 1, h) for path, h in page.texts}
+            found = {(path, parent, int(inside), 0, xxhash.xxh3_64_intdigest(repr(children)) >> 1) for path, (parent, children, inside) in page.styles.items()}
+            for path, h in page.texts:
+                parent, _, inside = page.styles.get(path, (0, [], False))
+                found.add((path, parent, int(inside), 1, h))
             rows += [(host, *f, digest) for f in found]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "parent", "kind", "value", "page"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "parent", "marked", "kind", "value", "page"])
 
 
-def importance(paths: pd.DataFrame, gamma: float = 0.9) -> dict[int, tuple[float, float]]:
+def importance(paths: pd.DataFrame, gamma: float = 0.9, least_pages: int = 2) -> dict[int, tuple[float, float]]:
     """Of a site's style nodes: composite importance, and the greatest one in the node's branch.
 
-    paths has (path, parent, pages, style_entropy, text_entropy). A node without element children has the content importance 1 - text_entropy. An inner
+    paths has (path, parent, pages, style_entropy, text_entropy) and may have marked. A node of fewer than
+    least_pages pages has the importance 1. A node without element children has the content importance 1 - text_entropy. An inner
     node weighs its presentation importance (the entropy of its children's styles) with
-    the mean composite importance of its children and of its own text.
+    the mean composite importance of its children and of its own text. Marked nodes count RAISE times, up to 1.
     """
     rows = {r.path: r for r in paths.itertuples()}
     children: dict[int, list[int]] = {}
+    order = []
     for r in rows.values():
         if r.parent in rows and r.parent != r.path:
             children.setdefault(r.parent, []).append(r.path)
+        else:
+            order.append(r.path)
+    for path in order:  # grows: every node comes after its parent
+        order.extend(children.get(path, []))
     done: dict[int, tuple[float, float]] = {}
-
-    def visit(path: int) -> float:
-        own = rows[path]
+    for path in reversed(order):
+        own, inner = rows[path], children.get(path, [])
         text = None if own.text_entropy is None or math.isnan(own.text_entropy) else 1 - own.text_entropy
-        below = [visit(c) for c in children.get(path, [])] + ([text] if text is not None else [])
-        if not children.get(path):
+        below = [done[c][0] for c in inner] + ([text] if text is not None else [])
+        if own.pages < least_pages:
+            value = 1.0
+        elif not inner:
             value = text if text is not None else 0.0
         else:
             part = gamma ** len(below)
             style = 0.0 if math.isnan(own.style_entropy) else own.style_entropy
             value = (1 - part) * style + part * (sum(below) / len(below))
-        done[path] = value, max([value, *(done[c][1] for c in children.get(path, []))])
-        return value
-
-    for path, r in rows.items():
-        if r.parent not in rows or r.parent == path:
-            visit(path)
+        if getattr(own, "marked", 0):
+            value = min(1.0, RAISE * value)
+        done[path] = value, max([value, *(done[c][1] for c in inner)])
     return done
 
 
 def style_tree(pages: DataFrame, least_pages: int = 8, threshold: float = 0.3) -> DataFrame:
     """(host, paths): the style paths of each site whose whole branch has an importance under the threshold.
 
-    The tree of a site merges its distinct pages, so copies of a page count once. Entropies
-    are sums over counted rows, combined before they are shuffled; what meets in one task
-    per site are its style nodes, whose number follows its templates and not its pages.
-    Sites of fewer than least_pages distinct pages give no evidence.
+    The tree of a site merges its distinct pages, so copies of a page count once, and
+    holds the nodes inside marked articles too. Entropies are sums over counted rows, and
+    what meets in one task per site are its style nodes, whose
+    number follows its templates and not its pages. A node of fewer than least_pages
+    distinct pages is important: one page gives no evidence.
     """
-    seen = pages.mapInArrow(_stats, "host long, path long, parent long, kind int, value long, page long").groupBy("host", "path", "parent", "kind", "value").agg(F.approx_count_distinct("page", 0.02).alias("n"))
+    seen = pages.mapInArrow(_stats, "host long, path long, parent long, marked int, kind int, value long, page long").groupBy("host", "path", "parent", "marked", "kind", "value").agg(F.approx_count_distinct("page", 0.02).alias("n"))
     nodes = seen.groupBy("host", "path", "parent").agg(
+        F.max("marked").alias("marked"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("style_nlogn"),
         F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("text_nlogn"),
     )
     m = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    nodes = nodes.select("host", "path", "parent", "pages", (F.lit(1.0) - F.col("style_nlogn") / (F.col("pages") * m)).alias("style_entropy"), F.least(F.lit(1.0), F.col("text_nlogn") / (F.col("texts") * m)).alias("text_entropy"))
+    nodes = nodes.select("host", "path", "parent", "marked", "pages", (F.lit(1.0) - F.col("style_nlogn") / (F.col("pages") * m)).alias("style_entropy"), F.least(F.lit(1.0), F.col("text_nlogn") / (F.col("texts") * m)).alias("text_entropy"))
 
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["pages"] >= least_pages].drop_duplicates("path")
-        low = [p for p, (_, most) in importance(known).items() if most < threshold]
+        known = pdf[pdf["pages"].notna()].drop_duplicates("path")
+        low = [p for p, (_, most) in importance(known, least_pages=least_pages).items() if most < threshold]
         return pd.DataFrame({"host": [key[0]], "paths": [np.array(sorted(low), np.int64)]})
 
     return nodes.groupBy("host").applyInPandas(decide, "host long, paths array<long>")

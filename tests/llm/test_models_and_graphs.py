@@ -258,3 +258,15 @@ def test_vector_graph_goes_exact_where_the_graph_falls_short(spark, monkeypatch)
     assert [got[i]["n_links"] for i in range(600)] == (links.sum(1) - 1).tolist()
     assert [got[i]["component_id"] for i in range(300, 600)] == [min(np.flatnonzero(links[i])) for i in range(300, 600)]
     assert got[0]["audit_recall"] == 1.0
+
+
+def _texts(spark, pages, **kw):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in site_tree.extract_pages(df, **kw).collect()}
+
+
+def test_style_tree_decides_inside_and_beside_articles(spark):
+    inside = [f"<body><main><div class='lede'>own {i} {i * 7}</div><div class='house'>Call us today</div></main><div class='strap'>Same line</div></body>" for i in range(20)]
+    assert _texts(spark, inside) == {i: f"own {i} {i * 7}" for i in range(20)}
+    beside = [f"<body><div class='content'><p>long text {i}</p><p>more {i * 31}</p></div><article>teaser {i}</article><div class='strap'>Same line</div></body>" for i in range(20)]
+    assert _texts(spark, beside) == {i: f"long text {i}\nmore {i * 31}\nteaser {i}" for i in range(20)}
