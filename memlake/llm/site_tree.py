@@ -33,20 +33,17 @@ _NOISE_PARTS = frozenset("ad ads advert advertisement adverts advertising sponso
 _MAIN_TAGS, _MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 #: Unimportant paths (8 bytes each) of all sites together that may be broadcast; beyond that, sites are joined in so many parts.
 BROADCAST_PATHS, SALTS = 1_000_000, 64
-#: Deeper style nodes count as their ancestor at this depth.
-DEPTH = 12
 #: The importance of nodes inside article or main counts so many times.
 RAISE = 2.0
 
 
 class Page:
-    """The branches of one page: text blocks with the style path of their node, and the style nodes."""
+    """The branches of one page: text blocks with the style path of their node, and the style nodes at any depth."""
 
     def __init__(self, source: str) -> None:
         self.blocks: list[tuple[str, int, bool, bool]] = []  # text, style path, inside the article, inside a branch without importance
         self.styles: dict[int, tuple[int, list[int], bool]] = {}  # path -> parent (which comes first), children in order, inside the article
         self.texts: list[tuple[int, int]] = []  # path, text hash
-        self.depth: dict[int, int] = {}
         self._stack: list[tuple[str, int, bool, bool]] = []
         self._buffer: list[str] = []
         self._read(source)
@@ -82,12 +79,10 @@ class Page:
                 style += f".{_DIGITS.sub('0', v)}"
         path = parent
         if tag not in _INLINE:
-            if self.depth.get(parent, 0) < DEPTH:
-                path = xxhash.xxh3_64_intdigest(f"{parent}/{style}") >> 1
-                self.depth[path] = self.depth.get(parent, 0) + 1
+            path = xxhash.xxh3_64_intdigest(f"{parent}/{style}") >> 1
             inside = main or tag in _MAIN_TAGS or role in _MAIN_ROLES
             self.styles.setdefault(path, (parent, [], inside))
-            if parent in self.styles and path != parent:
+            if parent in self.styles:
                 self.styles[parent][1].append(path)
         else:
             inside = main or role in _MAIN_ROLES
@@ -213,16 +208,16 @@ def importance(paths: pd.DataFrame, gamma: float = 0.9, least_pages: int = 2) ->
     return done
 
 
-def style_tree(pages: DataFrame, least_pages: int = 8, threshold: float = 0.3) -> DataFrame:
+def style_tree(pages: DataFrame, least_pages: int = 2, threshold: float = 0.3) -> DataFrame:
     """(host, paths): the style paths of each site whose whole branch has an importance under the threshold.
 
     The tree of a site merges its distinct pages, so copies of a page count once, and
     holds the nodes inside marked articles too. Entropies are sums over counted rows, and
-    what meets in one task per site are its style nodes, whose
+    pages are counted exactly; what meets in one task per site are its style nodes, whose
     number follows its templates and not its pages. A node of fewer than least_pages
     distinct pages is important: one page gives no evidence.
     """
-    seen = pages.mapInArrow(_stats, "host long, path long, parent long, marked int, kind int, value long, page long").groupBy("host", "path", "parent", "marked", "kind", "value").agg(F.approx_count_distinct("page", 0.02).alias("n"))
+    seen = pages.mapInArrow(_stats, "host long, path long, parent long, marked int, kind int, value long, page long").groupBy("host", "path", "parent", "marked", "kind", "value").agg(F.count_distinct("page").alias("n"))
     nodes = seen.groupBy("host", "path", "parent").agg(
         F.max("marked").alias("marked"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),

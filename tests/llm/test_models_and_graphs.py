@@ -270,3 +270,12 @@ def test_style_tree_decides_inside_and_beside_articles(spark):
     assert _texts(spark, inside) == {i: f"own {i} {i * 7}" for i in range(20)}
     beside = [f"<body><div class='content'><p>long text {i}</p><p>more {i * 31}</p></div><article>teaser {i}</article><div class='strap'>Same line</div></body>" for i in range(20)]
     assert _texts(spark, beside) == {i: f"long text {i}\nmore {i * 31}\nteaser {i}" for i in range(20)}
+
+
+def test_style_tree_of_deep_layouts_and_small_sites(spark):
+    deep = [f"<body>{'<div>' * 15}<div class='text'>own {i}</div><div class='house'>Call us today</div>" for i in range(12)]
+    assert _texts(spark, deep) == {i: f"own {i}" for i in range(12)}
+    assert _texts(spark, deep[:2]) == {i: f"own {i}" for i in range(2)}
+    assert _texts(spark, deep[:1]) == {0: "own 0\nCall us today"}
+    very = [f"<body>{'<div>' * 3000}<div class='text'>own {i}</div><div class='house'>Call us today</div>" for i in range(3)]
+    assert _texts(spark, very) == {i: f"own {i}" for i in range(3)}
