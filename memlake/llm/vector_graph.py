@@ -194,7 +194,7 @@ def _search(threshold: float, beam: int):
 
 
 def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Links found as a share of the exact ones, over a bounded seeded sample of vectors against all rows, in blocks."""
+    """Mean share of a vector's links that were found, over a bounded seeded sample of vectors with links against all rows, in blocks."""
     sample = reps.where(seeded_share(F.col("rep"), AUDIT, reps.count(), 5)).orderBy(F.xxhash64(F.lit(5), "rep"), "rep").limit(AUDIT).collect()
     if not sample:
         return 1.0
@@ -213,8 +213,8 @@ def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
 
     exact = reps.select("label", "dim", "embedding", "copies").mapInPandas(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     # a vector is no link of its own
-    r = exact.join(found, "rep").agg(F.sum(F.col("n") - 1).alias("exact"), F.sum("links").alias("links")).first()
-    return 1.0 if not r["exact"] else r["links"] / r["exact"]
+    mean = exact.join(found, "rep").where("n > 1").agg(F.avg(F.col("links") / (F.col("n") - 1))).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -222,7 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
 
     Returns (id_col, n_links, component_id, kept, audit_recall): other vectors linked
     directly, the smallest id reachable by links, whether the row is that one, and the
-    audited share of all links that were found.
+    mean share of a vector's links that were found, as audited.
 
     Equal vectors go on as one with a count. Centroids fitted on a bounded sample make
     shards. Vectors as near to their centroid as the threshold are the shard's core: all

@@ -279,3 +279,12 @@ def test_style_tree_of_deep_layouts_and_small_sites(spark):
     assert _texts(spark, deep[:1]) == {0: "own 0\nCall us today"}
     very = [f"<body>{'<div>' * 3000}<div class='text'>own {i}</div><div class='house'>Call us today</div>" for i in range(3)]
     assert _texts(spark, very) == {i: f"own {i}" for i in range(3)}
+
+
+def test_audit_is_not_outweighed_by_a_dense_group(spark):
+    rng = np.random.default_rng(6)
+    mid, single = rng.normal(size=16), rng.normal(size=(20, 16))
+    x = np.concatenate([mid + 0.01 * rng.normal(size=(40, 16)), single, single + 0.001])
+    reps = spark.createDataFrame([(1, 16, v.tolist(), i, 1) for i, v in enumerate(x)], "label int, dim int, embedding array<double>, rep long, copies long")
+    found = spark.createDataFrame([(i, 39 if i < 40 else 0) for i in range(80)], "rep long, links long")
+    assert vector_graph._audit(reps, found, 0.93) == pytest.approx(0.5)
