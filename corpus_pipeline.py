@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, exact_dedup, language_gru, mixing, parity_join
-from memlake.llm.common import scratch_path, table
+from memlake.llm.common import WHITE, cut, scratch_path, table
 from memlake.llm.queries import DOMAINS, LANGS, LEARN, domain_of
 
 #: A document goes if it has no letter, or if no language reaches this probability.
 LEAST_LANGUAGE_SCORE = 0.4
+#: Repeated ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +29,32 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is identical without white space, and one row of each id; rows without an id stay."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    """One row of each group that is identical without white space, also where ids repeat or are missing."""
+    kept = exact_dedup.exact_dedup(docs).where("kept")
+    # a winner is found by its id and digest; the copies that share both are combined before the join, so no key is hot
+    ident = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("no_id_")]
+    kept = kept.select(*ident, F.col("text_sha256").alias("sha_")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text), F.xxhash64(*docs.columns))).alias("row_")
+    rows = docs.select(*docs.columns, *ident, F.sha2(F.translate(text, WHITE, ""), 256).alias("sha_")).groupBy("id_", "no_id_", "sha_").agg(best)
+    return rows.join(kept, ["id_", "no_id_", "sha_"], "left_semi").select("row_.*").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
-    joined = parity_join.parity_join(docs, width=5, num=80, den=100)
-    return parity_join.keep_one(docs, joined).select(*docs.columns)
+    keyed = keyed_rows(docs)
+    joined = parity_join.parity_join(keyed, width=5, num=80, den=100)
+    return parity_join.keep_one(keyed, joined).select("row_id_", *(c for c in docs.columns if c != "doc_id")).withColumnRenamed("row_id_", "doc_id").select(*docs.columns)
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """docs with the id as row_id_ and as doc_id a key of one text: the id, or where it is missing or repeats a number of at least 2^62 from id and text."""
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times_")).where("times_ > 1"))
+    n = twice.count()
+    rows = docs.withColumn("times_", F.lit(1).cast("long")) if not n else docs.join(F.broadcast(twice) if n <= BROADCAST_IDS else twice, "doc_id", "left")
+    made = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    own = F.col("doc_id").isNotNull() & (F.coalesce("times_", F.lit(1)) == 1)
+    return rows.withColumn("row_id_", F.col("doc_id")).withColumn("doc_id", F.when(own, F.col("doc_id")).otherwise(made)).drop("times_")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

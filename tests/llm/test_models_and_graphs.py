@@ -288,3 +288,18 @@ def test_audit_is_not_outweighed_by_a_dense_group(spark):
     reps = spark.createDataFrame([(1, 16, v.tolist(), i, 1) for i, v in enumerate(x)], "label int, dim int, embedding array<double>, rep long, copies long")
     found = spark.createDataFrame([(i, 39 if i < 40 else 0) for i in range(80)], "rep long, links long")
     assert vector_graph._audit(reps, found, 0.93) == pytest.approx(0.5)
+
+
+def test_copy_stages_with_repeated_and_missing_ids(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "alpha one two three four"), (1, "quite another text of this id"), (1, "beta  gamma delta"), (2, "beta   gamma   delta"), (None, "no id here"), (None, "no  id  here"), (None, "no id here"), (3, "beta gamma delta")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [("1", "alpha one two three four"), ("1", "quite another text of this id"), ("2", "beta   gamma   delta"), ("None", "no  id  here")]
+    one = c.without_copies(spark, docs, "")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in one.collect()) == want and one.columns == docs.columns
+    long = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    near = [(1, long[0]), (1, long[1]), (None, long[2]), (None, long[2] + " end"), (7, long[1] + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
+    got = c.without_near_copies(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"][:2]) for r in got) == [("1", "a0"), ("7", "b0"), ("None", "c0")]
