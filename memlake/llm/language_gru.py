@@ -15,7 +15,7 @@ from .common import arrow_batches, seeded_share
 
 #: Bytes of a window (each is read in both directions), windows of a batch, hidden units each way.
 STEPS, BLOCK, HIDDEN = 64, 2048, 8
-#: Languages that are learned: the most frequent ones.
+#: Languages that are learned: the most frequent ones, then the first by name.
 MAX_LANGS = 256
 #: Byte 0 fills up the last window of a text and is never scored.
 PAD = 0
@@ -190,7 +190,7 @@ def training_windows(labelled: DataFrame, per_lang: int, per_text: int, seed: in
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(wins, pa.binary())], ["lang", "win"])
 
     order = Window.partitionBy("lang").orderBy("k", "doc_id")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total")).limit(MAX_LANGS)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGS)
     near = labelled.join(F.broadcast(counts), "lang").where(seeded_share(F.col("doc_id"), per_lang, F.col("total"), seed))
     best = near.withColumn("k", F.xxhash64(F.lit(seed), "doc_id")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_lang)
     found = best.select("lang", "text", "k").mapInArrow(pick, "lang string, win binary").collect()

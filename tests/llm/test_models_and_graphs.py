@@ -303,3 +303,10 @@ def test_copy_stages_with_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
     got = c.without_near_copies(spark, docs, "").collect()
     assert sorted((str(r["doc_id"]), r["text"][:2]) for r in got) == [("1", "a0"), ("7", "b0"), ("None", "c0")]
+
+
+def test_languages_at_the_cap_are_ordered_by_name(spark, monkeypatch):
+    monkeypatch.setattr(language_gru, "MAX_LANGS", 2)
+    langs = ["zz", "yy", "xx", "bb", "aa"]
+    df = spark.createDataFrame([(i, f"text {i}", langs[i % 5]) for i in range(50)], "doc_id long, text string, lang string").repartition(7)
+    assert language_gru.training_windows(df, 600, 8, 7)[2] == ["aa", "bb"]
