@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from memlake.config import Config
 from memlake.functions import scalars as S
 
-#: Queries of one block of the dense arm, and of one call: their vectors are sent to every task, so this bounds them.
+#: Queries of one block of the dense arm, and of one plan: their vectors are sent to every task, so this bounds them.
 QUERY_BLOCK, QUERY_LIMIT = 2_048, 65_536
 #: Query terms that may be broadcast; more go through a shuffle join.
 TERM_LIMIT = 200_000
@@ -31,15 +32,13 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     """(qid, id, score, rk): the n nearest by cosine, in double precision; corpus (id, vec), queries (qid, vec).
 
     Blocks of queries meet every row in a matrix product. A task keeps n rows a query, so
-    what is shuffled follows queries and tasks, not their product with the corpus. More
-    than QUERY_LIMIT queries raise an error: split them over calls.
+    what is shuffled follows queries and tasks, not their product with the corpus. Queries
+    are streamed to the driver; each QUERY_LIMIT of them are answered before the next come.
     """
-    out = None
-    rows = queries.select("qid", "vec").orderBy("qid").limit(QUERY_LIMIT + 1).collect()
-    if len(rows) > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries")
-    for i in range(0, len(rows), QUERY_BLOCK) or [0]:
-        block = rows[i : i + QUERY_BLOCK]
+    out, done, waiting = None, None, 0
+    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator()
+    block = list(islice(rows, QUERY_BLOCK))
+    while True:
         ids = [r["qid"] for r in block]
         q = np.array([r["vec"] for r in block], float)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(block) else q
@@ -63,8 +62,15 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
 
         kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *corpus.schema]}
         part = corpus.where("vec is not null").select("id", "vec").mapInPandas(best, f"qid {kind['qid']}, id {kind['id']}, score double")
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, n)
+        out, waiting = part if out is None else out.unionByName(part), waiting + len(block)
+        block = list(islice(rows, QUERY_BLOCK))
+        if block and waiting + len(block) <= QUERY_LIMIT:
+            continue
+        if block or done is not None:  # more than one plan: this one ends here and lets its vectors go
+            some = ranked(out, n).localCheckpoint()
+            done, out, waiting = some if done is None else done.unionByName(some), None, 0
+        if not block:
+            return ranked(out, n) if done is None else done
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int = 6) -> DataFrame:
