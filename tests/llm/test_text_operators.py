@@ -58,6 +58,17 @@ def test_exact_dedup_hot_group_and_null_id(spark, monkeypatch):
     assert [(r["keep_id"], r["kept"]) for r in alone] == [(None, True)]
 
 
+@pytest.mark.parametrize("hot_rows", [1000, 3])
+def test_exact_dedup_tells_contents_of_one_digest_apart(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot_rows)
+    texts = {i: ["x y", "xy ", "z", "", "q" * 9][i % 5] for i in range(40)}
+    got = rows(exact_dedup.exact_dedup(frame(spark, texts).repartition(3), salts=2, digest=lambda norm: F.when(norm == "z", F.lit(b"1")).otherwise(F.lit(b"2"))))
+    norm = {d: t.replace(" ", "") for d, t in texts.items()}
+    for d in texts:
+        group = [x for x in texts if norm[x] == norm[d]]
+        assert (got[d]["keep_id"], got[d]["group_size"]) == (min(group, key=lambda x: (-len(texts[x]), x)), len(group)), d
+
+
 def test_orc_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
