@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,7 +24,14 @@ OTHER = re.compile(r" (?![!-~\w])")
 WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\w].*)?\Z", re.S)
 #: Units whose ids a worker remembers.
 CACHE_UNITS = 1_200_000
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE, whose pre-tokens the unit patterns above know."""
+    pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not settings.get("normalizer") and not settings.get("truncation") and not settings.get("padding")
+    return plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
 
 
 class Encoder:
@@ -31,14 +39,20 @@ class Encoder:
 
     Frequent units are encoded once a worker. New ones go to the library: Latin words
     straight to its model, in the byte-level alphabet, all else through its whole pipeline.
+    Texts that hold an added token (which the library looks for before it splits), and all
+    texts where the file is no plain byte-level BPE, go through the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.plain = splits_at_spaces(settings)
+        self.added = [t["content"] for t in settings.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
         self.first: dict[str, bytes] = {}  # units that start a text or follow a word
         self.later: dict[str, bytes] = {}  # units after a space, without it
         # the byte-level alphabet: printable bytes stand for themselves, the others follow each other from 256 on
@@ -77,6 +91,8 @@ class Encoder:
         return found
 
     def __call__(self, text: str) -> bytes:
+        if not self.plain or any(a in text for a in self.added):
+            return self._whole([text])[0]
         units = UNIT.split(text) if OTHER.search(text) else text.split(" ")
         out = list(map(self.later.get, units))
         out[0] = self._start(units[0]) if len(units[0]) < 40 else self._whole([units[0]])[0]
@@ -85,17 +101,17 @@ class Encoder:
         return b"".join(out)
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, special_as_text: bool) -> Encoder:
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
-def _encode_batches(path: str, end_id: int):
+def _encode_batches(path: str, end_id: int, special_as_text: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = _encoder(path), 0
+        encode, start = _encoder(path, special_as_text), 0
         for b in batches:
             ids = [encode(t or "") + end for t in b.column("text").to_pylist()]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
@@ -118,7 +134,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("file"), b.column("doc_id"), b.column("offset"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["file", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", stripe_mb: int = 64, stride: int = 10_000) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", stripe_mb: int = 64, stride: int = 10_000, special_as_text: bool = False) -> str:
     """Encode every whole text and write (doc_id, offset, n_tokens, ids) as ORC under path.
 
     Rows are dealt by ranges of the id and sorted within each, so the files follow each
@@ -127,13 +143,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     `stride` rows, and a Bloom filter per entry lets a reader look ids up without
     decoding stripes. A range that one id fills (repeated ids) stays one file.
 
+    Strings of special tokens in a text become their ids, which is the library's default;
+    with special_as_text they are encoded like any other text.
+
     Null text counts as empty; a null id sorts first; rows that repeat an id are all
     written, those of equal id in no set order. An empty table gives no rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    (rows.mapInArrow(_encode_batches(tokenizer, end_id), "doc_id long, offset long, n_tokens long, ids array<int>")
+    (rows.mapInArrow(_encode_batches(tokenizer, end_id, special_as_text), "doc_id long, offset long, n_tokens long, ids array<int>")
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.stripe.size", str(stripe_mb << 20))
      .option("orc.row.index.stride", str(stride)).option("orc.create.index", "true").option("compression", "zstd").orc(path))
     return path

@@ -74,27 +74,68 @@ def test_orc_round_trip(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    texts = TEXTS | {30: "x <|endoftext|> y", 31: "<|endoftext|>"}
     out = str(tmp_path / "orc")
-    orc_tokens.write_tokens(frame(spark, TEXTS), out, path)
+    orc_tokens.write_tokens(frame(spark, texts), out, path)
     got = rows(orc_tokens.token_index(spark, out))
+    assert got[31]["n_tokens"] == 2 and got[30]["n_tokens"] == 5
     start = 0
-    for d in sorted(TEXTS):
-        ids = tok.encode(TEXTS[d] or "", add_special_tokens=False).ids + [2]
+    for d in sorted(texts):
+        ids = tok.encode(texts[d] or "", add_special_tokens=False).ids + [2]
         assert got[d] == {"doc_id": d, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(np.array(ids, "<u4").tobytes())}
         start += len(ids)
     assert [r["ids"] for r in orc_tokens.read_tokens(spark, out, [8]).collect()] == [tok.encode("one").ids + [2]]
 
 
-def test_unit_encoder_matches_library():
-    enc = orc_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+@pytest.mark.parametrize("special", [False, True])
+def test_unit_encoder_matches_library(special):
+    enc = orc_tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), special)
     rng = random.Random(3)
-    parts = list("abz  éñ\n\t  '.,!?|0129²Ⅷ_-  日😀İ\x1c\x85é") + ["'s", " the", " don't", "<|endoftext|>", "é"]
+    parts = list("abz  éñ\n\t  '.,!?|0129²Ⅷ_-  日😀İ\x1c\x85é") + ["'s", " the", " don't", "<|endoftext|>", "é"]
+    assert enc.plain
     for _ in range(3000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert list(np.frombuffer(enc(x), "<u4")) == enc.tok.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_other_tokenizer_files_go_through_the_library():
+    enc = orc_tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not enc.plain
+    for x in ("Hello there, World", "a  b<|endoftext|>c", ""):
+        assert list(np.frombuffer(enc(x), "<u4")) == enc.tok.encode(x, add_special_tokens=False).ids
+
+
+def test_orc_files_hold_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    """The file's own metadata: run-length encoded integers, a row index a stride, Bloom filters; a pushed-down id reads few rows."""
+    out = str(tmp_path / "orc")
+    df = spark.range(60_000).select((F.col("id") * 2).alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        orc_tokens.write_tokens(df, out, public_tokenizers.path("byte_bpe_50k.json"), stripe_mb=1, stride=1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (name,) = [f"{out}/{x}" for x in __import__("os").listdir(out) if x.endswith(".orc")]
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getStripes().size() > 1 and reader.getRowIndexStride() == 1000 and reader.getNumberOfRows() == 60_000
+    kinds, encodings = set(), set()
+    records = reader.rows()
+    for i in range(reader.getStripes().size()):
+        footer = records.readStripeFooter(reader.getStripes().get(i))
+        for j in range(footer.getStreamsCount()):
+            kinds.add((footer.getStreams(j).getColumn(), str(footer.getStreams(j).getKind())))
+        encodings |= {(j, str(footer.getColumns(j).getKind())) for j in range(footer.getColumnsCount())}
+    assert (1, "ROW_INDEX") in kinds and any(c == 1 and k.startswith("BLOOM_FILTER") for c, k in kinds) and {(1, "DIRECT_V2"), (2, "DIRECT_V2"), (3, "DIRECT_V2")} <= encodings
+    for ids, want in (([777], 0), ([778], 1)):  # 777 lies in the range but not in the table: only its Bloom filter can tell
+        found = orc_tokens.read_tokens(spark, out, ids)
+        assert found.count() == want
+        plan = found._jdf.queryExecution().executedPlan()
+        found._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        read = leaves.apply(0).metrics().apply("numOutputRows").value()
+        assert read <= 4000, (ids, read)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(40, 12), (7, 3), (1000, 100)])
 def test_bpe(spark, chunk, overlap):
     texts = TEXTS | {20: TEXTS[11], 21: "a" * 300 + " b" + " " * 200 + "c"}
