@@ -8,7 +8,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 #: Code points of a chunk, and by how many it reaches into the next one.
-CHUNK, OVERLAP = 32_768, 256
+CHUNK, OVERLAP = 2_048, 128
 
 
 @functools.lru_cache(2)
@@ -29,135 +28,93 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, path: str, pattern: str) -> list[int]:
-    """Ids of a text that begins and ends at pre-token boundaries."""
-    return _encoding(path, pattern).encode_ordinary(text)
+def boundaries(text: str, pattern: str, start: int = 0, stop: int | None = None) -> list[int]:
+    """Where pre-tokens end in text[start:stop], split on its own, as places in the text."""
+    return [m.end() for m in regex.finditer(pattern, text, pos=start, endpos=len(text) if stop is None else stop)]
 
 
-def decode(ids: list[int], path: str, pattern: str) -> bytes:
-    """The raw bytes of each id, one after another."""
-    return _encoding(path, pattern).decode_bytes(ids)
-
-
-def boundaries(chunk: str, pattern: str) -> list[int]:
-    """Where the pre-tokens of a chunk end, as it would be split on its own."""
-    return [m.end() for m in regex.finditer(pattern, chunk)]
-
-
-def stitch(text: str, ends: list[list[int]], chunk: int, overlap: int, pattern: str) -> list[int]:
-    """Cut points of a text, from the boundaries that its chunks found in their overlaps.
+def cut_points(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Places, 0 first, where a text may be cut so that its pieces split as the whole does.
 
-    ends[i] holds the boundaries of chunk i as places in the text: those in its first and
-    in its last `overlap` code points. A place where chunk i and chunk i+1 both end a
-    pre-token is a resynchronisation: the pattern looks nowhere back, so both go on alike
-    from there. Ends that the chunk's own end may have caused are not trusted: its last
-    pre-token, and a run of white space before that. Without a common place (a pre-token
-    longer than the overlap), both chunks are split again as one from the last cut.
+    Every chunk is pre-tokenised on its own and reaches `overlap` code points into the
+    next one. Where both end a pre-token at one place in that overlap they are
+    resynchronised: the pattern looks nowhere back, so both go on alike from there. Ends
+    that the chunk's own end may have caused are not trusted: its last pre-token, and the
+    one before that. White space is split by what follows it, so a piece never ends with
+    any. Without a common place (a pre-token longer than the overlap) the chain
+    from the last cut is split again over twice as many chunks, so the work stays linear.
     """
-    cuts, n = [0], len(ends)
-    i = 0
-    while i < n - 1:
-        lo, hi = (i + 1) * chunk, min((i + 1) * chunk + overlap, len(text))
-        left = [e for e in ends[i] if lo < e][:-2] if hi < len(text) else [e for e in ends[i] if lo < e]
-        common = sorted(set(left) & set(e for e in ends[i + 1] if lo < e < hi))
-        if common:
-            cuts.append(common[0])
-            i += 1
-            continue
-        # split the two chunks again together; what follows the last cut is split as it would be in the whole
-        stop = min((i + 2) * chunk + overlap, len(text))
-        ends = [*ends[: i + 1], sorted({cuts[-1] + e for e in boundaries(text[cuts[-1]:stop], pattern)}), *ends[i + 2:]]
-        i += 1
+    cuts, n = [0], len(text)
+    count = -(-n // chunk)
+    first, reach = 0, 1  # the chain that starts at the last cut covers `reach` chunks from `first` on
+    left = boundaries(text, pattern, 0, min(n, chunk + overlap)) if count > 1 else []
+    while first + reach < count:
+        lo = (first + reach) * chunk
+        hi = min(lo + overlap, n)
+        right = boundaries(text, pattern, lo, min(n, lo + chunk + overlap))
+        trusted = {e for e in (left if hi == n else left[:-2]) if lo < e < hi}
+        common = next((e for e in right if e in trusted and not text[e - 1].isspace()), None)
+        if common is not None:
+            cuts.append(common)
+            left, first, reach = right, first + reach, 1
+        else:
+            reach = min(2 * reach, count - first)
+            left = boundaries(text, pattern, cuts[-1], min(n, (first + reach) * chunk + overlap))
     return cuts
 
 
-def _ends(chunk: int, overlap: int, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for i, t in zip(b.column("i").to_pylist(), b.column("chunk").to_pylist(), strict=True):
-                e = boundaries(t, pattern)
-                found.append([i * chunk + x for x in e if x <= overlap or x > chunk])
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("i"), pa.array(found, pa.list_(pa.int32()))], ["key", "i", "ends"])
+def encode(text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of a whole text, piece by piece between its cut points."""
+    cuts, enc = cut_points(text, pattern, chunk, overlap), _encoding(path, pattern)
+    if len(cuts) == 1:
+        return enc.encode_ordinary(text)
+    out: list[int] = []
+    for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        out += enc.encode_ordinary(text[a:z])
+    return out
 
-    return run
+
+def decode(ids: list[int], path: str, pattern: str) -> bytes:
+    """The raw bytes of each id, one after another."""
+    return _encoding(path, pattern).decode_bytes(ids)
 
 
 def _sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def _encode_pieces(path: str, pattern: str):
+def _digests(path: str, pattern: str, chunk: int, overlap: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.array(encode(t or "", path, pattern), "<u4").tobytes() for t in b.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "i")), pa.array(ids, pa.binary())], ["key", "i", "ids"])
+            counts, coded, decoded, kept = [], [], [], []
+            for t in b.column("text").to_pylist():
+                ids = encode(t or "", path, pattern, chunk, overlap)
+                counts.append(len(ids))
+                coded.append(_sha(np.array(ids, "<u4").tobytes()))
+                decoded.append(_sha(decode(ids, path, pattern)))
+                if keep:
+                    kept.append(np.array(ids, np.int32))
+            cols, names = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep:
+                cols.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def _short(path: str, pattern: str, chunk: int, keep: bool):
-    """Texts of one chunk have nothing to stitch: they are pre-tokenised, encoded and decoded in one go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _digests(b.column("doc_id"), [encode(t or "", path, pattern) for t in b.column("text").to_pylist()], path, pattern, keep)
-
-    return run
-
-
-def _digests(keys, ids: list, path: str, pattern: str, keep: bool, name: str = "doc_id") -> pa.RecordBatch:
-    raw = [np.asarray(x, "<u4").tobytes() for x in ids]
-    back = [decode(list(x), path, pattern) for x in ids]
-    cols = [keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([_sha(x) for x in raw], pa.string()), pa.array([_sha(x) for x in back], pa.string())]
-    names = [name, "n_tokens", "ids_sha256", "decoded_sha256"]
-    if keep:
-        cols.append(pa.array([np.asarray(x, np.int32) for x in ids], pa.list_(pa.int32())))
-        names.append("ids")
-    return pa.RecordBatch.from_arrays(cols, names)
-
-
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """Encode every whole text by the ranks at path and decode the ids again.
 
-    Returns (id_col, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids.
-    Texts longer than one chunk are cut into overlapping chunks that are dealt over all
-    tasks, pre-tokenised there, stitched where the boundaries of neighbours agree, and the
-    pieces between the cuts are dealt and encoded on their own. Equal long texts are
-    encoded once, under their SHA-256.
+    Returns (id_col, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids. Every
+    text is cut into overlapping chunks in the task that holds it, stitched where the
+    boundaries of neighbours agree, and encoded piece by piece; nothing is shuffled. What a
+    task holds at once is one Arrow batch of texts and one text's ids.
 
-    Null text counts as empty and has no ids. Null and repeated ids are kept, one row
-    each. An empty table gives no rows. Columns other than the two are ignored.
+    Null text counts as empty and has no ids. Ids keep their type; null and repeated ids
+    are kept, one row each. An empty table gives no rows. Other columns are ignored.
     """
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(_short(path, pattern, chunk, keep_ids), f"doc_id long, {out}")
-
-    long = rows.where(is_long).withColumn("key", F.sha2("text", 256))
-    texts = long.groupBy("key").agg(F.first("text").alias("text"))
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    chunks = texts.select("key", "text", F.explode(starts).alias("i")).select("key", "i", F.substring("text", F.col("i") * chunk + 1, F.lit(chunk + overlap)).alias("chunk")).repartition("key", "i")
-    ends = chunks.mapInArrow(_ends(chunk, overlap, pattern), "key string, i int, ends array<int>")
-    lists = ends.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ends"))).alias("found"))
-
-    def cut_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, text, found in zip(b["key"], b["text"], b["found"], strict=True):
-                cuts = stitch(text, [[int(e) for e in f["ends"]] for f in found], chunk, overlap, pattern)
-                out += [(key, i, text[a:z]) for i, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(text)], strict=True))]
-            yield pd.DataFrame(out, columns=["key", "i", "piece"])
-
-    pieces = texts.join(lists, "key").mapInPandas(cut_batches, "key string, i int, piece string").repartition("key", "i")
-    coded = pieces.mapInArrow(_encode_pieces(path, pattern), "key string, i int, ids binary").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-
-    def join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.frombuffer(b"".join(p["ids"] for p in parts), "<u4").tolist() for parts in b.column("parts").to_pylist()]
-            yield _digests(b.column("key"), ids, path, pattern, keep_ids, "key")
-
-    whole = coded.mapInArrow(join_batches, f"key string, {out}")
-    joined = long.select("doc_id", "key").join(whole, "key").drop("key")
-    return short.unionByName(joined).withColumnRenamed("doc_id", id_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return rows.mapInArrow(_digests(path, pattern, chunk, overlap, keep_ids), schema).withColumnRenamed("doc_id", id_col)

@@ -147,16 +147,28 @@ def test_bpe(spark, chunk, overlap):
         assert got[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
-def test_stitch_cuts_are_pretoken_boundaries():
+def test_cuts_are_pretoken_boundaries():
     rng = random.Random(9)
-    for _ in range(400):
-        text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "'s", ".", "12", "é"]) for _ in range(rng.randint(20, 200)))
-        c, o = rng.choice([(8, 4), (16, 8), (30, 10)])
-        ends = []
-        for i in range(-(-len(text) // c)):
-            e = bpe.boundaries(text[i * c : (i + 1) * c + o], PATTERN)
-            ends.append([i * c + x for x in e if x <= o or x > c])
-        assert set(bpe.stitch(text, ends, c, o, PATTERN)) <= {0, *bpe.boundaries(text, PATTERN)}, text
+    some = 0
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "'s", "'l", "l", ".", "12", "é", "a" * 30, " " * 20]) for _ in range(rng.randint(0, 200)))
+        c, o = rng.choice([(8, 4), (16, 8), (30, 10), (64, 40)])
+        cuts = bpe.cut_points(text, PATTERN, c, o)
+        assert cuts == sorted(set(cuts)) and set(cuts) <= {0, *bpe.boundaries(text, PATTERN)}, text
+        pieces = [text[a:z] for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+        assert [t for p in pieces for t in bpe.regex.findall(PATTERN, p)] == bpe.regex.findall(PATTERN, text)
+        some += len(cuts) > 3
+    assert some > 500  # the texts are really cut
+
+
+def test_one_long_pretoken_takes_linear_work(monkeypatch):
+    read = []
+    plain = bpe.boundaries
+    monkeypatch.setattr(bpe, "boundaries", lambda t, p, a=0, z=None: read.append((len(t) if z is None else z) - a) or plain(t, p, a, z))
+    for n in (100_000, 400_000):
+        read.clear()
+        assert bpe.cut_points("a" * n + " b" * 5000, PATTERN)[1] >= n
+        assert sum(read) < 5 * (n + 10_000)
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
