@@ -167,8 +167,8 @@ def test_one_long_pretoken_takes_linear_work(monkeypatch):
     monkeypatch.setattr(bpe, "boundaries", lambda t, p, a=0, z=None: read.append((len(t) if z is None else z) - a) or plain(t, p, a, z))
     for n in (100_000, 400_000):
         read.clear()
-        assert bpe.cut_points("a" * n + " b" * 5000, PATTERN)[1] >= n
-        assert sum(read) < 5 * (n + 10_000)
+        assert bpe.cut_points("a" * n + " b" * n, PATTERN)[1] >= n
+        assert sum(read) < 5 * (3 * n)
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
