@@ -232,6 +232,28 @@ def test_pii(spark):
     assert got[6]["spans"] == "iban:9:36,ssn:42:53" and got[8]["n_email"] == 1
 
 
+def test_pii_running_sums(spark):
+    df = spark.createDataFrame([(n, [(i * 7) % 11 for i in range(n)]) for n in (1, 2, 3, 8, 9, 10, 101)], "n int, x array<int>")
+    for r in df.select("x", F.transform(F.array("x"), pii.running)[0].alias("y")).collect():
+        assert r["y"] == np.cumsum(r["x"]).tolist()
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """Places and context right throughout a long text of many spans, in a time far from quadratic."""
+    import time
+
+    one = "é😀 write to a.b@c.de now; 1.2.3.4 " + "x" * 31 + " "
+    text = one * 20_000
+    pii.pii_digest(pii.find_pii(frame(spark, {1: one}))).collect()
+    began = time.time()
+    got = pii.find_pii(frame(spark, {1: text})).first()["spans"]
+    took = time.time() - began
+    mail = [(x["s"], x["e"], x["score"]) for x in got if x["kind"] == "email"]
+    assert mail == [(i * len(one) + 12, i * len(one) + 20, 95) for i in range(20_000)]
+    assert [(x["s"], x["e"]) for x in got if x["kind"] == "ip"] == [(i * len(one) + 26, i * len(one) + 33) for i in range(20_000)]
+    assert took < 20, took
+
+
 @pytest.mark.parametrize("run", [
     lambda df: exact_dedup.exact_dedup(df), lambda df: parity_join.parity_join(df), lambda df: pii.pii_digest(pii.find_pii(df)),
     lambda df: bpe.bpe_encode(df, RANKS, PATTERN), lambda df: orc_tokens.encode_to_orc(df, public_tokenizers.path("byte_bpe_50k.json")),
