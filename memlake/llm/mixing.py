@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE
+from .common import WHITE, cut
 
-#: Parts of a leaf's seeded order whose token sums are added up; a leaf's cut falls into one of them.
-BUCKETS = 1024
+#: Bits of the seeded order's parts whose token sums are added up: a leaf's cut falls into one of 1,024, and there again.
+BITS = 10
 #: Leaves that the tree may have; their sums go to the driver and the plan back as a broadcast.
 MAX_LEAVES = 100_000
 
@@ -73,50 +73,70 @@ def allot(available: Mapping[Leaf, int], total: int, domains: Mapping[str, float
     return out
 
 
-def mix(docs: DataFrame, domain: Column, domains: Mapping[str, float], langs: Mapping[str, Mapping[str, float]], sources: Mapping[str, float] | None = None, share: float = 0.75, epochs: int = 2, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The chosen rows with all their columns, and a struct column mix_<epoch, domain, tokens, take>.
+def mix(docs: DataFrame, domain: Column, domains: Mapping[str, float], langs: Mapping[str, Mapping[str, float]], sources: Mapping[str, float] | None = None, share: float = 0.75, epochs: int = 2, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", info_col: str = "mix_") -> DataFrame:
+    """The chosen rows with all their columns, and a struct column info_col<epoch, domain, tokens, take>.
 
     The budget is `share` of all tokens; allot() deals it to the leaves. Each leaf orders
     its documents anew in every epoch by a seeded hash of the id and takes tokens from the
     front: whole epochs, then a prefix of the next one. `take` is what the budget covers of
     a document's tokens: all of them but for the one that the prefix ends in.
 
-    A prefix is found without sorting a leaf: token sums of hash buckets give the bucket
-    where it ends, and only that bucket's rows (a thousandth of the leaf) are ordered. All
-    other rows are decided where they are read, so texts are not shuffled.
-
-    Null languages and sources are leaves of their own, named ''. Null texts have no
-    tokens. Null ids share one place in the order; rows that repeat an id follow each
-    other. An empty table gives no rows. More than MAX_LEAVES leaves raise an error.
+    A prefix is found without sorting a leaf, on rows without their texts: token sums of
+    hash buckets give the bucket where it ends, and sums of that bucket's buckets the part
+    (a millionth of the leaf) whose rows are ordered. All rows are then decided where they
+    are read, so texts are not shuffled.
+
+    Null languages and sources are leaves of their own, named ''. Null and empty texts have
+    no tokens; texts are counted whole, however long. Ids may have any type. Null and
+    repeated ids share one place in the order; rows of one place follow each other by a
+    hash of all their columns, and rows that are wholly alike are taken as often as the
+    budget covers them. An empty table gives no rows. The table's own columns may have any
+    names but info_col, which raises an error, as do more than MAX_LEAVES leaves.
     """
-    spark = docs.sparkSession
-    keys = {"mix_d": F.coalesce(domain, F.lit("")), "mix_l": F.coalesce(F.col(lang_col), F.lit("")), "mix_s": F.coalesce(F.col(source_col), F.lit(""))}
-    rows = docs.withColumns(keys | {"mix_n": count_tokens(F.col(text_col))})
-    sums = rows.groupBy(*keys).agg(F.sum("mix_n").alias("n")).limit(MAX_LEAVES + 1).collect()
+    if info_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the table has a column {info_col}")
+    spark, leaf = docs.sparkSession, ["d", "l", "s"]
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(domain, F.lit("")).alias("d"), F.coalesce(F.col(lang_col), F.lit("")).alias("l"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("s"), F.col(id_col).alias("id"), F.xxhash64(*plain).alias("sig"),
+    )
+    tokens = count_tokens(F.col("row").getField(text_col))
+    narrow = cut(rows.select(*leaf, "id", "sig", tokens.alias("n")))
+    sums = narrow.groupBy(*leaf).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
-    available = {(r["mix_d"], r["mix_l"], r["mix_s"]): r["n"] for r in sums}
+    available = {(r["d"], r["l"], r["s"]): r["n"] for r in sums}
     total = int(share * sum(available.values()))
     budget = allot(available, total, domains, langs, sources or {}, epochs)
     plan = [(*k, b // available[k] if available[k] else 0, b % available[k] if available[k] else 0) for k, b in budget.items()]
-    plan_df = spark.createDataFrame(plan, "mix_d string, mix_l string, mix_s string, mix_full long, mix_rest long")
-    dealt = rows.join(F.broadcast(plan_df), list(keys)).withColumn("mix_h", F.xxhash64(F.lit(seed), "mix_full", F.col(id_col)))
-    dealt = dealt.withColumn("mix_b", F.shiftrightunsigned("mix_h", 54))
-
-    before = Window.partitionBy(*keys).orderBy("mix_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = dealt.where("mix_rest > 0").groupBy(*keys, "mix_rest", "mix_b").agg(F.sum("mix_n").alias("s")).withColumn("upto", F.sum("s").over(before))
-    # the first bucket in which the leaf's prefix is full
-    cuts = buckets.where("upto >= mix_rest").groupBy(*keys).agg(F.min(F.struct("mix_b", "upto", "s")).alias("c")).collect()
-    cut_df = spark.createDataFrame([(r["mix_d"], r["mix_l"], r["mix_s"], r["c"]["mix_b"], r["c"]["upto"] - r["c"]["s"]) for r in cuts], "mix_d string, mix_l string, mix_s string, mix_cut long, mix_before long")
-    marked = dealt.join(F.broadcast(cut_df), list(keys), "left")
-
-    whole = F.sequence(F.lit(0).cast("long"), F.col("mix_full") - 1)
-    full = F.when(F.col("mix_full") > 0, whole).otherwise(F.array().cast("array<long>"))
-    more = F.when((F.col("mix_rest") > 0) & (F.col("mix_b") < F.col("mix_cut")), F.array("mix_full")).otherwise(F.array().cast("array<long>"))
-    sure = marked.withColumn("mix_epoch", F.explode(F.concat(full, more))).withColumn("mix_take", F.col("mix_n"))
-    order = Window.partitionBy(*keys).orderBy("mix_h", F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
-    edge = marked.where("mix_rest > 0 and mix_b = mix_cut").withColumn("mix_start", F.col("mix_before") + F.coalesce(F.sum("mix_n").over(order), F.lit(0)))
-    edge = edge.where("mix_start < mix_rest").withColumn("mix_epoch", F.col("mix_full")).withColumn("mix_take", F.least(F.col("mix_n"), F.col("mix_rest") - F.col("mix_start"))).drop("mix_start")
-    out = sure.unionByName(edge)
-    info = F.struct(F.col("mix_epoch").alias("epoch"), F.col("mix_d").alias("domain"), F.col("mix_n").alias("tokens"), F.col("mix_take").alias("take"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), info.alias("mix_"))
+    plan_df = spark.createDataFrame(plan, "d string, l string, s string, full long, rest long")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(plan_df), leaf).withColumn("h", F.xxhash64(F.lit(seed), "full", "id")).withColumn("b1", F.shiftrightunsigned("h", 64 - BITS))
+
+    def first_full(df: DataFrame, order: list[str]) -> DataFrame:
+        """Of each leaf the first place in this order where its prefix is full, and the tokens before it."""
+        upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+        found = df.groupBy(*leaf, "rest", "before", *order).agg(F.sum("n").alias("n")).withColumn("upto", upto).where("upto >= rest")
+        return found.groupBy(*leaf).agg(F.min(F.struct(*order, (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select(*leaf, "c.*")
+
+    open_ = placed(narrow).where("rest > 0").withColumn("b2", F.shiftrightunsigned("h", 64 - 2 * BITS)).withColumn("before", F.lit(0).cast("long"))
+    for part in ("b1", "b2"):
+        open_ = open_.drop("before").join(F.broadcast(first_full(open_, [part])), [*leaf, part])
+    ends = [(r["d"], r["l"], r["s"], r["h"], r["sig"], r["before"]) for r in first_full(open_, ["h", "sig"]).collect()]
+    ends_df = spark.createDataFrame(ends, "d string, l string, s string, end_h long, end_sig long, before long")
+    marked = placed(rows).join(F.broadcast(ends_df), leaf, "left")
+
+    none = F.array().cast("array<long>")
+    end_b = F.shiftrightunsigned("end_h", 64 - BITS)
+    inside = (F.col("b1") < end_b) | ((F.col("b1") == end_b) & ((F.col("h") < F.col("end_h")) | ((F.col("h") == F.col("end_h")) & (F.col("sig") < F.col("end_sig")))))
+    full = F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(none)
+    more = F.when((F.col("rest") > 0) & inside, F.array("full")).otherwise(none)
+    sure = marked.withColumn("epoch", F.explode(F.concat(full, more))).select("row", "epoch", "d", tokens.alias("n")).withColumn("take", F.col("n"))
+    # the place that the prefix ends in: one row, or rows that are wholly alike
+    last = marked.where("rest > 0 and h = end_h and sig = end_sig").groupBy(*leaf).agg(F.first("row").alias("row"), F.first("full").alias("epoch"), F.first(F.col("rest") - F.col("before")).alias("left"))
+    last = last.withColumn("n", tokens).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("left") / F.col("n")) - 1)))
+    edge = last.select("row", "epoch", "d", "n", F.least(F.col("n"), F.col("left") - F.col("i") * F.col("n")).alias("take"))
+    info = F.struct("epoch", F.col("d").alias("domain"), F.col("n").alias("tokens"), "take")
+    return sure.unionByName(edge).select("row.*", info.alias(info_col))

@@ -159,6 +159,24 @@ def test_mix_against_brute_force(spark, sf):
     assert mixing.mix(docs.limit(0), F.lit("web"), {"web": 1}, {}).count() == 0
 
 
+def test_mix_edges(spark):
+    """Clashing names, string ids, ids that are all null or repeated, very long texts, wholly alike rows."""
+    rows = [(None, "a b c", "en", "src0", 777, "x", "y")] * 5 + [(None, "d e f g", "en", "src0", 777, "x", "y"), ("k", "w " * 200_000, "de", "src0", 1, "x", "y"), ("k", None, "de", "src0", 1, "x", "y"), ("k", "z", "de", "src0", 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, mix_n long, d string, row string").repartition(3)
+    for share in (0.1, 0.5, 0.9, 1.0, 1.7):
+        got = mixing.mix(docs, F.lit("web"), {"web": 1}, {"web": {"en": 1, "de": 1}}, share=share, epochs=2, seed=3)
+        assert got.columns == [*docs.columns, "mix_"]
+        got = got.collect()
+        assert sum(r["mix_"]["take"] for r in got) == int(share * 200_020) and {r["mix_n"] for r in got} <= {777, 1} and {r["d"] for r in got} <= {"x"}
+        assert all(0 <= r["mix_"]["take"] <= r["mix_"]["tokens"] for r in got)
+        copies = {}
+        for r in got:
+            copies[r["text"], r["mix_"]["epoch"]] = copies.get((r["text"], r["mix_"]["epoch"]), 0) + 1
+        assert all(n <= (5 if t == "a b c" else 1) for (t, _), n in copies.items())
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("MIX_", F.lit(1)), F.lit("web"), {"web": 1}, {})
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav><div class="ad">Buy</div>
 <article class="post"><h1>Title &amp; &#233;</h1><p><b>First <i>one</i>\n two<br><p>Second &lt;x&gt;&nbsp;y<!-- c --> 1 < 2</p><ul><li>item a<li>item b</ul><form><input value=3>search</form><aside>side</aside><div class="reader-comments"><p>nice!</p></div><table><tr><td>c1<td>c2</table></article><footer>&copy; f</footer></body></html>"""
 
