@@ -9,11 +9,11 @@ pipeline has no ORACLE_SQL; the tests hold it against a version without Spark.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, exact_dedup, language_gru, mixing, parity_join
-from memlake.llm.common import WHITE, cut, scratch_path, table
+from memlake.llm.common import WHITE, cut, discard, free_name, scratch_path, table
 from memlake.llm.queries import DOMAINS, LANGS, LEARN, domain_of
 
 #: A document goes if it has no letter, or if no language reaches this probability.
@@ -23,47 +23,69 @@ BROADCAST_IDS = 500_000
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the language model recognises."""
+    """Documents whose text the language model recognises.
+
+    Null and empty texts and texts without a letter go. Repeated rows and ids, and null
+    ids, languages and sources, are kept as they are. An empty table stays empty.
+    """
     model = language_gru.fit_language(docs, learn=LEARN)
     return language_gru.keep_recognised(docs, model, least=LEAST_LANGUAGE_SCORE)
 
 
+def packed(docs: DataFrame) -> Column:
+    """A row as one struct, so that no column of a table clashes with a stage's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that is identical without white space, also where ids repeat or are missing."""
+    """One row of each group that is identical without white space, also where ids repeat or are missing.
+
+    Null and empty texts are copies of each other. An empty table stays empty.
+    """
     kept = exact_dedup.exact_dedup(docs).where("kept")
     # a winner is found by its id and digest; the copies that share both are combined before the join, so no key is hot
-    ident = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id_"), F.col("doc_id").isNull().alias("no_id_")]
-    kept = kept.select(*ident, F.col("text_sha256").alias("sha_")).distinct()
+    ident = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    kept = kept.select(*ident, F.col("text_sha256").alias("sha")).distinct()
     text = F.coalesce("text", F.lit(""))
-    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text), F.xxhash64(*docs.columns))).alias("row_")
-    rows = docs.select(*docs.columns, *ident, F.sha2(F.translate(text, WHITE, ""), 256).alias("sha_")).groupBy("id_", "no_id_", "sha_").agg(best)
-    return rows.join(kept, ["id_", "no_id_", "sha_"], "left_semi").select("row_.*").select(*docs.columns)
+    rows = docs.select(packed(docs), *ident, F.sha2(F.translate(text, WHITE, ""), 256).alias("sha"), F.length(text).alias("n"))
+    best = rows.groupBy("id", "no_id", "sha").agg(F.max_by("row", F.struct("n", F.xxhash64("row"))).alias("row"))
+    return best.join(kept, ["id", "no_id", "sha"], "left_semi").select("row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles.
+
+    Null and empty texts link with nothing and stay, as does one row of each null or
+    repeated id and text. An empty table stays empty.
+    """
     keyed = keyed_rows(docs)
-    joined = parity_join.parity_join(keyed, width=5, num=80, den=100)
-    return parity_join.keep_one(keyed, joined).select("row_id_", *(c for c in docs.columns if c != "doc_id")).withColumnRenamed("row_id_", "doc_id").select(*docs.columns)
+    return parity_join.keep_one(keyed, parity_join.parity_join(keyed, width=5, num=80, den=100)).select("row.*")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """docs with the id as row_id_ and as doc_id a key of one text: the id, or where it is missing or repeats a number of at least 2^62 from id and text."""
-    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times_")).where("times_ > 1"))
+    """(row, doc_id, text), doc_id the key of one text: the id, or where it is missing or repeats a number of at least 2^62 from id and text."""
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("id")))
     n = twice.count()
-    rows = docs.withColumn("times_", F.lit(1).cast("long")) if not n else docs.join(F.broadcast(twice) if n <= BROADCAST_IDS else twice, "doc_id", "left")
-    made = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
-    own = F.col("doc_id").isNotNull() & (F.coalesce("times_", F.lit(1)) == 1)
-    return rows.withColumn("row_id_", F.col("doc_id")).withColumn("doc_id", F.when(own, F.col("doc_id")).otherwise(made)).drop("times_")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("id"), "text")
+    if n:
+        rows = rows.join((F.broadcast(twice) if n <= BROADCAST_IDS else twice).withColumn("repeats", F.lit(True)), "id", "left")
+    own = F.col("id").isNotNull() & (~F.coalesce("repeats", F.lit(False)) if n else F.lit(True))
+    made = F.shiftrightunsigned(F.xxhash64("id", "text"), 2) + F.lit(1 << 62)
+    return rows.select("row", F.when(own, F.col("id")).otherwise(made).alias("doc_id"), "text")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's rows; a document of a second epoch comes twice."""
-    return mixing.mix(docs, domain_of(F.col("source")), DOMAINS, LANGS, share=0.75, epochs=2, seed=3).drop("mix_")
+    """The mixture's rows; a document of a second epoch comes twice.
+
+    Null languages and sources are leaves of their own, which the weights leave empty;
+    documents without tokens come or go with their place in the order. An empty table stays empty.
+    """
+    info = free_name(docs.columns, "mix_")
+    return mixing.mix(docs, domain_of(F.col("source")), DOMAINS, LANGS, share=0.75, epochs=2, seed=3, info_col=info).drop(info)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row."""
+    """Token counts and digests of every row; null and empty texts have no tokens."""
     return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -72,10 +94,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, applied to documents. What a stage wrote goes when its successor is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

@@ -67,6 +67,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/memlake-{name}-{uuid.uuid4().hex}"
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the columns."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
