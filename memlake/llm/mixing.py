@@ -118,8 +118,8 @@ def mix(docs: DataFrame, domain: Column, domains: Mapping[str, float], langs: Ma
     def first_full(df: DataFrame, order: list[str]) -> DataFrame:
         """Of each leaf the first place in this order where its prefix is full, and the tokens before it."""
         upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
-        found = df.groupBy(*leaf, "rest", "before", *order).agg(F.sum("n").alias("n")).withColumn("upto", upto).where("upto >= rest")
-        return found.groupBy(*leaf).agg(F.min(F.struct(*order, (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select(*leaf, "c.*")
+        found = df.groupBy(*leaf, "rest", "before", *order).agg(F.sum("n").alias("n")).withColumn("upto", upto)
+        return found.where("upto >= rest and upto - n < rest").select(*leaf, *order, (F.col("upto") - F.col("n")).alias("before"))
 
     open_ = placed(narrow).where("rest > 0").withColumn("b2", F.shiftrightunsigned("h", 64 - 2 * BITS)).withColumn("before", F.lit(0).cast("long"))
     for part in ("b1", "b2"):
