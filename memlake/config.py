@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import warnings
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,7 @@ class Config:
     fetch_k: int = 30
     inject_k: int = 5
     min_score: float = 0.0
+    remote_timeout: float = 5.0
     response_format: str = "concise"
     rooms: dict[str, list[str]] = field(default_factory=dict)
 
@@ -43,9 +46,23 @@ class Config:
             "preview_chars": self.preview_chars >= 0,
             "fetch_k": 1 <= self.fetch_k <= 500,
             "inject_k": 1 <= self.inject_k <= self.fetch_k,
+            "remote_timeout": self.remote_timeout > 0,
             "min_score": math.isfinite(self.min_score) and self.min_score >= 0,
             "response_format": self.response_format in ("concise", "detailed"),
         }
+        kinds = {"int": int, "float": (int, float), "bool": bool, "str": str}
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.type in kinds and (not isinstance(value, kinds[f.type]) or isinstance(value, bool) != (f.type == "bool")):
+                raise ValueError(f"bad type: {f.name}")
         bad = [k for k, ok in checks.items() if not ok]
         if bad:
             raise ValueError(f"bad value: {', '.join(bad)}")
+
+    @classmethod
+    def read(cls, settings: Mapping[str, object]) -> Config:
+        """From a mapping; keys that are no settings are left out with a warning."""
+        known = {f.name for f in fields(cls)}
+        if unknown := sorted(set(settings) - known):
+            warnings.warn(f"unknown settings: {', '.join(unknown)}", stacklevel=2)
+        return cls(**{k: v for k, v in settings.items() if k in known})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -214,3 +217,84 @@ def looks_edit_bound(prompt: Column) -> Column:
 def in_project(source: Column, root: str) -> Column:
     """Relative sources belong; absolute ones under the root do; missing ones do not."""
     return F.coalesce(~source.startswith("/") | (source == root) | source.startswith(root.rstrip("/") + "/"), F.lit(False))
+
+
+# Patterns of identifiers, of cited paths, and of the sections of a decision record.
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_\.]+[A-Za-z0-9_]"
+CITED_PATH = r"`([^`]+/[^`]+\.(?:py|ts|md))`"
+PROBLEM_SECTION = r"(?ms)^##\s+(?:Problem|Why|Context)\s*\n+(.+?)(?:\n##|\z)"
+DECISION_SECTION = r"(?ms)^##\s+Decision\s*\n+(.+?)(?:\n##|\z)"
+
+
+def identifiers(text: Column, least: int = 4) -> Column:
+    """Distinct identifier-like words of at least that many characters, in the order of their first place."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), F.lit(1)), lambda t: F.length(t) >= least))
+
+
+def required_substrings(answer: Column, most: int = 5, least: int = 4) -> Column:
+    """The first identifiers of an answer, at most five."""
+    return F.slice(identifiers(answer, least), 1, most)
+
+
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def first_sentence(text: Column, most: int = 160) -> Column:
+    """Up to the first ., ! or ? before white space, at most that many code points."""
+    return F.trim(F.substring(F.regexp_extract(collapsed(text), r"^(.*?[.!?])(?:\s|$)|^(.*)$", 0), 1, most))
+
+
+def session_name(session: Column) -> Column:
+    """A session id as a file name: anything but letters, digits, _, . and - becomes _."""
+    return F.regexp_replace(session, "[^A-Za-z0-9_.-]", "_")
+
+
+def redacted(text: Column, secrets: Mapping[str, str]) -> Column:
+    """Every secret value in a text as <NAME_REDACTED>; blank values are no secrets."""
+    for name, value in secrets.items():
+        if value.strip():
+            text = F.replace(text, F.lit(value.strip()), F.lit(f"<{name}_REDACTED>"))
+    return text
+
+
+def settings_hash(value: object, digits: int | None = None) -> str:
+    """SHA-256 of settings written as JSON in their own order, as the order of rooms and layers decides."""
+    h = hashlib.sha256(json.dumps(value, default=str).encode()).hexdigest()
+    return h if digits is None else h[:digits]
+
+
+def append_distinct(a: Column, b: Column) -> Column:
+    """a, then what b adds to it, each value once."""
+    return F.array_distinct(F.concat(a, b))
+
+
+#: Key of an overlay that replaces a value instead of merging into it.
+REPLACE = "__replace__"
+
+
+def deep_merge(base: dict, over: dict) -> dict:
+    """base with over merged in: objects key by key, lists by appending what is new, all else replaced."""
+    out = dict(base)
+    for key, new in over.items():
+        old = out.get(key)
+        if isinstance(new, dict) and new.get(REPLACE) is True:
+            out[key] = new.get("value")
+        elif isinstance(old, dict) and isinstance(new, dict):
+            out[key] = deep_merge(old, new)
+        elif isinstance(old, list) and isinstance(new, list):
+            out[key] = [*old, *(x for i, x in enumerate(new) if x not in old and x not in new[:i])]
+        else:
+            out[key] = new
+    return out
+
+
+def merge_json(base: Column, over: Column) -> Column:
+    """deep_merge of two JSON texts, keys sorted; a null side is an empty object."""
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(deep_merge(json.loads(x or "{}"), json.loads(y or "{}")), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(base, over)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.registry import lookup, register
+
 # Limits in tokens and code points.
 SOFT_MAX, SIZE, OVERLAP, MIN_TOKENS = 250, 800, 80, 20
 DRAWER_MAX, DRAWER_SIZE, DRAWER_OVERLAP, TOOL_MAX = 600, 2000, 160, 2000
@@ -189,7 +191,7 @@ def chunk_python(source: str | None, most: int = CODE_MAX) -> list[str]:
 
 def chunk_documents(docs: DataFrame, kind: str = "markdown", min_tokens: int = MIN_TOKENS, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """(path, chunk_idx, document) of every document; indices count chunks before small ones are dropped."""
-    split = {"markdown": chunk_markdown, "python": chunk_python}[kind]
+    split = lookup("chunker", kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -202,20 +204,28 @@ def chunk_documents(docs: DataFrame, kind: str = "markdown", min_tokens: int = M
 
 
 def chunk_transcripts(pairs: DataFrame) -> DataFrame:
-    """(session, turn_index, piece, document) of pairs (session, turn_index, user_json, assistant_json array); tool payloads elided."""
+    """(piece, document) of pairs (user_json, assistant_json array, ...), with every other column of the pair on each piece; tool payloads elided."""
+    rest = [f for f in pairs.schema if f.name not in ("user_json", "assistant_json")]
+    names = [f.name for f in rest]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for s, t, u, a in zip(b["session"], b["turn_index"], b["user_json"], b["assistant_json"], strict=True):
-                rows += [(s, t, i, c) for i, c in enumerate(chunk_drawer(json.loads(u), [json.loads(x) for x in a]))]
-            yield pd.DataFrame(rows, columns=["session", "turn_index", "piece", "document"])
+            found = [[(i, c) for i, c in enumerate(chunk_drawer(json.loads(u), [json.loads(x) for x in a]))] for u, a in zip(b["user_json"], b["assistant_json"], strict=True)]
+            out = b[names].loc[b.index.repeat([len(f) for f in found])].reset_index(drop=True)
+            flat = [x for f in found for x in f]
+            out["piece"], out["document"] = [x[0] for x in flat], [x[1] for x in flat]
+            yield out
 
-    return pairs.select("session", "turn_index", "user_json", "assistant_json").mapInPandas(run, "session string, turn_index long, piece int, document string")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "piece int", "document string"])
+    return pairs.select(*names, "user_json", "assistant_json").mapInPandas(run, schema)
 
 
 def chunk_by_suffix(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """Transcript files by turns, all others as markdown: (path, chunk_idx, document)."""
     text = chunk_documents(files.where(~F.col("path").endswith(".jsonl")))
-    turns = chunk_transcripts(pairs).select(F.concat_ws("#", "session", "turn_index").alias("path"), F.col("piece").alias("chunk_idx"), "document")
+    turns = chunk_transcripts(pairs.select("session", "turn_index", "user_json", "assistant_json")).select(F.concat_ws("#", "session", "turn_index").alias("path"), F.col("piece").alias("chunk_idx"), "document")
     return text.unionByName(turns)
+
+
+register("chunker", "markdown")(chunk_markdown)
+register("chunker", "python")(chunk_python)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import scalars as S
+from memlake.operators import chunkers
+from memlake.registry import lookup
+from memlake.shared import cut, small
+
 
 def doc_run(hits: DataFrame) -> DataFrame:
     """(qid, docid, score): of several hits of a document the last, lowest-ranked one counts."""
@@ -16,9 +22,10 @@ def doc_run(hits: DataFrame) -> DataFrame:
 def ir_metrics(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = (1, 5, 10, 20), by: Sequence[str] = ()) -> DataFrame:
     """recall@k, MRR and nDCG@10 as means over all queries of qrels; queries without a run count as zero.
 
-    qrels (qid, docid, rel, *by), run (qid, docid, score). Ties order by docid.
+    qrels (qid, docid, rel, *by), run (qid, docid, score). Ties order by falling docid, as
+    the usual scorer of such runs does.
     """
-    ranks = run.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "docid"))).select("qid", "docid", "rank")
+    ranks = run.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("docid")))).select("qid", "docid", "rank")
     good = qrels.where("rel > 0").join(ranks, ["qid", "docid"], "left")
     gain = F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     n = F.count("*")
@@ -32,10 +39,26 @@ def ir_metrics(qrels: DataFrame, run: DataFrame, ks: Sequence[int] = (1, 5, 10,
 def chunk_recall(gold: DataFrame, run: DataFrame, k: int) -> DataFrame:
     """(qid, recall): the share of gold chunks (qid, gold array) among the first k; 0 without gold."""
     top = run.where(F.col("rk") <= k).groupBy("qid").agg(F.collect_set("id").alias("top"))
-    share = F.size(F.array_intersect(F.array_distinct("gold"), F.coalesce("top", F.array().cast("array<bigint>")))) / F.size(F.array_distinct("gold"))
+    share = F.size(F.array_intersect(F.array_distinct("gold"), F.coalesce("top", F.array().cast(gold.schema["gold"].dataType)))) / F.size(F.array_distinct("gold"))
     return gold.join(top, "qid", "left").select("qid", F.round(F.when(F.size("gold") > 0, share).otherwise(0.0), 6).alias("recall"))
 
 
+def chunk_run(hits: DataFrame) -> DataFrame:
+    """(qid, id, score, rk) of chunk hits (qid, chunk_id, score, rk): each chunk once, at its first rank, with its last score.
+
+    Hits without a chunk id are skipped; chunks of one document all stay.
+    """
+    per = hits.where("chunk_id is not null").groupBy("qid", F.col("chunk_id").alias("id")).agg(F.max_by("score", "rk").alias("score"), F.min("rk").alias("first"))
+    return per.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("first"))).drop("first")
+
+
+def gold_chunks(gold: DataFrame, files: DataFrame, chunker: str = "markdown") -> DataFrame:
+    """(path, chunk_id) of the files (path, text) that gold (path) names, chunked anew: ids match an ingested corpus."""
+    kept = files.join(gold.select("path").distinct(), "path", "left_semi")
+    parts = chunkers.chunk_documents(kept, chunker, min_tokens=0)
+    return parts.select("path", S.bench_chunk_id(F.col("path"), F.col("document")).alias("chunk_id")).distinct()
+
+
 def joined_top(hits: DataFrame, k: int = 5) -> DataFrame:
     """(qid, blob): the texts of the first k hits in order."""
     return hits.where(F.col("rk") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "text"))).alias("x")).select("qid", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("blob"))
@@ -81,48 +104,80 @@ def baseline_delta(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def stratified_quota(df: DataFrame, by: Sequence[str], target: int) -> DataFrame:
     """(by, n, quota): a share of the target by size, at least 1, at most the bucket."""
-    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    n = cut(df.groupBy(*by).agg(F.count("*").alias("n")))
     total = n.agg(F.sum("n").alias("total"))
     return n.join(F.broadcast(total)).select(*by, "n", F.least(F.col("n"), F.greatest(F.lit(1), F.rint(F.lit(float(target)) * F.col("n") / F.col("total")).cast("long"))).alias("quota"))
 
 
 def stratified(df: DataFrame, by: Sequence[str], target: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """A sample of exactly target rows (or all, if fewer): each bucket's quota by a seeded hash, then trimmed or padded."""
+    """A sample of exactly target rows (or all, if fewer): each bucket's quota by a seeded hash, then trimmed or padded.
+
+    A window with a limit finds a bucket's first rows, so no bucket is sorted as a whole.
+    """
     h = F.xxhash64(F.lit(seed), id_col)
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(h, id_col))
-    placed = df.withColumn("rn_", rn).join(F.broadcast(stratified_quota(df, by, target).drop("n")), list(by))
+    placed = df.withColumn("rn_", rn).where(F.col("rn_") <= target).join(small(stratified_quota(df, by, target).drop("n")), list(by))
     return placed.orderBy((F.col("rn_") > F.col("quota")).cast("int"), "rn_", h, id_col).limit(target).drop("rn_", "quota")
 
 
+def smoke_subset(records: DataFrame, per_axis: int = 2, seed: int = 0, axis: str = "axis", id_col: str = "id") -> DataFrame:
+    """(id, axis) of a few records of each axis, the first by a seeded hash; smaller axes go in whole."""
+    rn = F.row_number().over(Window.partitionBy(axis).orderBy(F.xxhash64(F.lit(seed), id_col), id_col))
+    return records.withColumn("rn_", rn).where(F.col("rn_") <= per_axis).select(F.col(id_col).alias("id"), F.col(axis).alias("axis")).orderBy("axis", "id")
+
+
+def paired_samples(peer: DataFrame, own: DataFrame, keys: Sequence[str] = ("axis", "col", "metric", "qid")) -> DataFrame:
+    """(*keys, a, b): values of queries that both sides answered, a the peer's and b the own."""
+    return peer.select(*keys, F.col("value").alias("a")).join(own.select(*keys, F.col("value").alias("b")), list(keys))
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """(delta, ci_lower, ci_upper, verdict) of b - a over (qid, a, b), by index resampling from a seeded hash.
+    """(delta, ci_lower, ci_upper, verdict) of a - b over (qid, a, b), by index resampling from a seeded hash.
 
     Resamples are numbered rows that draw from the paired differences, an array that one
     task holds: one value a query. Bounds are interpolated percentiles; delta is exact.
     """
-    d = pairs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", (F.col("b") - F.col("a")).alias("d")))), lambda x: x["d"]).alias("d"))
+    d = pairs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", (F.col("a") - F.col("b")).alias("d")))), lambda x: x["d"]).alias("d"))
     draws = pairs.sparkSession.range(resamples).join(F.broadcast(d))
     n = F.size("d")
     total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("d", (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), n) + 1).cast("int")))
     ci = draws.where(n > 0).select((total / n).alias("m")).agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
-    mean = pairs.agg(F.avg(F.col("b") - F.col("a")).alias("delta"))
-    return mean.join(F.broadcast(ci)).withColumn("verdict", F.when(F.col("ci_lower") > 0, "win").when(F.col("ci_upper") < 0, "loss").otherwise("tie"))
+    mean = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("delta"))
+    return mean.join(F.broadcast(ci)).withColumn("verdict", verdict(F.col("ci_lower"), F.col("ci_upper")))
+
+
+def verdict(lower: Column, upper: Column) -> Column:
+    """win where the whole interval is above 0, loss where it is below, else tie."""
+    return F.when(lower > 0, "win").when(upper < 0, "loss").otherwise("tie")
+
 
+# The cells that the rules read, and the steps and limits of what they propose.
+CELLS = {"r1": "decision_rationale.own.recall_at_1", "r5": "decision_rationale.own.recall_at_5", "ndcg": "code_fact.combined.ndcg_at_10", "late": "code_fact.combined.latency_ms_p95", "r20": "code_fact.combined.recall_at_20", "r5c": "code_fact.combined.recall_at_5"}
+PREFETCH_STEP, PREFETCH_CAP, TOP_N_STEP, TOP_N_FLOOR, COSINE_STEP, COSINE_FLOOR, DEPTH_DELTA = 10, 80, 10, 20, 0.02, 0.90, 0.25
 
-def diagnose(cells: DataFrame) -> DataFrame:
-    """Settings to change, from gate rows (metric, value, bound, ok): one row a rule that applies.
 
-    Recall under its floor widens the arms; nDCG under its floor turns the reranker on;
-    a latency over its ceiling turns it off; all well with room to spare raises k_max.
+def diagnose(cells: DataFrame, *, arm_n: int = 50, rerank_n: int = 50, dedup: bool = False, dedup_cosine: float = 0.97) -> DataFrame:
+    """(field, value) of settings to change, from cells (metric, value, bound). A missing value meets no rule; a missing bound holds.
+
+    First-place recall under its floor while recall at 5 holds: fetch more an arm. nDCG
+    under its floor with the latency within its ceiling: let depth follow the query. Latency over its
+    ceiling: rerank fewer. Recall at 20 under its floor while recall at 5 holds: drop near copies, or
+    more of them where they are dropped already.
     """
-    late = F.col("metric").contains("latency_")
-    f = cells.agg(
-        F.coalesce(F.bool_or(F.col("metric").contains("recall") & ~F.col("ok")), F.lit(False)).alias("recall_low"), F.coalesce(F.bool_or(F.col("metric").contains("ndcg") & ~F.col("ok")), F.lit(False)).alias("ndcg_low"),
-        F.coalesce(F.bool_or(late & ~F.col("ok")), F.lit(False)).alias("slow"), F.coalesce(F.bool_and("ok"), F.lit(False)).alias("fine"), F.coalesce(F.bool_and(~late | (F.col("value") <= 0.8 * F.col("bound"))), F.lit(False)).alias("room"),
+    at = lambda name, what: F.max(F.when(F.col("metric") == CELLS[name], F.col(what)))
+    row = cells.agg(*(at(c, w).alias(f"{c}_{w}") for c in CELLS for w in ("value", "bound")))
+    no = F.lit(False)
+    below = lambda c: F.coalesce(F.col(f"{c}_value") < F.col(f"{c}_bound"), no)
+    holds = lambda c: F.col(f"{c}_value").isNotNull() & F.coalesce(F.col(f"{c}_value") >= F.col(f"{c}_bound"), F.lit(True))
+    room = F.col("late_value").isNotNull() & F.coalesce(F.col("late_value") <= F.col("late_bound"), F.lit(True))
+    over = F.coalesce(F.col("late_value") > F.col("late_bound"), no)
+    change = lambda cond, field, value: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(str(value).lower()).alias("value")))
+    poor, deep, thin = below("r1") & holds("r5"), below("ndcg") & room, below("r20") & holds("r5c")
+    rules = F.array(
+        change(poor, "arm_n", min(arm_n + PREFETCH_STEP, PREFETCH_CAP)), change(deep, "adaptive", True), change(deep, "adaptive_delta", DEPTH_DELTA), change(over, "rerank_n", max(rerank_n - TOP_N_STEP, TOP_N_FLOOR)),
+        change(thin, "dedup_cosine", round(max(COSINE_FLOOR, dedup_cosine - COSINE_STEP), 6)) if dedup else change(thin, "content_dedup", True),
     )
-    rule = lambda cond, name, change: F.when(cond, F.struct(F.lit(name).alias("rule"), F.lit(change).alias("change")))
-    rules = F.array(rule(F.col("recall_low"), "recall", "arm_n=50"), rule(F.col("ndcg_low") & ~F.col("slow"), "ranking", "reranker=on"), rule(F.col("slow"), "latency", "reranker=off"), rule(F.col("fine") & F.col("room"), "headroom", "k_max+5"))
-    return f.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")
+    return row.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")
 
 
 def response_variance(runs: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -138,12 +193,56 @@ def regression_breaches(row: DataFrame, recall: float = 0.60, tokens: float = 40
 
 
 def record_metrics(records: DataFrame) -> DataFrame:
-    """in_tokens, tokens_per_correct and compression of records (qid, context, answer, recall)."""
-    tokens = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
-    t = tokens("context")
-    return records.select("qid", t.alias("in_tokens"), F.round(tokens_per_correct(t, F.col("recall")), 6).alias("tokens_per_correct"), F.round(t / tokens("answer"), 6).alias("compression"))
+    """Of records (qid, question, contexts array, answer, recall): the tokens that go in (question and contexts), tokens a
+    correct answer, the contexts' tokens to those of the answer, and the cost of writing. Judged metrics need a model and are null."""
+    t = S.token_estimate
+    inside = F.aggregate(F.transform("contexts", lambda c: t(F.coalesce(c, F.lit("")))), F.lit(0).cast("long"), lambda a, x: a + x)
+    total, answer = t(F.col("question")) + inside, t(F.col("answer"))
+    none = F.lit(None).cast("double")
+    return records.select("qid", total.alias("in_tokens"), F.round(tokens_per_correct(total, F.col("recall")), 6).alias("tokens_per_correct"), F.round(inside / answer, 6).alias("compression"), (total + answer).cast("double").alias("write_cost"),
+                          none.alias("context_precision"), none.alias("context_recall"), none.alias("answer_relevance"))
 
 
 def collapse_envelope(cells: DataFrame) -> DataFrame:
     """(axis, metric, own, other, combined): an axis that only one corpus has takes its own column as the combined one."""
     return cells.withColumn("combined", F.when(F.col("other").isNull(), F.col("own")).otherwise(F.col("combined")))
+
+
+def citations(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of decision records (path, text): (path, question, gold) and the cited paths that files (path) lack, (path, cited).
+
+    The question is the first paragraph of the problem; gold holds the record itself and
+    each existing path that its decision cites. Records without a problem are left out.
+    """
+    problem, decision = (F.regexp_extract("text", p, 1) for p in (S.PROBLEM_SECTION, S.DECISION_SECTION))
+    rows = records.withColumn("problem", F.trim(problem)).where("problem <> ''").select("path", F.trim(F.split("problem", "\n\n")[0]).alias("question"), F.array_distinct(F.regexp_extract_all(decision, F.lit(S.CITED_PATH), F.lit(1))).alias("cited"))
+    cited = rows.select("path", F.explode("cited").alias("cited"))
+    there = files.select(F.col("path").alias("cited")).distinct()
+    found = cited.join(there, "cited", "left_semi").groupBy("path").agg(F.collect_set("cited").alias("found"))
+    gold = rows.join(found, "path", "left").select("path", "question", F.array_sort(F.array_distinct(F.concat(F.array("path"), F.coalesce("found", F.array().cast("array<string>"))))).alias("gold"))
+    return gold, cited.join(there, "cited", "left_anti").select("path", "cited")
+
+
+def within_after_limit(hits: DataFrame, names: DataFrame, k: int, on: str = "repo") -> DataFrame:
+    """The first k hits of each query, and only then those of the named repositories: a peer's limit comes before the filter."""
+    return hits.where(F.col("rk") <= k).join(names.select(on).distinct(), on, "left_semi")
+
+
+@dataclass(frozen=True)
+class Suite:
+    """What a run evaluates: qrels (qid, docid, rel, axis), and a run (qid, docid, score) made by a function of a backend's name."""
+
+    qrels: DataFrame
+    run: Callable[[str], DataFrame]
+    floors: Mapping[str, float]
+
+
+def run_suite(suite: Suite | str, backend: str = "tuned_hybrid", axis: str = "axis") -> tuple[DataFrame, DataFrame]:
+    """A report (axis, metric, value) with the axis `overall`, and its gate (metric, value, bound, ok) against the suite's floors."""
+    suite = lookup("suite", suite)() if isinstance(suite, str) else suite
+    found, spark = cut(suite.run(backend)), suite.qrels.sparkSession
+    wide = ir_metrics(suite.qrels, found, by=(axis,)).unionByName(ir_metrics(suite.qrels, found).withColumn(axis, F.lit("overall")))
+    names = [c for c in wide.columns if c not in (axis, "queries")]
+    report = wide.select(F.col(axis).alias("axis"), F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in names)), F.array(*names))).alias("metric", "value"))
+    floors = spark.createDataFrame(sorted(suite.floors.items()), "metric string, bound double")
+    return report, gate(report.select(F.concat_ws(".", "axis", "metric").alias("metric"), "value"), floors)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlake.functions import scalars as S
 from memlake.functions.predicates import live
 
 #: Collections that no caller may write.
 RESERVED = frozenset({"system", "internal"})
+#: Parts that a collection's rows are dealt into by a hash; an upsert rewrites only those it falls into.
+BUCKETS = 64
 
 
 class CollectionMissingError(LookupError):
@@ -76,34 +81,128 @@ def distinct_chunks(chunks: DataFrame, by: Sequence[str] = ("file_path", "chunk_
     return chunks.withColumn("rn_", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_idx"))).where("rn_ = 1").drop("rn_")
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a new version directory beside the old one: readers of the old version are not disturbed."""
-    path = f"{root}/v={version:06d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def update_payload(points: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Points with the columns that changes (key, ...) gives for their key, all else as it is; a null there sets null."""
+    cols = [c for c in changes.columns if c != key]
+    new = changes.select(key, F.struct(*cols).alias("new_"))
+    out = points.join(new, key, "left")
+    return out.select(*(F.when(F.col("new_").isNotNull(), F.col(f"new_.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in points.columns))
+
+
+def delete_ids(points: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return points.join(ids.select(key).distinct(), key, "left_anti").select(*points.columns)
+
+
+def scroll(points: DataFrame, size: int = 512, key: str = "id", after: object = None) -> Iterator[tuple[list[Row], object]]:
+    """Pages of rows in key order, each with the offset to go on from; the last one's is None. An empty table has no page."""
+    while True:
+        rest = points if after is None else points.where(F.col(key) > F.lit(after))
+        page = rest.orderBy(key).limit(size + 1).collect()
+        more, page = len(page) > size, page[:size]
+        if not page:
+            return
+        after = page[-1][key] if more else None
+        yield page, after
+        if not more:
+            return
+
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer finished this version first; nothing of this write is visible."""
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(root)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().startswith("v=")) if fs.exists(place) else []
 
+def _fs(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    found = _versions(spark, root)
-    if not found:
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Finished versions of a collection, in order."""
+    place, fs = _fs(spark, f"{root}/_commits")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(place) if s.getPath().getName().isdigit()) if fs.exists(place) else []
+
+
+def _state(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    found = versions(spark, root)
+    if not found or version is not None and version not in found:
         raise CollectionMissingError(root)
-    return spark.read.parquet(f"{root}/{found[-1]}")
+    place, fs = _fs(spark, f"{root}/_commits/{found[-1] if version is None else version:09d}")
+    stream = fs.open(place)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, root: str, version: int, state: dict) -> None:
+    """Make a version visible by one file that may not exist yet; the second of two writers loses."""
+    place, fs = _fs(spark, f"{root}/_commits/{version:09d}")
+    # written beside its place first and renamed, so that no reader sees half a file
+    half, _ = _fs(spark, f"{root}/_commits/.{uuid.uuid4().hex}")
+    out = fs.create(half, False)
+    out.write(json.dumps(state).encode())
+    out.close()
+    if fs.exists(place) or not fs.rename(half, place):
+        fs.delete(half, False)
+        raise ConcurrentWriteError(f"{root} has a version {version} already")
+
 
+def read_latest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest finished version (or a given one); what an unfinished write left behind is never read."""
+    state = _state(spark, root, version)
+    schema = StructType.fromJson(state["schema"])
+    paths = [f"{root}/{p}" for p in state["parts"].values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id") -> int:
-    """Upsert into the versioned table in one write: a failure leaves the old version whole."""
+
+def exists(spark: SparkSession, root: str) -> bool:
+    return bool(versions(spark, root))
+
+
+def ensure(spark: SparkSession, root: str, schema: str | StructType) -> None:
+    """Make an empty collection where there is none."""
+    _writable(root)
+    if not exists(spark, root):
+        _publish(spark, root, 1, {"schema": json.loads(spark.createDataFrame([], schema).schema.json()), "parts": {}, "buckets": BUCKETS})
+
+
+def _writable(root: str) -> None:
     if root.rstrip("/").rsplit("/", 1)[-1] in RESERVED:
         raise PermissionError(root)
-    found = _versions(spark, root)
-    version = int(found[-1][2:]) + 1 if found else 1
-    write_version(upsert(read_latest(spark, root), new, key) if found else new, root, version)
+
+
+def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id", by: str | None = None, change: Callable[[DataFrame], DataFrame] | None = None, touched: DataFrame | None = None, replace: bool = False) -> int:
+    """Upsert into a collection as one new version: a failure leaves the old one whole.
+
+    Rows lie in buckets of the column `by` (the key, unless given; equal keys must have
+    equal ones), and only buckets that new or touched rows fall into are written again.
+    `change` is applied to those buckets' old rows first. With replace nothing old stays.
+    """
+    _writable(root)
+    found = versions(spark, root)
+    state = _state(spark, root, found[-1]) if found else {"parts": {}, "buckets": BUCKETS, "schema": None}
+    count, version, by = state["buckets"], (found[-1] if found else 0) + 1, by or key
+    bucket = F.pmod(F.xxhash64(by), F.lit(count)).cast("int")
+    rows, keep = new, {}
+    if found and not replace:
+        hit = new.select(bucket.alias("b"))
+        hit = hit if touched is None else hit.unionByName(touched.select(bucket.alias("b")))
+        hit = {str(r["b"]) for r in hit.distinct().collect()}
+        keep = {b: p for b, p in state["parts"].items() if b not in hit}
+        again = [f"{root}/{p}" for b, p in state["parts"].items() if b in hit]
+        if again:
+            old = spark.read.schema(StructType.fromJson(state["schema"])).parquet(*again)
+            rows = upsert(change(old) if change else old, new, key)
+    folder = f"data/{version:09d}-{uuid.uuid4().hex}"
+    rows.withColumn("bucket_", bucket).write.partitionBy("bucket_").parquet(f"{root}/{folder}")
+    place, fs = _fs(spark, f"{root}/{folder}")
+    written = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(place) if s.getPath().getName().startswith("bucket_=")}
+    schema = rows.schema if not found or replace else StructType([*rows.schema, *(f for f in StructType.fromJson(state["schema"]) if f.name not in rows.columns)])
+    try:
+        _publish(spark, root, version, {"schema": json.loads(schema.json()), "parts": keep | written, "buckets": count})
+    except ConcurrentWriteError:
+        fs.delete(place, True)
+        raise
     return version
 
 
@@ -116,8 +215,39 @@ def diff_schema(a: DataFrame, b: DataFrame) -> dict[str, tuple[str | None, str |
 def copy_table(spark: SparkSession, source: str, target: str) -> int:
     """Copy the latest version to a new table and count it there before anyone may drop the source."""
     df = read_latest(spark, source)
-    commit(spark, target, df)
+    commit(spark, target, df, replace=True)
     n = read_latest(spark, target).count()
     if n != df.count():
         raise RuntimeError("the copy is incomplete")
     return n
+
+
+def snapshot(spark: SparkSession, root: str) -> str:
+    """A copy of the latest version beside the collection; its path."""
+    path = f"{root.rstrip('/')}-snapshot-{versions(spark, root)[-1]:09d}"
+    if not exists(spark, path):
+        copy_table(spark, root, path)
+    return path
+
+
+def migrate(spark: SparkSession, source: str, target: str, mode: str = "coexist", yes: bool = False, owned: str = "memlake") -> str:
+    """coexist: an empty target beside the source. migrate: snapshot, copy, count, and only then drop the source. adopt: use the source as it is.
+
+    Returns the collection to use. migrate needs yes, and a target whose name begins with owned.
+    """
+    if mode == "adopt":
+        return source
+    if mode == "coexist":
+        ensure(spark, target, read_latest(spark, source).schema)
+        return target
+    if mode != "migrate":
+        raise ValueError(f"no such mode: {mode}")
+    if not yes:
+        raise PermissionError("migrate drops the source: it needs yes")
+    if not target.rstrip("/").rsplit("/", 1)[-1].startswith(owned):
+        raise PermissionError(f"{target} does not begin with {owned}")
+    snapshot(spark, source)
+    copy_table(spark, source, target)
+    place, fs = _fs(spark, source)
+    fs.delete(place, True)
+    return target

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -12,11 +13,17 @@ from pyspark.sql import functions as F
 
 from memlake.config import Config
 from memlake.functions import scalars as S
+from memlake.registry import register
+from memlake.shared import cut, small
 
 #: Queries of one block of the dense arm, and of one plan: their vectors are sent to every task, so this bounds them.
 QUERY_BLOCK, QUERY_LIMIT = 2_048, 65_536
-#: Query terms that may be broadcast; more go through a shuffle join.
-TERM_LIMIT = 200_000
+#: Corpus rows of one matrix product.
+ROW_BLOCK = 2_048
+#: Query terms that may be broadcast; more go through a shuffle join. Distinct ones that may be a literal set in the scan.
+TERM_LIMIT, FILTER_TERMS = 200_000, 20_000
+#: Fused candidates (ids, scores and the query's text) that may be broadcast to the corpus.
+FUSED_LIMIT = 100_000
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 
@@ -40,25 +47,17 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     block = list(islice(rows, QUERY_BLOCK))
     while True:
         ids = [r["qid"] for r in block]
-        q = np.array([r["vec"] for r in block], float)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(block) else q
+        q = _unit([r["vec"] for r in block]) if block else np.zeros((0, 1))
 
         def best(batches: Iterator[pd.DataFrame], q: np.ndarray = q, ids: list = ids) -> Iterator[pd.DataFrame]:
-            kept = [pd.DataFrame({"id": np.zeros(0, np.int64), "score": np.zeros(0)}) for _ in ids]
+            kept = Best(len(ids), n)
             for b in batches:
-                if not len(b) or not ids:
-                    continue
-                x = np.stack([np.asarray(v, float) for v in b["vec"]])
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                sims, own = np.round(q @ x.T, digits), b["id"].to_numpy()
-                top = np.argpartition(-sims, min(n, len(own)) - 1, axis=1)[:, : min(n, len(own))] if len(own) > 4 * n else np.tile(np.arange(len(own)), (len(ids), 1))
-                for j, at in enumerate(top):
-                    # all ties of the last place stay, as ids decide between them
-                    at = np.flatnonzero(sims[j] >= sims[j][at].min()) if len(own) > 4 * n else at
-                    part = pd.concat([kept[j], pd.DataFrame({"id": own[at], "score": sims[j][at]})])
-                    kept[j] = part.sort_values(["score", "id"], ascending=[False, True]).head(n)
-            if ids:
-                yield pd.concat([k.assign(qid=i) for k, i in zip(kept, ids, strict=True)])[["qid", "id", "score"]]
+                for i in range(0, len(b) if ids else 0, ROW_BLOCK):
+                    part = b.iloc[i : i + ROW_BLOCK]
+                    kept.add(np.round(q @ _unit(part["vec"]).T, digits), part["id"].to_numpy())
+            at, score, own = kept.rows()
+            if len(at):
+                yield pd.DataFrame({"qid": [ids[i] for i in at], "id": own, "score": score})
 
         kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *corpus.schema]}
         part = corpus.where("vec is not null").select("id", "vec").mapInPandas(best, f"qid {kind['qid']}, id {kind['id']}, score double")
@@ -67,26 +66,75 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
         if block and waiting + len(block) <= QUERY_LIMIT:
             continue
         if block or done is not None:  # more than one plan: this one ends here and lets its vectors go
-            some = ranked(out, n).localCheckpoint()
+            some = cut(ranked(out, n))
             done, out, waiting = some if done is None else done.unionByName(some), None, 0
         if not block:
             return ranked(out, n) if done is None else done
 
 
+def _unit(rows) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in rows])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+class Best:
+    """The n best of every query so far: by falling score, then id. Ties of the last place wait until ids decide."""
+
+    def __init__(self, queries: int, n: int) -> None:
+        self.n, self.least = n, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, max(100_000, 4 * queries * n)
+
+    def add(self, sims: np.ndarray, ids: np.ndarray) -> None:
+        bound = self.least
+        if sims.shape[1] > self.n:
+            bound = np.maximum(bound, np.partition(sims, -self.n, axis=1)[:, -self.n])
+        at, col = np.nonzero(sims >= bound[:, None])
+        self.held.append((at, sims[at, col], ids[col]))
+        self.size += len(at)
+        if self.size > self.most:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of what is kept."""
+        if not self.held:
+            return np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        at, score, own = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        by_id = np.argsort(own, kind="stable")
+        order = by_id[np.lexsort((-score[by_id], at[by_id]))]
+        at, score, own = at[order], score[order], own[order]
+        start = np.searchsorted(at, np.arange(len(self.least)))
+        place = np.arange(len(at)) - start[at]
+        last = np.flatnonzero(place == self.n - 1)
+        self.least[at[last]] = score[last]
+        keep = place < self.n
+        self.held = [(at[keep], score[keep], own[keep])]
+        self.size = int(keep.sum())
+        return self.held[0]
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int = 6) -> DataFrame:
     """(qid, id, score, rk): the n best by BM25; corpus (id, text), queries (qid, text).
 
-    Only words that some query asks for leave the scan; lengths and their mean come from
-    the same pass. The terms are broadcast while there are at most TERM_LIMIT.
+    Texts are split into words once. Of their words only those that some query asks for
+    are written on, and while these are at most FILTER_TERMS the others are left out before
+    words become rows. The queries' terms are broadcast while they are few enough.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(S.words(F.col("text")))).alias("term"))
+    terms = cut(queries.select("qid", F.explode(F.array_distinct(S.words(F.col("text")))).alias("term")))
     wanted = terms.select("term").distinct()
-    small = wanted.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
-    docs = corpus.select("id", S.words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    listed = wanted.limit(FILTER_TERMS + 1).collect()
+    words = S.words(F.coalesce("text", F.lit("")))
+    docs = corpus.select("id", words.alias("w")).withColumn("dl", F.size("w"))
+    few = len(listed) <= FILTER_TERMS
+    if few:
+        asked = [r["term"] for r in listed]
+        docs = docs.withColumn("w", F.filter("w", lambda x: x.isin(*asked)) if asked else F.array().cast("array<string>"))
+    docs = cut(docs)
     stats = docs.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
-    tf = docs.select("id", "dl", F.explode_outer("w").alias("term")).join(F.broadcast(wanted) if small else wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("id", "dl", F.explode("w").alias("term"))
+    tf = (tf if few else tf.join(small(wanted, TERM_LIMIT), "term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hit = tf.join(F.broadcast(df) if small else df, "term").join(F.broadcast(terms) if small else terms, "term").join(F.broadcast(stats))
+    hit = tf.join(small(df, TERM_LIMIT), "term").join(small(terms, TERM_LIMIT), "term").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return ranked(hit.groupBy("qid", "id").agg(F.round(F.sum(weight), digits).alias("score")), n)
@@ -107,24 +155,26 @@ def rescored(hits: DataFrame, factor: Column, digits: int = 9) -> DataFrame:
 
 
 def rerank(hits: DataFrame, scorer: Callable[[str, list[str]], list[float]], top_n: int = 50) -> DataFrame:
-    """Replace the scores of the first top_n hits by a scorer's; hits needs (query, text, rk).
+    """Replace the scores of the first top_n hits by a scorer's; hits needs (qid, id, query, text, rk, score).
 
     Where the scorer fails or gives another number of scores, a query keeps its fused
-    scores (rerank_score null). The list never grows.
+    scores: rerank_score is null and rerank_error names the error, so that callers can
+    count what fell back. The list never grows; columns of hits come back as they were.
     """
-    schema = "qid long, id long, rerank_score double"
+    kind = dict(hits.dtypes)
+    schema = f"qid {kind['qid']}, id {kind['id']}, rerank_score double, rerank_error string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rk").head(top_n)
+        pdf, error = pdf.sort_values("rk").head(top_n), None
         try:
             scores = [float(s) for s in scorer(pdf["query"].iloc[0], list(pdf["text"]))]
             if len(scores) != len(pdf) or not np.isfinite(scores).all():
                 raise ValueError("scores do not fit the candidates")
-        except Exception:  # a failing plug-in must not lose the query
-            scores = [None] * len(pdf)
-        return pd.DataFrame({"qid": pdf["qid"], "id": pdf["id"], "rerank_score": scores})
+        except Exception as e:  # a failing plug-in must not lose the query
+            scores, error = [None] * len(pdf), type(e).__name__
+        return pd.DataFrame({"qid": pdf["qid"], "id": pdf["id"], "rerank_score": scores, "rerank_error": error})
 
-    got = hits.groupBy("qid").applyInPandas(run, schema)
+    got = hits.where(F.col("rk") <= top_n).select("qid", "id", "rk", "query", "text").groupBy("qid").applyInPandas(run, schema)
     out = hits.join(got, ["qid", "id"], "left")
     order = Window.partitionBy("qid").orderBy(F.desc_nulls_last("rerank_score"), "rk")
     return out.withColumn("score", F.coalesce("rerank_score", "score")).withColumn("rk", F.row_number().over(order))
@@ -157,7 +207,7 @@ def greedy_dedup(hits: DataFrame, threshold: float = 0.97) -> DataFrame:
     """
     item = F.struct("rk", "id", F.col("vec").cast("array<double>").alias("vec"))
     lists = hits.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.expr("cast(array() as array<struct<rk:int,id:bigint,vec:array<double>>>)")
+    none = F.array().cast(lists.schema["items"].dataType)
     kept = F.aggregate("items", none, lambda acc, x: F.when(F.coalesce(x["vec"].isNotNull() & F.exists(acc, lambda k: cosine(k["vec"], x["vec"]) >= threshold), F.lit(False)), acc).otherwise(F.concat(acc, F.array(x))))
     ids = lists.select("qid", F.explode(F.transform(kept, lambda k: k["id"])).alias("id"))
     return hits.join(ids, ["qid", "id"], "left_semi")
@@ -186,10 +236,11 @@ def search(points: DataFrame, queries: DataFrame, *, where: Column | None = None
     plan = queries.select("qid", F.col("text").alias("query"), k_eff.alias("k_eff"))
     n = c.rerank_n if scorer else c.arm_n
     fused = rrf([dense_topk(kept.select("id", "vec"), asked.where("vec is not null"), n), bm25_topk(kept.select("id", "text"), asked, n)], c.rrf_k, None)
-    fused = fused.join(F.broadcast(plan), "qid").where(F.col("rk") <= F.greatest(2 * F.col("k_eff"), F.lit(10)))
-    hits = fused.join(kept, "id")
+    fused = cut(fused.join(small(plan.select("qid", "k_eff")), "qid").where(F.col("rk") <= F.greatest(2 * F.col("k_eff"), F.lit(10))))
+    # a query's few candidates go to the corpus, so texts and vectors of all others stay where they are read
+    hits = kept.join(small(fused, FUSED_LIMIT), "id")
     moment = F.lit(now).cast("timestamp")
-    hits = rerank(hits, scorer, c.rerank_n) if scorer else rescored(hits, S.recency(F.coalesce("updated_at", "valid_from"), moment, c.boost, c.boost_days))
+    hits = rerank(hits.join(plan.select("qid", "query"), "qid"), scorer, c.rerank_n) if scorer else rescored(hits, S.recency(F.coalesce("updated_at", "valid_from"), moment, c.boost, c.boost_days))
     if c.decay_enabled:
         hits = rescored(hits, F.when(F.col("chunker") == "transcript", S.decay(F.col("valid_from"), moment, c.decay_alpha, c.decay_half_life_days)).otherwise(F.lit(1.0)))
     hits = hash_dedup(hits) if c.content_dedup else hits
@@ -204,3 +255,35 @@ def search_response(hits: DataFrame, top_k: int, cap: int = 20, preview_chars: i
     text = F.lit("") if response_format == "concise" or preview_chars == 0 else S.preview(F.col("text"), preview_chars)
     return (hits.where((F.col("rk") <= k) & (F.length(F.trim("text")) > 0))
             .select("qid", "rk", "id", "score", text.alias("preview"), S.token_estimate(F.col("text")).alias("tokens"), "source", F.nullif("file_path", "source").alias("file_path"), F.lit(k if top_k > cap else None).cast("int").alias("clamped_to")))
+
+
+def _backend(arms: str = "both", expanded: bool = False, preview: bool = False) -> Callable[..., DataFrame]:
+    def run(points: DataFrame, queries: DataFrame, **how) -> DataFrame:
+        if arms != "both":
+            n = how.get("config", Config()).arm_n if how.get("config") else Config().arm_n
+            kept = points if how.get("where") is None else points.where(how["where"])
+            top = dense_topk(kept.select("id", "vec"), queries.where("vec is not null").select("qid", "vec"), n) if arms == "dense" else bm25_topk(kept.select("id", "text"), queries.select("qid", "text"), n)
+            return kept.join(small(cut(top), FUSED_LIMIT), "id")
+        asked = queries if expanded or "expanded_text" not in queries.columns else queries.drop("expanded_text")
+        found = search(points, asked, **how)
+        cap = (how.get("config") or Config()).preview_chars
+        return found.withColumn("preview", S.preview(F.col("text"), cap)) if preview else found
+
+    return run
+
+
+#: Backends by name: the whole search, with query expansion, with previews, and single arms.
+for _name, _made in {"tuned_hybrid": _backend(), "tuned_hybrid_hyde": _backend(expanded=True), "filtered_dense": _backend(preview=True), "dense": _backend("dense"), "bm25": _backend("bm25")}.items():
+    register("retrieval", _name)(_made)
+register("reranker", "lexical")(lexical_scorer)
+
+
+@register("embedder", "hashing")
+def hashing_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
+    """Unit vectors from hashed words: an embedder that needs no model."""
+    out = np.zeros((len(texts), dims))
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            out[i, h % dims] += 1.0 if h >> 63 else -1.0
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
+from memlake.shared import cut
+
+
+def _key() -> Column:
+    return F.concat_ws(":", F.coalesce("kind", F.lit("?")), F.coalesce(F.col("source").cast("string"), F.lit("?")))
 
 
 def usage_rollup(audit: DataFrame) -> DataFrame:
@@ -13,25 +18,66 @@ def usage_rollup(audit: DataFrame) -> DataFrame:
 
     All are sums, counts and extremes, so partial results merge: this is also the streaming aggregate.
     """
-    key = F.concat_ws(":", F.coalesce("kind", F.lit("?")), F.coalesce(F.col("source").cast("string"), F.lit("?"))).alias("key")
     t = F.coalesce("tokens", F.lit(0)).cast("long")
-    return audit.groupBy(key).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 6).alias("mean"))
+    return audit.groupBy(_key().alias("key")).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 6).alias("mean"))
+
+
+def placed_values(df: DataFrame, by: str, x: str) -> DataFrame:
+    """(by, x, lo, upto, n): the distinct values of each key with the places lo to upto - 1 that they take in its order.
+
+    Values are counted, then ordered within parts of an octave's sixteenth, whose sizes say
+    where a part begins. So no key is gathered or sorted in one task, however many rows it has.
+    """
+    part = lambda c: F.floor(16 * (F.log2(c) + 1100))
+    values = df.where(F.col(x).isNotNull()).groupBy(by, F.col(x).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    values = cut(values.withColumn("part", F.when(F.col("x") > 0, part(F.col("x"))).when(F.col("x") < 0, -part(-F.col("x"))).otherwise(F.lit(0)).cast("long")))
+    sizes = values.groupBy(by, "part").agg(F.sum("c").alias("size"))
+    key = Window.partitionBy(by)
+    sizes = sizes.withColumn("base", F.sum("size").over(key.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("n", F.sum("size").over(key)).drop("size")
+    order = Window.partitionBy(by, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.join(sizes, [by, "part"]).withColumn("upto", F.col("base") + F.sum("c").over(order))
+    return placed.select(by, "x", (F.col("upto") - F.col("c")).alias("lo"), "upto", "n")
+
+
+def _at(place: Column) -> Column:
+    """The value at a place of a key's order, as an aggregate over placed_values."""
+    return F.max(F.when((F.col("lo") <= place) & (place < F.col("upto")), F.col("x")))
+
 
+def indexed_percentile(p: float) -> Column:
+    """The value at index round-half-even(p * (n - 1)); no interpolation."""
+    return _at(F.rint(F.lit(p) * (F.col("n") - 1)))
 
-def indexed_percentile(x: str, p: float) -> Column:
-    """The value at index round-half-even(p * (n - 1)) of the sorted values; no interpolation, 0 if empty."""
-    n = F.count(x)
-    values = F.array_sort(F.collect_list(x))
-    return F.when(n > 0, F.element_at(values, (F.rint(F.lit(p) * (n - 1)).cast("int") + 1))).otherwise(F.lit(0.0))
+
+def linear_percentile(p: float) -> Column:
+    """Interpolated between the two nearest places."""
+    at = F.lit(p) * (F.col("n") - 1)
+    low, high = _at(F.floor(at)), _at(F.ceil(at))
+    return low + F.max(at - F.floor(at)) * (high - low)
 
 
 def usage_percentiles(df: DataFrame, by: str, x: str) -> DataFrame:
-    """The three definitions of p50 and p95 that reports use: indexed, interpolated, median and nearest rank."""
-    return df.groupBy(by).agg(
-        indexed_percentile(x, 0.5).alias("p50_indexed"), indexed_percentile(x, 0.95).alias("p95_indexed"),
-        F.round(F.percentile(x, 0.5), 6).alias("p50_linear"), F.round(F.percentile(x, 0.95), 6).alias("p95_linear"),
-        F.round(F.median(x), 6).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {x})").alias("p95_rank"),
+    """The definitions of percentiles that reports use: indexed, interpolated, median and nearest rank, and plain cuts of the sorted list.
+
+    Keys without values have 0 for the indexed ones and null for the others.
+    """
+    n = F.col("n")
+    found = placed_values(df, by, x).groupBy(by).agg(
+        indexed_percentile(0.5).alias("p50_indexed"), indexed_percentile(0.95).alias("p95_indexed"),
+        F.round(linear_percentile(0.5), 6).alias("p50_linear"), F.round(linear_percentile(0.95), 6).alias("p95_linear"),
+        F.round(linear_percentile(0.5), 6).alias("median"), _at(F.ceil(F.lit(0.95) * n) - 1).alias("p95_rank"),
+        _at(F.floor(n / 2)).alias("p50_cut"), _at(F.floor(F.lit(0.9) * n)).alias("p90_cut"),
     )
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("p50_indexed", "p95_indexed")}
+    return df.select(by).distinct().join(found, by, "left").withColumns(zero)
+
+
+def audit_report(audit: DataFrame) -> DataFrame:
+    """Per kind:source: calls, tokens, mean tokens, and the indexed 50th and 95th percentile of the latency; nulls count as 0, a missing kind or source as ?."""
+    rows = audit.select(_key().alias("key"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.coalesce("latency_ms", F.lit(0.0)).cast("double").alias("ms"))
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.avg("tokens"), 6).alias("mean"))
+    late = placed_values(rows, "key", "ms").groupBy("key").agg(indexed_percentile(0.5).alias("p50"), indexed_percentile(0.95).alias("p95"))
+    return sums.join(late, "key")
 
 
 def latency_tail(df: DataFrame, by: str, x: str, order: list[str], last: int = 100) -> DataFrame:
@@ -91,10 +137,25 @@ def hook_stats(rows: DataFrame, used: DataFrame, shadow_used: DataFrame) -> Data
         rate(F.count_if(some & (dd > 0)), ne).alias("repeat_rate"), rate(F.count_if(some & F.exists("chunks", lambda x: ~x["exists"])), ne).alias("stale_rate"),
         rate(F.count_if(some & F.col("target_is_code") & F.exists("chunks", lambda x: x["lang"] == "ru")), ne).alias("lang_mismatch_rate"),
         rate(F.count_if(candidate & (dd > 0)), ca).alias("dedup_suppressed_rate"), rate(F.count_if(candidate & (st > 0)), ca).alias("stale_dropped_rate"),
-        rate(F.count_if(F.coalesce("shadow_used", F.lit(False))), sh).alias("shadow_use_rate"),
+        rate(F.count_if(F.coalesce("shadow_used", F.lit(False))), sh).alias("shadow_use_rate"), u.alias("used_events"), sh.alias("shadow_rows"),
     )
 
 
+def journal_stats(journal: DataFrame, events: DataFrame, now: Column, days: float = 7.0) -> DataFrame:
+    """hook_stats of a journal's window, and the search channel's own summary as the struct mcp.
+
+    journal: (row_id, ts timestamp, session, target, kind, chunks, deduped, dropped.stale,
+    shadow.chunks); events as for used_later. Rows without a readable time are left out, and
+    rows of the search channel do not count for the hook's rates.
+    """
+    rows = journal.where(F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400)))
+    hook = rows.where(F.coalesce("kind", F.lit("")) != "mcp")
+    flat = lambda chunks: hook.select("row_id", "session", "ts", F.explode(chunks).alias("c")).select("row_id", "session", "ts", F.col("c.source").alias("source"))
+    shaped = hook.select("row_id", "chunks", "deduped", F.col("dropped.stale").alias("stale"), S.is_code_target(F.col("target")).alias("target_is_code"), F.col("shadow.chunks").alias("shadow_chunks"))
+    stats = hook_stats(shaped, used_later(flat(F.col("chunks")), events), used_later(flat(F.col("shadow.chunks")), events))
+    return stats.join(F.broadcast(channel_summary(rows.where("kind = 'mcp'")).select(F.struct("*").alias("mcp"))))
+
+
 def tag_drops(chunks: DataFrame, in_project: Column, min_score: float, exists: Column, seen: DataFrame) -> DataFrame:
     """Each chunk's first reason to go, in the chain's order: foreign, floor, stale, deduped; null if it stays.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
@@ -18,7 +20,8 @@ JOURNAL = f"ts string, session string, target string, query string, rerank strin
 CODE_SUFFIXES = (".py", ".ts", ".md")
 TOP_NAMES = ("README.md", "CHANGELOG.md", "AGENTS.md", "llms.txt")
 LEFT_OUT_FIRST = ("tests", "dist", "build", ".planning", ".gsd")
-LEFT_OUT_NAMES = (r"^test_.*\.py$", r"_test\.py$", r"\.lock$", r"\.generated\.")
+LEFT_OUT_NAMES = ("test_*.py", "*_test.py", "*.lock", "*.generated.*")
+SUFFIXES = (".md", ".jsonl")
 TRANSCRIPT_TYPES = ("user", "assistant", "system", "summary")
 
 
@@ -32,18 +35,55 @@ def since(text: str) -> timedelta | None:
     return timedelta(**{"days" if m[2] == "d" else "hours": int(m[1])})
 
 
-def read_files(spark: SparkSession, root: str, exclude: Sequence[str] = (), modified: str = "0", now: datetime | None = None) -> DataFrame:
-    """(path, mtime, text, sha) of markdown and transcript files below root, each once, invalid UTF-8 replaced.
+def plain_path(path: Column) -> Column:
+    """A path of the local file system without its scheme; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
-    The suffix and age conditions reach the file listing, so contents of other files are
-    not read.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,jsonl}")
+
+def below(path: Column, roots: Sequence[str]) -> Column:
+    """A path relative to the longest of the roots that holds it; a root that is a file, to its folder; else as it is."""
+    out = path
+    folders = {x.rsplit("/", 1)[0] if x.endswith(SUFFIXES) else x.rstrip("/") for x in roots}
+    for r in sorted(folders, key=len):
+        out = F.when(path.startswith(r + "/"), F.substring(path, F.lit(len(r) + 2), F.length(path))).otherwise(out)
+    return out
+
+
+def _files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str], modified: str, now: datetime | None, base: str | None) -> DataFrame:
+    given = [sources] if isinstance(sources, str) else list(sources)
+    given = [re.sub("^file:/+", "/", x).rstrip("/") for x in given]
+    # a source inside another one would be read twice
+    given = sorted({x for x in given if not any(x != y and x.startswith(y + "/") for y in given)})
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(SUFFIXES) + "}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if (window := since(modified)) is not None:
         reader = reader.option("modifiedAfter", ((now or datetime.now()) - window).strftime("%Y-%m-%dT%H:%M:%S"))
-    df = reader.load(root)
+    df = reader.load(given).withColumn("path", plain_path(F.col("path")))
+    return df.where(~S.excluded(below(F.col("path"), [base] if base else given), exclude))
+
+
+def read_files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str] = (), modified: str = "0", now: datetime | None = None, base: str | None = None) -> DataFrame:
+    """(path, mtime, text, sha) of markdown and transcript files of the sources (files, or folders at any depth), each once.
+
+    Excludes are globs over paths relative to the base, or else to the source. The suffix
+    and age conditions reach the file listing, so contents of other files are not read.
+    Invalid UTF-8 is replaced. Files that cannot be read are left out: see unread.
+    """
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return df.where(~S.excluded(F.col("path"), exclude)).select("path", F.col("modificationTime").alias("mtime"), text.alias("text"), F.sha2("content", 256).alias("sha"))
+    return _files(spark, sources, exclude, modified, now, base).select("path", F.col("modificationTime").alias("mtime"), text.alias("text"), F.sha2("content", 256).alias("sha"))
+
+
+def unread(spark: SparkSession, files: DataFrame, sources: str | Sequence[str], **how) -> DataFrame:
+    """(path) of listed files that read_files (files) could not read; the listing reads no contents."""
+    options = {"exclude": (), "modified": "0", "now": None, "base": None} | how
+    return _files(spark, sources, **options).select("path").join(files.select("path"), "path", "left_anti")
+
+
+def tail_lines(files: DataFrame, cap: int = 256 * 1024) -> DataFrame:
+    """(path, pos, line) of texts (path, text): the lines that begin within the last cap bytes; all lines of shorter texts."""
+    lines = files.select("path", F.octet_length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))
+    return lines.withColumn("start", start).where((F.col("size") <= cap) | (F.col("start") > F.col("size") - cap)).select("path", "pos", "line")
 
 
 def transcript_lines(files: DataFrame) -> DataFrame:
@@ -52,9 +92,10 @@ def transcript_lines(files: DataFrame) -> DataFrame:
     Blank lines and unknown types are skipped, a broken last line is dropped, a broken line
     before it or one that is no object raises.
     """
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    last = lines.groupBy("path").agg(F.max("pos").alias("last"))
-    parsed = lines.join(last, "path").withColumn("event", F.try_parse_json("line"))
+    split = F.split("text", "\n")
+    last = F.array_max(F.transform(split, lambda x, i: F.when(F.trim(x) != "", i)))
+    lines = files.select("path", last.alias("last"), F.posexplode(split).alias("pos", "line")).where(F.trim("line") != "")
+    parsed = lines.withColumn("event", F.try_parse_json("line"))
     shape = F.schema_of_variant("event").startswith("OBJECT")
     bad = F.raise_error(F.concat(F.lit("broken transcript line "), F.col("pos").cast("string"), F.lit(" of "), F.col("path")))
     kind = F.try_variant_get("event", "$.type", "string")
@@ -68,11 +109,24 @@ def read_log(spark: SparkSession, path: str, schema: str = AUDIT) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_records(spark: SparkSession, path: str, axes: Mapping[str, str]) -> DataFrame:
-    """Long-memory records of JSON lists with their axis normalised; unknown axes are dropped."""
-    alias = spark.createDataFrame(list(axes.items()), "question_type string, axis string")
-    schema = "question_id string, question_type string, question string, answer string, answer_session_ids array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>"
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).join(F.broadcast(alias), "question_type")
+RECORD = "struct<question_id:string,question_type:string,question:string,answer:string,answer_session_ids:array<string>,haystack_session_ids:array<string>,haystack_sessions:array<array<struct<role:string,content:string>>>>"
+
+
+def parse_records(texts: DataFrame, axes: Mapping[str, str]) -> DataFrame:
+    """Long-memory records of JSON texts (value), lists of records or objects of them, with their axis; unknown axes and broken texts are dropped."""
+    alias = F.create_map(*(F.lit(x) for pair in axes.items() for x in pair)) if axes else F.lit(None).cast("map<string,string>")
+    listed = F.from_json("value", f"array<{RECORD}>")
+    named = F.map_values(F.from_json("value", f"map<string,{RECORD}>"))
+    rec = texts.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(named)).alias("r")).select("r.*")
+    return rec.withColumn("axis", alias[F.col("question_type")]).where("axis is not null and question_id is not null")
+
+
+def read_records(spark: SparkSession, path: str, axes: Mapping[str, str], fallback: DataFrame | None = None) -> DataFrame:
+    """Records of all JSON files below a path; where there are none, those of the fallback's texts (value)."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    if fallback is not None and files.isEmpty():
+        files = fallback
+    return parse_records(files, axes)
 
 
 def haystack(records: DataFrame) -> DataFrame:
@@ -88,8 +142,8 @@ def corpus_path(path: Column) -> Column:
     name = F.element_at(parts, -1)
     taken = path.rlike("(" + "|".join(re.escape(s) for s in CODE_SUFFIXES) + ")$") | path.isin(*TOP_NAMES)
     out = parts[0].isin(*LEFT_OUT_FIRST) | F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), "tests") | F.array_contains(parts, "__pycache__")
-    for pattern in LEFT_OUT_NAMES:
-        out = out | name.rlike(pattern)
+    for glob in LEFT_OUT_NAMES:
+        out = out | name.rlike(S.glob_pattern(glob))
     return taken & ~out
 
 
@@ -102,14 +156,56 @@ def git_log(text: DataFrame) -> DataFrame:
 
 
 def content_digest(files: DataFrame) -> str:
-    """One SHA-256 of a tree: over the sorted paths and the contents' digests, so contents stay where they are."""
-    row = files.select("path", "sha").agg(F.array_sort(F.collect_list(F.struct("path", "sha"))).alias("x")).select(F.sha2(F.array_join(F.transform("x", lambda x: F.concat(x["path"], F.lit("\u0000"), x["sha"])), "\u0000"), 256).alias("d")).first()
-    return row["d"]
+    """One SHA-256 of a tree (path, content binary or text): each path and its content, both ended by a zero byte, in path order.
 
+    A hash of a sequence has to see it in sequence: contents are streamed to the driver, a row at a time.
+    """
+    h = hashlib.sha256()
+    for r in files.select("path", F.col("content").cast("binary").alias("content")).repartitionByRange("path").sortWithinPartitions("path").toLocalIterator():
+        h.update(r["path"].encode() + b"\0" + bytes(r["content"]) + b"\0")
+    return h.hexdigest()
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, target, sha) of a manifest in JSON: nested by target, or the older flat form (target prod)."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("path", "v")).where(~F.col("path").startswith("__"))
-    nested = raw.where(F.col("v").startswith("{")).select("path", F.explode(F.from_json("v", "map<string,string>")).alias("target", "sha")).where(~F.col("target").endswith("_epoch"))
-    flat = raw.where(~F.col("v").startswith("{")).select("path", F.lit("prod").alias("target"), F.col("v").alias("sha"))
+
+#: Keys of a manifest that are no paths, and its suffix of epochs.
+TRANSCRIPTS, EPOCH = "__transcripts__", "_epoch"
+
+
+def parse_manifest(texts: DataFrame) -> DataFrame:
+    """(path, target, sha, epoch) of manifests in JSON (value): nested by target, or the older flat form (target prod)."""
+    raw = texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("path", "v")).where(~(F.col("path").startswith("__") & F.col("path").endswith("__")))
+    nested = raw.where(F.col("v").startswith("{")).select("path", F.from_json("v", "map<string,string>").alias("m"))
+    nested = nested.select("path", "m", F.explode("m").alias("target", "sha")).where(~F.col("target").endswith(EPOCH) & (F.col("sha") != ""))
+    nested = nested.select("path", "target", "sha", F.element_at("m", F.concat("target", F.lit(EPOCH))).alias("epoch"))
+    flat = raw.where(~F.col("v").startswith("{")).select("path", F.lit("prod").alias("target"), F.col("v").alias("sha"), F.lit(None).cast("string").alias("epoch"))
     return nested.unionByName(flat)
+
+
+def parse_manifest_messages(texts: DataFrame) -> DataFrame:
+    """(session, message, content_hash, epoch) of the transcripts that manifests in JSON (value) hold."""
+    kept = F.from_json(F.get_json_object("value", f"$.{TRANSCRIPTS}"), "map<string,map<string,struct<content_hash:string,indexed_at:string,epoch:string>>>")
+    flat = texts.select(F.explode(kept).alias("session", "m")).select("session", F.explode("m").alias("message", "x"))
+    return flat.select("session", "message", F.coalesce("x.content_hash", F.lit("")).alias("content_hash"), "x.epoch")
+
+
+def parse_manifest_settings(texts: DataFrame) -> DataFrame:
+    """(key, value) of a manifest's reserved keys but for the transcripts."""
+    raw = texts.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+    return raw.where(F.col("key").startswith("__") & F.col("key").endswith("__") & (F.col("key") != TRANSCRIPTS))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path, wholetext=True))
+
+
+def manifest_json(manifest: DataFrame, settings: Mapping[str, str] | None = None) -> str:
+    """A manifest (path, target, sha, epoch) in its JSON form, keys in order; epochs and settings that are null are left out.
+
+    For interchange: the rows are streamed to the driver, which writes one file of them.
+    """
+    out: dict[str, object] = {k: v for k, v in (settings or {}).items() if v is not None}
+    for r in manifest.toLocalIterator():
+        entry = out.setdefault(r["path"], {"prod": "", "tuned": ""})
+        entry[r["target"]] = r["sha"]
+        if r["epoch"] is not None:
+            entry[r["target"] + EPOCH] = r["epoch"]
+    return json.dumps(out, indent=2, sort_keys=True)

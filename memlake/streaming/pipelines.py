@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from memlake.functions.scalars import same_target
 from memlake.operators.telemetry import usage_rollup
+from memlake.operators.turns import SKIPPED
 from memlake.sources.readers import AUDIT
 
 running_usage = usage_rollup  # sums, counts and extremes: the batch aggregate is the streaming one (update mode)
@@ -44,37 +46,118 @@ def session_usage(events: DataFrame, gap: str = "30 minutes", late: str = "1 hou
 
 
 def later_use(chunks: DataFrame, events: DataFrame, hours: int = 24) -> DataFrame:
-    """Chunks whose file a later event of the session touches, as a stream-stream semi join within the watermarks."""
+    """Chunks whose file a later event of the session works on, as a stream-stream semi join within the watermarks: the batch rule's paths."""
     c = chunks.withWatermark("ts", f"{hours} hours").alias("c")
-    e = events.withWatermark("ets", f"{hours} hours").select(F.col("session").alias("es"), "ets", F.element_at(F.split("path", "/"), -1).alias("ebase")).alias("e")
-    on = F.expr(f"c.session = e.es and element_at(split(c.source, '/'), -1) = e.ebase and e.ets > c.ts and e.ets <= c.ts + interval {hours} hours")
+    e = events.withWatermark("ets", f"{hours} hours").select(F.col("session").alias("es"), "ets", "path", F.element_at(F.split("path", "/"), -1).alias("ebase")).alias("e")
+    on = F.expr(f"c.session = e.es and element_at(split(c.source, '/'), -1) = e.ebase and e.ets > c.ts and e.ets <= c.ts + interval {hours} hours") & same_target(F.col("e.path"), F.col("c.source"))
     return c.join(e, on, "left_semi")
 
 
 class TurnPairing(StatefulProcessor):
-    """Pairs the turns of a session as its events arrive: a pair leaves when the next user event comes."""
+    """Pairs the turns of a session as its events arrive: a pair leaves when the next user event comes, the last one when the session falls silent."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "turn long, user_pos long, answers array<long>")
+        self.handle = handle
+        self.open = handle.getValueState("open", "turn long, user_pos long, answers array<long>, timer long")
+
+    def _row(self, key: Any, turn: int, user: int, answers: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], turn, user, answers)], columns=["session", "turn_index", "user_pos", "assistant_pos"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turn, user, answers = self.open.get() if self.open.exists() else (-1, None, [])
+        turn, user, answers, timer = self.open.get() if self.open.exists() else (-1, None, [], None)
         answers, out = list(answers or []), []
         events = pd.concat(list(rows)).sort_values("pos")
         for pos, kind in zip(events["pos"], events["type"], strict=True):
             if kind == "user":
                 if user is not None:
-                    out.append((key[0], turn, user, answers))
+                    out.append(self._row(key, turn, user, answers))
                 turn, user, answers = turn + 1, int(pos), []
             elif kind == "assistant" and user is not None:
                 answers.append(int(pos))
-        self.open.update((turn, user, answers))
-        yield pd.DataFrame(out, columns=["session", "turn_index", "user_pos", "assistant_pos"])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = int(events["ts"].max().timestamp() * 1000) + self.idle_ms
+        self.handle.registerTimer(timer)
+        self.open.update((turn, user, answers, timer))
+        yield from out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.open.exists():
+            turn, user, answers, _ = self.open.get()
+            self.open.clear()
+            if user is not None:
+                yield self._row(key, turn, user, list(answers or []))
+
+    def close(self) -> None:
+        pass
+
+
+def turn_stream(events: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(session, turn_index, user_pos, assistant_pos) of a stream (session, pos, type, ts, optional isSidechain).
+
+    Side chains and types that are no turns are left out. A session's state goes when it has
+    been silent for the idle time; turns that come after that are counted from 0 again.
+    """
+    kept = events.where(~F.col("type").isin(*SKIPPED))
+    if "isSidechain" in events.columns:
+        kept = kept.where(~F.coalesce("isSidechain", F.lit(False)))
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    schema = "session string, turn_index long, user_pos long, assistant_pos array<long>"
+    return kept.select("session", "pos", "type", "ts").withWatermark("ts", late).groupBy("session").transformWithStateInPandas(TurnPairing(ms), schema, "Append", "EventTime")
+
+
+class SessionMemory(StatefulProcessor):
+    """The first row of each key of a session; the whole memory goes once the session was silent for its time, and every row puts that off."""
+
+    def __init__(self, ttl_ms: int, most: int) -> None:
+        self.ttl_ms, self.most = ttl_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "key string", "ts long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = pd.concat(list(rows)).sort_values(["ts", "id"])
+        at = self.timer.get()[0] if self.timer.exists() else None
+        out = []
+        for k, ts, i in zip(events["key"], events["ts"], events["id"], strict=True):
+            now = int(ts.timestamp() * 1000)
+            if at is not None and now > at:
+                self.seen.clear()
+            if not self.seen.containsKey((k,)):
+                out.append((key[0], k, ts, i))
+                self.seen.updateValue((k,), (now,))
+            end = now + self.ttl_ms
+            if at is not None and end > at:
+                self.handle.deleteTimer(at)
+            if at is None or end > at:
+                at = end
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        known = sorted(k[0] for k in self.seen.keys())
+        for k in known[: max(0, len(known) - self.most)]:
+            self.seen.removeKey((k,))
+        if out:
+            yield pd.DataFrame(out, columns=["session", "key", "ts", "id"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        self.timer.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def turn_stream(events: DataFrame) -> DataFrame:
-    """(session, turn_index, user_pos, assistant_pos) of a stream (session, pos, type)."""
-    return events.groupBy("session").transformWithStateInPandas(TurnPairing(), "session string, turn_index long, user_pos long, assistant_pos array<long>", "Append", "None")
+def session_memory(rows: DataFrame, hours: float = 24, most: int = 2000, late: str = "10 minutes") -> DataFrame:
+    """(session, key, ts, id) of rows (session, key, ts, id) that their session had not seen: exact, with one lifetime a session.
+
+    The memory of a session keeps its `most` greatest keys, as its stored form does.
+    """
+    df = rows.select("session", "key", "ts", "id").withWatermark("ts", late).groupBy("session")
+    schema = f"session string, key string, ts timestamp, id {dict(rows.dtypes)['id']}"
+    return df.transformWithStateInPandas(SessionMemory(int(hours * 3_600_000), most), schema, "Append", "EventTime")

@@ -63,6 +63,40 @@ def test_versions(spark, tmp_path):
     assert ingest.copy_table(spark, root, str(tmp_path / "d")) == 3
     with pytest.raises(PermissionError):
         ingest.commit(spark, str(tmp_path / "system"), spark.range(1))
+    # what an unfinished write leaves behind is neither read nor in the way
+    (tmp_path / "c" / "data" / "000000003-left").mkdir()
+    assert ingest.read_latest(spark, root).count() == 3 and ingest.read_latest(spark, root, 1).count() == 2
+    assert ingest.commit(spark, root, spark.createDataFrame([(4, "e", 1)], "id int, x string, y int")) == 3
+    assert sorted(map(tuple, ingest.read_latest(spark, root).collect()))[-1] == (4, "e", 1) and ingest.read_latest(spark, root).columns == ["id", "x", "y"]
+    # only buckets with new rows are written again
+    before, after = (ingest._state(spark, root, v)["parts"] for v in (2, 3))
+    assert sum(before.get(b) != p for b, p in after.items()) == 1
+    # the second of two writers of one version loses, and its files go
+    with pytest.raises(ingest.ConcurrentWriteError):
+        ingest._publish(spark, root, 3, {})
+    old = ingest.versions
+    try:
+        ingest.versions = lambda spark, root: old(spark, root)[:-1]
+        with pytest.raises(ingest.ConcurrentWriteError):
+            ingest.commit(spark, root, spark.createDataFrame([(9, "z")], "id int, x string"))
+    finally:
+        ingest.versions = old
+    assert ingest.read_latest(spark, root).count() == 4
+    ingest.ensure(spark, str(tmp_path / "e"), "id int, x string")
+    assert ingest.read_latest(spark, str(tmp_path / "e")).count() == 0
+    p = ingest.read_latest(spark, root).drop("y")
+    assert {(r["id"], r["x"]) for r in ingest.update_payload(p, spark.createDataFrame([(1, "new"), (3, None)], "id int, x string")).collect()} == {(1, "new"), (2, "c"), (3, None), (4, "e")}
+    assert sorted(r["id"] for r in ingest.delete_ids(p, spark.createDataFrame([(1,), (7,)], "id int")).collect()) == [2, 3, 4]
+    pages = list(ingest.scroll(p, 2))
+    assert [([r["id"] for r in page], at) for page, at in pages] == [([1, 2], 2), ([3, 4], None)] and list(ingest.scroll(p.limit(0), 2)) == []
+    with pytest.raises(PermissionError):
+        ingest.migrate(spark, root, str(tmp_path / "memlake-x"), "migrate")
+    with pytest.raises(PermissionError):
+        ingest.migrate(spark, root, str(tmp_path / "other"), "migrate", yes=True)
+    assert ingest.migrate(spark, root, str(tmp_path / "co")) == str(tmp_path / "co") and ingest.read_latest(spark, str(tmp_path / "co")).count() == 0 and ingest.migrate(spark, root, "x", "adopt") == root
+    copy = ingest.copy_table(spark, root, str(tmp_path / "src"))
+    moved = ingest.migrate(spark, str(tmp_path / "src"), str(tmp_path / "memlake-x"), "migrate", yes=True)
+    assert ingest.read_latest(spark, moved).count() == copy == ingest.read_latest(spark, str(tmp_path / "src-snapshot-000000001")).count() and not ingest.exists(spark, str(tmp_path / "src"))
     assert ingest.diff_schema(spark.range(1), spark.createDataFrame([("x",)], "id string")) == {"id": ("bigint", "string")}
 
 
@@ -94,7 +128,7 @@ def test_files_and_transcripts(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"ok \xff")
     (tmp_path / "sub" / "t.jsonl").write_text("\n".join([line("user", message={"content": "hi"}), "", line("weird"), line("assistant", message={"content": [{"type": "text"}]}), '{"type": "us']))
     (tmp_path / "c.txt").write_text("no")
-    files = readers.read_files(spark, str(tmp_path), exclude=["*/never/*"])
+    files = readers.read_files(spark, str(tmp_path), exclude=["never/*"])
     assert sorted(r["path"].rsplit("/", 1)[-1] for r in files.collect()) == ["a.md", "t.jsonl"]
     assert files.where("path like '%a.md'").first()["text"] == "ok \ufffd"
     got = readers.transcript_lines(files.where("path like '%.jsonl'")).orderBy("pos").collect()
@@ -105,7 +139,10 @@ def test_files_and_transcripts(spark, tmp_path):
     assert readers.since("0") is None and readers.since("2d").days == 2
     with pytest.raises(ValueError):
         readers.since("2w")
-    assert len(readers.content_digest(files)) == 64
+    import hashlib
+
+    tree = spark.createDataFrame([("b", "2"), ("a", "é")], "path string, content string").repartition(2)
+    assert readers.content_digest(tree) == hashlib.sha256(b"a\0" + "é".encode() + b"\0b\0002\0").hexdigest()
 
 
 def test_logs_records_manifest(spark, tmp_path):
@@ -118,7 +155,17 @@ def test_logs_records_manifest(spark, tmp_path):
     assert [r["axis"] for r in records.collect()] == ["facts"]
     assert sorted((r["session_id"], r["turn"], r["document"]) for r in readers.haystack(records).collect()) == [("s1", 0, "user: x"), ("s2", 0, "user: y")]
     (tmp_path / "m.json").write_text(json.dumps({"a": "sha1", "b": {"prod": "x", "tuned": "y", "prod_epoch": "e"}, "__gate__": "z"}))
-    assert sorted(tuple(r) for r in readers.read_manifest(spark, str(tmp_path / "m.json")).collect()) == [("a", "prod", "sha1"), ("b", "prod", "x"), ("b", "tuned", "y")]
+    assert sorted(tuple(r) for r in readers.read_manifest(spark, str(tmp_path / "m.json")).collect()) == [("a", "prod", "sha1", None), ("b", "prod", "x", "e"), ("b", "tuned", "y", None)]
+    (tmp_path / "m2.json").write_text(readers.manifest_json(readers.read_manifest(spark, str(tmp_path / "m.json")), {"__gate__": "z", "__none__": None}))
+    assert sorted(map(str, readers.read_manifest(spark, str(tmp_path / "m2.json")).collect())) == sorted(map(str, readers.read_manifest(spark, str(tmp_path / "m.json")).collect())) and "__none__" not in (tmp_path / "m2.json").read_text()
+    text = spark.read.text(str(tmp_path / "m2.json"), wholetext=True)
+    assert [tuple(r) for r in readers.parse_manifest_settings(text).collect()] == [("__gate__", "z")]
+    heard = spark.createDataFrame([(json.dumps({"__transcripts__": {"s": {"m": {"content_hash": "h", "indexed_at": "t", "epoch": "e"}, "n": {}}}}),)], "value string")
+    assert sorted(map(tuple, readers.parse_manifest_messages(heard).select("session", "message", "content_hash").collect())) == [("s", "m", "h"), ("s", "n", "")] and readers.parse_manifest(heard).count() == 0
+    named = spark.createDataFrame([(json.dumps({"k": rec[0]}),), ("{broken",)], "value string")
+    assert [r["question_id"] for r in readers.parse_records(named, {"single": "facts"}).collect()] == ["1"]
+    (tmp_path / "empty").mkdir()
+    assert readers.read_records(spark, str(tmp_path / "empty"), {"single": "facts"}, fallback=named).count() == 1
     log = readers.git_log(spark.createDataFrame([("\u001eabc\tFix it\nsrc/a.py\n\n\u001edef\tMore\n",)], "value string")).collect()
     assert [(r["sha"], r["title"], r["files"]) for r in log] == [("abc", "Fix it", ["src/a.py"]), ("def", "More", [])]
 

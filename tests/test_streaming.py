@@ -45,10 +45,21 @@ def test_later_use(spark, tmp_path):
 
 
 def test_turn_stream(spark, tmp_path):
-    rows = [("s", 0, "assistant"), ("s", 1, "user"), ("s", 2, "assistant"), ("s", 3, "user"), ("s", 4, "assistant"), ("s", 5, "user")]
-    df = source(spark, tmp_path, [rows], "session string, pos long, type string")
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("s", 0, "assistant", at(0), False), ("s", 1, "user", at(1), False), ("s", 2, "assistant", at(2), False), ("s", 3, "assistant", at(2), True), ("s", 4, "summary", at(3), False), ("s", 5, "user", at(3), False), ("s", 6, "assistant", at(4), False)]
+    later = [("t", 0, "user", at(600), False)]
+    df = source(spark, tmp_path, [rows, later], "session string, pos long, type string, ts timestamp, isSidechain boolean")
+    df = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run(P.turn_stream(df), "append", tmp_path, "turns")
-    assert sorted((r["turn_index"], r["user_pos"], r["assistant_pos"]) for r in got) == [(0, 1, [2]), (1, 3, [4])]
+    assert sorted((r["session"], r["turn_index"], r["user_pos"], r["assistant_pos"]) for r in got) == [("s", 0, 1, [2]), ("s", 1, 5, [6])]  # the last pair leaves as the session is silent
+
+
+def test_session_memory(spark, tmp_path):
+    h = lambda n: T0 + timedelta(hours=n)
+    rows = [("s", "k", h(0), 1), ("s", "k", h(23), 2), ("s", "l", h(23), 3), ("s", "k", h(46), 4), ("s", "k", h(71), 5), ("t", "k", h(1), 6)]
+    df = source(spark, tmp_path, [rows], "session string, key string, ts timestamp, id long", "mem")
+    got = run(P.session_memory(df), "append", tmp_path, "memory")
+    assert sorted(r["id"] for r in got) == [1, 3, 5, 6]  # every row puts the session's end off
 
 
 def test_newest(spark):
