@@ -114,15 +114,20 @@ def stratified(df: DataFrame, by: Sequence[str], target: int, id_col: str = "id"
 
     A window with a limit finds a bucket's first rows, so no bucket is sorted as a whole.
     """
-    h = F.xxhash64(F.lit(seed), id_col)
+    h = seeded_order(seed, F.col(id_col))
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(h, id_col))
     placed = df.withColumn("rn_", rn).where(F.col("rn_") <= target).join(small(stratified_quota(df, by, target).drop("n")), list(by))
     return placed.orderBy((F.col("rn_") > F.col("quota")).cast("int"), "rn_", h, id_col).limit(target).drop("rn_", "quota")
 
 
+def seeded_order(seed: int, *of: Column) -> Column:
+    """A hash to order or draw by that any engine can recompute: the MD5 of seed and values joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in of)))
+
+
 def smoke_subset(records: DataFrame, per_axis: int = 2, seed: int = 0, axis: str = "axis", id_col: str = "id") -> DataFrame:
     """(id, axis) of a few records of each axis, the first by a seeded hash; smaller axes go in whole."""
-    rn = F.row_number().over(Window.partitionBy(axis).orderBy(F.xxhash64(F.lit(seed), id_col), id_col))
+    rn = F.row_number().over(Window.partitionBy(axis).orderBy(seeded_order(seed, F.col(id_col)), id_col))
     return records.withColumn("rn_", rn).where(F.col("rn_") <= per_axis).select(F.col(id_col).alias("id"), F.col(axis).alias("axis")).orderBy("axis", "id")
 
 
@@ -140,7 +145,7 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42)
     d = pairs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", (F.col("a") - F.col("b")).alias("d")))), lambda x: x["d"]).alias("d"))
     draws = pairs.sparkSession.range(resamples).join(F.broadcast(d))
     n = F.size("d")
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("d", (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), n) + 1).cast("int")))
+    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("d", (F.conv(F.substring(seeded_order(seed, F.col("id"), i), 1, 8), 16, 10).cast("long") % n + 1).cast("int")))
     ci = draws.where(n > 0).select((total / n).alias("m")).agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
     mean = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("delta"))
     return mean.join(F.broadcast(ci)).withColumn("verdict", verdict(F.col("ci_lower"), F.col("ci_upper")))

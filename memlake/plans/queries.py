@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.config import Config
 from memlake.functions import predicates
 from memlake.functions import scalars as S
-from memlake.operators import admin, chunkers, evaluation, ingest, retrieval, telemetry, turns
+from memlake.operators import admin, evaluation, ingest, retrieval, telemetry, turns
+from memlake.registry import lookup
+from memlake.shared import cut, small
 from memlake.sources import readers, sinks
 from memlake.streaming import pipelines
 
@@ -131,8 +133,13 @@ def q_hybrid_filtered(spark, sf_dir):
     return retrieval.rrf([retrieval.dense_topk(v, q.where("vec is not null").select("qid", "vec")), retrieval.bm25_topk(kept, q.select("qid", "text"))])
 
 
-def boosted(spark, sf_dir):
-    hits = bm25(spark, sf_dir).join(points(spark, sf_dir), "id")
+def with_points(spark, sf_dir, hits):
+    """A few hits a query with their points' columns; the hits go to the corpus, which is not shuffled."""
+    return points(spark, sf_dir).join(small(hits), "id")
+
+
+def boosted(spark, sf_dir, hits=None):
+    hits = with_points(spark, sf_dir, cut(bm25(spark, sf_dir)) if hits is None else hits)
     return retrieval.rescored(hits, S.recency(F.col("valid_from"), now()))
 
 
@@ -157,17 +164,17 @@ g as (select qid, rk, [id] as kept, [v] as kv from o where rk = 1 union all sele
  from (select g.*, o.id, o.v, o.rk as nrk, len(list_filter(g.kv, lambda k: list_cosine_similarity(k, o.v) >= 0.5)) > 0 as hit from g join o on o.qid = g.qid and o.rk = g.rk + 1) x join o on o.qid = x.qid and o.rk = x.nrk)
 select qid, unnest(kept) as id from (select qid, arg_max(kept, rk) as kept from g group by qid)""")
 def q_greedy_dedup(spark, sf_dir):
-    return retrieval.greedy_dedup(dense(spark, sf_dir).join(vectors(spark, sf_dir), "id"), 0.5).select("qid", "id")
+    return retrieval.greedy_dedup(vectors(spark, sf_dir).join(small(cut(dense(spark, sf_dir))), "id"), 0.5).select("qid", "id")
 
 
 @query(f"with {_bm25()}, {P} select qid, id, rk from (select qid, bm.id, rk, row_number() over (partition by qid, content_hash order by rk) as n from bm join points on points.id = bm.id) where n = 1")
 def q_hash_dedup(spark, sf_dir):
-    return retrieval.hash_dedup(bm25(spark, sf_dir).join(points(spark, sf_dir).select("id", "content_hash"), "id")).select("qid", "id", "rk")
+    return retrieval.hash_dedup(with_points(spark, sf_dir, cut(bm25(spark, sf_dir)))).select("qid", "id", "rk")
 
 
 @query(f"with {_bm25()} select qid, id, rk, used_tokens from (select qid, id, rk, sum(greatest(1, length(text) // 4)) over (partition by qid order by rk)::bigint as used_tokens from bm join documents on doc_id = id) where rk = 1 or used_tokens <= 1500")
 def q_token_budget(spark, sf_dir):
-    hits = bm25(spark, sf_dir).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.token_estimate(F.col("text")).alias("tokens")), "id")
+    hits = with_points(spark, sf_dir, cut(bm25(spark, sf_dir))).withColumn("tokens", S.token_estimate(F.col("text")))
     return retrieval.token_budget(hits).select("qid", "id", "rk", "used_tokens")
 
 
@@ -206,8 +213,6 @@ def q_room_classifier(spark, sf_dir):
 
 def versions(spark, sf_dir, until: str = "2100-01-01"):
     """Events as versions of a key: each ends when the next begins."""
-    from pyspark.sql import Window
-
     e = load(spark, sf_dir, "events").where(F.col("ts") < F.lit(until).cast("timestamp"))
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     return e.select(F.col("event_id").alias("id"), F.concat_ws(":", "user_id", "event_type").alias("file_path"), F.col("event_type").alias("room"), F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"), "value")
@@ -300,7 +305,7 @@ def q_usage_rollup(spark, sf_dir):
 
 
 @query(f"""with {_AUDIT}, s as (select kind, list_sort(list(latency_ms)) as v, count(*) as n, round(quantile_cont(latency_ms, 0.5), 6) as p50_linear, round(quantile_cont(latency_ms, 0.95), 6) as p95_linear, round(median(latency_ms), 6) as median, quantile_disc(latency_ms, 0.95) as p95_rank from au group by kind)
-select kind, v[round_even(0.5 * (n - 1), 0)::int + 1] as p50_indexed, v[round_even(0.95 * (n - 1), 0)::int + 1] as p95_indexed, p50_linear, p95_linear, median, p95_rank from s""")
+select kind, v[round_even(0.5 * (n - 1), 0)::int + 1] as p50_indexed, v[round_even(0.95 * (n - 1), 0)::int + 1] as p95_indexed, p50_linear, p95_linear, median, p95_rank, v[n // 2 + 1] as p50_cut, v[floor(0.9 * n)::int + 1] as p90_cut from s""")
 def q_usage_percentiles(spark, sf_dir):
     return telemetry.usage_percentiles(audit(spark, sf_dir), "kind", "latency_ms")
 
@@ -334,7 +339,7 @@ def q_later_use_semi(spark, sf_dir):
 
 @query("""with r as (select event_id, json_extract_string(props, '$.k')::int as k, value from events), f as (select *, k % 3 > 0 as filled, k % 2 as dd, case when k % 7 = 0 then 1 else 0 end as st, k % 4 > 0 as ex, k % 5 = 0 as ru, k % 6 < 3 as code, k % 8 = 0 as sh, value > 20 as used, value > 30 as su from r),
 a as (select count(*) as n, count(*) filter (filled) as ne, count(*) filter (filled or dd > 0 or st > 0) as ca, count(*) filter (filled and used) as u, count(*) filter (sh) as shn, count(*) filter (filled and dd > 0) as rp, count(*) filter (filled and not ex) as sl, count(*) filter (filled and code and ru) as lm, count(*) filter (dd > 0) as ds, count(*) filter (st > 0) as sd, count(*) filter (su) as su from f)
-select n as rows, ne as non_empty, ca as candidates, round(ne / n, 4) as injection_rate, round(u / ne, 4) as use_rate, round(100 * u / n, 2) as useful_per_100_edits, round(rp / ne, 4) as repeat_rate, round(sl / ne, 4) as stale_rate, round(lm / ne, 4) as lang_mismatch_rate, round(ds / ca, 4) as dedup_suppressed_rate, round(sd / ca, 4) as stale_dropped_rate, round(su / shn, 4) as shadow_use_rate from a""")
+select n as rows, ne as non_empty, ca as candidates, round(ne / n, 4) as injection_rate, round(u / ne, 4) as use_rate, round(100 * u / n, 2) as useful_per_100_edits, round(rp / ne, 4) as repeat_rate, round(sl / ne, 4) as stale_rate, round(lm / ne, 4) as lang_mismatch_rate, round(ds / ca, 4) as dedup_suppressed_rate, round(sd / ca, 4) as stale_dropped_rate, round(su / shn, 4) as shadow_use_rate, u as used_events, shn as shadow_rows from a""")
 def q_hook_rates(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     chunk = F.struct(F.lit("s").alias("source"), F.lit(1.0).alias("score"), (F.col("k") % 4 > 0).alias("exists"), F.when(F.col("k") % 5 == 0, "ru").otherwise("en").alias("lang"))
@@ -362,14 +367,15 @@ def q_session_dedup(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    """(qrels, run): of an item's 50 best documents those labelled good; the run is the boosted ranking."""
+    """(qrels, run): of an item's 50 best documents those labelled good; the run is the boosted ranking of the 20 best."""
     good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    gold = bm25(spark, sf_dir, 50).join(good, "id", "left_semi").select("qid", F.col("id").alias("docid"), F.lit(1).alias("rel"))
-    return gold, boosted(spark, sf_dir).select("qid", F.col("id").alias("docid"), "score")
+    best = cut(bm25(spark, sf_dir, 50))
+    gold = best.join(good, "id", "left_semi").select("qid", F.col("id").alias("docid"), F.lit(1).alias("rel"))
+    return gold, boosted(spark, sf_dir, best.where("rk <= 20")).select("qid", F.col("id").alias("docid"), "score")
 
 
 _BM20 = "bm as (select * from b50 where rk <= 20)"
-_JUDGED = f"{_bm25(50, name='b50')}, {_BM20}, {P}, {_BOOST}, qr as (select qid, id as docid from b50 where exists (select 1 from labels where doc_id = id and quality = 1)), ra as (select qid, id as docid, row_number() over (partition by qid order by score desc, id) as rank from bo)"
+_JUDGED = f"{_bm25(50, name='b50')}, {_BM20}, {P}, {_BOOST}, qr as (select qid, id as docid from b50 where exists (select 1 from labels where doc_id = id and quality = 1)), ra as (select qid, id as docid, row_number() over (partition by qid order by score desc, id desc) as rank from bo)"
 _METRICS = """pq as (select qid, count(*) as n, count(*) filter (rank <= 1) as r1, count(*) filter (rank <= 5) as r5, count(*) filter (rank <= 10) as r10, count(*) filter (rank <= 20) as r20, min(rank) as best, sum(case when rank <= 10 then 1 / log2(rank + 1) else 0 end) as dcg from qr left join ra using (qid, docid) group by qid),
 me as (select count(*) as queries, round(avg(r1 / n), 6) as recall_at_1, round(avg(r5 / n), 6) as recall_at_5, round(avg(r10 / n), 6) as recall_at_10, round(avg(r20 / n), 6) as recall_at_20, round(avg(coalesce(1 / best, 0)), 6) as mrr, round(avg(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) as ndcg_at_10 from pq)"""
 
@@ -381,20 +387,19 @@ def q_ir_metrics(spark, sf_dir):
 
 @query(f"with {_bm25()} select qid, source as docid, arg_max(score, rk) as score from bm join documents on doc_id = id group by qid, source")
 def q_doc_run_last_wins(spark, sf_dir):
-    return evaluation.doc_run(bm25(spark, sf_dir).join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("docid")), "id"))
+    return evaluation.doc_run(with_points(spark, sf_dir, cut(bm25(spark, sf_dir))).withColumnRenamed("source", "docid"))
 
 
 @query(f"with {_JUDGED} select qid, round(count(rank) filter (rank <= 5) / count(*), 6) as recall from qr left join ra using (qid, docid) group by qid")
 def q_chunk_recall(spark, sf_dir):
-    gold, _ = judged(spark, sf_dir)
-    run = boosted(spark, sf_dir).select("qid", "id", "rk")
-    # ranks of ties by id, as in the metric's definition
-    return evaluation.chunk_recall(gold.groupBy("qid").agg(F.collect_list("docid").alias("gold")), retrieval.ranked(boosted(spark, sf_dir).select("qid", "id", "score")) if run is not None else run, 5)
+    gold, run = judged(spark, sf_dir)
+    # ranks of ties by falling id, as in the metric's definition
+    rk = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("docid")))
+    return evaluation.chunk_recall(gold.groupBy("qid").agg(F.collect_list("docid").alias("gold")), run.select("qid", F.col("docid").alias("id"), rk.alias("rk")), 5)
 
 
 def blobs(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    top = evaluation.joined_top(bm25(spark, sf_dir, 5).join(docs, "id"))
+    top = evaluation.joined_top(with_points(spark, sf_dir, cut(bm25(spark, sf_dir, 5))))
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer")).join(top, "qid", "left").withColumn("blob", F.coalesce("blob", F.lit("")))
 
 
@@ -454,7 +459,11 @@ def q_stratified_quota(spark, sf_dir):
     return evaluation.stratified_quota(load(spark, sf_dir, "documents"), ["lang", "source"], 100)
 
 
-@query()
+_QUOTA = "n as (select lang, source, count(*) as n from documents group by all), t as (select sum(n) as total from n), qu as (select lang, source, least(n, greatest(1, round_even(100.0 * n / total, 0)))::bigint as quota from n, t)"
+_ORDER = "md5('{}:' || doc_id)"
+
+
+@query(f"with {_QUOTA}, rn as (select d.doc_id, lang, source, n_chars, {_ORDER.format(42)} as h, row_number() over (partition by lang, source order by {_ORDER.format(42)}, doc_id) as rn from documents d) select doc_id, lang, source, n_chars from (select rn.*, quota from rn join qu using (lang, source) order by (rn > quota)::int, rn, h, doc_id limit 100)")
 def q_stratified_sample(spark, sf_dir):
     return evaluation.stratified(load(spark, sf_dir, "documents").drop("text"), ["lang", "source"], 100, "doc_id")
 
@@ -503,14 +512,18 @@ def q_preview(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.preview(F.col("text"), 200).alias("preview"))
 
 
-@query(f"with {_bm25()}, {P} select qid, rk, bm.id, score, case when length(text) > 200 then substr(text, 1, 199) || '…' else text end as preview, greatest(1, length(text) // 4) as tokens, source, file_path, null::int as clamped_to from bm join points on points.id = bm.id where rk <= 5 and trim(text) <> ''")
+@query(f"with {_bm25()}, {P} select qid, rk, bm.id, score, case when length(text) > 200 then substr(text, 1, 199) || '…' else text end as preview, greatest(1, length(text) // 4) as tokens, source, file_path, 5 as clamped_to from bm join points on points.id = bm.id where rk <= 5 and trim(text) <> ''")
 def q_search_response(spark, sf_dir):
-    return retrieval.search_response(bm25(spark, sf_dir).join(points(spark, sf_dir), "id"), 5)
+    return retrieval.search_response(with_points(spark, sf_dir, cut(bm25(spark, sf_dir))), 50, cap=5)
+
 
+_CYRILLIC = [(-1, "привет, мир"), (-2, "mostly latin да"), (-3, "да нет ok"), (-4, "12 !"), (-5, "")]
 
-@query(r"select doc_id, case when length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0 and length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')) > 0.3 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) then 'ru' else 'en' end as lang from documents")
+
+@query("with documents as (select doc_id, text from main.documents union all select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in _CYRILLIC) + ")) " + r"select doc_id, case when length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0 and length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')) > 0.3 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) then 'ru' else 'en' end as lang from documents")
 def q_lang_detect(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", S.cyrillic(F.col("text")).alias("lang"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_CYRILLIC, "doc_id long, text string"))
+    return rows.select("doc_id", S.cyrillic(F.col("text")).alias("lang"))
 
 
 @query("select conv_id::varchar as session_id, (row_number() over (partition by conv_id order by turn) - 1)::int as turn, role || ': ' || text as document from conversations qualify trim(text) <> ''")
@@ -549,37 +562,95 @@ def q_slugs(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.slug(F.col("text")).alias("slug"))
 
 
-@query()
+def _search(where: str, filtered: int, expanded: str = "text") -> str:
+    """The whole search in SQL: filter, arms, fusion, recency, decay, hash and greedy deduplication, budget, k."""
+    return f"""with recursive {P}, documents as (select d.* from main.documents d join points p on p.id = d.doc_id where {where}), benchmark as (select item_id, {expanded} as text, text as said from main.benchmark), {_bm25()},
+{_dense(_ASKED, _EVERY + ' join documents on doc_id = vec_id')},
+sc2 as (select item_id as qid, 0.40 * least(1, greatest(1, length(said) // 4) / 64.0) + 0.25 * least(1, ({_occ('said', '?')} + {_occ('lower(said)', ' and ')} + {_occ('lower(said)', ' or ')} + {_occ('said', ';')} + {_occ('said', ':')}) / 3.0)
+ + 0.15 * {filtered} + 0.20 * least(1, (len(regexp_extract_all(said, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+')) + {_occ('said', '::')} + {_occ('said', '.py')} + {_occ('said', '`')} // 2) / 2.0) as c from benchmark),
+ke as (select qid, greatest(5, least(20, floor(5 * (1 + 0.5 * c))))::int as k_eff from sc2),
+fu as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rk from (select qid, id, round(sum(1.0::double / (60 + rk)), 9) as score from (select qid, id, rk from de union all select qid, id, rk from bm) group by qid, id)) join ke using (qid) where rk <= greatest(2 * k_eff, 10)),
+b1 as (select fu.qid, fu.id, k_eff, rk as r0, round(score * (1 + 0.1 * exp(-greatest({_AGE}, 0) / 30.0)), 9) as score, chunker, valid_from, content_hash, text from fu join points on points.id = fu.id),
+b2 as (select *, row_number() over (partition by qid order by score desc, r0) as r1 from b1),
+b3 as (select * exclude (score), round(score * case when chunker = 'transcript' then 0.7 + (1 - 0.7) * pow(0.5, greatest({_AGE}, 0) / 14.0) else 1 end, 9) as score from b2),
+b4 as (select *, row_number() over (partition by qid order by score desc, r1) as rk from b3),
+b5 as (select * from (select *, row_number() over (partition by qid, content_hash order by rk) as same from b4) where same = 1),
+o as (select b5.*, v.embedding::double[] as v, row_number() over (partition by qid order by rk) as i from b5 left join embeddings v on v.vec_id = b5.id),
+g as (select qid, i, [id] as kept, case when v is null then [] else [v] end as kv from o where i = 1 union all
+ select x.qid, x.i, case when hit then kept else list_append(kept, x.id) end, case when hit or x.v is null then kv else list_append(kv, x.v) end
+ from (select g.qid, o.i, g.kept, g.kv, o.id, o.v, o.v is not null and len(list_filter(g.kv, lambda k: list_cosine_similarity(k, o.v) >= 0.97)) > 0 as hit from g join o on o.qid = g.qid and o.i = g.i + 1) x),
+gk as (select qid, unnest(kept) as id from (select qid, arg_max(kept, i) as kept from g group by qid)),
+b6 as (select b4.*, sum(greatest(1, length(text) // 4)) over (partition by qid order by rk)::bigint as used_tokens, row_number() over (partition by qid order by rk) as n from b4 join gk using (qid, id)),
+b7 as (select *, row_number() over (partition by qid order by rk) as place from b6 where n = 1 or used_tokens <= 1500)
+select qid, place, id, score, used_tokens from b7 where place <= k_eff"""
+
+
+def searchable(spark, sf_dir):
+    return points(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")).join(vectors(spark, sf_dir), "id", "left")
+
+
+_WHOLE = Config(decay_enabled=True, content_dedup=True)
+
+
+@query(_search(f"room in ('en', 'de') and (valid_to is null or valid_to > timestamp '{NOW}')", 1))
 def q_search(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")).join(vectors(spark, sf_dir), "id", "left")
+    p = searchable(spark, sf_dir)
     where = predicates.predicate({"room": ["en", "de"]}, p, now=NOW)
-    hits = retrieval.search(p, asked(spark, sf_dir), where=where, now=NOW, config=Config(decay_enabled=True, content_dedup=True))
+    hits = lookup("retrieval", "tuned_hybrid")(p, asked(spark, sf_dir), where=where, now=NOW, config=_WHOLE)
     return hits.select("qid", "place", "id", "score", "used_tokens")
 
 
-@query()
-def q_search_reranked(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")).join(vectors(spark, sf_dir), "id", "left")
-    hits = retrieval.search(p, asked(spark, sf_dir), where=predicates.predicate(None, p, now=NOW), now=NOW, scorer=retrieval.lexical_scorer)
-    return hits.select("qid", "place", "id", "score", "rerank_score")
+@query(_search("true", 0, "'report ' || text"))
+def q_search_expanded(spark, sf_dir):
+    q = asked(spark, sf_dir).withColumn("expanded_text", F.concat(F.lit("report "), "text"))
+    return lookup("retrieval", "tuned_hybrid_hyde")(searchable(spark, sf_dir), q, now=NOW, config=_WHOLE).select("qid", "place", "id", "score", "used_tokens")
+
+
+@query(f"""with recursive {P}, benchmark as (select item_id, text, text as said from main.benchmark), {_bm25(50)}, {_dense(_ASKED, _EVERY, 50)},
+fu as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rk from (select qid, id, round(sum(1.0::double / (60 + rk)), 9) as score from (select qid, id, rk from de union all select qid, id, rk from bm) group by qid, id)) where rk <= 50),
+wd as (select fu.qid, fu.id, rk, list_filter(list_distinct(string_split_regex(lower(trim(b.said)), '\\s+')), lambda x: x <> '') as want, list_distinct(string_split_regex(lower(d.text), '\\s+')) as have from fu join benchmark b on b.item_id = fu.qid join main.documents d on d.doc_id = fu.id)
+select qid, id, round(len(list_intersect(want, have)) / greatest(1, len(want)), 6) as rerank_score, row_number() over (partition by qid order by len(list_intersect(want, have)) / greatest(1, len(want)) desc, rk) as rk from wd""")
+def q_rerank(spark, sf_dir):
+    q = asked(spark, sf_dir)
+    fused = retrieval.rrf([retrieval.dense_topk(vectors(spark, sf_dir), q.where("vec is not null").select("qid", "vec"), 50), bm25(spark, sf_dir, 50)], n=50)
+    hits = with_points(spark, sf_dir, cut(fused)).join(q.select("qid", F.col("text").alias("query")), "qid")
+    return retrieval.rerank(hits, lookup("reranker", "lexical"), 50).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"), "rk")
+
+
+_DRAWN = """dd as (select list(a - b order by qid) as d, count(*)::int as n, avg(a - b) as delta from ab), dr as (select r.range as id, list_sum(list_transform(range(1, n + 1), lambda i: d[(('0x' || substr(md5('42:' || r.range || ':' || i), 1, 8))::bigint % n + 1)::int])) / n as m from dd, range(1000) r),
+ci as (select quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from dr)"""
 
 
-@query()
+@query(f"""with {_BLOB}, {_HEUR}, ab as (select he.qid, hr.recall as a, case when len(w) > 0 then len(list_filter(w, lambda s: contains(he.blob, s))) / len(w) else 0 end as b from (select *, regexp_split_to_array(answer, '{_WHITE}') as w from he) he join hr using (qid)), {_DRAWN}
+select round(delta, 6) as delta, round(lo, 6) as ci_lower, round(hi, 6) as ci_upper, case when lo > 0 then 'win' when hi < 0 then 'loss' else 'tie' end as verdict from dd, ci""")
 def q_paired_bootstrap(spark, sf_dir):
     b = blobs(spark, sf_dir).select("qid", evaluation.heuristic_recall(F.col("answer"), F.col("blob")).alias("a"), evaluation.substring_recall(F.split("answer", _WHITE), F.col("blob")).alias("b"))
-    return evaluation.paired_bootstrap(b)
+    return evaluation.paired_bootstrap(cut(b), 1000).withColumns({c: F.round(c, 6) for c in ("delta", "ci_lower", "ci_upper")})
 
 
-@query()
-def q_diagnose(spark, sf_dir):
-    return evaluation.diagnose(q_gate_floors(spark, sf_dir))
+_CELLS = {"decision_rationale.own.recall_at_1": ("recall_at_1", 1.1), "decision_rationale.own.recall_at_5": ("recall_at_5", 0.0), "code_fact.combined.ndcg_at_10": ("ndcg_at_10", 1.1), "code_fact.combined.latency_ms_p95": ("queries", 1e9), "code_fact.combined.recall_at_20": ("recall_at_20", 1.1), "code_fact.combined.recall_at_5": ("recall_at_5", 0.0)}
 
 
-@query()
-def q_chunk_documents(spark, sf_dir):
-    return chunkers.chunk_documents(load(spark, sf_dir, "documents"), id_col="doc_id").select("path", "chunk_idx", F.length("document").alias("n_chars"))
+@query(f"with {_JUDGED}, {_METRICS}, c as (" + " union all ".join(f"select '{m}' as metric, {v} as value, {b} as bound from me" for m, (v, b) in _CELLS.items()) + """), x as (select metric, value < bound as below, value >= bound as holds from c),
+p as (select max(below::int) filter (metric like '%own.recall_at_1') as r1, max(holds::int) filter (metric like '%own.recall_at_5') as r5, max(below::int) filter (metric like '%ndcg_at_10') as nd, max(below::int) filter (metric like '%latency_ms_p95') as fast, max(below::int) filter (metric like '%recall_at_20') as r20, max(holds::int) filter (metric like '%combined.recall_at_5') as r5c from x)
+select 'arm_n' as field, '60' as value from p where r1 * r5 = 1 union all select 'adaptive', 'true' from p where nd * fast = 1 union all select 'adaptive_delta', '0.25' from p where nd * fast = 1 union all select 'rerank_n', '40' from p where fast = 0 union all select 'content_dedup', 'true' from p where r20 * r5c = 1""")
+def q_diagnose(spark, sf_dir):
+    m = cut(evaluation.ir_metrics(*judged(spark, sf_dir)))
+    cells = [m.select(F.lit(metric).alias("metric"), F.col(v).cast("double").alias("value"), F.lit(b).alias("bound")) for metric, (v, b) in _CELLS.items()]
+    out = cells[0]
+    for c in cells[1:]:
+        out = out.unionByName(c)
+    return evaluation.diagnose(out)
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: a hybrid search of all benchmark items."""
     return q_search(spark, "/root/testdata/sf0.001")
+
+
+def _more() -> None:
+    """The queries of the other modules register themselves here."""
+    from memlake.plans import literals, streams, tables  # noqa: F401
+
+
+_more()

@@ -57,3 +57,21 @@ def write_memory(spark, root: str, *, topic: str, content: str, description: str
         f.write(text)
     os.replace(f.name, path)
     return path, row.select(S.uuid5(F.col("slug")).alias("id"), F.lit(path).alias("file_path"), F.lit(0).alias("chunk_idx"), S.sha256(F.col("document")).alias("content_hash"), "document", F.lit("memory").alias("type"))
+
+
+def remember(spark, root: str, points: str, *, topic: str, content: str, description: str = "", tags: list[str] | None = None, now=None) -> tuple[str, int]:
+    """write_memory, and its point in a collection: an earlier text of the topic is replaced. Returns the path and the collection's version.
+
+    The file is written first and stays if the collection cannot be written.
+    """
+    from memlake.operators import indexing, ingest
+
+    path, row = write_memory(spark, root, topic=topic, content=content, description=description, tags=tags)
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    none = F.lit(None)
+    point = row.select(
+        "id", "file_path", "chunk_idx", F.col("document").alias("text"), "content_hash", F.col("content_hash").alias("chunk_hash"), F.col("type").alias("chunker"), none.cast("string").alias("room"), S.path_prefixes(F.col("file_path")).alias("path_prefixes"),
+        F.col("file_path").alias("source"), none.cast("string").alias("session"), none.cast("string").alias("message"), at.alias("valid_from"), none.cast("timestamp").alias("valid_to"), at.alias("updated_at"), none.cast("array<double>").alias("vec"),
+    )
+    ingest.ensure(spark, points, indexing.POINT)
+    return path, ingest.commit(spark, points, point, by="file_path")

@@ -3,23 +3,26 @@ import __spark_entry__
 
 def test_registry(spark):
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 50
+    assert set(o) <= set(q) and len(q) > 100
+    assert not {n for n in q if not n.startswith("op") and n != "pipeline"} - set(o)
     assert __spark_entry__.entry(spark).count() > 0
 
 
 def test_registered_queries_match_their_sql(spark, sf):
     import duckdb
+    from memlake.plans import queries as plans
 
-    q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     con = duckdb.connect()
     for t in "events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cell = lambda v: "" if v is None else str(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else str(v)
-    for name in ("usage_rollup", "usage_percentiles", "turn_pairs", "scd2_close", "later_use_semi", "hook_rates", "greedy_dedup", "hybrid_rrf", "chunk_ids", "session_windows"):
-        df = q[name](spark, sf)
+    wrong = []
+    for name, run in plans.QUERIES.items():
+        df = run(spark, sf)
         cols = sorted(df.columns)
         got = sorted(tuple(cell(r[c]) for c in cols) for r in df.collect())
-        res = con.execute(o[name])
+        res = con.execute(plans.ORACLE[name])
         names = [x[0] for x in res.description]
-        assert sorted(names) == cols, name
-        assert got == sorted(tuple(cell(r[names.index(c)]) for c in cols) for r in res.fetchall()), name
+        if sorted(names) != cols or got != sorted(tuple(cell(r[names.index(c)]) for c in cols) for r in res.fetchall()):
+            wrong.append(name)
+    assert not wrong
