@@ -115,8 +115,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = cut(edges)
-    total = None
-    for _ in range(max_rounds):
+    signature = lambda df: df.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+    total = signature(edges)
+    for _ in range(max_rounds if total[0] else 0):
         # large star: every larger neighbour of a node links to the node's smallest neighbour (itself included)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -127,12 +128,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges_new = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges_new = cut(edges_new)
-        sig = edges_new.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        sig = signature(edges_new)
         edges = edges_new
         if sig == total:
             break
         total = sig
     else:
-        raise RuntimeError("components did not converge")
+        if total[0]:
+            raise RuntimeError("components did not converge")
     star = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("id"), "component").distinct())

@@ -26,23 +26,45 @@ _LOWER[65:91] += 32
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Bytes that are hashed at once: what the power tables hold for good, however long a text is.
+SEGMENT = 1 << 18
 #: Ids of different sets that may be broadcast (8 bytes each) to pick those sets' keys; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Size bands grow by this factor.
 BAND = 1.5
 
 
+@functools.cache
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, up to n."""
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        up, down = np.full(n, _BASE), np.full(n, inverse)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers
+    """Powers of the hash base and of its inverse modulo 2^64, below n."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    up, down = np.full(n, _BASE), np.full(n, inverse)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words raw[start:stop], a segment of the text at a time."""
+    up, down = _power_tables(SEGMENT + 1)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = int(np.searchsorted(stop, base + SEGMENT, "right"))
+        if j > i:  # words that lie in this segment as a whole
+            part = raw[base : stop[j - 1]]
+            run = np.concatenate([[np.uint64(0)], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+            out[i:j] = (run[stop[i:j] - base] - run[start[i:j] - base]) * down[start[i:j] - base]
+            i = j
+            continue
+        total, scale = np.uint64(0), np.uint64(1)  # one word longer than a segment
+        for a in range(base, stop[i], SEGMENT):
+            part = raw[a : min(a + SEGMENT, stop[i])]
+            total += ((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64) * scale
+            scale *= up[SEGMENT]
+        out[i] = total
+        i += 1
+    return out
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -60,9 +82,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     start, stop = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(raw) + 1)
-    run = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    words = mix64((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    with np.errstate(over="ignore"):
+        words = mix64(_word_hashes(raw, start, stop) + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     k = min(width, len(words))
     seed = np.uint64(k)
     out = np.full(len(words) - k + 1, seed, np.uint64)
@@ -121,6 +142,12 @@ def sketch_words(h: np.ndarray, band: int, num: int, den: int) -> tuple[np.ndarr
 
 #: Bits of the one-size sketch that a leftover group's pairs are held against before their texts are.
 FOLD = 1024
+#: Documents of a block of a leftover group: larger groups are dealt as pairs of blocks. Rows of one comparison.
+GROUP, ROWS = 4_096, 64
+#: A centre of more pairs than this, and than this share of them all, is given out so many times; at most 1 / HOT_SHARE can be.
+STAR, HOT_SHARE = 2_000, 1 / 20_000
+#: Sets from which on files that nothing needs any more are freed between the steps.
+LARGE = 20_000
 
 
 def pair_words(h: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -179,35 +206,44 @@ def _folds(width: int):
 
 
 def _near(num: int, den: int):
-    """From rows sorted by key: the pairs of a key's documents that lie in different components and whose sketches allow a link."""
-
-    def group(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        for i in range(0, len(ids), 256):
-            part = slice(i, i + 256)
-            differ = np.bitwise_count(fold[part, None, :] ^ fold[None, i:, :]).sum(axis=2, dtype=np.int64)
-            both = n[part, None] + n[None, i:]
-            least = np.minimum(n[part, None], n[None, i:])  # sizes alone rule out pairs that are too unequal
-            ok = (num * (both - least) <= den * least) & (differ * (den + num) <= both * (den - num)) & (comp[part, None] != comp[None, i:]) & (ids[part, None] != ids[None, i:])
-            ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(i, len(ids))[None, :]
+    """From rows sorted by key and block: the pairs of a key's documents that lie in different components and whose sketches allow a link.
+
+    A block pair holds the documents of one block, or those of two, of which the first has side 0.
+    """
+
+    def group(side: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rows, cols = (np.arange(len(ids)), np.arange(len(ids))) if not side.any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        own = len(rows) == len(ids)
+        for i in range(0, len(rows), ROWS):
+            r = rows[i : i + ROWS]
+            c = cols[i:] if own else cols
+            differ = np.bitwise_count(fold[r, None, :] ^ fold[None, c, :]).sum(axis=2, dtype=np.int64)
+            both = n[r, None] + n[None, c]
+            least = np.minimum(n[r, None], n[None, c])  # sizes alone rule out pairs that are too unequal
+            ok = (num * (both - least) <= den * least) & (differ * (den + num) <= both * (den - num)) & (comp[r, None] != comp[None, c]) & (ids[r, None] != ids[None, c])
+            if own:
+                ok &= r[:, None] < c[None, :]
             x, y = np.nonzero(ok)
-            left.append(ids[i + x])
-            right.append(ids[i + y])
+            left.append(ids[r[x]])
+            right.append(ids[c[y]])
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in _with_end(batches):
             if b is not None:
-                cols = [b.column("key").to_numpy(), b.column("doc_id").to_numpy(), b.column("component").to_numpy(), b.column("n").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)]
+                cols = [*(b.column(c).to_numpy() for c in ("key", "i", "j", "side", "doc_id", "component")), b.column("n").to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)]
                 rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
-            key = rest[0]
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            stop = np.append(edge[1:], len(key))
+            change = np.zeros(len(rest[0]) - 1, bool)
+            for c in rest[:3]:
+                change |= c[1:] != c[:-1]
+            edge = np.flatnonzero(np.concatenate([[True], change]))
+            stop = np.append(edge[1:], len(rest[0]))
             whole = len(edge) if b is None else len(edge) - 1  # the last group may go on in the next batch
-            out = [group(*(c[i:j] for c in rest[1:])) for i, j in zip(edge[:whole], stop[:whole], strict=True) if j - i > 1]
+            out = [group(*(c[i:j] for c in rest[3:])) for i, j in zip(edge[:whole], stop[:whole], strict=True) if j - i > 1]
             rest = None if b is None else [c[edge[-1] :] for c in rest]
             if out:
                 x, y = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -230,8 +266,8 @@ def _verify(width: int, num: int, den: int):
         for b in batches:
             a, z = [], []
             for i, x, j, y in zip(*(b.column(c).to_pylist() for c in ("a", "text_a", "b", "text_b")), strict=True):
-                if i != known:
-                    known, h0 = i, shingle_hashes(x, width)
+                if (i, x) != known:
+                    known, h0 = (i, x), shingle_hashes(x, width)
                 h1 = shingle_hashes(y, width)
                 both = len(np.intersect1d(h0, h1, assume_unique=True))
                 if den * both >= num * (len(h0) + len(h1) - both):
@@ -259,51 +295,60 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
        held against each other by sketches, inside the group's task, and only those pairs
        leave it whose Hamming distance allows a link.
 
-    Every pair is verified on the sets of the whole texts.
+    Every pair is verified on the sets of the whole texts. What a key's group compares is
+    dealt in pairs of bounded blocks, and a centre of many pairs is given out many times,
+    so no group meets in one task.
 
     Null or empty texts, and texts of white space, have an empty set and link with
     nothing. Rows with a null id come back with a null component. Rows that repeat an id
-    must repeat its text. An empty table gives no rows; other columns are ignored.
+    are one document: it links wherever one of its texts does, and each row has the size of
+    its own set. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    release(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "sets")
     rows.mapInArrow(_sets(width, num, den), "doc_id long, n int, digest binary, keys array<long>").write.parquet(path)
     made = spark.read.parquet(path)
     sets = cut(made.select("doc_id", "n", "digest"))
     heads = cut(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head")))
+    total = heads.count()
+    tidy = release if total >= LARGE else (lambda spark: None)
+    # the texts of a repeated id belong together, whatever they are
+    own = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    same = cut(sets.join(own, "doc_id", "left_semi").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
     ids = heads.select(F.col("head").alias("doc_id"))
-    ids = F.broadcast(ids) if heads.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if total <= BROADCAST_IDS else ids
     words = made.select("doc_id", "keys").join(ids, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = cut(words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    release(spark)
+    tidy(spark)
     met = cut(words.join(shared, "key").select("key", "doc_id", "c"))
     del words, shared, made, ids
     discard(spark, path)
-    release(spark)
+    tidy(spark)
     ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
-    texts = cut(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")))
+    texts = cut(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
-    release(spark)
+    tidy(spark)
 
     links = _verified(_stars(met), texts, width, num, den)
     comp = _components_of(ids, links)
     alone = comp.where("doc_id = component").join(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_anti")
     single = met.join(alone.select("doc_id"), "doc_id", "left_semi")
     links = cut(links.unionByName(_verified(_stars(single), texts, width, num, den)))
-    release(spark)
+    tidy(spark)
     comp = _components_of(ids, links)
     placed = met.select("key", "doc_id").join(comp, "doc_id")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("lo <> hi").select("key", "parts")
     left = cut(placed.join(mixed, "key"))
     folds = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_folds(width), "doc_id long, n int, fold binary")
-    pairs = left.join(folds, "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(_near(num, den), "a long, b long").distinct()
-    links = cut(links.unionByName(_verified(pairs, texts, width, num, den)))
+    block, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = left.withColumn("block", block).withColumn("other", other).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    pairs = dealt.join(folds, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
+    links = cut(links.unionByName(_verified(pairs, texts, width, num, den)).unionByName(same))
 
-    del pairs, folds, left, mixed, placed, comp, single, alone
-    release(spark)
+    del pairs, folds, left, mixed, placed, comp, single, alone, dealt
+    tidy(spark)
     whole = components(links)
     head_of = heads.join(whole.select(F.col("id").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
     out = sets.join(head_of, "digest", "left")
@@ -322,13 +367,20 @@ def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    pairs = cut(pairs)
+    share = pairs.agg((F.count("*") * HOT_SHARE).alias("share"))
+    hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > STAR).join(F.broadcast(share), F.col("c") > F.col("share"))
+    hot = cut(hot.select("a", F.ceil(F.col("c") / STAR).cast("int").alias("times")))
+    salted = lambda df: df.join(F.broadcast(hot), "a", "left").withColumn("times", F.coalesce("times", F.lit(1)))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
+    left = salted(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
+    dealt = salted(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("times")).cast("int")).drop("times")
+    both = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "text_a", "b", "text_b")
     found = cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
     del both, left, right, pairs
-    release(found.sparkSession)
-    return found
+    if texts.limit(LARGE).count() >= LARGE:
+        release(found.sparkSession)
+    return found.distinct()
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:

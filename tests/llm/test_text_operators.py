@@ -171,9 +171,12 @@ def test_one_long_pretoken_takes_linear_work(monkeypatch):
         assert sum(read) < 5 * (3 * n)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_parity_join(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,small", [(500_000, False), (0, False), (500_000, True)])
+def test_parity_join(spark, monkeypatch, limit, small):
     monkeypatch.setattr(parity_join, "BROADCAST_IDS", limit)
+    if small:  # groups in pairs of blocks, centres given out several times, texts hashed in segments
+        for name, value in {"GROUP": 3, "ROWS": 2, "STAR": 2, "HOT_SHARE": 0.0, "LARGE": 1, "SEGMENT": 64}.items():
+            monkeypatch.setattr(parity_join, name, value)
     texts = dict(TEXTS)
     rng = random.Random(2)
     for g in range(6):  # groups of near copies, some of which only their base links
@@ -190,6 +193,22 @@ def test_parity_join(spark, monkeypatch, limit):
         assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_word_hashes_do_not_depend_on_segments(monkeypatch):
+    text = " ".join(["a" * 700, "bc", "d" * 64, "e" * 65, *TEXTS[11].split()])
+    whole = parity_join.shingle_hashes(text, 3)
+    for n in (16, 64, 1000):
+        monkeypatch.setattr(parity_join, "SEGMENT", n)
+        assert (parity_join.shingle_hashes(text, 3) == whole).all()
+
+
+def test_parity_join_of_repeated_ids(spark):
+    """An id with two texts links wherever one of them does."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in "abc")
+    rows_ = [(1, a), (2, a + " end"), (5, a + " fin"), (5, b), (7, b + " end"), (9, c), (9, None), (9, c), (4, c + " x")]
+    got = parity_join.parity_join(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 78, 1), (2, 79, 1), (4, 79, 4), (5, 78, 1), (5, 79, 1), (7, 79, 1), (9, 0, 9), (9, 78, 4), (9, 78, 4)]
+
+
 def test_sketch_distance_bounds_difference():
     rng = np.random.default_rng(1)
     for n in (12, 150, 900):
