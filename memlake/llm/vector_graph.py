@@ -20,8 +20,8 @@ FIT_ROWS = 16_384
 CANDIDATES, DEGREE, LONG, FILL, ALPHA = 48, 24, 6, 8, 1.2
 #: Nodes that the greedy search keeps open; how far below the threshold a node may lie and still be expanded.
 BEAM, SLACK = 24, 0.04
-#: Vectors of a block of the exact passes; most partitions of either side of their product.
-BLOCK, SIDE = 2_000, 64
+#: Vectors of a block of the exact passes; shards of a group up to which each is a region of its own.
+BLOCK, ALONE = 2_000, 16
 #: Queries of the recall audit.
 AUDIT = 256
 
@@ -240,7 +240,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     Vectors that are null, empty, zero or hold null or non-finite components, and those
     with a null label, link with nothing: n_links 0, their own component, kept. So do
     vectors of different lengths. Rows with a null id are no vectors: n_links 0, null
-    component, not kept. Rows that repeat an id and vector count once. An empty table
+    component, not kept. Rows that repeat an id and vector count once; different vectors of
+    one id are vectors of their own. An empty table
     gives no rows; other columns are ignored.
     """
     arrow_batches(vectors.sparkSession, 4096)
@@ -248,7 +249,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
     usable = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
               & F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"))
     good = rows.where(usable).withColumn("dim", F.size("embedding"))
-    reps = cut(good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")))
+    reps = cut(good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("first"), F.count_distinct("vec_id").alias("copies")))
+    twice = cut(reps.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first", F.lit(True).alias("again")))
+    repeats = not twice.isEmpty()
+    if repeats:  # different vectors of one id are nodes of their own, under numbers above all ids
+        made = F.shiftrightunsigned(F.xxhash64("label", "dim", "embedding"), 2) + F.lit(1 << 62)
+        reps = cut(reps.join(twice, "first", "left").withColumn("rep", F.when(F.col("again"), made).otherwise(F.col("first"))).drop("again"))
+    else:
+        reps = reps.withColumn("rep", F.col("first"))
     overlap, beam = OVERLAP, BEAM
     while True:
         found = cut(_links(reps, threshold, overlap, beam))
@@ -262,7 +270,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
         own = _totals(reps, found)
         recall = _audit(reps, own, threshold)
     whole = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = reps.join(own, "rep").join(whole, F.col("rep") == F.col("id"), "left").select("label", "dim", "embedding", "rep", "links", F.coalesce("component", "rep").alias("component"))
+    per_rep = reps.join(own, "rep").join(whole, F.col("rep") == F.col("id"), "left").select("label", "dim", "embedding", "first", "links", F.coalesce("component", "rep").alias("component"))
+    if repeats:
+        least = per_rep.groupBy("component").agg(F.min("first").alias("least"))
+        per_rep = per_rep.join(least, "component").withColumn("component", F.col("least")).drop("least")
     linked = good.join(per_rep, ["label", "dim", "embedding"]).select("vec_id", "links", "component")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     return linked.unionByName(alone).select(F.col("vec_id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
@@ -324,17 +335,36 @@ def _links(reps: DataFrame, threshold: float, overlap: int, beam: int) -> DataFr
     placed = reps.select("label", "dim", "embedding", "rep", "copies").mapInPandas(place, schema)
     lists = placed.groupBy("label", "dim", "shard").applyInPandas(_build, "rep long, near array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graph = placed.join(lists, "rep").groupBy("label", "dim", "shard").applyInPandas(_search(threshold, beam), "rep long, links long, root long")
-    return graph.unionByName(_products(_blocks(reps, centres, large, threshold, False), threshold, False)) if centres else graph
+    regions = _regions(centres)
+    return graph.unionByName(_products(_blocks(reps, centres, regions, large, threshold, False), regions, threshold, False)) if centres else graph
 
 
 def _every_link(reps: DataFrame, threshold: float, overlap: int) -> DataFrame:
     """(rep, links, root) by exact products of all blocks that can hold partners."""
     large, centres = _centres(reps, overlap)
-    return _products(_blocks(reps, centres, large, threshold, True), threshold, True)
+    regions = _regions(centres)
+    return _products(_blocks(reps, centres, regions, large, threshold, True), regions, threshold, True)
 
 
-def _blocks(reps: DataFrame, centres: dict[tuple, np.ndarray], large: set, threshold: float, every: bool) -> DataFrame:
-    """Blocks of about BLOCK vectors of a shard and kind, packed, with the middle and the angle that holds all; lone ones make up a whole group."""
+def _regions(centres: dict[tuple, np.ndarray]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Of each group: the middles of its regions, and the region of every shard; about as many as the root of its shards."""
+    out = {}
+    for key, c in centres.items():
+        if len(c) <= ALONE:
+            out[key] = (c.astype(np.float64), np.arange(len(c)))
+            continue
+        mid = kmeans(c, math.ceil(math.sqrt(len(c))), seed=2).astype(np.float64)
+        mid /= np.maximum(np.linalg.norm(mid, axis=1, keepdims=True), 1e-12)
+        out[key] = (mid, (c @ mid.T).argmax(axis=1))
+    return out
+
+
+def _angle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def _blocks(reps: DataFrame, centres: dict[tuple, np.ndarray], regions: dict, large: set, threshold: float, every: bool) -> DataFrame:
+    """Blocks of about BLOCK vectors of a shard and kind, packed, with the middle and the angle that holds all, and how far that is from the region's middle; lone ones make up a whole group."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -355,14 +385,36 @@ def _blocks(reps: DataFrame, centres: dict[tuple, np.ndarray], large: set, thres
         norm = np.linalg.norm(mid)
         mid = mid / norm if norm > 1e-9 else x[0]
         wide = float(np.arccos(np.clip((x @ mid).min(), -1, 1)))
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [int(pdf["rep"].iloc[0])], "kind": [key[3]], "lone": [key[5]], "mid": [mid], "wide": [wide], "x": [x.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+        region, far = 0, math.pi
+        if key[:2] in regions:
+            middles, of = regions[key[:2]]
+            region = int(of[key[2]])
+            far = float(_angle(mid[None], middles[region : region + 1])[0, 0]) + wide
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "block": [int(pdf["rep"].iloc[0])], "kind": [key[3]], "lone": [key[5]], "region": [region], "far": [far], "mid": [mid], "wide": [wide], "x": [x.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
 
     label = reps.schema["label"].dataType.simpleString()
     dealt = reps.select("label", "dim", "embedding", "rep", "copies").mapInPandas(deal, f"label {label}, dim int, embedding array<double>, rep long, copies long, shard int, kind int, lone boolean")
     key = ["label", "dim", "shard", "kind"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = dealt.join(F.broadcast(sizes.where("parts > 1")), key, "left").withColumn("part", F.pmod(F.xxhash64(F.lit(11), "rep"), F.coalesce("parts", F.lit(1))))
-    return cut(dealt.select(*key, "part", "lone", "embedding", "rep", "copies").groupBy(*key, "part", "lone").applyInPandas(pack, f"label {label}, dim int, block long, kind int, lone boolean, mid array<double>, wide double, x binary, reps binary, copies binary"))
+    return cut(dealt.select(*key, "part", "lone", "embedding", "rep", "copies").groupBy(*key, "part", "lone").applyInPandas(pack, f"label {label}, dim int, block long, kind int, lone boolean, region int, far double, mid array<double>, wide double, x binary, reps binary, copies binary"))
+
+
+def _within_reach(blocks: DataFrame, regions: dict, angle: float) -> DataFrame:
+    """(label, dim, region, other) of regions that can hold partners of each other, each pair once.
+
+    Two can if the angle of their middles is at most that of the threshold and both their
+    reaches. A group has about as many regions as the root of its shards, so there are about
+    as many pairs as shards.
+    """
+    reach = {(r["label"], r["dim"], r["region"]): r["far"] for r in blocks.groupBy("label", "dim", "region").agg(F.max("far").alias("far")).collect() if (r["label"], r["dim"]) in regions}
+    pairs = []
+    for key, (middles, _) in regions.items():
+        far = np.array([reach.get((*key, g), -np.inf) for g in range(len(middles))])
+        near = _angle(middles, middles) <= far[:, None] + far[None, :] + angle + 1e-6
+        pairs += [(*key, int(g), int(h)) for g, h in zip(*np.nonzero(near), strict=True) if g <= h]
+    label = blocks.schema["label"].dataType.simpleString()
+    return blocks.sparkSession.createDataFrame(pairs, f"label {label}, dim int, region int, other int")
 
 
 def _parts(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -381,7 +433,7 @@ def _parts(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.flatnonzero(cols)
 
 
-def _products(blocks: DataFrame, threshold: float, every: bool) -> DataFrame:
+def _products(blocks: DataFrame, regions: dict, threshold: float, every: bool) -> DataFrame:
     """(rep, links, root) of every pair of blocks that can hold partners; unless every is set, one of the two is a core.
 
     Two blocks can if the angle of their middles is at most both their widths and that of
@@ -434,14 +486,17 @@ def _products(blocks: DataFrame, threshold: float, every: bool) -> DataFrame:
                 yield pd.DataFrame({"rep": ids[some], "links": links[some], "root": [find(int(i)) for i in roots[some]]})
 
     cols = ["block", "mid", "wide", "x", "reps", "copies"]
-    other = lambda df: df.select("label", "dim", "kind", *cols).withColumnsRenamed({c: f"{c}_b" for c in ("label", "dim", "kind", *cols)})
-    many = blocks.where("not lone")
-    many = many.coalesce(max(1, min(SIDE, math.isqrt(many.count()))))
+    many = blocks.where("not lone").drop("far", "lone")
+    tiles = _within_reach(blocks, regions, angle)
+    tile = ["label", "dim", "region", "other"]
+    # a block goes to the tiles of its region and the regions in its reach, and meets there only what is in the same tile
+    one = many.join(tiles, ["label", "dim", "region"])
+    two = many.withColumnsRenamed({"region": "other", "kind": "kind_b", **{c: f"{c}_b" for c in cols}}).join(tiles, ["label", "dim", "other"])
     dot = F.aggregate(F.zip_with("mid", "mid_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) <= F.col("wide") + F.col("wide_b") + F.lit(angle)
-    meet = (F.col("label") == F.col("label_b")) & (F.col("dim") == F.col("dim_b")) & (F.col("block") <= F.col("block_b"))
-    meet = meet if every else meet & (F.greatest("kind", "kind_b") == 2)
-    pairs = many.hint("shuffle_replicate_nl").join(other(many), meet & near).select(*cols, *(f"{c}_b" for c in cols))
+    once = (F.col("region") < F.col("other")) | (F.col("block") <= F.col("block_b"))
+    met = once & near if every else once & near & (F.greatest("kind", "kind_b") == 2)
+    pairs = one.join(two, tile).where(met).select(*cols, *(f"{c}_b" for c in cols))
     if every:
         pairs = pairs.unionByName(blocks.where("lone").select(*cols, *(F.col(c).alias(f"{c}_b") for c in cols)))
     return pairs.mapInPandas(run, "rep long, links long, root long")

@@ -262,6 +262,29 @@ def test_vector_graph_counts_a_split_dense_group(spark, monkeypatch):
     assert {got[i]["component_id"] for i in range(500)} == {0}
 
 
+@pytest.mark.parametrize("alone", [16, 2])
+def test_vector_graph_of_repeated_ids_and_many_regions(spark, monkeypatch, alone):
+    """Rows as many as came in; different vectors of one id apart; blocks meet by regions."""
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vector_graph, "BLOCK", 30)
+    monkeypatch.setattr(vector_graph, "ALONE", alone)
+    rng = np.random.default_rng(7)
+    x, _ = _tight(rng, 120, 200)
+    ids = [*range(len(x)), 3, 3, 250, 900, 900]
+    x = np.concatenate([x, x[3:4], x[250:251], x[5:6], x[300:301], -x[300:301]])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    got = vector_graph.near_duplicates(df).collect()
+    assert len(got) == len(ids)
+    nodes = {(i, tuple(v)) for i, v in zip(ids, x.tolist(), strict=True)}
+    unit = {n: np.array(n[1]) / np.linalg.norm(n[1]) for n in nodes}
+    links = {n: [m for m in nodes if m[1] == n[1] and m != n or m[1] != n[1] and unit[n] @ unit[m] >= 0.93] for n in nodes}
+    comp = {n: n[0] for n in nodes}
+    for _ in range(50):
+        comp = {n: min([comp[n], *(comp[m] for m in links[n])]) for n in nodes}
+    want = sorted((i, len(links[i, tuple(v)]), comp[i, tuple(v)]) for i, v in zip(ids, x.tolist(), strict=True))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
 def test_vector_graph_goes_exact_where_the_graph_falls_short(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD_ROWS", 150)
     monkeypatch.setattr(vector_graph, "_search", lambda threshold, beam: lambda key, pdf: pdf.assign(links=0, root=pdf["rep"])[["rep", "links", "root"]][pdf["own"]])
