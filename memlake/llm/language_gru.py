@@ -11,12 +11,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, seeded_share
+from .common import arrow_batches, cut, seeded_share
 
 #: Bytes of a window (each is read in both directions), windows of a batch, hidden units each way.
 STEPS, BLOCK, HIDDEN = 64, 2048, 8
-#: Languages that are learned: the most frequent ones, then the first by name.
-MAX_LANGS = 256
+#: Texts that are learned from, over all languages: with many of them each gives fewer, but none is left out.
+TEXTS = 150_000
 #: Byte 0 fills up the last window of a text and is never scored.
 PAD = 0
 _LETTER = regex.compile(r"\p{L}")
@@ -177,7 +177,7 @@ def predict(m: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def training_windows(labelled: DataFrame, per_lang: int, per_text: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """At most per_text windows of at most per_lang texts a language; the texts are the first by a seeded hash."""
+    """At most per_text windows of at most per_lang texts a language (fewer where all languages together would exceed TEXTS); the texts are the first by a seeded hash."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,20 +190,26 @@ def training_windows(labelled: DataFrame, per_lang: int, per_text: int, seed: in
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(wins, pa.binary())], ["lang", "win"])
 
     order = Window.partitionBy("lang").orderBy("k", "doc_id")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGS)
+    counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("total")))
+    n = counts.count()
+    if n > TEXTS:
+        raise ValueError(f"{n} languages, but at most {TEXTS} texts to learn them from")
+    per_lang = max(1, min(per_lang, TEXTS // max(1, n)))
     near = labelled.join(F.broadcast(counts), "lang").where(seeded_share(F.col("doc_id"), per_lang, F.col("total"), seed))
     best = near.withColumn("k", F.xxhash64(F.lit(seed), "doc_id")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_lang)
     found = best.select("lang", "text", "k").mapInArrow(pick, "lang string, win binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["win"])))
     langs = sorted({r["lang"] for r in found})
+    at = {x: i for i, x in enumerate(langs)}
     wins = np.frombuffer(b"".join(bytes(r["win"]) for r in found), np.uint8).reshape(len(found), STEPS)
-    return wins, np.array([langs.index(r["lang"]) for r in found], int), langs
+    return wins, np.array([at[r["lang"]] for r in found], int), langs
 
 
 def fit_language(docs: DataFrame, learn: str | None = None, per_lang: int = 600, per_text: int = 8, rounds: int = 400, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on the rows whose text and language are not null; None if there are none.
 
-    The sample is bounded: per_lang * per_text windows a language. learn is a SQL
+    Every language is learned. The sample is bounded: per_lang * per_text windows a
+    language, TEXTS * per_text in all; more languages than TEXTS raise an error. learn is a SQL
     condition on doc_id that rows must meet.
     """
     arrow_batches(docs.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, scratch_path
+from .common import arrow_batches, cut, discard, scratch_path
 
 #: A space before a letter, digit or printable ASCII character always starts a new pre-token,
 #: so texts may be cut there and the units between encoded one by one.
@@ -178,7 +178,14 @@ def token_index(spark, path: str) -> DataFrame:
 
 
 def encode_to_orc(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Write the tokens of all documents and return what token_index reads back."""
+    """Write the tokens of all documents and return what token_index reads back.
+
+    Without a path the files are scratch: they go when they are read, and their index stays.
+    """
     spark = docs.sparkSession
-    path = path or scratch_path(spark, "orc")
-    return token_index(spark, write_tokens(docs, path, tokenizer, end_id))
+    if path:
+        return token_index(spark, write_tokens(docs, path, tokenizer, end_id))
+    path = write_tokens(docs, scratch_path(spark, "orc"), tokenizer, end_id)
+    found = cut(token_index(spark, path))
+    discard(spark, path)
+    return found

@@ -174,8 +174,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def importance(paths: pd.DataFrame, gamma: float = 0.9, least_pages: int = 2) -> dict[int, tuple[float, float]]:
     """Of a site's style nodes: composite importance, and the greatest one in the node's branch.
 
-    paths has (path, parent, pages, style_entropy, text_entropy) and may have marked. A node of fewer than
-    least_pages pages has the importance 1. A node without element children has the content importance 1 - text_entropy. An inner
+    paths has (path, parent, pages, style_entropy, text_entropy) and may have marked and rare, the number of
+    children of fewer than least_pages pages that are not in paths. A node of fewer than least_pages pages has the importance 1. A node without element children has the content importance 1 - text_entropy. An inner
     node weighs its presentation importance (the entropy of its children's styles) with
     the mean composite importance of its children and of its own text. Marked nodes count RAISE times, up to 1.
     """
@@ -193,10 +193,11 @@ def importance(paths: pd.DataFrame, gamma: float = 0.9, least_pages: int = 2) ->
     for path in reversed(order):
         own, inner = rows[path], children.get(path, [])
         text = None if own.text_entropy is None or math.isnan(own.text_entropy) else 1 - own.text_entropy
-        below = [done[c][0] for c in inner] + ([text] if text is not None else [])
+        rare = int(getattr(own, "rare", 0))
+        below = [done[c][0] for c in inner] + [1.0] * rare + ([text] if text is not None else [])
         if own.pages < least_pages:
             value = 1.0
-        elif not inner:
+        elif not inner and not rare:
             value = text if text is not None else 0.0
         else:
             part = gamma ** len(below)
@@ -204,7 +205,7 @@ def importance(paths: pd.DataFrame, gamma: float = 0.9, least_pages: int = 2) ->
             value = (1 - part) * style + part * (sum(below) / len(below))
         if getattr(own, "marked", 0):
             value = min(1.0, RAISE * value)
-        done[path] = value, max([value, *(done[c][1] for c in inner)])
+        done[path] = value, max([value, float(rare > 0), *(done[c][1] for c in inner)])
     return done
 
 
@@ -213,9 +214,10 @@ def style_tree(pages: DataFrame, least_pages: int = 2, threshold: float = 0.3) -
 
     The tree of a site merges its distinct pages, so copies of a page count once, and
     holds the nodes inside marked articles too. Entropies are sums over counted rows, and
-    pages are counted exactly; what meets in one task per site are its style nodes, whose
-    number follows its templates and not its pages. A node of fewer than least_pages
-    distinct pages is important: one page gives no evidence.
+    pages are counted exactly. A node of fewer than least_pages distinct pages is
+    important: one page gives no evidence. Such nodes (names made at random, one a page)
+    only count at their parent, so what meets in one task a site are the nodes of its
+    templates, whose number does not follow its pages.
     """
     seen = pages.mapInArrow(_stats, "host long, path long, parent long, marked int, kind int, value long, page long").groupBy("host", "path", "parent", "marked", "kind", "value").agg(F.count_distinct("page").alias("n"))
     nodes = seen.groupBy("host", "path", "parent").agg(
@@ -226,7 +228,9 @@ def style_tree(pages: DataFrame, least_pages: int = 2, threshold: float = 0.3) -
         F.sum(F.when(F.col("kind") == 1, F.col("n") * F.log("n"))).alias("text_nlogn"),
     )
     m = F.log(F.greatest(F.col("pages"), F.lit(2)))
-    nodes = nodes.select("host", "path", "parent", "marked", "pages", (F.lit(1.0) - F.col("style_nlogn") / (F.col("pages") * m)).alias("style_entropy"), F.least(F.lit(1.0), F.col("text_nlogn") / (F.col("texts") * m)).alias("text_entropy"))
+    seldom = nodes.where(F.col("pages") < least_pages).groupBy("host", F.col("parent").alias("path")).agg(F.count("*").alias("rare"))
+    nodes = nodes.where(F.col("pages") >= least_pages).join(seldom, ["host", "path"], "left")
+    nodes = nodes.select("host", "path", "parent", "marked", "pages", F.coalesce("rare", F.lit(0)).alias("rare"), (F.lit(1.0) - F.col("style_nlogn") / (F.col("pages") * m)).alias("style_entropy"), F.least(F.lit(1.0), F.col("text_nlogn") / (F.col("texts") * m)).alias("text_entropy"))
 
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["pages"].notna()].drop_duplicates("path")

@@ -14,7 +14,7 @@ from .common import arrow_batches, components, cut, seeded_share
 
 #: Rows that a shard should hold; how many shards a vector belongs to; shards in all (bounds the broadcast centroids).
 SHARD_ROWS, OVERLAP, MAX_SHARDS = 2_000, 4, 65_536
-#: Vectors that the shard centroids are fitted on.
+#: Vectors that the shard centroids are fitted on, at least; at most two a shard.
 FIT_ROWS = 16_384
 #: Candidates and kept neighbours of a node, long edges beside them, least near ones, and how eagerly close neighbours displace others.
 CANDIDATES, DEGREE, LONG, FILL, ALPHA = 48, 24, 6, 8, 1.2
@@ -23,7 +23,7 @@ BEAM, SLACK = 24, 0.04
 #: Vectors of a block of the exact passes; shards of a group up to which each is a region of its own.
 BLOCK, ALONE = 2_000, 16
 #: Queries of the recall audit.
-AUDIT = 256
+AUDIT = 1_024
 
 
 def _unit(rows) -> np.ndarray:
@@ -193,11 +193,11 @@ def _search(threshold: float, beam: int):
     return run
 
 
-def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Mean share of a vector's links that were found, over a bounded seeded sample of vectors with links against all rows, in blocks."""
+def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float | None:
+    """Mean share of a vector's links that were found, over those of a bounded seeded sample that have links, held against all rows in blocks; None if none has."""
     sample = reps.where(seeded_share(F.col("rep"), AUDIT, reps.count(), 5)).orderBy(F.xxhash64(F.lit(5), "rep"), "rep").limit(AUDIT).collect()
     if not sample:
-        return 1.0
+        return None
     groups: dict[tuple, tuple[list[int], np.ndarray]] = {}
     for key in {(r["label"], r["dim"]) for r in sample}:
         own = [r for r in sample if (r["label"], r["dim"]) == key]
@@ -213,8 +213,7 @@ def _audit(reps: DataFrame, found: DataFrame, threshold: float) -> float:
 
     exact = reps.select("label", "dim", "embedding", "copies").mapInPandas(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     # a vector is no link of its own
-    mean = exact.join(found, "rep").where("n > 1").agg(F.avg(F.col("links") / (F.col("n") - 1))).first()[0]
-    return 1.0 if mean is None else mean
+    return exact.join(found, "rep").where("n > 1").agg(F.avg(F.col("links") / (F.col("n") - 1))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -222,7 +221,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
 
     Returns (id_col, n_links, component_id, kept, audit_recall): other vectors linked
     directly, the smallest id reachable by links, whether the row is that one, and the
-    mean share of a vector's links that were found, as audited.
+    mean share of a vector's links that were found, as audited (null if no vector of the
+    audit has a link).
 
     Equal vectors go on as one with a count. Centroids fitted on a bounded sample make
     shards. Vectors as near to their centroid as the threshold are the shard's core: all
@@ -262,10 +262,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
         found = cut(_links(reps, threshold, overlap, beam))
         own = _totals(reps, found)
         recall = _audit(reps, own, threshold)
-        if recall >= least_recall or overlap >= 4 * OVERLAP:
+        if recall is None or recall >= least_recall or overlap >= 4 * OVERLAP:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    if recall < least_recall:
+    if recall is not None and recall < least_recall:
         found = cut(_every_link(reps, threshold, overlap))
         own = _totals(reps, found)
         recall = _audit(reps, own, threshold)
@@ -276,7 +276,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, least_recall: f
         per_rep = per_rep.join(least, "component").withColumn("component", F.col("least")).drop("least")
     linked = good.join(per_rep, ["label", "dim", "embedding"]).select("vec_id", "links", "component")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
-    return linked.unionByName(alone).select(F.col("vec_id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
+    return linked.unionByName(alone).select(F.col("vec_id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))
 
 
 def _totals(reps: DataFrame, found: DataFrame) -> DataFrame:
@@ -291,12 +291,18 @@ def _centres(reps: DataFrame, overlap: int) -> tuple[set, dict[tuple, np.ndarray
     # only groups larger than a shard need centroids, so at most MAX_SHARDS of them are counted here
     size = max(SHARD_ROWS, math.ceil(total * overlap / MAX_SHARDS))
     large = {(r["label"], r["dim"]): r["count"] for r in reps.groupBy("label", "dim").count().where(F.col("count") > size).collect()}
-    sample = reps.where(seeded_share(F.col("rep"), FIT_ROWS, total, 9)).orderBy(F.xxhash64(F.lit(9), "rep"), "rep").limit(FIT_ROWS).select("label", "dim", "embedding").collect() if large else []
+    wanted = {key: math.ceil(n * overlap / size) for key, n in large.items()}
+    fit = max(FIT_ROWS, min(2 * MAX_SHARDS, 2 * sum(wanted.values())))
     centres: dict[tuple, np.ndarray] = {}
-    for key, n in large.items():
-        own = [r["embedding"] for r in sample if (r["label"], r["dim"]) == key]
-        if own:
-            centres[key] = kmeans(_unit(own), math.ceil(n * overlap / size), seed=1)
+    if large:
+        sample = reps.where(seeded_share(F.col("rep"), fit, total, 9)).orderBy(F.xxhash64(F.lit(9), "rep"), "rep").limit(fit).select("label", "dim", "embedding").toArrow()
+        at: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(sample["label"].to_pylist(), sample["dim"].to_pylist(), strict=True)):
+            at.setdefault(key, []).append(i)
+        for key, k in wanted.items():
+            if key in at:
+                own = sample["embedding"].take(at[key]).combine_chunks()
+                centres[key] = kmeans(_unit(own.flatten().to_numpy().reshape(-1, key[1])), k, seed=1)
     return set(large), centres
 
 

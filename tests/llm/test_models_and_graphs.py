@@ -346,8 +346,32 @@ def test_copy_stages_with_repeated_and_missing_ids(spark):
     assert sorted((str(r["doc_id"]), r["text"][:2]) for r in got) == [("1", "a0"), ("7", "b0"), ("None", "c0")]
 
 
-def test_languages_at_the_cap_are_ordered_by_name(spark, monkeypatch):
-    monkeypatch.setattr(language_gru, "MAX_LANGS", 2)
+def test_every_language_is_learned(spark, monkeypatch):
     langs = ["zz", "yy", "xx", "bb", "aa"]
     df = spark.createDataFrame([(i, f"text {i}", langs[i % 5]) for i in range(50)], "doc_id long, text string, lang string").repartition(7)
-    assert language_gru.training_windows(df, 600, 8, 7)[2] == ["aa", "bb"]
+    wins, labels, found = language_gru.training_windows(df, 600, 8, 7)
+    assert found == sorted(langs) and len(wins) == 50
+    monkeypatch.setattr(language_gru, "TEXTS", 13)
+    wins, labels, found = language_gru.training_windows(df, 600, 8, 7)
+    assert found == sorted(langs) and np.bincount(labels).tolist() == [2] * 5
+    monkeypatch.setattr(language_gru, "TEXTS", 4)
+    with pytest.raises(ValueError):
+        language_gru.training_windows(df, 600, 8, 7)
+
+
+def test_rare_nodes_count_at_their_parent():
+    """The tree without nodes of one page, but with their number at the parent, decides as the whole tree does."""
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(2, 40))
+        parent = [0] + [int(rng.integers(1, i + 1)) for i in range(1, n)]
+        pages = [int(rng.integers(1, 6))]
+        for p in parent[1:]:
+            pages.append(int(rng.integers(1, pages[p - 1] + 1)))
+        whole = pd.DataFrame({"path": range(1, n + 1), "parent": parent, "pages": pages, "style_entropy": rng.random(n), "text_entropy": [float("nan") if x < 0.5 else x for x in rng.random(n)], "marked": rng.integers(0, 2, n)})
+        few = whole[whole.pages < 2]
+        kept = whole[whole.pages >= 2].assign(rare=lambda d: [int((few.parent == p).sum()) for p in d.path])
+        a, b = site_tree.importance(whole), site_tree.importance(kept)
+        assert {k: pytest.approx(a[k]) for k in b} == b
