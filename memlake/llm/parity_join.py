@@ -315,8 +315,9 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     total = heads.count()
     tidy = release if total >= LARGE else (lambda spark: None)
     # the texts of a repeated id belong together, whatever they are
-    own = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
-    same = cut(sets.join(own, "doc_id", "left_semi").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
+    again = cut(sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    repeats = not again.isEmpty()
+    same = sets.join(again, "doc_id", "left_semi").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
     ids = heads.select(F.col("head").alias("doc_id"))
     ids = F.broadcast(ids) if total <= BROADCAST_IDS else ids
     words = made.select("doc_id", "keys").join(ids, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
@@ -327,7 +328,8 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     discard(spark, path)
     tidy(spark)
     ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
-    texts = cut(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    texts = rows.join(ids, "doc_id", "left_semi")
+    texts = cut(texts.dropDuplicates(["doc_id", "text"]) if repeats else texts)
     met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
     tidy(spark)
 
@@ -345,7 +347,8 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     block, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = left.withColumn("block", block).withColumn("other", other).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     pairs = dealt.join(folds, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
-    links = cut(links.unionByName(_verified(pairs, texts, width, num, den)).unionByName(same))
+    links = links.unionByName(_verified(pairs, texts, width, num, den))
+    links = cut(links.unionByName(same) if repeats else links)
 
     del pairs, folds, left, mixed, placed, comp, single, alone, dealt
     tidy(spark)
@@ -372,12 +375,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > STAR).join(F.broadcast(share), F.col("c") > F.col("share"))
     hot = cut(hot.select("a", F.ceil(F.col("c") / STAR).cast("int").alias("times")))
     salted = lambda df: df.join(F.broadcast(hot), "a", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    left = salted(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
+    few = pairs.count() <= BROADCAST_IDS
+
+    def named(side: str) -> DataFrame:
+        """The texts of the pairs' one side. Without a broadcast both sides share the texts' shuffle by id."""
+        own = pairs.select(F.col(side).alias("doc_id")).distinct()
+        kept = texts.join(F.broadcast(own) if few else own, "doc_id", "left_semi")
+        return kept.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+
+    left = salted(named("a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
     dealt = salted(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("times")).cast("int")).drop("times")
-    both = dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "text_a", "b", "text_b")
+    both = dealt.join(named("b"), "b").join(left, ["a", "salt"]).select("a", "text_a", "b", "text_b")
     found = cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
-    del both, left, right, pairs
+    del both, left, dealt, pairs, hot, share, salted, named
     if texts.limit(LARGE).count() >= LARGE:
         release(found.sparkSession)
     return found.distinct()
