@@ -77,7 +77,25 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_vector_graph, op3_hierarchical_mix, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe, op10_site_style_tree)}
 
 ORACLE = {
+    "op2_vector_graph": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+u as (select * from v where label is not null and x is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+links as (select p.vec_id as a, q.vec_id as b from u p join u q on p.label = q.label and len(p.x) = len(q.x) and p.vec_id <> q.vec_id where list_cosine_similarity(p.x, q.x) >= 0.93),
+reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+k as (select a, min(b) as component_id from reach group by a), m as (select a, count(*) as n from links group by a),
+w as (select case when count(*) > 0 then cast(1 as double) end as audit_recall from links)
+select v.vec_id, coalesce(m.n, 0) as n_links, k.component_id, v.vec_id = k.component_id as kept, w.audit_recall from v left join m on v.vec_id = m.a join k on v.vec_id = k.a cross join w""",
     "op5_pii": pii.oracle(),
+    "op6_parity_jaccard_join": """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+z as (select s.doc_id, s.g, n.n from s join n on s.doc_id = n.doc_id),
+links as (select x.doc_id as a, y.doc_id as b from z x join z y on x.g = y.g and x.doc_id <> y.doc_id and 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+    group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+k as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, k.component_id from documents d left join n on d.doc_id = n.doc_id join k on d.doc_id = k.a""",
     "op7_exact_dedup": """
 with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents),
 k as (select norm, arg_min(doc_id, (-length(text), doc_id)) as keep_id, count(*) as group_size from d group by norm)

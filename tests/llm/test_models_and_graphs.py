@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from memlake.llm import language_gru, mixing, pu_quality, queries, site_tree, vector_graph
 from memlake.llm.common import components
@@ -312,6 +313,48 @@ def test_style_tree_decides_inside_and_beside_articles(spark):
     beside = [f"<body><div class='content'><p>long text {i}</p><p>more {i * 31}</p></div><article>teaser {i}</article><div class='strap'>Same line</div></body>" for i in range(20)]
     assert _texts(spark, beside) == {i: f"long text {i}\nmore {i * 31}\nteaser {i}" for i in range(20)}
 
+def _tree_by_hand(sources, least_pages=2, threshold=0.3):
+    """The unimportant style paths of one site, from plain sets of pages and no Spark."""
+    held = {}
+    for source in set(sources):
+        page = site_tree.Page(source)
+        for path, (parent, children, inside) in page.styles.items():
+            held.setdefault((path, parent, inside, 0, repr(children)), set()).add(source)
+        for path, text in page.texts:
+            parent, _, inside = page.styles.get(path, (0, [], False))
+            held.setdefault((path, parent, inside, 1, text), set()).add(source)
+    nodes = {}
+    for (path, parent, inside, kind, _), found in held.items():
+        node = nodes.setdefault((path, parent), {"path": path, "parent": parent, "marked": 0, 0: [], 1: []})
+        node["marked"] |= int(inside)
+        node[kind].append(len(found))
+    rare = [parent for (_, parent), n in nodes.items() if sum(n[0]) < least_pages]
+    rows = []
+    for n in nodes.values():
+        pages = sum(n[0])
+        if pages >= least_pages:
+            share = [sum(c * np.log(c) for c in n[k]) / (max(1, sum(n[k])) * np.log(max(2, pages))) for k in (0, 1)]
+            rows.append((n["path"], n["parent"], n["marked"], pages, rare.count(n["path"]), 1 - share[0], min(1.0, share[1]) if n[1] else np.nan))
+    table = pd.DataFrame(rows, columns=["path", "parent", "marked", "pages", "rare", "style_entropy", "text_entropy"])
+    return {p for p, (_, most) in site_tree.importance(table, least_pages=least_pages).items() if most < threshold}
+
+
+def test_style_tree_against_one_by_hand(spark):
+    """Sites of random templates: the tree changes texts, and as the one by hand does."""
+    rng = random.Random(3)
+    sites = {}
+    for h in range(6):
+        lines = [f"line {h} {j}" for j in range(4)]
+        sites[f"h{h}.example"] = [
+            "<body>" + "".join(f"<div class='{c}'>{rng.choice(lines[:n]) if n else f'own {h} {i} {c}'}</div>" for c, n in (("strap", 1), ("tip", 2), ("story", 0), ("end", 4)) if rng.random() < 0.9)
+            + f"<main><p>body {i} {h}</p><div class='house'>{rng.choice(lines[:2])}</div></main></body>" for i in range(3 + 5 * h)
+        ]
+    rows = [(i, f"http://{h}/{i}", p) for h, pages in sites.items() for i, p in enumerate(pages)]
+    got = {r["url"]: r["text"] for r in site_tree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    low = {h: _tree_by_hand(pages) for h, pages in sites.items()}
+    assert got == {url: site_tree.main_text(p, low[url.split("/")[2]]) for _, url, p in rows}
+    assert sum(got[url] != site_tree.main_text(p) for _, url, p in rows) > len(rows) / 2
+
 
 def test_style_tree_of_deep_layouts_and_small_sites(spark):
     deep = [f"<body>{'<div>' * 15}<div class='text'>own {i}</div><div class='house'>Call us today</div>" for i in range(12)]
