@@ -62,6 +62,21 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
+def risk_step(g: np.ndarray, n: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk of logits (n positives, then unlabelled), and the direction that a step goes against.
+
+    The risk is that of positives as positives, and that of unlabelled as negatives less
+    the positives' share in it. Where the second part is below zero it counts as zero, and
+    the step raises it.
+    """
+    s, m = 1 / (1 + np.exp(-g)), len(g) - n
+    rest = _softplus(g[n:]).mean() - prior * _softplus(g[:n]).mean()
+    risk = prior * _softplus(-g[:n]).mean() + max(0.0, float(rest))
+    if rest >= 0:
+        return risk, np.concatenate([prior * ((s[:n] - 1) - s[:n]) / n, s[n:] / m])
+    return risk, np.concatenate([prior * s[:n] / n, -s[n:] / m])
+
+
 def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, seed: int, hidden: int = 24, rate: float = 0.01, decay: float = 1e-4) -> Model:
     """Adam. With a prior: the non-negative unbiased risk. Without: positives against unlabelled, for the prior's estimate."""
     rng = np.random.default_rng(seed)
@@ -74,18 +89,10 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int, seed: i
         hid = np.tanh(x @ m.w[0] + m.w[1])
         g = (hid @ m.w[2] + m.w[3])[:, 0]
         s = 1 / (1 + np.exp(-g))
-        d = np.zeros_like(g)
         if prior is None:
-            d[:512], d[512:] = (s[:512] - 1) / 512, s[512:] / 512
+            d = np.concatenate([(s[:512] - 1) / 512, s[512:] / 512])
         else:
-            # risk of positives as positives; risk of unlabelled as negatives less the positives' share in it, kept from going below zero
-            rest = _softplus(g[512:]).mean() - prior * _softplus(g[:512]).mean()
-            if rest >= 0:
-                d[:512] = prior * ((s[:512] - 1) - s[:512]) / 512
-                d[512:] = s[512:] / 512
-            else:
-                d[:512] = prior * s[:512] / 512
-                d[512:] = -s[512:] / 512
+            d = risk_step(g, 512, prior)[1]
         d_hid = d[:, None] @ m.w[2].T * (1 - hid * hid)
         grads = [x.T @ d_hid, d_hid.sum(0), hid.T @ d[:, None], d.sum()[None]]
         lr = rate * min(1.0, 3 * (1 - step / (rounds + 1)))

@@ -75,11 +75,26 @@ def test_quality_held_out(spark, sf):
     assert auc > 0.95 and (got["predicted"] == got["quality"]).mean() > 0.93
 
 
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_risk_gradients(shift):
+    """Both branches of the non-negative risk against differences; the second is stepped upwards."""
+    rng = np.random.default_rng(2)
+    g, n, prior = np.concatenate([rng.normal(shift, 1, 7), rng.normal(-shift, 1, 9)]), 7, 0.4
+    soft = lambda x: np.logaddexp(0, x).mean()
+    rest = lambda g: soft(g[n:]) - prior * soft(g[:n])
+    risk, step = pu_quality.risk_step(g, n, prior)
+    assert (rest(g) >= 0) == (shift == 0.0) and np.isclose(risk, prior * soft(-g[:n]) + max(0, rest(g)))
+    goal = (lambda g: prior * soft(-g[:n]) + rest(g)) if rest(g) >= 0 else (lambda g: -rest(g))
+    eye = 1e-6 * np.eye(len(g))
+    assert np.allclose(step, [(goal(g + e) - goal(g - e)) / 2e-6 for e in eye], atol=1e-7)
+
+
 def test_quality_edges(spark):
-    df = spark.createDataFrame([(i, f"text number {i} is here", 1) for i in range(40)] + [(None, "x", 1), (90, None, 1), (91, "", 1), (91, "", 1)], "doc_id long, text string, score int")
+    df = spark.createDataFrame([(i, f"text number {i} is here", 1) for i in range(40)] + [(None, "x", 1), (90, None, 1), (91, "", 1), (91, "", 1), (92, "very long " * 200_000, 1), (92, "very long " * 200_000, 1)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = pu_quality.classify_quality(df, labels, rounds=40).collect()
-    assert len(got) == 44 and all(0 <= r["score"] <= 1 for r in got)
+    assert len(got) == 46 and all(0 <= r["score"] <= 1 for r in got)
+    assert all(len({r["score"] for r in got if r["doc_id"] == i}) == 1 for i in (91, 92))
     assert {r["score"] for r in pu_quality.classify_quality(df, labels.limit(0)).collect()} == {0.5}
     assert pu_quality.classify_quality(df.limit(0), labels).count() == 0
 
