@@ -12,7 +12,7 @@ import functools
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -333,11 +333,11 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
     tidy(spark)
 
-    links = _verified(_stars(met), texts, width, num, den)
+    links = _verified(_stars(met), texts, width, num, den, tidy)
     comp = _components_of(ids, links)
     alone = comp.where("doc_id = component").join(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_anti")
     single = met.join(alone.select("doc_id"), "doc_id", "left_semi")
-    links = cut(links.unionByName(_verified(_stars(single), texts, width, num, den)))
+    links = cut(links.unionByName(_verified(_stars(single), texts, width, num, den, tidy)))
     tidy(spark)
     comp = _components_of(ids, links)
     placed = met.select("key", "doc_id").join(comp, "doc_id")
@@ -347,7 +347,7 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     block, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = left.withColumn("block", block).withColumn("other", other).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     pairs = dealt.join(folds, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
-    links = links.unionByName(_verified(pairs, texts, width, num, den))
+    links = links.unionByName(_verified(pairs, texts, width, num, den, tidy))
     links = cut(links.unionByName(same) if repeats else links)
 
     del pairs, folds, left, mixed, placed, comp, single, alone, dealt
@@ -369,13 +369,17 @@ def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
     return cut(ids.select("doc_id").join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    pairs = cut(pairs)
-    share = pairs.agg((F.count("*") * HOT_SHARE).alias("share"))
-    hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > STAR).join(F.broadcast(share), F.col("c") > F.col("share"))
-    hot = cut(hot.select("a", F.ceil(F.col("c") / STAR).cast("int").alias("times")))
-    salted = lambda df: df.join(F.broadcast(hot), "a", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    few = pairs.count() <= BROADCAST_IDS
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, tidy: Callable) -> DataFrame:
+    spark, pairs = pairs.sparkSession, cut(pairs)
+    n = pairs.count()
+    few, hot = n <= BROADCAST_IDS, None
+    if n > STAR:  # with fewer pairs no centre can have so many
+        hot = pairs.groupBy("a").agg(F.count("*").alias("c")).where((F.col("c") > STAR) & (F.col("c") > n * HOT_SHARE))
+        hot = cut(hot.select("a", F.ceil(F.col("c") / STAR).cast("int").alias("times")))
+
+    def salted(df: DataFrame) -> DataFrame:
+        times = df.join(F.broadcast(hot), "a", "left") if hot is not None else df.withColumn("times", F.lit(1))
+        return times.withColumn("times", F.coalesce("times", F.lit(1)))
 
     def named(side: str) -> DataFrame:
         """The texts of the pairs' one side. Without a broadcast both sides share the texts' shuffle by id."""
@@ -387,9 +391,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     dealt = salted(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("times")).cast("int")).drop("times")
     both = dealt.join(named("b"), "b").join(left, ["a", "salt"]).select("a", "text_a", "b", "text_b")
     found = cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
-    del both, left, dealt, pairs, hot, share, salted, named
-    if texts.limit(LARGE).count() >= LARGE:
-        release(found.sparkSession)
+    del both, left, dealt, pairs, hot, salted, named
+    tidy(spark)
     return found.distinct()
 
 
