@@ -17,7 +17,8 @@ def room_histogram(points: DataFrame, rooms: Sequence[str]) -> DataFrame:
     """(room, n) for every configured room, empty ones too, and for points without a room (null)."""
     spark = points.sparkSession
     known = spark.createDataFrame([(r,) for r in rooms] + [(None,)], "room string")
-    n = points.groupBy("room").count()
+    # no more groups than the configured rooms, so the broadcast is bounded by them
+    n = points.where(F.col("room").isNull() | F.col("room").isin(*rooms)).groupBy("room").count()
     return known.join(F.broadcast(n), known["room"].eqNullSafe(n["room"]), "left").select(known["room"], F.coalesce("count", F.lit(0)).alias("n"))
 
 
