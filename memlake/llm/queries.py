@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_gru, mixing, orc_tokens, parity_join, pii, pu_quality, site_tree, vector_graph
+from . import bpe, exact_dedup, language_gru, mixing, orc_tokens, packing, parity_join, pii, pu_quality, site_tree, vector_graph, whitening
 from .common import held_out, table
 
 #: Rows that models may learn from.
@@ -74,7 +74,15 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_vector_graph, op3_hierarchical_mix, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe, op10_site_style_tree)}
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, most=2048)
+
+
+def op12_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_vector_graph, op3_hierarchical_mix, op4_language_gru, op5_pii, op6_parity_jaccard_join, op7_exact_dedup, op8_orc_token_ids, op9_byte_bpe, op10_site_style_tree, op11_binary_packing, op12_compensated_whitening)}
 
 ORACLE = {
     "op2_vector_graph": """
