@@ -17,7 +17,7 @@ from .orc_tokens import _encoder
 
 #: Files (name and first sequence) that may be broadcast to the pieces; more are joined by a shuffle.
 BROADCAST_FILES = 200_000
-PIECE = "doc_id long, start long, doc_tokens long, bucket int, ids array<int>"
+PIECE = "doc_id long, start long, doc_tokens long, bucket int, ids binary"
 
 
 def binary_lengths(n: int, most: int = 2048) -> list[int]:
@@ -31,17 +31,19 @@ def _cut_batches(path: str, end_id: int, most: int, special_as_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, special_as_text)
+        width = 2 if max(encode.tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         for b in batches:
-            ids = [encode(t or "") + end for t in b.column("text").to_pylist()]
-            tokens = np.array([len(x) // 4 for x in ids], np.int64)
+            ids = [np.frombuffer(encode(t or "") + end, "<u4").astype(f"<u{width}") for t in b.column("text").to_pylist()]
+            tokens = np.array([len(x) for x in ids], np.int64)
             pieces = [binary_lengths(int(n), most) for n in tokens]
             row = np.repeat(np.arange(len(ids)), [len(p) for p in pieces])
             length = np.array([x for p in pieces for x in p], np.int64)
             stop = np.concatenate([[0], np.cumsum(length)])
             before = np.cumsum(tokens) - tokens  # of the batch's tokens, those before each document
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+            offsets, flat = pa.array(stop * width, pa.int64()), b"".join(ids)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(row)), pa.array(stop[:-1] - before[row]), pa.array(tokens[row]), pa.array(np.log2(length).astype(np.int32)), pa.ListArray.from_arrays(pa.array(stop, pa.int32()), flat)],
+                [b.column("doc_id").take(pa.array(row)), pa.array(stop[:-1] - before[row]), pa.array(tokens[row]), pa.array(np.log2(length).astype(np.int32)),
+                 pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, offsets.buffers()[1], pa.py_buffer(flat)]).cast(pa.binary())],
                 ["doc_id", "start", "doc_tokens", "bucket", "ids"],
             )
 
@@ -52,7 +54,8 @@ def write_pieces(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, mo
     """Encode every whole text, cut it into pieces of 1, 2, 4, ... up to `most` tokens, and write them as Parquet under path, a folder a length.
 
     Rows (doc_id, start, doc_tokens, ids) of one length, 2^bucket, lie together, so that a
-    trainer forms batches of equal lengths without padding. The shuffle that brings a
+    trainer forms batches of equal lengths without padding. ids are little-endian unsigned
+    integers of 16 bits where the vocabulary allows, else of 32; bytes over length tell which. The shuffle that brings a
     length together splits the long ones, which hold most tokens, into partitions of the
     advisory size; so the number of files follows the bytes, not tasks times lengths.
 
@@ -67,7 +70,7 @@ def write_pieces(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, mo
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(_cut_batches(tokenizer, end_id, most, special_as_text), PIECE)
-    pieces.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
+    pieces.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -87,19 +90,23 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("doc_id", "start", "doc_tokens", "bucket", "ids", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
+def token_ids(piece: bytes, length: int) -> np.ndarray:
+    """The ids of a written piece as unsigned 32-bit integers."""
+    return np.frombuffer(piece, f"<u{len(piece) // length}").astype("<u4")
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        col = b.column("ids")
-        at, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        length = 1 << b.column("bucket").to_numpy().astype(np.int64)
+        crc = [zlib.crc32(token_ids(x, n)) for x, n in zip(b.column("ids").to_pylist(), length.tolist(), strict=True)]
         kept = [b.column(c) for c in ("doc_id", "start", "doc_tokens", "sequence_id", "offset")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "length", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "length", "ids_crc32"])
 
 
 def piece_index(sequences: DataFrame) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of sequences, digests taken from their ids."""
     kinds = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, length long, ids_crc32 long"
-    found = sequences.select("doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids").mapInArrow(_digest, kinds)
+    found = sequences.select("doc_id", "start", "doc_tokens", "sequence_id", "offset", "bucket", "ids").mapInArrow(_digest, kinds)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
