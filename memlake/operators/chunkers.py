@@ -203,6 +203,23 @@ def chunk_documents(docs: DataFrame, kind: str = "markdown", min_tokens: int = M
     return out.where(F.greatest(F.lit(1), F.floor(F.length("document") / 4)) >= min_tokens)
 
 
+def window_chunks(docs: DataFrame, size: int = 128, overlap: int = 16, text_col: str = "text") -> DataFrame:
+    """docs with (chunk_idx, document) for its text: windows of at most `size` words, each sharing `overlap` with the one before.
+
+    Words are runs without white space, joined again by one space. A text without words
+    (null, empty) has no row. Expressions only, so a text of any length stays in the JVM.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("windows must be longer than what they share")
+    step = size - overlap
+    words = F.regexp_extract_all(text_col, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    # slices of one array a text: it is made once, before the rows of its windows
+    listed = docs.withColumn("words_", words).where(F.size("words_") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words_") - overlap, F.lit(1)) - 1, F.lit(step))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("words_", i + 1, F.lit(size)), " "))
+    return listed.select(*docs.columns, F.posexplode(windows).alias("chunk_idx", "document"))
+
+
 def chunk_transcripts(pairs: DataFrame) -> DataFrame:
     """(piece, document) of pairs (user_json, assistant_json array, ...), with every other column of the pair on each piece; tool payloads elided."""
     rest = [f for f in pairs.schema if f.name not in ("user_json", "assistant_json")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ def _key() -> Column:
     return F.concat_ws(":", F.coalesce("kind", F.lit("?")), F.coalesce(F.col("source").cast("string"), F.lit("?")))
 
 
-def usage_rollup(audit: DataFrame) -> DataFrame:
-    """Per kind:source: count, token moments, mean; null tokens are 0, a missing kind or source is ?.
+def usage_rollup(audit: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Per kind:source (or the columns `by`): count, token moments, mean; null tokens are 0, a missing kind or source is ?.
 
     All are sums, counts and extremes, so partial results merge: this is also the streaming aggregate.
     """
     t = F.coalesce("tokens", F.lit(0)).cast("long")
-    return audit.groupBy(_key().alias("key")).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 6).alias("mean"))
+    keys = [_key().alias("key")] if by is None else list(by)
+    return audit.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 6).alias("mean"))
 
 
 def placed_values(df: DataFrame, by: str, x: str) -> DataFrame:
