@@ -329,7 +329,10 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     tidy(spark)
     ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
     texts = rows.join(ids, "doc_id", "left_semi")
-    texts = cut(texts.dropDuplicates(["doc_id", "text"]) if repeats else texts)
+    # the largest of what is kept: as compressed columns, which a checkpoint's rows are not
+    texts_path = scratch_path(spark, "texts")
+    (texts.dropDuplicates(["doc_id", "text"]) if repeats else texts).write.option("compression", "zstd").parquet(texts_path)
+    texts = spark.read.schema("doc_id long, text string").parquet(texts_path)
     met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
     tidy(spark)
 
@@ -348,9 +351,10 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     dealt = left.withColumn("block", block).withColumn("other", other).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     pairs = dealt.join(folds, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
     links = links.unionByName(_verified(pairs, texts, width, num, den, tidy))
-    links = cut(links.unionByName(same) if repeats else links)
+    links = cut(links.unionByName(same) if repeats else links)  # nothing reads texts after this
 
-    del pairs, folds, left, mixed, placed, comp, single, alone, dealt
+    del pairs, folds, left, mixed, placed, comp, single, alone, dealt, texts
+    discard(spark, texts_path)
     tidy(spark)
     whole = components(links)
     head_of = heads.join(whole.select(F.col("id").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))

@@ -30,29 +30,47 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _NOISE_TAGS = frozenset("nav footer aside form menu button select dialog head".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _NOISE_PARTS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo comment comments disqus reply replies cookie cookies consent gdpr notice notices banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related newsletter subscribe popup modal widget pagination pager toolbar".split())
+# Parts of names that speak of a state of the page, not of what a branch is (ad-free, has-sidebar, menu-open).
+_STATE_PARTS = frozenset("has with without no not non is free less open opened close closed show shown hide hidden visible enable enabled disable disabled active inactive on off loaded ready".split())
 _MAIN_TAGS, _MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
+#: Why a branch has no importance: its element or role; its name, outside of a marked article; its name, inside of one.
+BY_KIND, BY_NAME, BY_NAME_INSIDE = 1, 2, 4
 #: Unimportant paths (8 bytes each) of all sites together that may be broadcast; beyond that, sites are joined in so many parts.
 BROADCAST_PATHS, SALTS = 1_000_000, 64
 #: The importance of nodes inside article or main counts so many times.
 RAISE = 2.0
 
 
+def noise_name(names: str) -> bool:
+    """Whether a class or id names a branch without importance: by the first or last part of a name none of whose parts is a state."""
+    for name in names.split():
+        parts = _PART.findall(name)
+        if parts and (parts[0] in _NOISE_PARTS or parts[-1] in _NOISE_PARTS) and _STATE_PARTS.isdisjoint(parts):
+            return True
+    return False
+
+
 class Page:
     """The branches of one page: text blocks with the style path of their node, and the style nodes at any depth."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, int, bool, bool]] = []  # text, style path, inside the article, inside a branch without importance
+        self.blocks: list[tuple[str, int, bool, int]] = []  # text, style path, inside the article, why it has no importance (0: it has)
         self.styles: dict[int, tuple[int, list[int], bool]] = {}  # path -> parent (which comes first), children in order, inside the article
         self.texts: list[tuple[int, int]] = []  # path, text hash
-        self._stack: list[tuple[str, int, bool, bool]] = []
+        self._stack: list[tuple[str, int, bool, int]] = []
         self._buffer: list[str] = []
         self._read(source)
 
-    def _top(self) -> tuple[str, int, bool, bool]:
-        return self._stack[-1] if self._stack else ("", 0, False, False)
+    def _top(self) -> tuple[str, int, bool, int]:
+        return self._stack[-1] if self._stack else ("", 0, False, 0)
+
+    def _muted(self) -> bool:
+        """Whether text here can be no article, even if that of the page lies in a branch with a telling name."""
+        _, _, main, noise = self._top()
+        return bool(noise & (BY_KIND | BY_NAME_INSIDE)) or bool(noise) and not main
 
     def _text(self, raw: str) -> None:
-        if raw and not self._top()[3]:
+        if raw and not self._muted():
             self._buffer.append(entities.unescape(raw) if "&" in raw else raw)
 
     def _flush(self) -> None:
@@ -62,20 +80,20 @@ class Page:
             i = len(self._stack)
             while i and self._stack[i - 1][0] in _INLINE:
                 i -= 1
-            _, path, main, noise = self._stack[i - 1] if i else ("", 0, False, False)
+            _, path, main, noise = self._stack[i - 1] if i else ("", 0, False, 0)
             self.blocks.append((text, path, main, noise))
             self.texts.append((path, xxhash.xxh3_64_intdigest(text) >> 1))
 
     def _push(self, tag: str, attrs: str) -> None:
         _, parent, main, noise = self._top()
-        style, parts, role = tag, set(), ""
+        style, named, role = tag, False, ""
         if attrs and "=" in attrs:
             for name, *value in _ATTR.findall(attrs):
                 v = "".join(value).lower()
                 if name.lower() == "role":
                     role = v
                 else:
-                    parts.update(_PART.findall(v))
+                    named = named or noise_name(v)
                 style += f".{_DIGITS.sub('0', v)}"
         path = parent
         if tag not in _INLINE:
@@ -86,8 +104,11 @@ class Page:
                 self.styles[parent][1].append(path)
         else:
             inside = main or role in _MAIN_ROLES
-        bad = noise or tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not main) or (tag not in ("html", "body", "article", "main") and bool(parts & _NOISE_PARTS))
-        self._stack.append((tag, path, inside, bad))
+        if tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not main):
+            noise |= BY_KIND
+        if named and tag not in ("html", "body") and (tag not in _MAIN_TAGS or main or noise):
+            noise |= BY_NAME_INSIDE if inside else BY_NAME
+        self._stack.append((tag, path, inside, noise))
 
     def _pop(self, names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
         for i in range(len(self._stack) - 1, -1, -1):
@@ -128,9 +149,9 @@ class Page:
                 if tag in _CLOSES:
                     self._pop(_CLOSES[tag], _SCOPE[tag])
                 if not attrs.endswith("/") or block:
-                    noise = self._top()[3]
+                    muted = self._muted()
                     self._push(tag, attrs)
-                    if not block and self._top()[3] and not noise:
+                    if not block and self._muted() and not muted:
                         self._buffer.append(" ")
         self._text(source[at:])
         self._flush()
@@ -141,7 +162,7 @@ def main_text(source: str | None, unimportant: frozenset[int] | set[int] = froze
 
     Branches of the fixed kinds without importance go, and those whose style path the
     site's tree found unimportant, inside an article (article, main, or such a role) as
-    outside of it.
+    outside of it. A name on a branch around the page's only article does not count for it.
     """
     if not source:
         return ""
@@ -151,7 +172,8 @@ def main_text(source: str | None, unimportant: frozenset[int] | set[int] = froze
         for path, (parent, _, _) in page.styles.items():
             if path in unimportant or parent in gone:
                 gone.add(path)
-    return "\n".join(text for text, path, _, noise in page.blocks if not noise and path not in gone)
+    free = any(main and not noise for _, _, main, noise in page.blocks)
+    return "\n".join(text for text, path, main, noise in page.blocks if path not in gone and (not noise or main and not free))
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
