@@ -222,11 +222,12 @@ def token_budget(hits: DataFrame, budget: int = 1500, tokens: str = "tokens", fi
     return out.where(keep | (F.col("place_") == 1) if first_always else keep).drop("place_")
 
 
-def search(points: DataFrame, queries: DataFrame, *, where: Column | None = None, now: str, config: Config | None = None, scorer: Callable | None = None) -> DataFrame:
+def search(points: DataFrame, queries: DataFrame, *, where: Column | None = None, now: str, config: Config | None = None, scorer: Callable | None = None, sparse: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The whole search of a batch: points (id, text, vec, content_hash, updated_at, valid_from, chunker, ...), queries (qid, text, vec, optional expanded_text).
 
     The order of stages is fixed: filter, both arms over the same filtered points, fusion,
-    rerank or recency, decay, hash and cosine deduplication, budget, k.
+    rerank or recency, decay, hash and cosine deduplication, budget, k. Without a filter the
+    BM25 arm may be a stored index's search(queries, n) over the same points.
     """
     c = config or Config()
     kept = points if where is None else points.where(where)
@@ -235,7 +236,8 @@ def search(points: DataFrame, queries: DataFrame, *, where: Column | None = None
     k_eff = S.effective_k(c.k, S.complexity(F.col("text"), F.lit(where is not None)), c.adaptive_delta, c.k_max)
     plan = queries.select("qid", F.col("text").alias("query"), k_eff.alias("k_eff"))
     n = c.rerank_n if scorer else c.arm_n
-    fused = rrf([dense_topk(kept.select("id", "vec"), asked.where("vec is not null"), n), bm25_topk(kept.select("id", "text"), asked, n)], c.rrf_k, None)
+    words = sparse(asked.select("qid", "text"), n) if sparse and where is None else bm25_topk(kept.select("id", "text"), asked, n)
+    fused = rrf([dense_topk(kept.select("id", "vec"), asked.where("vec is not null"), n), words], c.rrf_k, None)
     fused = cut(fused.join(small(plan.select("qid", "k_eff")), "qid").where(F.col("rk") <= F.greatest(2 * F.col("k_eff"), F.lit(10))))
     # a query's few candidates go to the corpus, so texts and vectors of all others stay where they are read
     hits = kept.join(small(fused, FUSED_LIMIT), "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,9 @@ from memlake.config import Config
 from memlake.functions import predicates
 from memlake.functions import scalars as S
 from memlake.operators import admin, evaluation, ingest, retrieval, telemetry, turns
+from memlake.operators.postings import Postings
 from memlake.registry import lookup
-from memlake.shared import cut, small
+from memlake.shared import cut, shared_dir, small
 from memlake.sources import readers, sinks
 from memlake.streaming import pipelines
 
@@ -69,9 +71,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def bm25(spark: SparkSession, sf_dir: str, n: int = 20, where: str = "true") -> DataFrame:
-    corpus = load(spark, sf_dir, "documents").where(where).select(F.col("doc_id").alias("id"), "text")
-    return retrieval.bm25_topk(corpus, asked(spark, sf_dir).select("qid", "text"), n)
+_INDEXES: dict[tuple[str, str], Postings] = {}
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored postings of documents; a session writes them once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        made = Postings(spark, f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
+        made.write(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 0)
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+def bm25(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    return sparse_index(spark, sf_dir).search(asked(spark, sf_dir).select("qid", "text"), n)
 
 
 def _bm25(n: int = 20, where: str = "true", name: str = "bm") -> str:
@@ -111,6 +125,17 @@ def q_bm25_topk(spark, sf_dir):
     return bm25(spark, sf_dir)
 
 
+@query(f"with {_bm25(where='doc_id % 7 <> 5')} select qid, id, score, rk from bm")
+def q_postings_update(spark, sf_dir):
+    """An index that held drafts of a third of the texts and documents that went, after the batch that mended both."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    draft = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("draft"), F.substring("text", 1, 99))).otherwise(F.col("text"))
+    index = Postings(spark, f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
+    index.write(d.withColumn("text", draft), 0)
+    index.write(d.where("id % 3 = 0 and id % 7 <> 5"), 1, removed=d.where("id % 7 = 5"))
+    return index.search(asked(spark, sf_dir).select("qid", "text"))
+
+
 _RRF = """fu as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rk from (
  select qid, id, round(sum(1.0::double / (60 + rk)), 9) as score from (select qid, id, rk from de union all select qid, id, rk from bm) group by qid, id)) where rk <= 10)"""
 
