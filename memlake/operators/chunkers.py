@@ -140,8 +140,9 @@ def chunk_drawer(user: object, assistants: list[object], soft_max: int = DRAWER_
 def chunk_python(source: str | None, most: int = CODE_MAX) -> list[str]:
     """Definitions as chunks: a class is its header and its methods, functions fall into paragraphs.
 
-    Other statements between definitions form chunks of their own, merged while both sides
-    are tiny. A source that does not parse is chunked as markdown.
+    Every other statement, and every line of comment between them, is a chunk of its own;
+    neighbours are joined by a blank line while both sides are tiny. A source that does not
+    parse is chunked as markdown.
     """
     text = source or ""
     try:
@@ -159,28 +160,39 @@ def chunk_python(source: str | None, most: int = CODE_MAX) -> list[str]:
     def paragraphs(body: str) -> list[str]:
         return [p.strip("\n") for p in re.split(r"\n[ \t]*\n", body) if p.strip()]
 
+    def loose(nodes: list[ast.stmt], at: int, end: int) -> list[tuple[str, bool]]:
+        ends: dict[int, int] = {}
+        for n in nodes:  # of statements that share a line the last one's end counts
+            ends[first(n)] = max(n.end_lineno, ends.get(first(n), 0))
+        out = []
+        while at <= end:
+            last = ends.get(at, at)
+            if at in ends or lines[at - 1].lstrip().startswith("#"):
+                out.append((cut(at, last), False))
+            at = last + 1
+        return out
+
     def walk(nodes: list[ast.stmt], start: int, end: int) -> list[tuple[str, bool]]:
         out: list[tuple[str, bool]] = []
         at = start
         for node in nodes:
             if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 continue
-            out.append((cut(at, first(node) - 1), False))
+            out += loose(nodes, at, first(node) - 1)
             if isinstance(node, ast.ClassDef):
                 inner = [n for n in node.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
                 head = first(inner[0]) - 1 if inner else node.end_lineno
                 out.append((cut(first(node), head), True))
-                out += walk(inner, head + 1, node.end_lineno)
+                out += walk(node.body, head + 1, node.end_lineno)
             else:
                 out += [(p, True) for p in paragraphs(cut(first(node), node.end_lineno))]
             at = node.end_lineno + 1
-        out.append((cut(at, end), False))
-        return [x for x in out if x[0].strip()]
+        return [x for x in out + loose(nodes, at, end) if x[0].strip()]
 
     merged: list[tuple[str, bool]] = []
     for body, definition in walk(tree.body, 1, len(lines)):
         if merged and not definition and not merged[-1][1] and tokens(body) <= CODE_MERGE and tokens(merged[-1][0]) <= CODE_MERGE:
-            merged[-1] = (merged[-1][0] + "\n" + body, False)
+            merged[-1] = (merged[-1][0] + "\n\n" + body, False)
         else:
             merged.append((body, definition))
     out: list[str] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -136,17 +137,23 @@ def paired_samples(peer: DataFrame, own: DataFrame, keys: Sequence[str] = ("axis
     return peer.select(*keys, F.col("value").alias("a")).join(own.select(*keys, F.col("value").alias("b")), list(keys))
 
 
+#: Bounds of a uniform variable from which a Poisson variable of mean 1 is at least 1, 2, 3, ...
+POISSON = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """(delta, ci_lower, ci_upper, verdict) of a - b over (qid, a, b), by index resampling from a seeded hash.
+    """(delta, ci_lower, ci_upper, verdict) of a - b over (qid, a, b), by a Poisson bootstrap from a seeded hash.
 
-    Resamples are numbered rows that draw from the paired differences, an array that one
-    task holds: one value a query. Bounds are interpolated percentiles; delta is exact.
+    A query counts in a resample as often as a Poisson variable of mean 1 says, which a
+    hash of both decides. So resamples are sums that merge: every task adds up its own
+    queries' shares, and no list of differences is ever held. A resample without any query
+    has no mean. Bounds are interpolated percentiles; delta is exact.
     """
-    d = pairs.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", (F.col("a") - F.col("b")).alias("d")))), lambda x: x["d"]).alias("d"))
-    draws = pairs.sparkSession.range(resamples).join(F.broadcast(d))
-    n = F.size("d")
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("d", (F.conv(F.substring(seeded_order(seed, F.col("id"), i), 1, 8), 16, 10).cast("long") % n + 1).cast("int")))
-    ci = draws.where(n > 0).select((total / n).alias("m")).agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
+    draws = pairs.select("qid", (F.col("a") - F.col("b")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("id"))
+    u = F.conv(F.substring(seeded_order(seed, F.col("id"), F.col("qid")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    times = draws.select("id", "d", sum((u >= c).cast("int") for c in POISSON).alias("w"))
+    means = times.groupBy("id").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    ci = means.agg(F.percentile("m", 0.025).alias("ci_lower"), F.percentile("m", 0.975).alias("ci_upper"))
     mean = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("delta"))
     return mean.join(F.broadcast(ci)).withColumn("verdict", verdict(F.col("ci_lower"), F.col("ci_upper")))
 

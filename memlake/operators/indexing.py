@@ -94,9 +94,17 @@ def _points(rows: DataFrame, content: Column, ident: Column, chunker: Column, ts
     )
 
 
-def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, target: str = "prod", force: bool = False, exclude: Sequence[str] = (), modified: str = "0", rooms: Mapping[str, Sequence[str]] | None = None, embedder: str | None = None,
-          dedup: bool = False, min_tokens: int = chunkers.MIN_TOKENS, retention_days: float = 0.0, now: datetime | None = None) -> Report:
-    """Bring a collection at root/points up to date with its sources; root/manifest remembers what was done.
+def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, exclude: Sequence[str] = (), modified: str = "0", now: datetime | None = None, **how) -> Report:
+    """index_files over the files of the sources; what a listing without age limit and excludes lacks is gone."""
+    moment = now or datetime.now()
+    files = cut(readers.read_files(spark, sources, exclude, modified, moment))
+    failed = readers.unread(spark, files, sources, exclude=exclude, modified=modified, now=moment).count()
+    return index_files(spark, files, root, there=readers.listing(spark, sources), roots=readers.roots_of(sources), failed=failed, now=moment, **how)
+
+
+def index_files(spark: SparkSession, files: DataFrame, root: str, *, there: DataFrame, roots: Sequence[str], failed: int = 0, target: str = "prod", force: bool = False, rooms: Mapping[str, Sequence[str]] | None = None, embedder: str | None = None,
+                dedup: bool = False, min_tokens: int = chunkers.MIN_TOKENS, retention_days: float = 0.0, now: datetime | None = None) -> Report:
+    """Bring a collection at root/points up to date with files (path, mtime, text, sha); root/manifest remembers what was done.
 
     The order is fixed: the collection is ensured; prefixes are filled in and rooms
     recomputed if their settings changed; old versions of changed files end and new chunks
@@ -106,7 +114,8 @@ def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, targe
 
     A file is dirty if the manifest does not know it for the target, or if its content, the
     collection or the embedder changed; a message likewise by its own hash. Files that are
-    gone leave the manifest, not the collection.
+    gone leave the manifest, not the collection: those below the run's roots that are not
+    in `there` (path). What other runs brought from elsewhere stays known.
     """
     rooms, moment = rooms or {}, now or datetime.now()
     at = F.lit(moment).cast("timestamp")
@@ -115,8 +124,6 @@ def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, targe
     ingest.ensure(spark, points, POINT)
     ingest.ensure(spark, state, ENTRY + ", id string")
     manifest = cut(ingest.read_latest(spark, state))
-    files = cut(readers.read_files(spark, sources, exclude, modified, moment))
-    failed = readers.unread(spark, files, sources, exclude=exclude, modified=modified, now=moment).count()
 
     # settings of rooms decide whether all points are classified anew; missing prefixes are filled in by the same write
     reclassified = 0
@@ -142,10 +149,10 @@ def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, targe
     new = cut(kept.unionByName(message_points(fresh, rooms, at)))
     fallback = new.where("fallback_").count()
     new = cut(embedded(new.drop("fallback_"), embedder).select(*(c.split(" ")[0] for c in POINT.split(", "))))
-    # only files that an earlier run knew have versions to end; transcripts only ever grow
-    changed = cut(dirty.select("path").join(seen.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("file_path")))
+    # live versions of any dirty file end, whether or not the manifest still knows it; transcripts only ever grow
+    changed = dirty.select(F.col("path").alias("file_path"))
     written = new.count()
-    if written or not changed.isEmpty():
+    if written or not dirty.isEmpty():
         ingest.commit(spark, points, new, by="file_path", change=lambda old: ingest.close_old(old, changed, at), touched=changed)
     if retention_days:
         whole = ingest.read_latest(spark, points)
@@ -155,7 +162,7 @@ def index(spark: SparkSession, sources: str | Sequence[str], root: str, *, targe
 
     entries = dirty.select(F.lit("file").alias("kind"), "path", "target", "sha", "epoch").unionByName(fresh.select(F.lit("message").alias("kind"), F.col("session").alias("path"), "target", "sha", "epoch"))
     entries = entries.unionByName(spark.createDataFrame([("setting", ROOMS, "", rooms_hash, None)], ENTRY))
-    old = cut(ingest.prune_manifest(seen, files))
+    old = cut(ingest.prune_manifest(seen, there, roots))
     pruned = seen.count() - old.count()
     key = F.to_json(F.struct("kind", "path", "target"))
     rest = old.unionByName(manifest.where("kind <> 'file'")).select(*(c.split(" ")[0] for c in ENTRY.split(", "))).withColumn("id", key)

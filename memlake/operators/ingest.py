@@ -28,10 +28,19 @@ def needs_index(files: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("p
     return files.join(manifest.select(*keys, *same).distinct(), [*keys, *same], "left_anti")
 
 
-def prune_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Manifest rows whose absolute path still exists; relative paths stay."""
+def prune_manifest(manifest: DataFrame, files: DataFrame, roots: Sequence[str] | None = None) -> DataFrame:
+    """Manifest rows whose absolute path still exists; relative paths stay, and with roots all paths that are not below one.
+
+    files (path) lists what exists: with roots, all files below these.
+    """
     there = files.select("path").distinct()
-    return manifest.where(~F.col("path").startswith("/")).unionByName(manifest.where(F.col("path").startswith("/")).join(there, "path", "left_semi").select(*manifest.columns))
+    asked = F.col("path").startswith("/")
+    if roots is not None:
+        inside = F.lit(False)
+        for r in roots:
+            inside = inside | (F.col("path") == r) | F.col("path").startswith(r.rstrip("/") + "/")
+        asked = asked & inside
+    return manifest.where(~asked).unionByName(manifest.where(asked).join(there, "path", "left_semi").select(*manifest.columns))
 
 
 def close_old(points: DataFrame, changed: DataFrame, now: Column, keys: Sequence[str] = ("file_path",)) -> DataFrame:

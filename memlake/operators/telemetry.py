@@ -105,17 +105,21 @@ def used_later(chunks: DataFrame, events: DataFrame) -> DataFrame:
     """Journal chunks (session, ts, source) that a later event of the session touches (session, ts, path, text).
 
     Both sides meet on the session and the file name: an event either works on the path or
-    mentions the name. The remaining conditions are checked on what meets, and a chunk is
-    kept once however many events use it.
+    mentions the name. Of all events of a session on one path, or with one name, only the
+    latest time matters, so what meets a chunk are different paths, however many events
+    there are; a time that is missing counts as later than all. A chunk is kept once.
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     asked = chunks.withColumn("base", base(F.col("source"))).where("base <> ''")
     touched = events.where("path is not null").select("session", F.col("ts").alias("ets"), "path", base(F.col("path")).alias("base"))
-    later = F.col("ts").isNull() | F.col("ets").isNull() | (F.col("ets") > F.col("ts"))
-    by_path = asked.join(touched, ["session", "base"]).where(later & S.same_target(F.col("path"), F.col("source"))).select(*asked.columns)
+    last = F.when(F.count_if(F.col("ets").isNull()) == 0, F.max("ets")).alias("ets")
+    c, e = asked.alias("c"), touched.groupBy("session", "base", "path").agg(last).alias("e")
+    met = (F.col("c.session") == F.col("e.session")) & (F.col("c.base") == F.col("e.base"))
+    later = F.col("c.ts").isNull() | F.col("e.ets").isNull() | (F.col("e.ets") > F.col("c.ts"))
+    by_path = c.join(e, met & later & S.same_target(F.col("e.path"), F.col("c.source")), "left_semi")
     # words that could be a file name are cut out of the texts, so mentions are an equi-join too
     named = events.where("text is not null").select("session", F.col("ts").alias("ets"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)([\w.-]+)"), F.lit(1)))).alias("base"))
-    by_name = asked.join(named, ["session", "base"]).where(later).select(*asked.columns)
+    by_name = c.join(named.groupBy("session", "base").agg(last).alias("e"), met & later, "left_semi")
     return by_path.unionByName(by_name).distinct().drop("base")
 
 

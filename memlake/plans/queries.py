@@ -642,8 +642,8 @@ def q_rerank(spark, sf_dir):
     return retrieval.rerank(hits, lookup("reranker", "lexical"), 50).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"), "rk")
 
 
-_DRAWN = """dd as (select list(a - b order by qid) as d, count(*)::int as n, avg(a - b) as delta from ab), dr as (select r.range as id, list_sum(list_transform(range(1, n + 1), lambda i: d[(('0x' || substr(md5('42:' || r.range || ':' || i), 1, 8))::bigint % n + 1)::int])) / n as m from dd, range(1000) r),
-ci as (select quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from dr)"""
+_DRAWN = f"""dd as (select avg(a - b) as delta from ab), dw as (select r.range as id, a - b as d, len(list_filter([{', '.join(map(repr, evaluation.POISSON))}], lambda c: ('0x' || substr(md5('42:' || r.range || ':' || qid), 1, 8))::bigint / 4294967296.0::double >= c)) as w from ab, range(1000) r),
+dr as (select id, sum(w * d) / nullif(sum(w), 0) as m from dw group by id), ci as (select quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from dr)"""
 
 
 @query(f"""with {_BLOB}, {_HEUR}, ab as (select he.qid, hr.recall as a, case when len(w) > 0 then len(list_filter(w, lambda s: contains(he.blob, s))) / len(w) else 0 end as b from (select *, regexp_split_to_array(answer, '{_WHITE}') as w from he) he join hr using (qid)), {_DRAWN}

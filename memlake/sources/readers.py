@@ -49,11 +49,20 @@ def below(path: Column, roots: Sequence[str]) -> Column:
     return out
 
 
-def _files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str], modified: str, now: datetime | None, base: str | None) -> DataFrame:
+def roots_of(sources: str | Sequence[str]) -> list[str]:
+    """Sources without a local scheme, each once; one inside another is left out."""
     given = [sources] if isinstance(sources, str) else list(sources)
     given = [re.sub("^file:/+", "/", x).rstrip("/") for x in given]
-    # a source inside another one would be read twice
-    given = sorted({x for x in given if not any(x != y and x.startswith(y + "/") for y in given)})
+    return sorted({x for x in given if not any(x != y and x.startswith(y + "/") for y in given)})
+
+
+def listing(spark: SparkSession, sources: str | Sequence[str]) -> DataFrame:
+    """(path) of all files of the sources, of any age and without excludes; no contents are read."""
+    return _files(spark, sources, (), "0", None, None).select("path")
+
+
+def _files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str], modified: str, now: datetime | None, base: str | None) -> DataFrame:
+    given = roots_of(sources)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(SUFFIXES) + "}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if (window := since(modified)) is not None:
         reader = reader.option("modifiedAfter", ((now or datetime.now()) - window).strftime("%Y-%m-%dT%H:%M:%S"))

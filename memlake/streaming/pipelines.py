@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from memlake.functions.scalars import same_target
 from memlake.operators.telemetry import usage_rollup
@@ -23,9 +25,33 @@ def audit_tail(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(AUDIT).option("mode", "DROPMALFORMED").json(path).withColumn("ts", F.try_to_timestamp("ts"))
 
 
-def newest(n: int, sink: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: hands the newest n rows of each batch to a sink."""
-    return lambda df, _: sink(df.orderBy(F.desc("ts")).limit(n))
+def newest(n: int, path: str, order: Sequence[str] = ("ts",)) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps the newest n rows of the whole stream below a path, in a folder a batch.
+
+    A batch's ring is the newest of its own rows and of the ring before it, so rows that
+    arrive late take their place. A batch that runs again replaces its own ring and starts
+    from the same one; at most n rows are read and written a batch.
+    """
+
+    def keep(df: DataFrame, batch: int) -> None:
+        before = read_newest(df.sparkSession, path, df.schema, batch)
+        ring = df.unionByName(before).orderBy(*(F.desc(c) for c in order)).limit(n)
+        ring.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return keep
+
+
+def read_newest(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """The ring that the last batch (before the given one) left; empty where none did."""
+    try:
+        rings = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rings = rings if before is None else rings.where(F.col("batch") < before)
+    last = rings.agg(F.max("batch")).first()[0]
+    return rings.where(F.col("batch") == (-1 if last is None else last)).select(*schema.names)
 
 
 def dedup_within(rows: DataFrame, hours: int = 24) -> DataFrame:

@@ -62,7 +62,20 @@ def test_session_memory(spark, tmp_path):
     assert sorted(r["id"] for r in got) == [1, 3, 5, 6]  # every row puts the session's end off
 
 
-def test_newest(spark):
-    seen = []
-    P.newest(2, lambda df: seen.extend(r["ts"] for r in df.collect()))(spark.createDataFrame([(T0,), (T0 + timedelta(1),), (T0 - timedelta(1),)], "ts timestamp").withColumn("x", F.lit(1)), 0)
-    assert seen == [T0 + timedelta(1), T0]
+def test_newest_is_a_ring_over_all_batches(spark, tmp_path):
+    path, schema = str(tmp_path / "ring"), spark.createDataFrame([], "ts timestamp, id long").schema
+    batch = lambda *days: spark.createDataFrame([(T0 + timedelta(d), d) for d in days], schema)
+    keep = P.newest(3, path)
+    ring = lambda: sorted(r["id"] for r in P.read_newest(spark, path, schema).collect())
+    assert ring() == []
+    keep(batch(10, 11, 12, 13), 0)
+    assert ring() == [11, 12, 13]
+    keep(batch(1, 2, 3, 4), 1)  # an older batch takes no place
+    assert ring() == [11, 12, 13]
+    keep(batch(5, 12, 20), 2)
+    assert ring() == [12, 13, 20] or ring() == [12, 12, 13, 20][1:]
+    before = ring()
+    keep(batch(5, 12, 20), 2)  # the same batch once more
+    assert ring() == before
+    keep(batch(), 3)
+    assert ring() == before
