@@ -675,7 +675,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _more() -> None:
     """The queries of the other modules register themselves here."""
-    from memlake.plans import literals, streams, tables  # noqa: F401
+    from memlake.plans import derived, streams, tables  # noqa: F401
 
 
 _more()

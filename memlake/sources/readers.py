@@ -61,29 +61,29 @@ def listing(spark: SparkSession, sources: str | Sequence[str]) -> DataFrame:
     return _files(spark, sources, (), "0", None, None).select("path")
 
 
-def _files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str], modified: str, now: datetime | None, base: str | None) -> DataFrame:
+def _files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str], modified: str, now: datetime | None, base: str | None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     given = roots_of(sources)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(SUFFIXES) + "}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     if (window := since(modified)) is not None:
         reader = reader.option("modifiedAfter", ((now or datetime.now()) - window).strftime("%Y-%m-%dT%H:%M:%S"))
     df = reader.load(given).withColumn("path", plain_path(F.col("path")))
     return df.where(~S.excluded(below(F.col("path"), [base] if base else given), exclude))
 
 
-def read_files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str] = (), modified: str = "0", now: datetime | None = None, base: str | None = None) -> DataFrame:
-    """(path, mtime, text, sha) of markdown and transcript files of the sources (files, or folders at any depth), each once.
+def read_files(spark: SparkSession, sources: str | Sequence[str], exclude: Sequence[str] = (), modified: str = "0", now: datetime | None = None, base: str | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(path, mtime, text, sha) of markdown and transcript files (or other suffixes) of the sources (files, or folders at any depth), each once.
 
     Excludes are globs over paths relative to the base, or else to the source. The suffix
     and age conditions reach the file listing, so contents of other files are not read.
     Invalid UTF-8 is replaced. Files that cannot be read are left out: see unread.
     """
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return _files(spark, sources, exclude, modified, now, base).select("path", F.col("modificationTime").alias("mtime"), text.alias("text"), F.sha2("content", 256).alias("sha"))
+    return _files(spark, sources, exclude, modified, now, base, suffixes).select("path", F.col("modificationTime").alias("mtime"), text.alias("text"), F.sha2("content", 256).alias("sha"))
 
 
 def unread(spark: SparkSession, files: DataFrame, sources: str | Sequence[str], **how) -> DataFrame:
     """(path) of listed files that read_files (files) could not read; the listing reads no contents."""
-    options = {"exclude": (), "modified": "0", "now": None, "base": None} | how
+    options = {"exclude": (), "modified": "0", "now": None, "base": None} | how  # suffixes too
     return _files(spark, sources, **options).select("path").join(files.select("path"), "path", "left_anti")
 
 
@@ -206,6 +206,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parse_manifest(spark.read.text(path, wholetext=True))
 
 
+def save_manifest(manifest: DataFrame, path: str) -> None:
+    """A manifest (path, target, sha, epoch) as JSON objects, a line a file, which load_manifest reads; however large it is."""
+    epoch = F.when(F.col("epoch").isNotNull(), F.struct(F.concat("target", F.lit(EPOCH)).alias("k"), F.col("epoch").alias("v")))
+    own = F.struct(F.col("target").alias("k"), F.col("sha").alias("v"))
+    each = F.array_compact(F.flatten(F.collect_list(F.array(own, epoch))))
+    lines = manifest.groupBy("path").agg(F.map_from_entries(each).alias("m")).select(F.to_json(F.create_map("path", "m")))
+    lines.write.mode("overwrite").text(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path))
+
+
 def manifest_json(manifest: DataFrame, settings: Mapping[str, str] | None = None) -> str:
     """A manifest (path, target, sha, epoch) in its JSON form, keys in order; epochs and settings that are null are left out.
 

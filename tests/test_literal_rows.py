@@ -1,7 +1,4 @@
-"""Registered queries over literal rows and files, for shapes that the tables lack; their SQL states the rows exactly.
-
-All columns are compared as text; arrays and structs as JSON.
-"""
+"""Operators over literal rows and files, with their rows written out. All columns are compared as text; arrays and structs as JSON."""
 
 from __future__ import annotations
 
@@ -10,6 +7,7 @@ import json
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +15,25 @@ from memlake import registry
 from memlake.config import Config
 from memlake.functions import scalars as S
 from memlake.operators import chunkers, evaluation, hooks, indexing, ingest, telemetry
-from memlake.plans.queries import query
 from memlake.shared import shared_dir
 from memlake.sources import readers, sinks
 
 T0 = datetime(2024, 1, 1)
 
 
-def rows(cols: str, *values: tuple) -> str:
-    """SQL of literal rows of text."""
-    cell = lambda v: "null::varchar" if v is None else "'" + str(v).replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(cell, v)) + ')' for v in values)}) t({cols})"
+CASES = {}
+
+
+def rows(cols: str, *values: tuple) -> tuple[list[str], list[tuple]]:
+    return cols.split(", "), [tuple(None if v is None else str(v) for v in row) for row in values]
+
+
+def query(expected):
+    def add(f):
+        CASES[f.__name__.removeprefix("q_")] = f, expected
+        return f
+
+    return add
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def q_transcript_chunks(spark, sf_dir):
 _PY = "import a\nimport b\n\nclass K:\n    y = 2\n\n    def m(self):\n        return 1\n\n@deco\ndef f():\n    a = 1\n\n    return a\n"
 
 
-@query(rows("path, chunk_idx, document", *((p, str(i), d) for p, ds in {"k.py": ["import a\nimport b", "class K:\n    y = 2", "    def m(self):\n        return 1", "@deco\ndef f():\n    a = 1", "    return a"], "bad.py": ["def ("]}.items() for i, d in enumerate(ds))))
+@query(rows("path, chunk_idx, document", *((p, str(i), d) for p, ds in {"k.py": ["import a\n\nimport b", "class K:\n    y = 2", "    def m(self):\n        return 1", "@deco\ndef f():\n    a = 1", "    return a"], "bad.py": ["def ("]}.items() for i, d in enumerate(ds))))
 def q_python_chunks(spark, sf_dir):
     return as_text(chunkers.chunk_documents(spark.createDataFrame([("k.py", _PY), ("bad.py", "def (:\n# A".replace(":", ""))], "path string, text string"), "python", min_tokens=0))
 
@@ -314,3 +320,11 @@ def q_agent_write(spark, sf_dir):
     for text in ("first", "second"):
         path, _ = sinks.remember(spark, local, f"{root}/points", topic="My Topic!", content=text, tags=["a"])
     return as_text(ingest.read_latest(spark, f"{root}/points").where("valid_to is null").select("id", F.col("text").alias("document"), F.element_at(F.split("file_path", "/"), -1).alias("file")))
+
+
+@pytest.mark.parametrize("name", list(CASES))
+def test_literal_rows(spark, sf, name):
+    run, (columns, expected) = CASES[name]
+    got = run(spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
