@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import Config
 from memlake.functions import scalars as S
+from memlake.operators import filters
 from memlake.registry import register
 from memlake.shared import cut, small
 
@@ -41,26 +42,32 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     Blocks of queries meet every row in a matrix product. A task keeps n rows a query, so
     what is shuffled follows queries and tasks, not their product with the corpus. Queries
     are streamed to the driver; each QUERY_LIMIT of them are answered before the next come.
+    Where queries have a rule and corpus rows the rules that admit them, a query meets only those rows.
     """
     out, done, waiting = None, None, 0
-    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator()
+    ruled = "rule" in queries.columns and "rules" in corpus.columns
+    rows = queries.select("qid", "vec", *["rule"] * ruled).orderBy("qid").toLocalIterator()
     block = list(islice(rows, QUERY_BLOCK))
     while True:
         ids = [r["qid"] for r in block]
         q = _unit([r["vec"] for r in block]) if block else np.zeros((0, 1))
+        names, rule = np.unique([r["rule"] for r in block], return_inverse=True) if ruled and block else (None, None)
 
-        def best(batches: Iterator[pd.DataFrame], q: np.ndarray = q, ids: list = ids) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], q: np.ndarray = q, ids: list = ids, names: np.ndarray | None = names, rule: np.ndarray | None = rule) -> Iterator[pd.DataFrame]:
             kept = Best(len(ids), n)
             for b in batches:
                 for i in range(0, len(b) if ids else 0, ROW_BLOCK):
                     part = b.iloc[i : i + ROW_BLOCK]
-                    kept.add(np.round(q @ _unit(part["vec"]).T, digits), part["id"].to_numpy())
+                    sims = np.round(q @ _unit(part["vec"]).T, digits)
+                    if names is not None:
+                        sims[~_admits(part["rules"], names)[rule]] = -np.inf
+                    kept.add(sims, part["id"].to_numpy())
             at, score, own = kept.rows()
             if len(at):
                 yield pd.DataFrame({"qid": [ids[i] for i in at], "id": own, "score": score})
 
         kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *corpus.schema]}
-        part = corpus.where("vec is not null").select("id", "vec").mapInPandas(best, f"qid {kind['qid']}, id {kind['id']}, score double")
+        part = corpus.where("vec is not null").select("id", "vec", *["rules"] * ruled).mapInPandas(best, f"qid {kind['qid']}, id {kind['id']}, score double")
         out, waiting = part if out is None else out.unionByName(part), waiting + len(block)
         block = list(islice(rows, QUERY_BLOCK))
         if block and waiting + len(block) <= QUERY_LIMIT:
@@ -77,6 +84,17 @@ def _unit(rows) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _admits(rules: pd.Series, names: np.ndarray) -> np.ndarray:
+    """Which of the named rules (rows) admit which corpus rows (columns)."""
+    flat = np.concatenate([np.asarray(r) for r in rules])
+    row = np.repeat(np.arange(len(rules)), [len(r) for r in rules])
+    at = np.searchsorted(names, flat)
+    known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == flat)
+    out = np.zeros((len(names), len(rules)), bool)
+    out[at[known], row[known]] = True
+    return out
+
+
 class Best:
     """The n best of every query so far: by falling score, then id. Ties of the last place wait until ids decide."""
 
@@ -89,7 +107,7 @@ class Best:
         bound = self.least
         if sims.shape[1] > self.n:
             bound = np.maximum(bound, np.partition(sims, -self.n, axis=1)[:, -self.n])
-        at, col = np.nonzero(sims >= bound[:, None])
+        at, col = np.nonzero((sims >= bound[:, None]) & (sims > -np.inf))
         self.held.append((at, sims[at, col], ids[col]))
         self.size += len(at)
         if self.size > self.most:
@@ -140,6 +158,27 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int =
     return ranked(hit.groupBy("qid", "id").agg(F.round(F.sum(weight), digits).alias("score")), n)
 
 
+def bm25_by_rule(corpus: DataFrame, queries: DataFrame, n: int = 20, digits: int = 6) -> DataFrame:
+    """bm25_topk where every query sees only rows that its rule admits: corpus (id, text, rules), queries (qid, text, rule).
+
+    Document counts and lengths are those of the rows that a rule admits, as if each filter
+    had a corpus of its own; texts are split into words once for all of them.
+    """
+    terms = cut(queries.select("qid", "rule", F.explode(F.array_distinct(S.words(F.col("text")))).alias("term")))
+    asked = cut(terms.select("rule", "term").distinct())
+    docs = cut(corpus.select("id", "rules", S.words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w")).where("dl > 0"))
+    stats = docs.select("dl", F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    own = docs.select("id", "dl", "rules", F.explode("w").alias("term")).join(small(asked.select("term").distinct(), TERM_LIMIT), "term", "left_semi")
+    tf = own.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"), F.first("rules").alias("rules"))
+    met = cut(tf.join(small(asked, TERM_LIMIT), "term").where(F.array_contains("rules", F.col("rule"))).select("id", "dl", "term", "tf", "rule"))
+    df = met.groupBy("rule", "term").agg(F.count("*").alias("df"))
+    each = terms.join(small(df, TERM_LIMIT), ["rule", "term"]).join(small(stats), "rule")
+    hit = met.join(small(cut(each), TERM_LIMIT), ["rule", "term"])
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return ranked(hit.groupBy("qid", "id").agg(F.round(F.sum(weight), digits).alias("score")), n)
+
+
 def rrf(arms: list[DataFrame], k: int = 60, n: int | None = 10) -> DataFrame:
     """(qid, id, score, rk): reciprocal rank fusion, by a union and one aggregation."""
     both = arms[0].select("qid", "id", "rk")
@@ -228,27 +267,41 @@ def search(points: DataFrame, queries: DataFrame, *, where: Column | None = None
     The order of stages is fixed: filter, both arms over the same filtered points, fusion,
     rerank or recency, decay, hash and cosine deduplication, budget, k. Without a filter the
     BM25 arm may be a stored index's search(queries, n) over the same points.
+
+    Queries with a column `where` (map<string,array<string>>, see operators.filters), and
+    maybe one `now`, are filtered each by its own; both then replace the arguments.
     """
     c = config or Config()
-    kept = points if where is None else points.where(where)
+    own = "where" in queries.columns
+    if own:
+        queries, rules = filters.rules_of(queries, now)
+        admits = cut(filters.admitted(points, rules))
+        kept = points.join(admits, "id")
+    else:
+        kept = points if where is None else points.where(where)
     text = F.coalesce("expanded_text", "text") if "expanded_text" in queries.columns else F.col("text")
-    asked = queries.select("qid", text.alias("text"), "vec")
-    k_eff = S.effective_k(c.k, S.complexity(F.col("text"), F.lit(where is not None)), c.adaptive_delta, c.k_max)
-    plan = queries.select("qid", F.col("text").alias("query"), k_eff.alias("k_eff"))
+    asked = queries.select("qid", text.alias("text"), "vec", *["rule"] * own)
+    filtered = F.size("where") > 0 if own else F.lit(where is not None)
+    k_eff = S.effective_k(c.k, S.complexity(F.col("text"), filtered), c.adaptive_delta, c.k_max)
+    at = F.col("now") if own else F.lit(now).cast("timestamp")
+    plan = queries.select("qid", F.col("text").alias("query"), k_eff.alias("k_eff"), at.alias("moment"))
     n = c.rerank_n if scorer else c.arm_n
-    words = sparse(asked.select("qid", "text"), n) if sparse and where is None else bm25_topk(kept.select("id", "text"), asked, n)
-    fused = rrf([dense_topk(kept.select("id", "vec"), asked.where("vec is not null"), n), words], c.rrf_k, None)
-    fused = cut(fused.join(small(plan.select("qid", "k_eff")), "qid").where(F.col("rk") <= F.greatest(2 * F.col("k_eff"), F.lit(10))))
+    if own:
+        words = bm25_by_rule(kept.select("id", "text", "rules"), asked, n)
+    else:
+        words = sparse(asked.select("qid", "text"), n) if sparse and where is None else bm25_topk(kept.select("id", "text"), asked, n)
+    fused = rrf([dense_topk(kept.select("id", "vec", *["rules"] * own), asked.where("vec is not null"), n), words], c.rrf_k, None)
+    fused = cut(fused.join(small(plan.select("qid", "k_eff", "moment")), "qid").where(F.col("rk") <= F.greatest(2 * F.col("k_eff"), F.lit(10))))
     # a query's few candidates go to the corpus, so texts and vectors of all others stay where they are read
-    hits = kept.join(small(fused, FUSED_LIMIT), "id")
-    moment = F.lit(now).cast("timestamp")
+    hits = (points if own else kept).join(small(fused, FUSED_LIMIT), "id")
+    moment = F.col("moment")
     hits = rerank(hits.join(plan.select("qid", "query"), "qid"), scorer, c.rerank_n) if scorer else rescored(hits, S.recency(F.coalesce("updated_at", "valid_from"), moment, c.boost, c.boost_days))
     if c.decay_enabled:
         hits = rescored(hits, F.when(F.col("chunker") == "transcript", S.decay(F.col("valid_from"), moment, c.decay_alpha, c.decay_half_life_days)).otherwise(F.lit(1.0)))
     hits = hash_dedup(hits) if c.content_dedup else hits
     hits = token_budget(greedy_dedup(hits, c.dedup_cosine).withColumn("tokens", S.token_estimate(F.col("text"))), c.token_budget)
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rk"))
-    return hits.withColumn("place", place).where(F.col("place") <= F.col("k_eff"))
+    return hits.withColumn("place", place).where(F.col("place") <= F.col("k_eff")).drop("moment")
 
 
 def search_response(hits: DataFrame, top_k: int, cap: int = 20, preview_chars: int = 200, response_format: str = "detailed") -> DataFrame:

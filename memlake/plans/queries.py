@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from memlake.config import Config
 from memlake.functions import predicates
 from memlake.functions import scalars as S
-from memlake.operators import admin, evaluation, ingest, retrieval, telemetry, turns
+from memlake.operators import admin, evaluation, filters, ingest, retrieval, telemetry, turns
 from memlake.operators.postings import Postings
 from memlake.registry import lookup
 from memlake.shared import cut, shared_dir, small
@@ -625,6 +626,32 @@ def q_search(spark, sf_dir):
     return hits.select("qid", "place", "id", "score", "used_tokens")
 
 
+_LATER = "2024-01-20 00:00:00"
+#: A filter and a moment for each remainder of the item's number: the map, the moment, the same in SQL.
+_RULES = [
+    ({"room": ["en", "de"], "valid_to": ["now"]}, NOW, "room in ('en', 'de')"),
+    ({"source": ["src0", "src1", "src2", "src3", "src4"]}, _LATER, "p.source in ('src0', 'src1', 'src2', 'src3', 'src4')"),
+    ({}, NOW, "true"),
+    ({"path_prefix": ["src1/en", "src2/en", "src3/fr", "src4/de"], "chunker": ["markdown"], "absent": []}, _LATER, "false"),
+    ({"path_prefix": ["src1/en", "src2/en", "src3/fr", "src0/de"], "chunker": ["markdown"]}, _LATER, "p.source || '/' || room in ('src1/en', 'src2/en', 'src3/fr', 'src0/de') and chunker = 'markdown'"),
+]
+
+
+def _per_query_sql() -> str:
+    parts = [_search(f"({sql}) and (valid_to is null or valid_to > timestamp '{NOW}')", int(len(set(where) - {"valid_to"}) > 0)).replace(NOW, at) for where, at, sql in _RULES]
+    return " union all ".join(f"select * from ({p}) where qid % {len(_RULES)} = {i}" for i, p in enumerate(parts))
+
+
+@query(_per_query_sql())
+def q_search_per_query(spark, sf_dir):
+    """Every item with a filter and a moment of its own: five rules in one batch, one of which admits nothing."""
+    k = F.col("qid") % len(_RULES)
+    pick = lambda f: F.coalesce(*(F.when(k == i, f(r)) for i, r in enumerate(_RULES)))
+    where = pick(lambda r: F.from_json(F.lit(json.dumps(r[0])), filters.WHERE))
+    q = asked(spark, sf_dir).withColumn("where", where).withColumn("now", pick(lambda r: F.lit(r[1])))
+    return retrieval.search(searchable(spark, sf_dir), q, now=NOW, config=_WHOLE).select("qid", "place", "id", "score", "used_tokens")
+
+
 @query(_search("true", 0, "'report ' || text"))
 def q_search_expanded(spark, sf_dir):
     q = asked(spark, sf_dir).withColumn("expanded_text", F.concat(F.lit("report "), "text"))
