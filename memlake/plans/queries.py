@@ -13,6 +13,7 @@ from memlake.config import Config
 from memlake.functions import predicates
 from memlake.functions import scalars as S
 from memlake.operators import admin, evaluation, filters, ingest, retrieval, telemetry, turns
+from memlake.operators.cells import Cells
 from memlake.operators.postings import Postings
 from memlake.registry import lookup
 from memlake.shared import cut, shared_dir, small
@@ -121,6 +122,17 @@ def q_dense_topk(spark, sf_dir):
     return dense(spark, sf_dir)
 
 
+@query(f"with {_dense(_HUNDRED, _EVERY)} select qid, id, score, rk from de")
+def q_dense_cells(spark, sf_dir):
+    """The same from a stored index that took the vectors in two batches."""
+    v = vectors(spark, sf_dir)
+    index = Cells(spark, f"{shared_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}")
+    index.make(v, 32)
+    for batch in range(2):
+        index.write(v.where(F.col("id") % 2 == batch), batch)
+    return index.search(v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec"))
+
+
 @query(f"with {_bm25()} select qid, id, score, rk from bm")
 def q_bm25_topk(spark, sf_dir):
     return bm25(spark, sf_dir)
