@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
@@ -44,6 +44,19 @@ def snapshot_rank(points: DataFrame, now: Column, bonuses: Sequence[tuple[str, f
     return live.withColumn("score", score).orderBy(F.desc("score"), "id").limit(top)
 
 
+def snapshot_cut(ranked: DataFrame, tokens: int = 3000, lines: int = 500) -> DataFrame:
+    """snapshot_budget of a snapshot's rows (rk, text, ...): the first ones, blank ones left out, up to the one that either budget ends.
+
+    A snapshot is some dozens of rows, so one task may see them in order.
+    """
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = ranked.withColumn("text", text).where("text <> ''")
+    upto = Window.orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
+    height = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 2
+    cut_ = rows.withColumn("used_", F.sum(S.token_estimate(F.col("text"))).over(upto)).withColumn("height_", F.sum(height).over(upto))
+    return cut_.where((F.col("used_") <= tokens) & (F.col("height_") <= lines)).drop("used_", "height_")
+
+
 def snapshot_budget(ranked: list[tuple[str, str]], tokens: int = 3000, lines: int = 500) -> list[tuple[str, str]]:
     """The ranked (path, document) rows that fit both budgets, blank ones skipped; the first that does not fit ends it.
 

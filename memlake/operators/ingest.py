@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from memlake.functions import scalars as S
 from memlake.functions.predicates import live
+from memlake.shared import cut, small
 
 #: Collections that no caller may write.
 RESERVED = frozenset({"system", "internal"})
@@ -103,17 +105,32 @@ def delete_ids(points: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def scroll(points: DataFrame, size: int = 512, key: str = "id", after: object = None) -> Iterator[tuple[list[Row], object]]:
-    """Pages of rows in key order, each with the offset to go on from; the last one's is None. An empty table has no page."""
-    while True:
-        rest = points if after is None else points.where(F.col(key) > F.lit(after))
-        page = rest.orderBy(key).limit(size + 1).collect()
-        more, page = len(page) > size, page[:size]
-        if not page:
-            return
-        after = page[-1][key] if more else None
-        yield page, after
-        if not more:
-            return
+    """Pages of rows in key order, each with the offset to go on from; the last one's is None. An empty table has no page.
+
+    A cursor for one reader: rows are sorted once, on the executors, and come a partition at a time.
+    """
+    rest = points if after is None else points.where(F.col(key) > F.lit(after))
+    rows = rest.repartitionByRange(key).sortWithinPartitions(key).toLocalIterator()
+    page = list(islice(rows, size))
+    while page:
+        following = list(islice(rows, size))
+        yield page, page[-1][key] if following else None
+        page = following
+
+
+def paged(points: DataFrame, size: int = 512, key: str = "id") -> DataFrame:
+    """points with their page, from 0, in key order: all pages at once, for many readers.
+
+    A row's place is its place in its partition of the sorted table, after the rows of all
+    partitions before; one row a partition meets in one task.
+    """
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits of the row's
+    rows = cut(points.repartitionByRange(key).sortWithinPartitions(key)).withColumn("place_", place)
+    rows = rows.withColumn("part_", F.shiftright("place_", 33))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    row = F.col("base_") + F.col("place_").bitwiseAND((1 << 33) - 1)
+    return rows.join(small(sizes), "part_").select(*points.columns, F.floor(row / size).alias("page"))
 
 
 class ConcurrentWriteError(RuntimeError):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.functions import predicates
 from memlake.functions import scalars as S
 from memlake.operators import admin, evaluation, hooks, ingest, telemetry
-from memlake.plans.queries import _AUDIT, _BLOB, _HEUR, _JUDGED, _PATHS, P, _bm25, asked, audit, blobs, bm25, judged, load, now, page_paths, points, query, with_points
-from memlake.shared import cut, shared_dir
+from memlake.operators.usage_store import UsageStore
+from memlake.plans.queries import _AUDIT, BONUSES, ORACLE, _BLOB, _HEUR, _JUDGED, _PATHS, P, _bm25, asked, audit, blobs, bm25, judged, load, now, page_paths, points, query, with_points
+from memlake.shared import cut, shared_dir, small
 from memlake.sources import readers
 
 _NOW = "timestamp '2024-01-28 00:00:00'"
@@ -31,10 +33,16 @@ def q_delete_ids(spark, sf_dir):
     return ingest.delete_ids(d, d.where("id % 7 = 3"))
 
 
-@query("select item_id as id, (row_number() over (order by item_id) - 1) // 16 as page from benchmark")
+@query("select doc_id as id, lang, (row_number() over (order by doc_id) - 1) // 64 as page from documents")
 def q_scroll(spark, sf_dir):
-    pages = ingest.scroll(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), 16)
-    return spark.createDataFrame([(r["id"], i) for i, (page, _) in enumerate(pages) for r in page], "id long, page long")
+    return ingest.paged(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), 64)
+
+
+@query("""with h as (select sha256(encode(strlen(source || '/' || doc_id) || ':' || source || '/' || doc_id || coalesce(text, ''))) as h from documents),
+s as (select count(*) as n, """ + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint)::hugeint as w{i}" for i in range(8)) + """ from h)
+select n as files, sha256(concat_ws(':', n, w0, w1, w2, w3, w4, w5, w6, w7)) as digest from s""")
+def q_tree_digest(spark, sf_dir):
+    return readers.tree_digest(load(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("content")))
 
 
 @query("select doc_id as id, case when doc_id % 5 = 0 then 'new' when doc_id % 2 = 0 then 'second' else 'first' end as version, case when doc_id % 5 = 0 then 1 end as extra from documents")
@@ -200,10 +208,47 @@ def q_smoke_subset(spark, sf_dir):
     return evaluation.smoke_subset(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("axis")))
 
 
-@query("with s as (select doc_id, text, greatest(1, length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) // 4) as cost from documents where doc_id < 200) select doc_id::varchar as path from (select doc_id, sum(cost) over w as c from s where text <> '' window w as (order by doc_id rows unbounded preceding)) where c <= 3000 and doc_id < 80")
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""with sr as ({ORACLE['snapshot_rank']}), t as (select sr.id, row_number() over (order by score desc, sr.id) as rk, trim(d.text, {_BLANK}) as text from sr join documents d on d.doc_id = sr.id),
+u as (select *, sum(greatest(1, length(text) // 4)) over w as used, sum(length(text) - length(replace(text, chr(10), '')) + 2) over w as height from t where text <> '' window w as (order by rk rows unbounded preceding))
+select id, rk::int as rk from u where used <= 9000 and height <= 500""")
 def q_snapshot_budget(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").where("doc_id < 80 and text <> ''").orderBy("doc_id").select(F.col("doc_id").cast("string"), "text").collect()
-    return spark.createDataFrame([(p,) for p, _ in admin.snapshot_budget([tuple(r) for r in rows], lines=10**9)], "path string")
+    """The snapshot's best points that fit into its budgets."""
+    best = admin.snapshot_rank(points(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")), now(), BONUSES)
+    ranked = best.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return admin.snapshot_cut(ranked.select("id", "rk", "text"), tokens=9000).select("id", "rk")
+
+
+_WINDOW = "ts::date between date '2024-01-08' and date '2024-01-21'"
+
+
+@query(f"with {_AUDIT} select kind || ':' || source as key, count(*) as n, sum(tokens)::bigint as tokens, sum(tokens * tokens)::bigint as sumsq, min(tokens) as least, max(tokens) as most, round(avg(tokens), 6) as mean from au where {_WINDOW} group by 1")
+def q_usage_store(spark, sf_dir):
+    """Two weeks' rollup from stored moments that came in three batches, one of them twice."""
+    return usage_store(spark, sf_dir).rollup("2024-01-08", "2024-01-21")
+
+
+@query(f"with {_AUDIT} select kind, count(*) as n, true as users_close, true as p50_close, true as p95_close, true as top_found from au where {_WINDOW} group by kind")
+def q_usage_sketches(spark, sf_dir):
+    """Two weeks' merged sketches: whether users are within 3 %, percentiles within 1 % of the ranks, and counts of the top sources exact."""
+    found = usage_store(spark, sf_dir).summary("2024-01-08", "2024-01-21")
+    a = audit(spark, sf_dir).where(F.to_date("ts").between("2024-01-08", "2024-01-21"))
+    rank = lambda c: (F.count_if(F.col("latency_ms") < F.col(c)) / F.count("*"), F.count_if(F.col("latency_ms") <= F.col(c)) / F.count("*"))
+    close = lambda c, p: (rank(c)[0] <= p + 0.01) & (rank(c)[1] >= p - 0.01)
+    ranks = a.join(small(found.select("kind", "p50", "p95")), "kind").groupBy("kind").agg(close("p50", 0.5).alias("p50_close"), close("p95", 0.95).alias("p95_close"))
+    each = a.groupBy("kind", "source").agg(F.count("*").alias("c"))
+    users = each.groupBy("kind").agg(F.count("*").alias("exact"), F.max("c").alias("most"))
+    out = found.join(users, "kind").join(ranks, "kind")
+    return out.select("kind", "n", (F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.03 * F.col("exact"))).alias("users_close"), "p50_close", "p95_close", (F.col("top")[0]["count"] == F.col("most")).alias("top_found"))
+
+
+def usage_store(spark, sf_dir) -> UsageStore:
+    store, a = UsageStore(spark, f"{shared_dir(spark).rstrip('/')}/usage-{S.uuid.uuid4().hex}"), audit(spark, sf_dir)
+    for batch in (0, 1, 1, 2):
+        store.write(a.where(F.col("event_id") % 3 == batch), batch)
+    return store
 
 
 @query("with i as (select doc_id, list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_\\.]+[A-Za-z0-9_])', 1), lambda x: length(x) >= 4) as l from documents) select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], ',') as required from i")

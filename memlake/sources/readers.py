@@ -175,6 +175,20 @@ def content_digest(files: DataFrame) -> str:
     return h.hexdigest()
 
 
+def tree_digest(files: DataFrame) -> DataFrame:
+    """(files, digest): one SHA-256 of a tree (path, content) that does not depend on an order, so that tasks' shares merge.
+
+    Every file counts with the hash of its path and content; the eight words of these
+    hashes are summed up, and the sums and the count hashed. Paths and contents are told
+    apart by the length of the path.
+    """
+    path, content = F.col("path").cast("binary"), F.coalesce(F.col("content").cast("binary"), F.lit("").cast("binary"))
+    own = files.select(F.sha2(F.concat(F.concat(F.length(path).cast("string"), F.lit(":")).cast("binary"), path, content), 256).alias("h"))
+    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = own.agg(F.count("*").alias("files"), *(F.coalesce(F.sum(word(i)), F.lit(0)).alias(f"w{i}") for i in range(8)))
+    return sums.select("files", F.sha2(F.concat_ws(":", "files", *(F.col(f"w{i}").cast("string") for i in range(8))).cast("binary"), 256).alias("digest"))
+
+
 #: Keys of a manifest that are no paths, and its suffix of epochs.
 TRANSCRIPTS, EPOCH = "__transcripts__", "_epoch"
 
