@@ -10,13 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, cut
 
-#: Code points of a chunk, and by how many it reaches into the next one.
-CHUNK, OVERLAP = 2_048, 128
+#: Code points of a chunk, and by how many it reaches into the next one. Texts that fit into one are a piece of their own.
+CHUNK, OVERLAP = 32_768, 1_024
 
 
 @functools.lru_cache(2)
@@ -28,50 +28,116 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def boundaries(text: str, pattern: str, start: int = 0, stop: int | None = None) -> list[int]:
-    """Where pre-tokens end in text[start:stop], split on its own, as places in the text."""
-    return [m.end() for m in regex.finditer(pattern, text, pos=start, endpos=len(text) if stop is None else stop)]
+def boundaries(text: str, pattern: str) -> list[int]:
+    """Where pre-tokens end in a text."""
+    return [m.end() for m in regex.finditer(pattern, text)]
 
 
-def cut_points(text: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Places, 0 first, where a text may be cut so that its pieces split as the whole does.
+def _chunks(chunk: int, overlap: int):
+    """Texts as overlapping chunks, a row each."""
 
-    Every chunk is pre-tokenised on its own and reaches `overlap` code points into the
-    next one. Where both end a pre-token at one place in that overlap they are
-    resynchronised: the pattern looks nowhere back, so both go on alike from there. Ends
-    that the chunk's own end may have caused are not trusted: its last pre-token, and the
-    one before that. White space is split by what follows it, so a piece never ends with
-    any. Without a common place (a pre-token longer than the overlap) the chain
-    from the last cut is split again over twice as many chunks, so the work stays linear.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                starts = range(0, len(t), chunk)
+                for i in range(0, len(starts), 64):
+                    part = starts[i : i + 64]
+                    cols = [pa.array([key] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([len(t)] * len(part), pa.int64()), pa.array([t[s : s + chunk + overlap] for s in part], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "start", "n", "text"])
+
+    return run
+
+
+def _ends(pattern: str, chunk: int, overlap: int):
+    """Of each chunk, pre-tokenised on its own: the ends in what it shares with the chunk before (heads) and with the one after (tails).
+
+    Ends that the chunk's own end may have caused are not trusted: its last pre-token, and
+    the one before that. White space is split by what follows it, so no head lies behind any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads, tails = [], []
+            for start, n, t in zip(*(b.column(c).to_pylist() for c in ("start", "n", "text")), strict=True):
+                ends = boundaries(t, pattern)
+                heads.append([start + e for e in ends if e < overlap and start + e < n and not t[e - 1].isspace()] if start else [])
+                trusted = ends if start + len(t) == n else ends[:-2]
+                tails.append([start + e for e in trusted if chunk < e < chunk + overlap and start + e < n])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("start"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["key", "start", "heads", "tails"])
+
+    return run
+
+
+def cut_places(texts: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(key, cuts): where each of texts (key, text) may be cut so that its pieces split as the whole does.
+
+    Chunks are dealt out over all tasks and pre-tokenised there; only the ends in their
+    overlaps meet again. Where two neighbours both end a pre-token at one place they are
+    resynchronised: the pattern looks nowhere back, so both go on alike from there, and
+    what the right one ends later is true as well. The first pair without a common place
+    (a pre-token longer than the overlap) ends the chain, and the rest of the text is one piece.
     """
-    cuts, n = [0], len(text)
-    count = -(-n // chunk)
-    first, reach = 0, 1  # the chain that starts at the last cut covers `reach` chunks from `first` on
-    left = boundaries(text, pattern, 0, min(n, chunk + overlap)) if count > 1 else []
-    while first + reach < count:
-        lo = (first + reach) * chunk
-        hi = min(lo + overlap, n)
-        right = boundaries(text, pattern, lo, min(n, lo + chunk + overlap))
-        trusted = {e for e in (left if hi == n else left[:-2]) if lo < e < hi}
-        common = next((e for e in right if e in trusted and not text[e - 1].isspace()), None)
-        if common is not None:
-            cuts.append(common)
-            left, first, reach = right, first + reach, 1
-        else:
-            reach = min(2 * reach, count - first)
-            left = boundaries(text, pattern, cuts[-1], min(n, (first + reach) * chunk + overlap))
-    return cuts
-
-
-def encode(text: str, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of a whole text, piece by piece between its cut points."""
-    cuts, enc = cut_points(text, pattern, chunk, overlap), _encoding(path, pattern)
-    if len(cuts) == 1:
-        return enc.encode_ordinary(text)
-    out: list[int] = []
-    for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        out += enc.encode_ordinary(text[a:z])
-    return out
+    if overlap >= chunk:
+        raise ValueError("chunks must be longer than what they share")
+    dealt = texts.select("key", "text").mapInArrow(_chunks(chunk, overlap), "key long, start long, n long, text string").repartition("key", "start")
+    ends = dealt.mapInArrow(_ends(pattern, chunk, overlap), "key long, start long, heads array<long>, tails array<long>")
+    order = Window.partitionBy("key").orderBy("start")
+    common = F.try_element_at(F.array_intersect("heads", F.lag("tails").over(order)), F.lit(1))
+    seams = ends.select("key", "start", common.alias("at")).where("start > 0")
+    broken = F.sum(F.col("at").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return seams.withColumn("broken", broken).where("broken = 0").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts cut at their places, a row each piece."""
+    for b in batches:
+        for i, (key, t, cuts) in enumerate(zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True)):
+            at = [0, *(cuts or [])]
+            texts = [t[a:z] for a, z in zip(at, [*at[1:], len(t)], strict=True)]
+            for j in range(0, len(at), 64):
+                part = at[j : j + 64]
+                own = b.column("doc_id").take(pa.array([i] * len(part)))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), own, pa.array(part, pa.int64()), pa.array(texts[j : j + 64], pa.string())], ["key", "doc_id", "at", "text"])
+
+
+def _encode_pieces(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.array(_encoding(path, pattern).encode_ordinary(t), "<u4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), b.column("at"), pa.array(ids, pa.binary())], ["key", "doc_id", "at", "ids"])
+
+    return run
+
+
+def _joined(path: str, pattern: str, keep: bool):
+    """From rows in order of key and place: a row a text, its pieces' ids and raw bytes one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, doc, count, coded, decoded, kept = None, None, 0, None, None, []
+
+        def row() -> pa.RecordBatch:
+            cols, names = [doc, pa.array([count], pa.int64()), pa.array([coded.hexdigest()]), pa.array([decoded.hexdigest()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep:
+                cols.append(pa.array([np.concatenate(kept).astype(np.int32)], pa.list_(pa.int32())))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(cols, names)
+
+        for b in batches:
+            for i, (key, ids) in enumerate(zip(b.column("key").to_pylist(), b.column("ids").to_pylist(), strict=True)):
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, doc, count, coded, decoded, kept = key, b.column("doc_id").slice(i, 1), 0, hashlib.sha256(), hashlib.sha256(), []
+                flat = np.frombuffer(ids, "<u4")
+                count += len(flat)
+                coded.update(ids)
+                decoded.update(decode(flat.tolist(), path, pattern))
+                if keep:
+                    kept.append(flat)
+        if now is not None:
+            yield row()
+
+    return run
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
@@ -83,12 +149,12 @@ def _sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def _digests(path: str, pattern: str, chunk: int, overlap: int, keep: bool):
+def _digests(path: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, coded, decoded, kept = [], [], [], []
             for t in b.column("text").to_pylist():
-                ids = encode(t or "", path, pattern, chunk, overlap)
+                ids = _encoding(path, pattern).encode_ordinary(t or "")
                 counts.append(len(ids))
                 coded.append(_sha(np.array(ids, "<u4").tobytes()))
                 decoded.append(_sha(decode(ids, path, pattern)))
@@ -106,15 +172,26 @@ def _digests(path: str, pattern: str, chunk: int, overlap: int, keep: bool):
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """Encode every whole text by the ranks at path and decode the ids again.
 
-    Returns (id_col, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids. Every
-    text is cut into overlapping chunks in the task that holds it, stitched where the
-    boundaries of neighbours agree, and encoded piece by piece; nothing is shuffled. What a
-    task holds at once is one Arrow batch of texts and one text's ids.
+    Returns (id_col, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids. A text
+    that fits into one chunk is encoded where it is read. Longer ones, however long, are
+    cut into overlapping chunks that all tasks pre-tokenise, stitched where neighbours
+    agree, and encoded piece by piece, again by all tasks; ids and decoded bytes are then
+    put together in order, a piece at a time.
 
     Null text counts as empty and has no ids. Ids keep their type; null and repeated ids
     are kept, one row each. An empty table gives no rows. Other columns are ignored.
     """
-    arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(_digests(path, pattern, chunk, overlap, keep_ids), schema).withColumnRenamed("doc_id", id_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
+    short = rows.where(~long).mapInArrow(_digests(path, pattern, keep_ids), schema)
+    # numbered once and kept, as ids may be missing or repeat
+    texts = cut(rows.where(long).withColumn("key", F.monotonically_increasing_id()))
+    placed = texts.join(cut_places(texts, pattern, chunk, overlap), "key", "left").select("key", "doc_id", "text", "cuts")
+    pieces = placed.mapInArrow(_pieces, f"key long, doc_id {kind}, at long, text string").repartition("key", "at")
+    coded = pieces.mapInArrow(_encode_pieces(path, pattern), f"key long, doc_id {kind}, at long, ids binary")
+    whole = coded.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_joined(path, pattern, keep_ids), schema)
+    return short.unionByName(whole).withColumnRenamed("doc_id", id_col)
