@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memlake import registry
 from memlake.functions import scalars as S
+from memlake.functions import udtfs
 from memlake.operators import chunkers, evaluation, indexing, ingest, retrieval, telemetry
 from memlake.plans.queries import _PAIRS, P, _bm25, asked, bm25, load, page_paths, points, query, with_points
 from memlake.shared import cut, shared_dir
@@ -309,3 +310,25 @@ def q_merged_json(spark, sf_dir):
     base = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "l": [1'), F.when(even, "").otherwise(", 2"), F.lit('], "n": {"kind": "'), "event_type", F.lit('"}, "r": {"old": 1}}'))
     over = F.concat(F.lit('{"l": [1, 3], "n": {"id": '), ident, F.lit('}, "r": {"__replace__": true, "value": '), ident, F.lit("}}"))
     return load(spark, sf_dir, "events").select("event_id", S.merge_json(base, over).alias("merged"))
+
+
+def _view(df: DataFrame) -> str:
+    name = f"v_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query(f"with {_WORDS}, c as (select doc_id, unnest([(0, a), (1, b)]) as p from ab) select doc_id::varchar as path, p[1]::int as chunk_idx, trim(p[2]) as document, greatest(1, length(trim(p[2])) // 4) as tokens from c")
+def q_sql_chunks(spark, sf_dir):
+    """A chunker called from SQL, for every row."""
+    udtfs.register_all(spark)
+    name = _view(halves(spark, sf_dir).select("path", F.concat(F.lit("# A\n"), "a", F.lit("\n## B\n"), "b").alias("text")))
+    return spark.sql(f"select path, chunk_idx, document, tokens from {name}, lateral chunk_text(text, 'markdown')")
+
+
+@query(f"with {_PAIRS} select session, turn_index::bigint as turn_index, user_pos, coalesce(array_to_string(answers, ','), '') as answers from pa")
+def q_sql_turn_pairs(spark, sf_dir):
+    """Turns paired by a table function of the session."""
+    udtfs.register_all(spark)
+    name = _view(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("role").alias("type")))
+    return spark.sql(f"select session, turn_index, user_pos, array_join(cast(answers as array<string>), ',') as answers from turn_pairs(table({name}))")
