@@ -59,17 +59,17 @@ class Postings:
         newest = rows.groupBy("id").agg(F.max_by(F.struct("dl", "batch"), "batch").alias("v"))
         return newest.select("id", "v.dl", "v.batch").where("dl is not null")
 
-    def postings(self, before: int | None = None) -> DataFrame:
+    def postings(self, before: int | None = None, done: list[int] | None = None) -> DataFrame:
         """(term, id, tf, dl, part, batch) of finished batches, ended versions included."""
-        return self._finished(self._table("postings", self.posting, before), before)
+        return self._finished(self._table("postings", self.posting, before), before, done)
 
-    def ended(self, before: int | None = None) -> DataFrame:
+    def ended(self, before: int | None = None, done: list[int] | None = None) -> DataFrame:
         """(id, batch) of versions that a later batch replaced or took away."""
-        rows = self._finished(self._table("ended", f"id {self.id_type}, old long", before), before)
+        rows = self._finished(self._table("ended", f"id {self.id_type}, old long", before), before, done)
         return rows.select("id", F.col("old").alias("batch"))
 
-    def _finished(self, rows: DataFrame, before: int | None) -> DataFrame:
-        return rows.where(F.col("batch").isin(self.batches(before)))
+    def _finished(self, rows: DataFrame, before: int | None, done: list[int] | None = None) -> DataFrame:
+        return rows.where(F.col("batch").isin(self.batches(before) if done is None else done))
 
     def write(self, docs: DataFrame, batch: int, removed: DataFrame | None = None) -> None:
         """Enter docs (id, text), new or changed, and take out the documents of removed (id), as one batch.
@@ -77,14 +77,14 @@ class Postings:
         Every id comes once at most, in one of the two. A null text is one without words; a null id is left out.
         """
         words = docs.where("id is not null").select("id", S.words(F.coalesce("text", F.lit(""))).alias("w"))
-        words = words.withColumn("dl", F.size("w"))
-        own = words.select("id", "dl")
+        own = words.select("id", F.size("w").alias("dl"))
         if removed is not None:
             own = own.unionByName(removed.select("id", F.lit(None).cast("int").alias("dl")))
         own = cut(own)
         old = cut(self.current(batch).join(own.select("id"), "id", "left_semi"))
-        new = words.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        self._put(new.select("term", "id", "tf", "dl", self._part()).hint("rebalance", F.col("part")).sortWithinPartitions("part", "term"), "postings", batch, "part")
+        new = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+        lengths = own.where("dl > 0")
+        self._put(new.join(small(lengths), "id").select("term", "id", "tf", "dl", self._part()).hint("rebalance", F.col("part")).sortWithinPartitions("part", "term"), "postings", batch, "part")
         change = _read(self.spark, f"{self.root}/postings/batch={batch}", self.posting).select("part", "term", F.lit(1).alias("by"))
         totals = own.where("dl > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
         if not old.isEmpty():
@@ -110,13 +110,14 @@ class Postings:
         terms = cut(queries.select("qid", F.explode(F.array_distinct(S.words(F.col("text")))).alias("term")))
         wanted = small(terms.select("term").distinct().select("term", self._part()), TERM_LIMIT)
         touched = F.col("part").isin([r["part"] for r in wanted.select("part").distinct().collect()])  # at most as many as there are folders
-        total = self._finished(self._table("totals", "docs long, words long", None), None).agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
+        done = self.batches()
+        total = self._finished(self._table("totals", "docs long, words long", None), None, done).agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
         count, words = total["n"] or 0, total["words"] or 0
-        changes = self._finished(self._table("terms", "term string, docs long, part int", None), None).where(touched)
+        changes = self._finished(self._table("terms", "term string, docs long, part int", None), None, done).where(touched)
         df = changes.join(wanted, ["part", "term"]).groupBy("part", "term").agg(F.sum("docs").alias("df")).where("df > 0")
         idf = F.log((F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         each = cut(terms.join(small(df, TERM_LIMIT), "term").select("part", "term", "qid", idf.alias("idf")))
-        found, ended = self.postings().where(touched), self.ended()
+        found, ended = self.postings(done=done).where(touched), self.ended(done=done)
         found = found if ended.isEmpty() else found.join(small(ended), ["id", "batch"], "left_anti")
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(words / max(count, 1))))
         # the part of a document's weight that all queries share is worked out once a posting
