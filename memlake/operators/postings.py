@@ -3,7 +3,8 @@
 Everything is Parquet that Spark writes and prunes. Below a root lie, each with a folder a batch:
 
 postings/   (term, id, tf, dl) in folders by a hash of the term, so that a search reads only the
-            folders that its terms fall into; a frequent term has as many files as its size asks for
+            folders that its terms fall into; a frequent term has as many files as its size asks for;
+            a folder of its own has one row a document, with its length
 terms/      (term, docs) in the same folders: by how much the batch changed the number of
             documents with a term
 totals/     (docs, words): by how much it changed the number of documents and of words
@@ -34,6 +35,24 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: The folder of the documents' lengths; those of terms count from 0.
+LENGTHS = -1
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of documents (id, w), w all words of one: counted in its row, without a shuffle.
+
+    Every document has one row without a term besides, so that one pass gives its length too.
+    The words are sorted; a term's count is the distance from the end of its run to the end of the run before.
+    """
+    last = F.size("w")
+    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i > 0) & ((i == last) | (F.get("w", i) != F.get("w", i - 1))))
+    runs = words.select("id", F.sort_array("w").alias("w")).select("id", "w", last.alias("dl"), ends.alias("ends"))
+    run = F.transform("ends", lambda end, at: F.struct(F.get("w", end - 1).alias("term"), (end - F.coalesce(F.get("ends", at - 1), F.lit(0))).alias("tf")))
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf")))
+    return runs.select("id", "dl", F.inline(F.concat(length, run)))
+
+
 class Postings:
     """The index below a root; ids are of one Spark type, and terms fall into a fixed number of folders a batch."""
 
@@ -61,7 +80,7 @@ class Postings:
 
     def postings(self, before: int | None = None, done: list[int] | None = None) -> DataFrame:
         """(term, id, tf, dl, part, batch) of finished batches, ended versions included."""
-        return self._finished(self._table("postings", self.posting, before), before, done)
+        return self._finished(self._table("postings", self.posting, before), before, done).where(F.col("part") != LENGTHS)
 
     def ended(self, before: int | None = None, done: list[int] | None = None) -> DataFrame:
         """(id, batch) of versions that a later batch replaced or took away."""
@@ -77,15 +96,15 @@ class Postings:
         Every id comes once at most, in one of the two. A null text is one without words; a null id is left out.
         """
         words = docs.where("id is not null").select("id", S.words(F.coalesce("text", F.lit(""))).alias("w"))
-        own = words.select("id", F.size("w").alias("dl"))
+        rows = counted(words).select("term", "id", "tf", "dl", F.when(F.col("term").isNull(), LENGTHS).otherwise(self._part()).alias("part"))
+        self._put(rows.hint("rebalance", F.col("part")).sortWithinPartitions("part", "term"), "postings", batch, "part")
+        written = _read(self.spark, f"{self.root}/postings/batch={batch}", self.posting)
+        own = written.where(F.col("part") == LENGTHS).select("id", "dl")
         if removed is not None:
             own = own.unionByName(removed.select("id", F.lit(None).cast("int").alias("dl")))
         own = cut(own)
         old = cut(self.current(batch).join(own.select("id"), "id", "left_semi"))
-        new = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
-        lengths = own.where("dl > 0")
-        self._put(new.join(small(lengths), "id").select("term", "id", "tf", "dl", self._part()).hint("rebalance", F.col("part")).sortWithinPartitions("part", "term"), "postings", batch, "part")
-        change = _read(self.spark, f"{self.root}/postings/batch={batch}", self.posting).select("part", "term", F.lit(1).alias("by"))
+        change = written.where(F.col("part") != LENGTHS).select("part", "term", F.lit(1).alias("by"))
         totals = own.where("dl > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
         if not old.isEmpty():
             gone = self.postings(batch).join(small(old.select("id", "batch")), ["id", "batch"], "left_semi")
