@@ -220,7 +220,8 @@ def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id", by:
             old = spark.read.schema(StructType.fromJson(state["schema"])).parquet(*again)
             rows = upsert(change(old) if change else old, new, key)
     folder = f"data/{version:09d}-{uuid.uuid4().hex}"
-    rows.withColumn("bucket_", bucket).write.partitionBy("bucket_").parquet(f"{root}/{folder}")
+    # a bucket is written by as many tasks as its size asks for, not by every task
+    rows.withColumn("bucket_", bucket).hint("rebalance", F.col("bucket_")).write.partitionBy("bucket_").parquet(f"{root}/{folder}")
     place, fs = _fs(spark, f"{root}/{folder}")
     written = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(place) if s.getPath().getName().startswith("bucket_=")}
     schema = rows.schema if not found or replace else StructType([*rows.schema, *(f for f in StructType.fromJson(state["schema"]) if f.name not in rows.columns)])

@@ -182,3 +182,11 @@ def test_sinks(spark, tmp_path):
     assert path.endswith("my-topic.md") and open(path).read().endswith("body\n") and row.first()["id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "my-topic"))
     with pytest.raises(ValueError):
         sinks.write_memory(spark, str(tmp_path), topic=" ", content="x")
+
+
+def test_a_bucket_is_one_file_however_many_tasks_write(spark, tmp_path):
+    root = str(tmp_path / "c")
+    ingest.commit(spark, root, spark.range(0, 4000, 1, 8).withColumn("v", F.lit("x")))
+    files = [str(p.parent) for p in (tmp_path / "c" / "data").rglob("*.parquet")]
+    assert len(files) == len(set(files)) > 1
+    assert ingest.read_latest(spark, root).count() == 4000

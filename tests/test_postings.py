@@ -3,7 +3,7 @@ import re
 
 import pytest
 from memlake.operators import retrieval
-from memlake.operators.postings import Postings
+from memlake.operators.postings import Postings, counted
 from pyspark.sql import functions as F
 
 QUERIES = [(1, "red fox"), (2, "blue whale deep"), (3, "nothing here"), (4, None), (5, "Fox FOX red")]
@@ -90,3 +90,9 @@ def test_queries_without_words(spark, tmp_path, text):
     index = Postings(spark, str(tmp_path / "p"))
     index.write(docs(spark, FIRST), 0)
     assert index.search(spark.createDataFrame([(1, text)], "qid long, text string")).count() == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    words = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, ["x"])], "id long, w array<string>")
+    rows = {(r["id"], r["term"], r["tf"], r["dl"]) for r in counted(words).collect()}
+    assert rows == {(1, None, None, 4), (1, "a", 1, 4), (1, "b", 3, 4), (2, None, None, 0), (3, None, None, 1), (3, "x", 1, 1)}
