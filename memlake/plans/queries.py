@@ -16,7 +16,7 @@ from memlake.operators import admin, evaluation, filters, ingest, retrieval, tel
 from memlake.operators.cells import Cells
 from memlake.operators.postings import Postings
 from memlake.registry import lookup
-from memlake.shared import cut, shared_dir, small
+from memlake.shared import cut, shared_dir, small, spread
 from memlake.sources import readers, sinks
 from memlake.streaming import pipelines
 
@@ -50,7 +50,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as points of a collection, with paths, versions and kinds derived from their ids."""
-    return load(spark, sf_dir, "documents").select(
+    return as_points(load(spark, sf_dir, "documents"))
+
+
+def as_points(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("room"), "source", F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("file_path"),
         S.sha256(F.col("text")).alias("content_hash"), F.when(F.col("doc_id") % 3 == 0, "transcript").otherwise("markdown").alias("chunker"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 40 as int))").alias("valid_from"),
@@ -81,7 +85,7 @@ def sparse_index(spark: SparkSession, sf_dir: str) -> Postings:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
         made = Postings(spark, f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
-        made.write(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 0)
+        made.write(spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), 0)
         _INDEXES[key] = made
     return _INDEXES[key]
 
@@ -624,7 +628,7 @@ select qid, place, id, score, used_tokens from b7 where place <= k_eff"""
 
 
 def searchable(spark, sf_dir):
-    return points(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp")).join(vectors(spark, sf_dir), "id", "left")
+    return as_points(spread(load(spark, sf_dir, "documents"), "doc_id")).withColumn("updated_at", F.lit(None).cast("timestamp")).join(vectors(spark, sf_dir), "id", "left")
 
 
 _WHOLE = Config(decay_enabled=True, content_dedup=True)

@@ -34,3 +34,13 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Marked for a broadcast if it has at most limit rows (counted first), else as it is."""
     limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt to all of them by the hash of by; any other scan as it is.
+
+    For work that costs far more than moving its rows, as splitting texts into words: a file of one
+    row group is one task otherwise. Only for what comes straight from files, as the parts are asked for.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *by) if scan.rdd.getNumPartitions() < cores else scan
