@@ -15,6 +15,7 @@ from memlake.operators import chunkers, evaluation, indexing, ingest, retrieval,
 from memlake.plans.queries import _PAIRS, P, _bm25, asked, bm25, load, page_paths, points, query, with_points
 from memlake.shared import cut, shared_dir
 from memlake.sources import readers, sinks
+from memlake.sources.log_lines import LogLines
 
 _FOLDERS: dict[tuple[str, str, str], str] = {}
 
@@ -44,6 +45,39 @@ def transcript_files(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return readers.read_files(spark, transcript_folder(spark, sf_dir), suffixes=(".json",), **how)
 
 
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """events as log files, one for every 10,000 ids with a line an event in the ids' order; written once a session."""
+    key = spark.sparkContext.applicationId, sf_dir, "logs"
+    if key not in _FOLDERS:
+        root = new_folder(spark, "logs")
+        e = load(spark, sf_dir, "events").withColumn("block", F.expr("event_id div 10000"))
+        e.repartition("block").sortWithinPartitions("block", "event_id").select("block", F.concat_ws(",", "event_id", "user_id", "event_type").alias("line")).write.partitionBy("block").text(root)
+        _FOLDERS[key] = root
+    return _FOLDERS[key]
+
+
+def log_lines(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    spark.dataSource.register(LogLines)
+    return spark.read.format("log_lines").options(suffix=".txt", **options).load(log_folder(spark, sf_dir))
+
+
+@query("""with l as (select event_id, event_id // 10000 as block, concat_ws(',', event_id, user_id, event_type) as line from events),
+s as (select *, sum(strlen(line) + 1) over (partition by block order by event_id desc) as rest, sum(strlen(line) + 1) over (partition by block) as size from l)
+select block, event_id, line from s where size <= 2000 or rest < 2000""")
+def q_log_tail(spark, sf_dir):
+    """The lines that begin within the last 2,000 bytes of each file, by a seek."""
+    block = F.regexp_extract("path", "block=([0-9]+)/", 1).cast("long").alias("block")
+    return log_lines(spark, sf_dir, tail=2000).select(block, F.split_part("line", F.lit(","), F.lit(1)).cast("long").alias("event_id"), "line")
+
+
+@query("select event_type, count(*) as n, sum(event_id)::bigint as ids, sum(strlen(concat_ws(',', event_id, user_id, event_type)) + 1)::bigint as bytes from events group by event_type")
+def q_log_ranges(spark, sf_dir):
+    """Whole files in ranges of 64 KiB, every line once."""
+    parts = F.split("line", ",")
+    lines = log_lines(spark, sf_dir, blockBytes=64 << 10).select(parts[0].cast("long").alias("id"), F.element_at(parts, -1).alias("event_type"), F.octet_length("line").alias("size"))
+    return lines.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.col("size") + 1).cast("long").alias("bytes"))
+
+
 @query("select conv_id, count(*) as lines from conversations where conv_id::varchar not like '1%' group by conv_id")
 def q_file_expansion(spark, sf_dir):
     """Whole files below a folder, some left out by a glob."""

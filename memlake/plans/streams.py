@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.queries import _PAIRS, query
+from memlake.plans.queries import _PAIRS, load, query
 from memlake.shared import shared_dir
 from memlake.streaming import pipelines
 
@@ -92,3 +92,17 @@ def q_stream_newest(spark, sf_dir):
     return pipelines.read_newest(spark, path, raw.schema).select("event_id")
 
 
+
+
+@query("select event_type || ':' || user_id as key, count(*) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as tokens from events group by 1")
+def q_stream_audit_log(spark, sf_dir):
+    """The audit log's files as a stream that is taken up twice: the second run reads only what came after the first."""
+    root = f"{shared_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    line = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("source"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    events = load(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(2)).alias("half"), line.alias("e"))
+    for half in range(2):
+        events.where(F.col("half") == half).select("e.*").write.mode("append").json(f"{root}/in")
+        rows = pipelines.audit_tail(spark, f"{root}/in", ".json").select("kind", "source", "tokens")
+        rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy(F.concat_ws(":", "kind", "source").alias("key")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))

@@ -8,7 +8,7 @@ import re
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
@@ -88,11 +88,16 @@ def unread(spark: SparkSession, files: DataFrame, sources: str | Sequence[str],
 
 
 def tail_lines(files: DataFrame, cap: int = 256 * 1024) -> DataFrame:
-    """(path, pos, line) of texts (path, text): the lines that begin within the last cap bytes; all lines of shorter texts."""
-    lines = files.select("path", F.octet_length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))
-    return lines.withColumn("start", start).where((F.col("size") <= cap) | (F.col("start") > F.col("size") - cap)).select("path", "pos", "line")
+    """(path, pos, line) of texts (path, text): the lines that begin within the last cap bytes; all lines of shorter texts.
+
+    Only the last bytes are split, in their row. Of files, the source log_lines reads no more than them.
+    """
+    size = F.octet_length("text")
+    last = F.split(F.substring(F.col("text").cast("binary"), size - cap + 1, F.lit(cap)).cast("string"), "\n")
+    kept = F.when(size <= cap, F.split("text", "\n")).otherwise(F.slice(last, F.lit(2), F.size(last)))  # the line that was begun before goes
+    all_lines = size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    tails = files.select("path", all_lines.alias("all"), kept.alias("kept"))
+    return tails.select("path", (F.col("all") - F.size("kept")).alias("before"), F.posexplode("kept").alias("at", "line")).select("path", (F.col("before") + F.col("at")).alias("pos"), "line")
 
 
 def transcript_lines(files: DataFrame) -> DataFrame:

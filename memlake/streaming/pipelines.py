@@ -15,14 +15,21 @@ from pyspark.sql.types import LongType, StructField, StructType
 from memlake.functions.scalars import same_target
 from memlake.operators.telemetry import usage_rollup
 from memlake.operators.turns import SKIPPED
+from memlake.sources.log_lines import LogLines
 from memlake.sources.readers import AUDIT
 
 running_usage = usage_rollup  # sums, counts and extremes: the batch aggregate is the streaming one (update mode)
 
 
-def audit_tail(spark: SparkSession, path: str) -> DataFrame:
-    """The audit log as a stream; ts becomes a timestamp."""
-    return spark.readStream.schema(AUDIT).option("mode", "DROPMALFORMED").json(path).withColumn("ts", F.try_to_timestamp("ts"))
+def audit_tail(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
+    """The audit log's files as a stream; ts becomes a timestamp, blank and malformed lines are dropped.
+
+    Lines come as they are added; a file that was truncated or replaced starts again.
+    """
+    spark.dataSource.register(LogLines)
+    lines = spark.readStream.format("log_lines").option("suffix", suffix).load(path)
+    event = lines.select(F.from_json("line", f"{AUDIT}, broken_ string", {"columnNameOfCorruptRecord": "broken_"}).alias("e")).where("e is not null and e.broken_ is null")
+    return event.select("e.*").drop("broken_").withColumn("ts", F.try_to_timestamp("ts"))
 
 
 def newest(n: int, path: str, order: Sequence[str] = ("ts",)) -> Callable[[DataFrame, int], None]:
