@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake import registry
+from memlake.config import Config
 from memlake.functions import scalars as S
 from memlake.functions import udtfs
-from memlake.operators import chunkers, evaluation, indexing, ingest, retrieval, telemetry
-from memlake.plans.queries import _PAIRS, P, _bm25, asked, bm25, load, page_paths, points, query, with_points
+from memlake.operators import chunkers, evaluation, hooks, indexing, ingest, retrieval, telemetry
+from memlake.plans.queries import _PAIRS, P, _bm25, asked, bm25, load, page_paths, points, query, sparse_index, with_points
 from memlake.shared import cut, shared_dir
 from memlake.sources import readers, sinks
 from memlake.sources.log_lines import LogLines
@@ -366,3 +367,37 @@ def q_sql_turn_pairs(spark, sf_dir):
     udtfs.register_all(spark)
     name = _view(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("role").alias("type")))
     return spark.sql(f"select session, turn_index, user_pos, array_join(cast(answers as array<string>), ',') as answers from turn_pairs(table({name}))")
+
+
+@query(f"""with w as (select item_id as qid, item_id % 4 as session, regexp_extract_all(lower(text), '[a-z]{{5,}}') as w from main.benchmark),
+n as (select qid, session, coalesce(w[1], 'alpha') as a, coalesce(w[2], 'beta') as b, coalesce(w[3], 'gamma') as c from w),
+e as (select *, case when qid % 5 <> 0 then case when a = b then a else a || ' ' || b end end as q, (select arg_max(m.c, m.qid) from n m where m.session = n.session and m.qid <= n.qid and m.qid % 3 = 1) as task from n),
+benchmark as (select 'h' || qid as item_id, q as text from e where q is not null union all select 's' || qid, task || ' ' || q from e where q is not null and task is not null), {_bm25(10)},
+h as (select substr(qid, 1, 1) as channel, substr(qid, 2)::bigint as qid, rk, id, case when id % 5 = 0 then 'foreign' when id % 2 = 0 and (id % 10) / 10.0::double < 0.3 then 'floor' when id % 7 = 0 then 'stale' when id % 4 = substr(qid, 2)::bigint % 4 then 'deduped' end as why from bm),
+p as (select *, row_number() over (partition by qid, channel, why is null order by rk) as place from h),
+g as (select qid, channel, coalesce(string_agg('src/d' || id || '.py', ',' order by rk) filter (why is null and place <= 3), '') as sources, count(*) filter (why = 'deduped') as deduped, count(*) filter (why = 'stale') as stale, count(*) filter (why = 'floor') as floor, count(*) filter (why = 'foreign') as foreign_ from p group by qid, channel)
+select e.qid, 's' || e.session as session, case when e.qid % 5 = 0 then '/repo/docs/' || a || '_' || b || '.md' else '/repo/src/' || a || '_' || b || '.py' end as target, coalesce(q, '') as query, coalesce(k.sources, '') as sources, coalesce(k.sources, '') = '' as empty,
+ coalesce(k.deduped, 0)::int as deduped, coalesce(k.stale, 0)::int as stale, coalesce(k.floor, 0)::int as floor, coalesce(k.foreign_, 0)::int as foreign_, case when q is not null then task || ' ' || q end as shadow_query, case when q is not null and task is not null then coalesce(s.sources, '') end as shadow_sources
+from e left join g k on k.qid = e.qid and k.channel = 'h' left join g s on s.qid = e.qid and s.channel = 's'""")
+def q_hook_run(spark, sf_dir):
+    """One edit for every benchmark item, of a file named by words of its text: documents found for it and for the session's last task pass the chain and are written to the journal."""
+    word = lambda i, other: F.coalesce(F.get(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)), F.lit(i)), F.lit(other))
+    at = lambda minutes: F.expr(f"timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(item_id as int), {minutes})")
+    b = load(spark, sf_dir, "benchmark").withColumn("session", F.concat(F.lit("s"), (F.col("item_id") % 4).cast("string")))
+    name = F.concat_ws("_", word(0, "alpha"), word(1, "beta"))
+    path = F.when(F.col("item_id") % 5 == 0, F.concat(F.lit("/repo/docs/"), name, F.lit(".md"))).otherwise(F.concat(F.lit("/repo/src/"), name, F.lit(".py")))
+    edits = b.select(F.col("item_id").alias("qid"), "session", at(30).alias("ts"), path.alias("path"))
+    messages = b.where("item_id % 3 = 1").select("session", at(0).alias("ts"), word(2, "gamma").alias("text"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("number", F.col("id").cast("string"))
+    source = F.when(F.col("id") % 5 == 0, F.concat(F.lit("/else/d"), "number", F.lit(".py"))).otherwise(F.concat(F.lit("src/d"), "number", F.lit(".py")))
+    seen = d.select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("session"), S.chunk_key(source, F.col("text")).alias("key"))
+    files = d.where("id % 7 <> 0").select(F.concat(F.lit("/repo/src/d"), "number", F.lit(".py")).alias("path"))
+    index = sparse_index(spark, sf_dir)
+
+    def search(asked: DataFrame) -> DataFrame:
+        hits = cut(index.search(asked, 10)).join(d, "id")
+        return hits.select("qid", "rk", source.alias("source"), "text", "score", F.when(F.col("id") % 2 == 0, F.col("id") % 10 / F.lit(10.0)).alias("rerank_score"))
+
+    got = hooks.run_hook(edits, search, seen, files, "/repo", messages, Config(min_score=0.3, fetch_k=10, inject_k=3))
+    sources = lambda chunks: F.array_join(F.transform(chunks, lambda c: c["source"]), ",")
+    return got.select("qid", "session", "target", "query", sources("chunks").alias("sources"), "empty", "deduped", "dropped.stale", "dropped.floor", F.col("dropped.foreign").alias("foreign_"), F.col("shadow.query").alias("shadow_query"), sources("shadow.chunks").alias("shadow_sources"))
