@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.config import Config
 from memlake.functions import scalars as S
-from memlake.shared import cut
+from memlake.shared import cut, small
 
 #: What a chunk may be dropped for, in the chain's order; repeats inside one fetch are not counted by the journal.
 REASONS = ("foreign", "floor", "stale", "deduped", "repeat", "limit")
@@ -53,11 +53,13 @@ def filter_chain(hits: DataFrame, seen: DataFrame, files: DataFrame, root: str,
     hits: (qid, channel, session, rk, source, text, rerank_score). Sources outside the root
     go first, then reranked scores under the floor, sources that do not exist (files: path),
     chunks that the session saw before (seen: session, key), repeats inside the fetch, and
-    what is left beyond the first inject_k.
+    what is left beyond the first inject_k. Of files and seen only what the hits name is
+    shuffled, as long as the hits are few enough to be broadcast.
     """
-    there = files.select(relative(F.col("path"), root).alias("place_")).distinct().withColumn("there_", F.lit(True))
-    known = seen.select("session", "key").distinct().withColumn("seen_", F.lit(True))
-    out = hits.withColumn("key", S.chunk_key(F.col("source"), F.col("text"))).withColumn("place_", relative(F.col("source"), root))
+    out = cut(hits.withColumn("key", S.chunk_key(F.col("source"), F.col("text"))).withColumn("place_", relative(F.col("source"), root)))
+    named, keys = small(out.select("place_").distinct()), small(out.select("session", "key").distinct())
+    there = files.select(relative(F.col("path"), root).alias("place_")).join(named, "place_", "left_semi").distinct().withColumn("there_", F.lit(True))
+    known = seen.select("session", "key").join(keys, ["session", "key"], "left_semi").distinct().withColumn("seen_", F.lit(True))
     out = out.join(there, "place_", "left").join(known, ["session", "key"], "left")
     low = F.lit(min_score > 0) & F.coalesce(F.col("rerank_score") < min_score, F.lit(False))
     early = F.when(~S.in_project(F.col("source"), root), "foreign").when(low, "floor").when(F.col("there_").isNull(), "stale").when(F.col("seen_"), "deduped")
