@@ -1,23 +1,25 @@
 """Usage kept up by batches: moments and sketches a day, which merge for any window without the events.
 
-usage/batch=B/      (day, key, n, tokens, sumsq, least, most): sums and extremes, as usage_rollup has them
-sketches/batch=B/   (day, kind, n, users, latency, top): a HyperLogLog of users, a KLL sketch of
-                    latencies and the most frequent sources of each day and kind
+usage/batch=B/      (day, kind, source, key, n, tokens, sumsq, least, most): sums and extremes, as usage_rollup has them
+sketches/batch=B/   (day, kind, n, users, latency): a HyperLogLog of users and a KLL sketch of
+                    latencies of each day and kind
 
 A batch holds only its own rows' share, so entering one reads nothing that was there
 before, and writing it again replaces its own folders. All merges are Spark's aggregates.
+The most frequent sources come from the sums: a sketch of a fixed number of items has none
+left where more sources than that are about equally frequent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.operators.telemetry import _key
 
-#: Precision of the sketches: registers' bits, KLL's k (a rank error under 1 % for 400), tracked items.
-HLL_BITS, KLL_K, TRACKED = 14, 400, 1_000
-MOMENTS = "day date, key string, n long, tokens long, sumsq long, least long, most long"
+#: Precision of the sketches: registers' bits, KLL's k (a rank error under 1 % for 400).
+HLL_BITS, KLL_K = 14, 400
+MOMENTS = "day date, kind string, source string, key string, n long, tokens long, sumsq long, least long, most long"
 
 
 class UsageStore:
@@ -29,12 +31,9 @@ class UsageStore:
     def write(self, audit: DataFrame, batch: int) -> None:
         """Enter audit rows (ts, kind, source, tokens, latency_ms) as one batch; rows without a time belong to no day's window, but to the whole."""
         t = F.coalesce("tokens", F.lit(0)).cast("long")
-        rows = audit.withColumn("day", F.to_date("ts"))
-        sums = rows.groupBy("day", _key().alias("key")).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"))
-        who = F.coalesce(F.col("source").cast("string"), F.lit("?"))
-        kinds = rows.withColumn("who", who).groupBy("day", F.coalesce("kind", F.lit("?")).alias("kind")).agg(
-            F.count("*").alias("n"), F.hll_sketch_agg("who", F.lit(HLL_BITS)).alias("users"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(KLL_K)).alias("latency"), F.expr(f"approx_top_k_accumulate(who, {TRACKED})").alias("top"),
-        )
+        rows = audit.withColumn("day", F.to_date("ts")).withColumns({"kind": F.coalesce("kind", F.lit("?")), "who": F.coalesce(F.col("source").cast("string"), F.lit("?"))})
+        sums = rows.groupBy("day", "kind", F.col("who").alias("source"), _key().alias("key")).agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.sum(t * t).alias("sumsq"), F.min(t).alias("least"), F.max(t).alias("most"))
+        kinds = rows.groupBy("day", "kind").agg(F.count("*").alias("n"), F.hll_sketch_agg("who", F.lit(HLL_BITS)).alias("users"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), F.lit(KLL_K)).alias("latency"))
         sums.write.mode("overwrite").parquet(f"{self.root}/usage/batch={batch}")
         kinds.write.mode("overwrite").parquet(f"{self.root}/sketches/batch={batch}")
 
@@ -53,8 +52,12 @@ class UsageStore:
         return sums.withColumn("mean", F.round(F.col("tokens") / F.col("n"), 6))
 
     def summary(self, first: str | None = None, last: str | None = None, top: int = 5) -> DataFrame:
-        """(kind, n, users, p50, p95, top): calls exactly; users, latencies and the most frequent sources from the merged sketches."""
+        """(kind, n, users, p50, p95, top): calls and the most frequent sources, as (item, count), exactly; users and latencies from the merged sketches."""
         rows = self._days(self.spark.read.parquet(f"{self.root}/sketches"), first, last)
-        merged = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("latency").alias("latency"), F.expr(f"approx_top_k_combine(top, {TRACKED})").alias("top"))
+        merged = rows.groupBy("kind").agg(F.sum("n").alias("n"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("latency").alias("latency"))
+        each = self._days(self.spark.read.schema(MOMENTS).parquet(f"{self.root}/usage"), first, last).groupBy("kind", "source").agg(F.sum("n").alias("count"))
+        place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "source"))
+        listed = F.array_sort(F.collect_list(F.struct("place", F.col("source").alias("item"), "count")))
+        most = each.withColumn("place", place).where(F.col("place") <= top).groupBy("kind").agg(F.transform(listed, lambda x: F.struct(x["item"].alias("item"), x["count"].alias("count"))).alias("top"))
         at = lambda p: F.when(F.kll_sketch_get_n_double("latency") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(p)))
-        return merged.select("kind", "n", F.hll_sketch_estimate("users").alias("users"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.expr(f"approx_top_k_estimate(top, {top})").alias("top"))
+        return merged.join(most, "kind").select("kind", "n", F.hll_sketch_estimate("users").alias("users"), at(0.5).alias("p50"), at(0.95).alias("p95"), "top")

@@ -27,6 +27,15 @@ def test_usage_store_equals_the_rollup(spark, tmp_path):
     assert abs(found["b"]["p50"] - 100) < 10 and len(found["b"]["top"]) == 5
 
 
+def test_most_frequent_sources_of_many(spark, tmp_path):
+    """Five thousand sources about equally frequent: none would stand out in a sketch of a thousand."""
+    df = spark.range(30_001).select(F.lit(T).alias("ts"), F.lit("a").alias("kind"), F.concat(F.lit("s"), (F.col("id") % 5_000).cast("string")).alias("source"), F.lit(1).cast("long").alias("tokens"), F.lit(1.0).alias("latency_ms"))
+    store = UsageStore(spark, str(tmp_path / "u"))
+    for batch in (0, 1):
+        store.write(df.where(F.pmod(F.xxhash64("source"), F.lit(2)) == batch), batch)
+    assert [tuple(x) for x in store.summary().first()["top"]] == [("s0", 7), ("s1", 6), ("s10", 6), ("s100", 6), ("s1000", 6)]
+
+
 def test_pages(spark):
     df = spark.range(1000).select((F.lit(999) - F.col("id")).alias("id"), F.lit("x").alias("place_x")).repartition(7)
     got = ingest.paged(df, 64)
