@@ -37,10 +37,13 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def spread(scan: DataFrame, *by: str) -> DataFrame:
-    """A scan of fewer parts than there are cores, dealt to all of them by the hash of by; any other scan as it is.
+    """A scan of which fewer parts hold rows than there are cores, dealt to all of them by the hash of by; any other scan as it is.
+
+    A file's part holds rows only where one of its row groups lies, so parts are told by their rows, of which no column is read.
 
     For work that costs far more than moving its rows, as splitting texts into words: a file of one
     row group is one task otherwise. Only for what comes straight from files, as the parts are asked for.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *by) if scan.rdd.getNumPartitions() < cores else scan
+    parts = scan.select(F.spark_partition_id().alias("part")).distinct().count()
+    return scan.repartition(cores, *by) if parts < cores else scan
