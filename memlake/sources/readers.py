@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
+import _hashlib
+import ctypes
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
+from memlake.shared import cut
 
 AUDIT = "ts string, kind string, source string, tokens long, latency_ms double"
 CHUNK = "struct<source:string,score:double,exists:boolean,lang:string>"
@@ -22,6 +24,8 @@ TOP_NAMES = ("README.md", "CHANGELOG.md", "AGENTS.md", "llms.txt")
 LEFT_OUT_FIRST = ("tests", "dist", "build", ".planning", ".gsd")
 LEFT_OUT_NAMES = ("test_*.py", "*_test.py", "*.lock", "*.generated.*")
 SUFFIXES = (".md", ".jsonl")
+#: Bytes of libcrypto's SHA256_CTX: eight words, the length, a block, and two counts.
+SHA256_STATE = 112
 TRANSCRIPT_TYPES = ("user", "assistant", "system", "summary")
 
 
@@ -172,12 +176,41 @@ def git_log(text: DataFrame) -> DataFrame:
 def content_digest(files: DataFrame) -> str:
     """One SHA-256 of a tree (path, content binary or text): each path and its content, both ended by a zero byte, in path order.
 
-    A hash of a sequence has to see it in sequence: contents are streamed to the driver, a row at a time.
+    A hash of a sequence has to see it in sequence: the sorted parts are read one after another, each by a task
+    of its own, and only the hash's state of 112 bytes goes from part to part by way of the driver.
     """
-    h = hashlib.sha256()
-    for r in files.select("path", F.col("content").cast("binary").alias("content")).repartitionByRange("path").sortWithinPartitions("path").toLocalIterator():
+    rows = cut(files.select("path", F.col("content").cast("binary").alias("content")).repartitionByRange("path").sortWithinPartitions("path")).rdd
+    state = Sha256().state()
+    for part in range(rows.getNumPartitions()):
+        state = rows.context.runJob(rows, lambda own, state=state: [_hashed(own, state)], [part])[0]
+    return Sha256(state).hexdigest()
+
+
+def _hashed(rows: Iterable[Row], state: bytes) -> bytes:
+    h = Sha256(state)
+    for r in rows:
         h.update(r["path"].encode() + b"\0" + bytes(r["content"]) + b"\0")
-    return h.hexdigest()
+    return h.state()
+
+
+class Sha256:
+    """SHA-256 of the library that hashlib uses, with a state that another process can go on from (hashlib keeps its own to itself)."""
+
+    def __init__(self, state: bytes | None = None) -> None:
+        self._lib, self._at = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state, SHA256_STATE) if state else ctypes.create_string_buffer(SHA256_STATE)
+        if state is None:
+            self._lib.SHA256_Init(self._at)
+
+    def update(self, data: bytes) -> None:
+        self._lib.SHA256_Update(self._at, data, ctypes.c_size_t(len(data)))
+
+    def state(self) -> bytes:
+        return self._at.raw
+
+    def hexdigest(self) -> str:
+        out, last = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self._at.raw, SHA256_STATE)
+        self._lib.SHA256_Final(out, last)
+        return out.raw.hex()
 
 
 def tree_digest(files: DataFrame) -> DataFrame:

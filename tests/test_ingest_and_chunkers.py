@@ -190,3 +190,15 @@ def test_a_bucket_is_one_file_however_many_tasks_write(spark, tmp_path):
     files = [str(p.parent) for p in (tmp_path / "c" / "data").rglob("*.parquet")]
     assert len(files) == len(set(files)) > 1
     assert ingest.read_latest(spark, root).count() == 4000
+
+
+def test_content_digest_sends_no_contents_to_the_driver(spark, monkeypatch):
+    import hashlib
+
+    tree = spark.range(300).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.repeat(F.lit("ab"), F.col("id").cast("int")).alias("content")).repartition(5)
+    monkeypatch.setattr(type(tree), "toLocalIterator", None)
+    want = hashlib.sha256()
+    for p in sorted(f"p{i}" for i in range(300)):
+        want.update(p.encode() + b"\0" + b"ab" * int(p[1:]) + b"\0")
+    assert readers.content_digest(tree) == want.hexdigest()
+    assert readers.content_digest(tree.limit(0)) == hashlib.sha256().hexdigest()
