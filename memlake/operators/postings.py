@@ -17,6 +17,11 @@ so it can be repeated after a failure; until its documents are there, readers pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +42,30 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 #: The folder of the documents' lengths; those of terms count from 0.
 LENGTHS = -1
+#: What a posting is made of, and rows of one batch of them.
+NAMES, OUT_ROWS = ["id", "dl", "term", "tf"], 100_000
 
 
 def counted(words: DataFrame) -> DataFrame:
-    """(id, dl, term, tf) of documents (id, w), w all words of one: counted in its row, without a shuffle.
+    """(id, dl, term, tf) of documents (id, w), w all words of one: counted in its batch, without a shuffle.
 
     Every document has one row without a term besides, so that one pass gives its length too.
-    The words are sorted; a term's count is the distance from the end of its run to the end of the run before.
     """
-    last = F.size("w")
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i > 0) & ((i == last) | (F.get("w", i) != F.get("w", i - 1))))
-    runs = words.select("id", F.sort_array("w").alias("w")).select("id", "w", last.alias("dl"), ends.alias("ends"))
-    run = F.transform("ends", lambda end, at: F.struct(F.get("w", end - 1).alias("term"), (end - F.coalesce(F.get("ends", at - 1), F.lit(0))).alias("tf")))
-    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf")))
-    return runs.select("id", "dl", F.inline(F.concat(length, run)))
+    return words.select("id", "w").mapInArrow(_counts, f"id {dict(words.dtypes)['id']}, dl int, term string, tf int")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        size = pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False)
+        coded = b.column("w").flatten().dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        key, tf = np.unique(np.repeat(np.arange(len(size)), size) * many + coded.indices.to_numpy(), return_counts=True)
+        row, code = np.divmod(key, many)
+        ids, dl = b.column("id"), pa.array(size, pa.int32())
+        yield pa.RecordBatch.from_arrays([ids, dl, pa.nulls(len(ids), coded.dictionary.type), pa.nulls(len(ids), pa.int32())], NAMES)
+        for i in range(0, len(key), OUT_ROWS):  # a document has far more terms than rows
+            at = pa.array(row[i : i + OUT_ROWS])
+            yield pa.RecordBatch.from_arrays([ids.take(at), dl.take(at), coded.dictionary.take(pa.array(code[i : i + OUT_ROWS])), pa.array(tf[i : i + OUT_ROWS], pa.int32())], NAMES)
 
 
 class Postings:

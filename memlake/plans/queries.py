@@ -146,7 +146,7 @@ def q_bm25_topk(spark, sf_dir):
 @query(f"with {_bm25(where='doc_id % 7 <> 5')} select qid, id, score, rk from bm")
 def q_postings_update(spark, sf_dir):
     """An index that held drafts of a third of the texts and documents that went, after the batch that mended both."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    d = spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     draft = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("draft"), F.substring("text", 1, 99))).otherwise(F.col("text"))
     index = Postings(spark, f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
     index.write(d.withColumn("text", draft), 0)
