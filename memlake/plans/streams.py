@@ -25,16 +25,21 @@ def opened(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream has put out when all its input is read."""
+    """What a stream has put out when all its input is read, from files in the shared folder: no row goes through the driver."""
     spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     try:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark).rstrip('/')}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination()
+        out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+        if mode == "complete":  # each batch is the whole result; the last one stays
+            out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}-out"))
+        else:
+            out = out.format("parquet").option("path", f"{path}-out")
+        out.start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}-out")
 
 
 @query("select event_type || ':' || user_id as key, count(*) as n, sum(json_extract_string(props, '$.k')::bigint)::bigint as tokens from events group by 1")

@@ -143,43 +143,47 @@ def turn_stream(events: DataFrame, idle: str = "1 hour", late: str = "10 minutes
 
 
 class SessionMemory(StatefulProcessor):
-    """The first row of each key of a session; the whole memory goes once the session was silent for its time, and every row puts that off."""
+    """The first row of each key of a session; the whole memory goes once the session was silent for its time, and every row puts that off.
 
-    def __init__(self, ttl_ms: int, most: int) -> None:
-        self.ttl_ms, self.most = ttl_ms, most
+    A session's memory is read once and written once a batch: a call to the store costs far more than a row's work.
+    """
+
+    def __init__(self, ttl_us: int, most: int) -> None:
+        self.ttl_us, self.most = ttl_us, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "key string", "ts long")
-        self.timer = handle.getValueState("timer", "at long")
+        self.memory = handle.getValueState("memory", "seen array<string>, until long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values(["ts", "id"])
-        at = self.timer.get()[0] if self.timer.exists() else None
-        out = []
-        for k, ts, i in zip(events["key"], events["ts"], events["id"], strict=True):
-            now = int(ts.timestamp() * 1000)
-            if at is not None and now > at:
-                self.seen.clear()
-            if not self.seen.containsKey((k,)):
-                out.append((key[0], k, ts, i))
-                self.seen.updateValue((k,), (now,))
-            end = now + self.ttl_ms
-            if at is not None and end > at:
-                self.handle.deleteTimer(at)
-            if at is None or end > at:
-                at = end
-                self.handle.registerTimer(at)
-                self.timer.update((at,))
-        known = sorted(k[0] for k in self.seen.keys())
-        for k in known[: max(0, len(known) - self.most)]:
-            self.seen.removeKey((k,))
+        events = pd.concat(list(rows)).sort_values(["us", "id"])
+        held = self.memory.get()
+        seen, until = (set(held[0]), held[1]) if held else (set(), None)
+        before, out = until, []
+        for i, (k, us) in enumerate(zip(events["key"].tolist(), events["us"].tolist(), strict=True)):
+            if until is not None and us > until:
+                seen.clear()
+            if k not in seen:
+                seen.add(k)
+                out.append(i)
+            until = us + self.ttl_us if until is None else max(until, us + self.ttl_us)
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            self.handle.registerTimer(self._timer(until))
+        if out or until != before:
+            kept = sorted(seen, key=lambda k: (k is not None, k))[-self.most :] if len(seen) > self.most else list(seen)
+            self.memory.update((kept, until))
         if out:
-            yield pd.DataFrame(out, columns=["session", "key", "ts", "id"])
+            yield events.iloc[out][["session", "key", "ts", "id"]]
+
+    @staticmethod
+    def _timer(until: int) -> int:
+        """The first millisecond after the end: a row in time is never behind it."""
+        return until // 1000 + 1
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.seen.clear()
-        self.timer.clear()
+        self.memory.clear()
         return iter(())
 
     def close(self) -> None:
@@ -191,6 +195,6 @@ def session_memory(rows: DataFrame, hours: float = 24, most: int = 2000, late: s
 
     The memory of a session keeps its `most` greatest keys, as its stored form does.
     """
-    df = rows.select("session", "key", "ts", "id").withWatermark("ts", late).groupBy("session")
+    df = rows.select("session", "key", "ts", "id", F.unix_micros("ts").alias("us")).withWatermark("ts", late).groupBy("session")
     schema = f"session string, key string, ts timestamp, id {dict(rows.dtypes)['id']}"
-    return df.transformWithStateInPandas(SessionMemory(int(hours * 3_600_000), most), schema, "Append", "EventTime")
+    return df.transformWithStateInPandas(SessionMemory(int(hours * 3_600_000_000), most), schema, "Append", "EventTime")

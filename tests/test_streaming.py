@@ -1,5 +1,8 @@
 from datetime import datetime, timedelta
+from unittest.mock import MagicMock
 
+import pandas as pd
+from memlake.plans import streams
 from memlake.streaming import pipelines as P
 from pyspark.sql import functions as F
 
@@ -79,3 +82,39 @@ def test_newest_is_a_ring_over_all_batches(spark, tmp_path):
     assert ring() == before
     keep(batch(), 3)
     assert ring() == before
+
+
+def test_session_memory_goes_on_over_batches_and_ends_to_the_microsecond(spark, tmp_path):
+    at = lambda **k: T0 + timedelta(**k)
+    # within one millisecond: the session's last microsecond, and the next
+    first = [("s", "k", at(microseconds=500), 1), ("s", None, at(microseconds=500), 2), ("t", "k", at(microseconds=500), 3)]
+    second = [("s", "k", at(days=1, microseconds=500), 4), ("s", "l", at(days=1, microseconds=500), 5), ("t", "k", at(days=1, microseconds=501), 6)]
+    third = [("u", "k", at(days=9), 7)]
+    source(spark, tmp_path, [first, second, third], "session string, key string, ts timestamp, id long", "mem")
+    df = spark.readStream.schema("session string, key string, ts timestamp, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "mem"))
+    got = run(P.session_memory(df), "append", tmp_path, "memory_batches")
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 5, 6, 7]
+
+
+def test_session_memory_asks_the_store_as_often_for_many_rows_as_for_one():
+    def calls(n):
+        handle = MagicMock()
+        handle.getValueState.return_value.get.return_value = (["a"], 10**15)
+        memory = P.SessionMemory(86_400_000_000, 2000)
+        memory.init(handle)
+        us = range(10**15, 10**15 + n)
+        rows = pd.DataFrame({"session": "s", "key": [f"k{i}" for i in us], "ts": pd.to_datetime(us, unit="us"), "id": us, "us": us})
+        assert sum(len(x) for x in memory.handleInputRows(("s",), iter([rows]), None)) == n
+        return len(handle.mock_calls)
+
+    assert calls(1) == calls(1000) <= 6
+
+
+def test_drained_rows_lie_in_files(spark, tmp_path):
+    schema = "session string, key string, ts timestamp"
+    for n, rows in enumerate(([], [("s", "k", T0), ("s", "k", T0), ("s", "l", T0)])):
+        df = source(spark, tmp_path, [rows], schema, f"drained{n}")
+        out = streams.drained(P.dedup_within(df), "append")
+        assert out.count() == 2 * n and (n == 0 or out.inputFiles())
+        whole = streams.drained(df.groupBy("session").count(), "complete")
+        assert [tuple(r) for r in whole.collect()] == [("s", 3)] * n and whole.inputFiles()
