@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scalars as S
+from memlake.functions.predicates import live
 from memlake.operators import chunkers, ingest, turns
 from memlake.registry import lookup
-from memlake.shared import cut
+from memlake.shared import cut, shared_dir, small, spread
 from memlake.sources import readers
 
 POINT = "id string, file_path string, chunk_idx int, text string, content_hash string, chunk_hash string, chunker string, room string, path_prefixes array<string>, source string, session string, message string, valid_from timestamp, valid_to timestamp, updated_at timestamp, vec array<double>"
@@ -70,11 +72,10 @@ def embedded(points: DataFrame, embedder: str | None) -> DataFrame:
 
 def file_points(files: DataFrame, rooms: Mapping[str, Sequence[str]], now: Column, dedup: bool, min_tokens: int) -> DataFrame:
     """Points of markdown files (path, mtime, text, sha), without vectors."""
-    chunks = chunkers.chunk_documents(files, min_tokens=min_tokens).withColumn("chunk_hash", S.sha256(F.col("document")))
+    chunks = chunkers.chunk_documents(files, min_tokens=min_tokens, keep=("mtime", "sha")).withColumn("chunk_hash", S.sha256(F.col("document")))
     if dedup:
         chunks = ingest.distinct_chunks(chunks.withColumnRenamed("path", "file_path")).withColumnRenamed("file_path", "path")
-    out = chunks.join(files.select("path", "mtime", "sha"), "path")
-    return _points(out, F.col("sha"), S.point_id(F.col("path"), F.col("chunk_idx"), F.col("sha")), F.lit("markdown"), F.lit(None).cast("string"), rooms, now)
+    return _points(chunks, F.col("sha"), S.point_id(F.col("path"), F.col("chunk_idx"), F.col("sha")), F.lit("markdown"), F.lit(None).cast("string"), rooms, now)
 
 
 def message_points(pieces: DataFrame, rooms: Mapping[str, Sequence[str]], now: Column) -> DataFrame:
@@ -116,6 +117,9 @@ def index_files(spark: SparkSession, files: DataFrame, root: str, *, there: Data
     collection or the embedder changed; a message likewise by its own hash. Files that are
     gone leave the manifest, not the collection: those below the run's roots that are not
     in `there` (path). What other runs brought from elsewhere stays known.
+
+    files is read several times, for its keys and once for the texts that are dirty; where
+    a second reading may differ, cut it first.
     """
     rooms, moment = rooms or {}, now or datetime.now()
     at = F.lit(moment).cast("timestamp")
@@ -137,8 +141,14 @@ def index_files(spark: SparkSession, files: DataFrame, root: str, *, there: Data
 
     text = files.where(~F.col("path").endswith(".jsonl")).withColumn("target", F.lit(target)).withColumn("epoch", F.lit(epoch))
     seen = manifest.where("kind = 'file'")
-    dirty = cut(text if force else ingest.needs_index(text, seen))
-    kept = file_points(dirty, rooms, at, dedup, min_tokens)
+    # what is dirty is told by the keys; texts are shuffled only where many, but not all, are
+    keys = text.select("path", "target", "sha", "epoch")
+    dirty = cut(keys if force else ingest.needs_index(keys, seen))
+    todo = text
+    if dirty.count() < keys.count():
+        picked = small(dirty.select(F.col("path").alias("path_"), F.col("sha").alias("sha_")).distinct())
+        todo = text.join(picked, F.col("path").eqNullSafe(F.col("path_")) & F.col("sha").eqNullSafe(F.col("sha_")), "left_semi")
+    kept = file_points(spread(todo, "path"), rooms, at, dedup, min_tokens)
 
     lines = readers.transcript_lines(files.where(F.col("path").endswith(".jsonl")))
     pieces = chunkers.chunk_transcripts(transcript_pairs(lines)).join(files.select("path", "mtime"), "path")
@@ -146,14 +156,17 @@ def index_files(spark: SparkSession, files: DataFrame, root: str, *, there: Data
     heard = manifest.where("kind = 'message'").select(F.col("path").alias("session"), "target", "sha", "epoch")
     fresh = cut(said if force else ingest.needs_index(said, heard, ("session", "target")))
 
-    new = cut(kept.unionByName(message_points(fresh, rooms, at)))
-    fallback = new.where("fallback_").count()
-    new = cut(embedded(new.drop("fallback_"), embedder).select(*(c.split(" ")[0] for c in POINT.split(", "))))
+    # as compressed files, of which the counts and the commit's keys read only their columns
+    path = f"{shared_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex}"
+    embedded(kept.unionByName(message_points(fresh, rooms, at)), embedder).write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(f"{POINT}, fallback_ boolean").parquet(path)
+    fallback = made.where("fallback_").count()
+    new = made.drop("fallback_")
     # live versions of any dirty file end, whether or not the manifest still knows it; transcripts only ever grow
     changed = dirty.select(F.col("path").alias("file_path"))
     written = new.count()
     if written or not dirty.isEmpty():
-        ingest.commit(spark, points, new, by="file_path", change=lambda old: ingest.close_old(old, changed, at), touched=changed)
+        ingest.commit(spark, points, new, by="file_path", change=lambda old: ingest.close_old(old, ingest.meeting(old.where(live(F.col("valid_to"), at)), changed, "file_path"), at), touched=changed)
     if retention_days:
         whole = ingest.read_latest(spark, points)
         left = cut(ingest.gc_sweep(whole, at, retention_days))

@@ -58,6 +58,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns), allowMissingColumns=True)
 
 
+def meeting(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The keys that both have, each once: told from the keys alone, so that few of them are broadcast and old rows need no shuffle."""
+    return small(cut(old.select(key).join(new.select(key), key, "left_semi").distinct()))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last version of each key, by one aggregation without a sort."""
     rest = [c for c in rows.columns if c not in keys]
@@ -197,6 +202,13 @@ def _writable(root: str) -> None:
         raise PermissionError(root)
 
 
+def _crowded(spark: SparkSession, folders: Sequence[str]) -> bool:
+    """Whether the folders hold more than four files each, of under 32 MB, in the mean."""
+    sums = [fs.getContentSummary(place) for place, fs in (_fs(spark, f) for f in folders)]
+    files = sum(s.getFileCount() for s in sums)
+    return files > 4 * len(folders) and sum(s.getLength() for s in sums) < files << 25
+
+
 def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id", by: str | None = None, change: Callable[[DataFrame], DataFrame] | None = None, touched: DataFrame | None = None, replace: bool = False) -> int:
     """Upsert into a collection as one new version: a failure leaves the old one whole.
 
@@ -209,7 +221,9 @@ def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id", by:
     state = _state(spark, root, found[-1]) if found else {"parts": {}, "buckets": BUCKETS, "schema": None}
     count, version, by = state["buckets"], (found[-1] if found else 0) + 1, by or key
     bucket = F.pmod(F.xxhash64(by), F.lit(count)).cast("int")
-    rows, keep = new, {}
+    # a bucket is written by as many tasks as its size asks for, not by every task
+    dealt = lambda df: df.withColumn("bucket_", bucket).hint("rebalance", F.col("bucket_"))
+    rows, out, keep = new, dealt(new), {}
     if found and not replace:
         hit = new.select(bucket.alias("b"))
         hit = hit if touched is None else hit.unionByName(touched.select(bucket.alias("b")))
@@ -218,10 +232,13 @@ def commit(spark: SparkSession, root: str, new: DataFrame, key: str = "id", by:
         again = [f"{root}/{p}" for b, p in state["parts"].items() if b in hit]
         if again:
             old = spark.read.schema(StructType.fromJson(state["schema"])).parquet(*again)
-            rows = upsert(change(old) if change else old, new, key)
+            old = change(old) if change else old
+            rest = old.join(meeting(old, new, key), key, "left_anti").select(*old.columns)
+            rows = new.unionByName(rest, allowMissingColumns=True)
+            # old rows are read by their buckets and need no shuffle, unless many small files are to become few
+            out = dealt(rows) if _crowded(spark, again) else out.unionByName(rest.withColumn("bucket_", bucket), allowMissingColumns=True)
     folder = f"data/{version:09d}-{uuid.uuid4().hex}"
-    # a bucket is written by as many tasks as its size asks for, not by every task
-    rows.withColumn("bucket_", bucket).hint("rebalance", F.col("bucket_")).write.partitionBy("bucket_").parquet(f"{root}/{folder}")
+    out.write.option("compression", "zstd").partitionBy("bucket_").parquet(f"{root}/{folder}")
     place, fs = _fs(spark, f"{root}/{folder}")
     written = {s.getPath().getName().split("=")[1]: f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(place) if s.getPath().getName().startswith("bucket_=")}
     schema = rows.schema if not found or replace else StructType([*rows.schema, *(f for f in StructType.fromJson(state["schema"]) if f.name not in rows.columns)])

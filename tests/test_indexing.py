@@ -88,6 +88,27 @@ def test_a_run_that_fails_midway_is_done_again(spark, tree, monkeypatch):
     assert [r["text"].split()[0] for r in live] == ["delta0"]
 
 
+def test_texts_are_neither_cut_nor_dealt_again(spark, tree, monkeypatch):
+    """Only keys are cut; a commit deals its new rows to the buckets, and old ones stay in theirs."""
+    cuts, dealt, real_cut, frame = [], [], indexing.cut, type(spark.range(1))
+    real_hint = frame.hint
+    sources = str(tree / "src")
+    index = lambda day: indexing.index_files(spark, files, str(tree / "state"), there=files.select("path"), roots=[sources], now=NOW + timedelta(days=day))
+    files = real_cut(readers.read_files(spark, sources))
+    assert index(0).written == 5
+    before = {r["id"]: r["text"] for r in points(spark, tree).collect()}
+    (tree / "src" / "b.md").write_text(words(80, "delta"))
+    files = real_cut(readers.read_files(spark, sources))
+    for module in (indexing, ingest):
+        monkeypatch.setattr(module, "cut", lambda df: cuts.append(df.columns) or real_cut(df))
+    monkeypatch.setattr(frame, "hint", lambda df, name, *p: (name == "rebalance" and "text" in df.columns and dealt.append(df.count())) or real_hint(df, name, *p))
+    got = index(1)
+    assert (got.changed, got.written) == (1, 1) and not [c for c in cuts if "text" in c] and dealt == [1]
+    after = {r["id"]: r for r in points(spark, tree).collect()}
+    assert len(after) == 6 and {i: after[i]["text"] for i in before} == before
+    assert [r["text"].split()[0] for r in after.values() if r["valid_to"]] == ["gamma0"]
+
+
 def test_search_over_an_indexed_collection(spark, tree):
     run(spark, tree, embedder="hashing")
     p = points(spark, tree)

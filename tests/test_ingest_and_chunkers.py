@@ -192,6 +192,23 @@ def test_a_bucket_is_one_file_however_many_tasks_write(spark, tmp_path):
     assert ingest.read_latest(spark, root).count() == 4000
 
 
+def test_many_small_files_of_a_bucket_become_one_again(spark, tmp_path):
+    root, most = str(tmp_path / "c"), 0
+    for i in range(8):
+        ingest.commit(spark, root, spark.createDataFrame([(0, f"{i}"), (i + 1, "x")], "id int, x string").withColumn("of", F.lit("one")), by="of")
+        files = ingest.read_latest(spark, root).inputFiles()
+        most = max(most, len(files))
+    assert 1 < most <= 6 and len(files) < 6
+    assert sorted((r["id"], r["x"]) for r in ingest.read_latest(spark, root).collect()) == [(0, "7"), *((i + 1, "x") for i in range(8))]
+
+
+def test_chunks_keep_columns_of_their_document(spark):
+    df = spark.sql("select 'a' as path, '# H\none\n# I\ntwo' as text, timestamp'2024-01-01 00:00:00.000001' as mtime, 7L as n union all select 'b', null, null, null union all select 'c', 'x', null, null")
+    got = chunkers.chunk_documents(df, min_tokens=0, keep=("mtime", "n"))
+    at = datetime(2024, 1, 1, 0, 0, 0, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", at, 7, 0, "one"), ("a", at, 7, 1, "two"), ("c", None, None, 0, "x")]
+
+
 def test_content_digest_sends_no_contents_to_the_driver(spark, monkeypatch):
     import hashlib
 
