@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, exact_dedup, language_gru, mixing, parity_join
-from memlake.llm.common import WHITE, cut, discard, free_name, scratch_path, table
+from memlake.llm.common import WHITE, cut, discard, free_name, release, scratch_path, table
 from memlake.llm.queries import DOMAINS, LANGS, LEARN, domain_of
 
 #: A document goes if it has no letter, or if no language reaches this probability.
@@ -43,6 +43,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are copies of each other. An empty table stays empty.
     """
     kept = exact_dedup.exact_dedup(docs).where("kept")
+    release(spark)  # what the groups shuffled, before the rows are
     # a winner is found by its id and digest; the copies that share both are combined before the join, so no key is hot
     ident = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
     kept = kept.select(*ident, F.col("text_sha256").alias("sha")).distinct()
@@ -94,12 +95,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents. What a stage wrote goes when its successor is written."""
+    """All stages, applied to documents. What a stage wrote goes when its successor is written, what it shuffled when it ends."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         if last:
             discard(spark, last)
+        release(spark)
         docs, last = spark.read.parquet(path), path
     return docs

@@ -140,13 +140,15 @@ def sketch_words(h: np.ndarray, band: int, num: int, den: int) -> tuple[np.ndarr
     return place[start][odd], word[odd]
 
 
-#: Bits of the one-size sketch that a leftover group's pairs are held against before their texts are.
+#: Bits of the one-size sketch that pairs are held against before their texts are. Larger sets have a wide one besides.
 FOLD = 1024
+#: Shares of the keys that are shuffled one after another, so that only one of them lies on disk at a time.
+SLICES = 8
 #: Documents of a block of a leftover group: larger groups are dealt as pairs of blocks. Rows of one comparison.
 GROUP, ROWS = 4_096, 64
 #: A centre of more pairs than this, and than this share of them all, is given out so many times; at most 1 / HOT_SHARE can be.
 STAR, HOT_SHARE = 2_000, 1 / 20_000
-#: Sets from which on files that nothing needs any more are freed between the steps.
+#: Sets from which on keys go in slices, and files that nothing needs any more are freed between the steps.
 LARGE = 20_000
 
 
@@ -176,31 +178,66 @@ def pair_words(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def fold_of(h: np.ndarray, bits: int) -> bytes:
+    """The parity sketch of one word of so many bits, a power of two. Two of them differ in at most as many bits as the sets in shingles."""
+    return np.packbits((np.bincount(((h >> np.uint64(16)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_bits(n: int) -> int:
+    """Bits of the wide sketch of a set of n shingles: as many as these, to the next power of two."""
+    return 1 << max(3, (n - 1).bit_length())
+
+
+#: Of each text: the sketch of FOLD bits, the wide one if that has more, and the keys by slice.
+SETS = "doc_id long, n int, digest binary, fold binary, wide binary, " + ", ".join(f"k{i} array<long>" for i in range(SLICES))
+
+
 def _sets(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, folds, wides, keys = [], [], [], [], [np.zeros(0, np.int64)]
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, width)
                 sizes.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                folds.append(fold_of(h, FOLD))
+                wides.append(fold_of(h, bits) if (bits := fold_bits(len(h))) > FOLD else None)
                 keys.append(pair_words(h, num, den))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+            cols = [b.column("doc_id"), pa.array(sizes, pa.int32()), *(pa.array(x, pa.binary()) for x in (digests, folds, wides)), *_sliced(keys[1:], np.concatenate(keys))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "digest", "fold", "wide", *(f"k{i}" for i in range(SLICES))])
 
     return run
 
 
-def _folds(width: int):
-    """Set size and the sketch of FOLD bits of each text."""
+def _sliced(keys: list[np.ndarray], flat: np.ndarray) -> list[pa.ListArray]:
+    """The rows' keys, which flat holds one after another, as a column a slice. A key's highest bits name its slice."""
+    place = ((flat.view(np.uint64) >> np.uint64(32)) * np.uint64(SLICES) >> np.uint64(32)).astype(np.int64) * len(keys) + np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = flat[np.argsort(place, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=SLICES * len(keys)))])
+    cuts = [ends[i * len(keys) : (i + 1) * len(keys) + 1] for i in range(SLICES)]
+    return [pa.ListArray.from_arrays(pa.array(c - c[0], pa.int32()), pa.array(flat[c[0] : c[-1]])) for c in cuts]
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the larger one is folded to the other's size first, as parity sketches can be."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (x, y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _possible(num: int, den: int):
+    """Keep the pairs whose sizes and sketches allow a link; no link is lost, as sketches never differ in more than the sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, folds = [], []
-            for t in b.column("text").to_pylist():
-                h = shingle_hashes(t, width)
-                sizes.append(len(h))
-                folds.append(np.packbits((np.bincount(((h >> np.uint64(16)) % np.uint64(FOLD)).astype(np.int64), minlength=FOLD) & 1).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary())], ["doc_id", "n", "fold"])
+            n, other = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            fold, fold_other = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, FOLD // 64) for c in ("fold_a", "fold_b"))
+            most = (n + other) * (den - num)
+            ok = (num * np.maximum(n, other) <= den * np.minimum(n, other)) & (np.bitwise_count(fold ^ fold_other).sum(axis=1, dtype=np.int64) * (den + num) <= most)
+            for i in np.flatnonzero(ok):
+                x, y = b.column("wide_a")[i].as_py(), b.column("wide_b")[i].as_py()
+                ok[i] = x is None or y is None or _differ(x, y) * (den + num) <= most[i]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
     return run
 
@@ -295,7 +332,10 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
        held against each other by sketches, inside the group's task, and only those pairs
        leave it whose Hamming distance allows a link.
 
-    Every pair is verified on the sets of the whole texts. What a key's group compares is
+    Every pair is held against its sizes and its sketches, the wide ones included, which
+    loses no link; what they allow is verified on the sets of the whole texts, for which
+    docs is read again. So texts that only share a passage are not shuffled. Keys are
+    shuffled in slices, one after another. What a key's group compares is
     dealt in pairs of bounded blocks, and a centre of many pairs is given out many times,
     so no group meets in one task.
 
@@ -307,9 +347,10 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    path = scratch_path(spark, "sets")
-    rows.mapInArrow(_sets(width, num, den), "doc_id long, n int, digest binary, keys array<long>").write.parquet(path)
-    made = spark.read.parquet(path)
+    path, folds_path, met_path = (scratch_path(spark, name) for name in ("sets", "folds", "met"))
+    rows.mapInArrow(_sets(width, num, den), SETS).write.parquet(path)
+    made = spark.read.schema(SETS).parquet(path)
+    full = made.where("n > 0 and doc_id is not null")
     sets = cut(made.select("doc_id", "n", "digest"))
     heads = cut(sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head")))
     total = heads.count()
@@ -318,43 +359,51 @@ def parity_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     again = cut(sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     repeats = not again.isEmpty()
     same = sets.join(again, "doc_id", "left_semi").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
+    full.select("doc_id", "n", "fold", "wide").write.parquet(folds_path)
+    folds = spark.read.schema("doc_id long, n int, fold binary, wide binary").parquet(folds_path)
+    # the keys of one id of each set: whichever is fewer, these ids or the others, picks them
     ids = heads.select(F.col("head").alias("doc_id"))
-    ids = F.broadcast(ids) if total <= BROADCAST_IDS else ids
-    words = made.select("doc_id", "keys").join(ids, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    shared = cut(words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    tidy(spark)
-    met = cut(words.join(shared, "key").select("key", "doc_id", "c"))
-    del words, shared, made, ids
+    others = cut(sets.where("n > 0 and doc_id is not null").select("doc_id").join(ids, "doc_id", "left_anti").distinct())
+    if others.count() <= BROADCAST_IDS:
+        full = full.join(F.broadcast(others), "doc_id", "left_anti")
+    else:
+        full = full.join(F.broadcast(ids) if total <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    keys = [f"k{i}" for i in range(SLICES)]
+    for part in [[k] for k in keys] if total >= LARGE else [keys]:
+        words = full.select("doc_id", F.explode(F.concat(*part)).alias("key"))
+        shared = cut(words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+        words.join(shared, "key").select("key", "doc_id", "c").write.mode("append").parquet(met_path)
+        del words, shared
+        tidy(spark)
+    del made, full, ids, others
     discard(spark, path)
-    tidy(spark)
+    met = spark.read.schema("key long, doc_id long, c long").parquet(met_path)
     ids = cut(met.groupBy("doc_id").agg(F.sum("c").alias("weight")))
-    texts = rows.join(ids, "doc_id", "left_semi")
-    # the largest of what is kept: as compressed columns, which a checkpoint's rows are not
-    texts_path = scratch_path(spark, "texts")
-    (texts.dropDuplicates(["doc_id", "text"]) if repeats else texts).write.option("compression", "zstd").parquet(texts_path)
-    texts = spark.read.schema("doc_id long, text string").parquet(texts_path)
     met = cut(met.select("key", "doc_id").join(ids, "doc_id"))
+    discard(spark, met_path)
     tidy(spark)
 
-    links = _verified(_stars(met), texts, width, num, den, tidy)
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, folds, rows, repeats, width, num, den, tidy)
+
+    links = verified(_stars(met))
     comp = _components_of(ids, links)
     alone = comp.where("doc_id = component").join(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_anti")
     single = met.join(alone.select("doc_id"), "doc_id", "left_semi")
-    links = cut(links.unionByName(_verified(_stars(single), texts, width, num, den, tidy)))
+    links = cut(links.unionByName(verified(_stars(single))))
     tidy(spark)
     comp = _components_of(ids, links)
     placed = met.select("key", "doc_id").join(comp, "doc_id")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("lo <> hi").select("key", "parts")
     left = cut(placed.join(mixed, "key"))
-    folds = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_folds(width), "doc_id long, n int, fold binary")
     block, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = left.withColumn("block", block).withColumn("other", other).select("key", "doc_id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    pairs = dealt.join(folds, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
-    links = links.unionByName(_verified(pairs, texts, width, num, den, tidy))
-    links = cut(links.unionByName(same) if repeats else links)  # nothing reads texts after this
+    pairs = dealt.join(folds.drop("wide"), "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_near(num, den), "a long, b long").distinct()
+    links = links.unionByName(verified(pairs))
+    links = cut(links.unionByName(same) if repeats else links)  # nothing reads the sketches after this
 
-    del pairs, folds, left, mixed, placed, comp, single, alone, dealt, texts
-    discard(spark, texts_path)
+    del pairs, folds, left, mixed, placed, comp, single, alone, dealt, met
+    discard(spark, folds_path)
     tidy(spark)
     whole = components(links)
     head_of = heads.join(whole.select(F.col("id").alias("head"), "component"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
@@ -373,8 +422,8 @@ def _components_of(ids: DataFrame, links: DataFrame) -> DataFrame:
     return cut(ids.select("doc_id").join(components(links), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, tidy: Callable) -> DataFrame:
-    spark, pairs = pairs.sparkSession, cut(pairs)
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs with the table's columns of both sides, as a, c_a, b and c_b. The rows of a centre follow each other."""
     n = pairs.count()
     few, hot = n <= BROADCAST_IDS, None
     if n > STAR:  # with fewer pairs no centre can have so many
@@ -386,24 +435,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
         return times.withColumn("times", F.coalesce("times", F.lit(1)))
 
     def named(side: str) -> DataFrame:
-        """The texts of the pairs' one side. Without a broadcast both sides share the texts' shuffle by id."""
+        """The table's rows of the pairs' one side. Without a broadcast both sides share the table's shuffle by id."""
         own = pairs.select(F.col(side).alias("doc_id")).distinct()
-        kept = texts.join(F.broadcast(own) if few else own, "doc_id", "left_semi")
-        return kept.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+        kept = table.join(F.broadcast(own) if few else own, "doc_id", "left_semi")
+        return kept.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "doc_id"))
 
     left = salted(named("a")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("times")
     dealt = salted(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("times")).cast("int")).drop("times")
-    both = dealt.join(named("b"), "b").join(left, ["a", "salt"]).select("a", "text_a", "b", "text_b")
-    found = cut(both.mapInArrow(_verify(width, num, den), "a long, b long"))
-    del both, left, dealt, pairs, hot, salted, named
+    return dealt.join(named("b"), "b").join(left, ["a", "salt"]).drop("salt")
+
+
+def _verified(pairs: DataFrame, folds: DataFrame, rows: DataFrame, repeats: bool, width: int, num: int, den: int, tidy: Callable) -> DataFrame:
+    """The pairs that are links. Only the texts of pairs that their sketches allow are read, and lie in the shared folder meanwhile."""
+    spark, pairs = pairs.sparkSession, cut(pairs)
+    tidy(spark)
+    pairs = cut(_beside(pairs, folds).mapInArrow(_possible(num, den), "a long, b long").distinct())
+    tidy(spark)
+    own = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = rows.join(F.broadcast(own) if own.count() <= BROADCAST_IDS else own, "doc_id", "left_semi")
+    path = scratch_path(spark, "texts")
+    (texts.dropDuplicates(["doc_id", "text"]) if repeats else texts).write.option("compression", "zstd").parquet(path)
+    texts = spark.read.schema("doc_id long, text string").parquet(path)
+    found = cut(_beside(pairs, texts).mapInArrow(_verify(width, num, den), "a long, b long"))
+    del pairs, own, texts
+    discard(spark, path)
     tidy(spark)
     return found.distinct()
 
 
 def keep_one(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """The documents that stand for their component, and those without an id."""
-    heads = joined.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    gone = cut(joined.where("doc_id is not null").groupBy("doc_id").agg(own.alias("head")).where("not head").select("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def brute_force(texts: dict[int, str | None], width: int, num: int, den: int) -> dict[int, tuple[int, int]]:

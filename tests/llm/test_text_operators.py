@@ -226,6 +226,23 @@ def test_sketch_distance_bounds_difference():
         assert set(parity_join.pair_words(np.unique(a), 90, 100).tolist()) & set(parity_join.pair_words(np.unique(b), 90, 100).tolist())
 
 
+def test_wide_sketches_lose_no_link():
+    """Sketches of one size or two never differ in more than the sets, and strangers of many shingles are told apart by the wide ones only."""
+    rng = np.random.default_rng(3)
+    for n in (1, 8, 9, 1_000, 1_024, 1_025, 2_040, 2_060, 30_000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: -(-len(a) * 9 // 10)], rng.integers(0, 2**63, n // 12).astype(np.uint64)]))
+        wide = [parity_join.fold_of(h, parity_join.fold_bits(len(h))) for h in (a, b)]
+        assert len(wide[0]) * 8 >= len(a)
+        differ = len(np.setxor1d(a, b))
+        assert parity_join._differ(*wide) <= differ
+        assert parity_join._differ(parity_join.fold_of(a, parity_join.FOLD), parity_join.fold_of(b, 4 * parity_join.FOLD)) <= differ
+    stranger = np.unique(rng.integers(0, 2**63, 30_000).astype(np.uint64))
+    allowed = (len(a) + len(stranger)) * 20 // 180
+    assert parity_join._differ(*(parity_join.fold_of(h, parity_join.FOLD) for h in (a, stranger))) <= allowed
+    assert parity_join._differ(*(parity_join.fold_of(h, parity_join.fold_bits(30_000)) for h in (a, stranger))) > allowed
+
+
 def test_pii(spark):
     texts = {
         1: "mail é me.x+1@mail4.example.com, or a@b.c_d@e.fg! call +1 (509) 555-6973.", 2: "ip 10.0.0.256 192.168.001.7.9 1.2.3.4.5.6.7.8", 3: "card 4111 1111 1111 1111 or 4111111111111112 and 378282246310005",
